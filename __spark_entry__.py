@@ -274,6 +274,144 @@ def q_audit_duration_stats(spark, sf_dir):
     )
 
 
+def _archived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablemove.sources.jobs import read_job_records
+
+    records, _ = read_job_records(spark, _job_archive(spark, sf_dir), multi_line=False)
+    return records
+
+
+def q_chain_registrations(spark, sf_dir):
+    from tablemove.plans.chain import chain_registrations
+
+    children = chain_registrations(_archived_records(spark, sf_dir))
+    return children.withColumn("tables", F.array_join("tables", ", "))
+
+
+def q_job_board(spark, sf_dir):
+    """Running jobs sit in the queue, the rest in the archive; failed ones have a log."""
+    from tablemove.plans.board import job_board
+
+    ensure_checkpoint_dir(spark)
+    jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    queue, archive, logs = (scratch_path(spark, n) for n in ("queue", "archive", "logs"))
+    write_job_records(jobs.filter(F.col("status") == "running"), queue)
+    write_job_records(jobs.filter(F.col("status") != "running"), archive)
+    (
+        jobs.filter(F.col("status") == "failed")
+        .select("job_id", F.concat(F.lit("job "), "job_id", F.lit(" ended with status failed")).alias("log"))
+        .write.json(logs)
+    )
+    log_table = spark.read.schema("job_id string, log string").json(logs)
+    board = job_board(spark, queue, archive, log_table, multi_line=False)
+    return board.drop("file_mtime", "source_file")
+
+
+def _status_events(jobs: DataFrame) -> DataFrame:
+    """pending, running (with start), then the final status (with end) if finished."""
+    n = F.substring("job_id", 5, 100).cast("long")
+    none = F.lit(None).cast("string")
+
+    def ev(status, k, start, end):
+        return F.struct(status.alias("status"), (n * 4 + k).alias("event_seq"),
+                        start.alias("start_time"), end.alias("end_time"))
+
+    finished = F.col("status") != "running"
+    events = F.array(
+        ev(F.lit("pending"), 1, none, none),
+        ev(F.lit("running"), 2, F.col("start_time"), none),
+        F.when(finished, ev(F.col("status"), 3, none, F.col("end_time"))),
+    )
+    return (
+        jobs.select("job_id", F.explode(events).alias("e"))
+        .filter(F.col("e").isNotNull())
+        .select("job_id", "e.event_seq", "e.status", "e.start_time", "e.end_time")
+    )
+
+
+def q_job_latest_state(spark, sf_dir):
+    from tablemove.operators.state import append_events, latest_state
+    from tablemove.operators.write import ensure_namespace
+
+    ns, loc = _target_namespace(spark, "tm_state")
+    ensure_namespace(spark, ns, loc)
+    table = f"{ns}.job_events"
+    append_events(_status_events(_archived_records(spark, sf_dir)), table)
+    return latest_state(spark.read.table(table))
+
+
+PUBLISH_WAREHOUSE = "hdfs://namenode/warehouse"
+
+
+def q_publish_manifest(spark, sf_dir):
+    """Migrations write metadata versions; registration jobs name the tables to publish."""
+    from tablemove.plans.publish import build_manifest
+
+    jobs = _archived_records(spark, sf_dir)
+    n = (F.substring("job_id", 5, 100).cast("long") + 1).cast("string")
+    name = (
+        F.when(F.col("status") == "completed", F.concat(F.lit("v"), n, F.lit(".metadata.json")))
+        .when(F.col("status") == "failed", F.concat(F.lit("v"), n, F.lit(".metadata.json.tmp")))
+        .otherwise(F.concat(F.lit("snap-"), n, F.lit(".avro")))
+    )
+    files = (
+        jobs.filter(F.col("job_type") == "migrate_catalogs")
+        .select("dest_db", "status", "job_id", F.explode("tables").alias("t"))
+        .select(F.concat_ws("/", F.lit(PUBLISH_WAREHOUSE), "dest_db", "t", F.lit("metadata"), name).alias("path"))
+    )
+    tables = (
+        jobs.filter(F.col("job_type") == "register_snowflake")
+        .select(F.col("azure_db").alias("namespace"), F.explode("tables").alias("table"), "sf_db", "sf_schema")
+        .distinct()
+        .withColumn("location", F.concat_ws("/", F.lit(PUBLISH_WAREHOUSE), "namespace", "table"))
+    )
+    return build_manifest(files, tables, PUBLISH_WAREHOUSE)
+
+
+def q_audit_stream(spark, sf_dir):
+    from tablemove.streaming.audit_stream import run_audit_stream
+
+    archive = _job_archive(spark, sf_dir)
+    ledger = _ledger_name(spark)
+    out = run_audit_stream(spark, archive, ledger, scratch_path(spark, "ckpt-audit"), multi_line=False)
+    return _for_compare(audit_plan.report_view(out))
+
+
+STREAM_TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events"]
+
+
+def q_copy_request_stream(spark, sf_dir):
+    """Copy requests (one per table, plus one of an unknown type) served by a stream."""
+    from tablemove.operators.state import latest_state
+    from tablemove.operators.write import ensure_namespace
+    from tablemove.streaming.copy_requests import start_copy_request_stream
+
+    src = _source_namespace(spark, sf_dir, STREAM_TABLES)
+    ns, loc = _target_namespace(spark, "tm_req")
+    ensure_namespace(spark, ns, loc)
+    queue, archive = scratch_path(spark, "queue"), scratch_path(spark, "archive")
+    requests = [(f"req-{t}", "ingest_from_hive", src, [t]) for t in STREAM_TABLES]
+    requests.append(("req-unknown", "compact_table", src, ["orders"]))
+    (
+        spark.createDataFrame(requests, "job_id string, job_type string, source_db string, tables array<string>")
+        .repartition(3)
+        .write.json(queue)
+    )
+    q = start_copy_request_stream(
+        spark, queue, archive, scratch_path(spark, "ckpt-req"),
+        outcomes_table=f"{ns}.outcomes", events_table=f"{ns}.job_events",
+        target_location_root=scratch_path(spark, "req-targets"), multi_line=False,
+    )
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    states = latest_state(spark.read.table(f"{ns}.job_events")).select(
+        "job_id", F.col("status").alias("job_status")
+    )
+    outcomes = spark.read.table(f"{ns}.outcomes").select("job_id", "table", "status", "rows")
+    return states.join(outcomes, "job_id", "left")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_orders": q_ingest_orders,
     "ingest_lineitem": q_ingest_lineitem,
@@ -295,6 +433,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_top_recent": q_audit_top_recent,
     "audit_filter_values": q_audit_filter_values,
     "audit_duration_stats": q_audit_duration_stats,
+    "chain_registrations": q_chain_registrations,
+    "job_board": q_job_board,
+    "job_latest_state": q_job_latest_state,
+    "publish_manifest": q_publish_manifest,
+    "audit_stream": q_audit_stream,
+    "copy_request_stream": q_copy_request_stream,
 }
 
 
@@ -402,6 +546,74 @@ _ORACLE: dict[str, str] = {
 }
 
 
+_TITLE = (
+    "array_to_string(list_transform(string_split(replace({c}, '_', ' '), ' '),"
+    " lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+)
+_WH = PUBLISH_WAREHOUSE + "/"
+
+_ORACLE["chain_registrations"] = "WITH " + _JOBS_CTE + r"""
+    SELECT regexp_replace(substr(sha256('register_snowflake:' || job_id), 1, 32),
+                          '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS job_id,
+           'register_snowflake' AS job_type, dest_db AS azure_db, sf_db, sf_schema,
+           array_to_string(tables, ', ') AS tables, 'pending' AS status, job_id AS chained_from
+    FROM jobs
+    WHERE status = 'completed' AND job_type = 'migrate_catalogs' AND coalesce(register_on_snowflake, false)"""
+
+_ORACLE["job_board"] = "WITH " + _JOBS_CTE + """
+    SELECT job_id, job_type, """ + _TITLE.format(c="job_type") + """ AS job_type_display,
+           upper(status) AS status_display,
+           CASE status WHEN 'completed' THEN 'green' WHEN 'failed' THEN 'red'
+                       WHEN 'running' THEN 'orange' ELSE 'blue' END AS status_colour,
+           CASE WHEN status = 'running' THEN 'queued' ELSE 'archived' END AS state,
+           CASE WHEN status = 'failed' THEN 'job ' || job_id || ' ended with status failed'
+                ELSE 'Log file not yet available.' END AS log,
+           status = 'failed' AS has_log
+    FROM jobs"""
+
+_ORACLE["job_latest_state"] = "WITH " + _JOBS_CTE + """,
+    ev AS (
+      SELECT job_id, CAST(substr(job_id, 5) AS BIGINT) * 4 + 1 AS seq, 'pending' AS status,
+             CAST(NULL AS VARCHAR) AS start_time, CAST(NULL AS VARCHAR) AS end_time FROM jobs
+      UNION ALL SELECT job_id, CAST(substr(job_id, 5) AS BIGINT) * 4 + 2, 'running', start_time, NULL FROM jobs
+      UNION ALL SELECT job_id, CAST(substr(job_id, 5) AS BIGINT) * 4 + 3, status, NULL, end_time
+                FROM jobs WHERE status <> 'running')
+    SELECT job_id, arg_max(status, seq) AS status,
+           arg_max(start_time, CASE WHEN start_time IS NOT NULL THEN seq END) AS start_time,
+           arg_max(end_time, CASE WHEN end_time IS NOT NULL THEN seq END) AS end_time,
+           count(*) AS events
+    FROM ev GROUP BY job_id"""
+
+_ORACLE["publish_manifest"] = "WITH " + _JOBS_CTE + f""",
+    files AS (
+      SELECT dest_db AS ns, t AS tbl, CAST(substr(job_id, 5) AS BIGINT) + 1 AS n, status,
+             '{_WH}' || dest_db || '/' || t || '/metadata/v'
+               || CAST(CAST(substr(job_id, 5) AS BIGINT) + 1 AS VARCHAR) || '.metadata.json' AS path
+      FROM (SELECT *, unnest(tables) AS t FROM jobs WHERE job_type = 'migrate_catalogs')),
+    latest AS (SELECT ns, tbl, max(n) AS version, arg_max(path, n) AS path
+               FROM files WHERE status = 'completed' GROUP BY ns, tbl),
+    req AS (SELECT DISTINCT azure_db AS namespace, unnest(tables) AS "table", sf_db, sf_schema
+            FROM jobs WHERE job_type = 'register_snowflake')
+    SELECT r.namespace, r."table", r.sf_db, r.sf_schema, l.version,
+           substr(l.path, {len(_WH) + 1}) AS metadata_path,
+           CASE WHEN l.path IS NOT NULL THEN
+             'CREATE OR REPLACE ICEBERG TABLE ' || r.sf_db || '.' || r.sf_schema || '.' || r."table"
+             || ' CATALOG = ''my_hive_catalog_integration'' EXTERNAL_VOLUME = ''iceberg_azure_vol'''
+             || ' METADATA_FILE_PATH = ''' || substr(l.path, {len(_WH) + 1}) || ''';'
+           END AS ddl,
+           CASE WHEN l.path IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+           CASE WHEN l.path IS NULL THEN 'no metadata file matching the version pattern' END AS error
+    FROM req r LEFT JOIN latest l ON l.ns = r.namespace AND l.tbl = r."table" """
+
+_ORACLE["audit_stream"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
+
+_ORACLE["copy_request_stream"] = " UNION ALL ".join(
+    f"""SELECT 'req-{t}' AS job_id, 'completed' AS job_status, '{t}' AS "table",
+               'succeeded' AS status, count(*) AS rows FROM {t}"""
+    for t in STREAM_TABLES
+) + " UNION ALL SELECT 'req-unknown', 'failed', NULL, NULL, NULL"
+
+
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: ingest ``orders`` from a session namespace and read it back."""
