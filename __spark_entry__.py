@@ -384,7 +384,7 @@ def q_copy_request_stream(spark, sf_dir):
     """Copy requests (one per table, plus one of an unknown type) served by a stream."""
     from tablemove.operators.state import latest_state
     from tablemove.operators.write import ensure_namespace
-    from tablemove.streaming.copy_requests import start_copy_request_stream
+    from tablemove.streaming.copy_requests import refresh_results, start_copy_request_stream
 
     src = _source_namespace(spark, sf_dir, STREAM_TABLES)
     ns, loc = _target_namespace(spark, "tm_req")
@@ -405,6 +405,7 @@ def q_copy_request_stream(spark, sf_dir):
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    refresh_results(spark, f"{ns}.outcomes", f"{ns}.job_events")
     states = latest_state(spark.read.table(f"{ns}.job_events")).select(
         "job_id", F.col("status").alias("job_status")
     )

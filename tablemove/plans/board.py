@@ -24,10 +24,10 @@ TYPE_MISSING = "N/A"
 
 def read_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``(job_id, log)``: one row per log file, whole text."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path)
+    df = reader.text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.log$", "")
     key = F.coalesce(F.col("job_id"), stem) if "job_id" in df.columns else stem
     return df.select(key.alias("job_id"), F.col("value").alias("log"))

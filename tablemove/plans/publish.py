@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import quote_name, split_name
 from ..operators.catalog import table_location
-from ..sources.files import list_files
+from ..sources.files import list_folders
 
 # Default file pattern and the names used by the registration DDL.
 VERSION_PATTERN = r"^v(\d+)\.metadata\.json$"
@@ -161,10 +161,6 @@ def publish_manifest(
     table_df = spark.createDataFrame(
         rows, "namespace string, table string, location string, sf_db string, sf_schema string"
     )
-    roots = [r[2].rstrip("/") for r in rows if r[2]]
-    if roots:
-        pattern_glob = "{" + ",".join(roots) + "}/metadata/*" if len(roots) > 1 else f"{roots[0]}/metadata/*"
-        files = list_files(spark, pattern_glob)
-    else:
-        files = spark.createDataFrame([], "path string")
+    folders = [r[2].rstrip("/") + "/metadata" for r in rows if r[2]]
+    files = list_folders(spark, folders)
     return build_manifest(files.select("path"), table_df, warehouse, pattern, **ddl_names)

@@ -52,11 +52,34 @@ def list_files(spark: SparkSession, pattern: str, glob_filter: str | None = None
     return df.select("path", "length", "modificationTime")
 
 
+def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The subset of ``paths`` that exist (one file-system metadata call each)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        if hp.getFileSystem(conf).exists(hp):
+            out.append(p)
+    return out
+
+
+def list_folders(spark: SparkSession, folders: Sequence[str], glob_filter: str | None = None) -> DataFrame:
+    """Files directly inside the existing ``folders``, listed in one scan."""
+    present = existing_paths(spark, folders)
+    if not present:
+        return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
+    reader = spark.read.format("binaryFile")
+    if glob_filter:
+        reader = reader.option("pathGlobFilter", glob_filter)
+    return reader.load(present).select("path", "length", "modificationTime")
+
+
 def read_text_files(spark: SparkSession, path: str, glob_filter: str | None = None) -> DataFrame:
     """One row per file: ``(file_name, value)`` with the whole file text."""
-    reader = spark.read.option("wholetext", "true")
+    reader = spark.read
     if glob_filter:
         reader = reader.option("pathGlobFilter", glob_filter)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value")
     )

@@ -64,4 +64,7 @@ def run_audit_stream(spark: SparkSession, archive: str, ledger: str, checkpoint:
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    # Micro-batches write through the stream's own session; drop this
+    # session's cached listing of the ledger before reading it.
+    spark.catalog.refreshTable(quote_name(ledger))
     return spark.read.table(quote_name(ledger))

@@ -132,3 +132,10 @@ def start_copy_request_stream(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def refresh_results(spark: SparkSession, outcomes_table: str, events_table: str) -> None:
+    """Drop this session's cached listings of the tables the stream appended to."""
+    for t in (outcomes_table, events_table):
+        if spark.catalog.tableExists(quote_name(t)):
+            spark.catalog.refreshTable(quote_name(t))

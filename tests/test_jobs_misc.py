@@ -1,0 +1,64 @@
+"""Chain, latest-state fold and job board."""
+
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from tablemove.operators.state import EVENT_SCHEMA, latest_state
+from tablemove.plans.board import LOG_MISSING, job_board
+from tablemove.plans.chain import chain_registrations
+from tablemove.sources.jobs import JOB_SCHEMA
+
+
+def _jobs(spark, rows):
+    base = {f.name: None for f in JOB_SCHEMA.fields}
+    return spark.createDataFrame([{**base, **r} for r in rows], JOB_SCHEMA)
+
+
+def test_chain_qualifying_and_deterministic(spark):
+    jobs = _jobs(spark, [
+        dict(job_id="p1", job_type="migrate_catalogs", status="completed", register_on_snowflake=True,
+             dest_db="cloud", sf_db="SF", sf_schema="S", tables=["a", "b"]),
+        dict(job_id="p2", job_type="migrate_catalogs", status="failed", register_on_snowflake=True, tables=["a"]),
+        dict(job_id="p3", job_type="migrate_catalogs", status="completed", register_on_snowflake=None, tables=["a"]),
+        dict(job_id="p4", job_type="ingest_from_hive", status="completed", register_on_snowflake=True, tables=["a"]),
+    ])
+    kids = chain_registrations(jobs).collect()
+    assert len(kids) == 1
+    k = kids[0]
+    assert (k.job_type, k.azure_db, k.sf_db, k.sf_schema, k.tables, k.status, k.chained_from) == (
+        "register_snowflake", "cloud", "SF", "S", ["a", "b"], "pending", "p1")
+    assert len(k.job_id) == 36 and chain_registrations(jobs).first().job_id == k.job_id
+    assert chain_registrations(jobs, existing=chain_registrations(jobs)).count() == 0
+    outcomes = spark.createDataFrame([("p1", 1, "a", "failed"), ("p1", 2, "b", "succeeded")],
+                                     "job_id string, position int, table string, status string")
+    assert chain_registrations(jobs, outcomes).first().tables == ["b"]
+
+
+def test_latest_state_fold(spark):
+    ev = spark.createDataFrame([
+        ("j1", 1, "pending", None, None), ("j1", 2, "running", "s1", None), ("j1", 3, "completed", None, "e1"),
+        ("j2", 5, "running", "s2", None), ("j2", 4, "pending", None, None),
+    ], EVENT_SCHEMA)
+    got = {r.job_id: (r.status, r.start_time, r.end_time, r.events) for r in latest_state(ev).collect()}
+    assert got == {"j1": ("completed", "s1", "e1", 3), "j2": ("running", "s2", None, 2)}
+
+
+def test_job_board_with_log_files(spark, tmp):
+    q, a, logs = (os.path.join(tmp, n) for n in ("queue", "archive", "logs"))
+    for d in (q, a, logs):
+        os.makedirs(d)
+    with open(f"{q}/j1.json", "w") as f:
+        json.dump({"job_id": "j1", "job_type": "ingest_from_hive", "status": "pending"}, f, indent=4)
+    with open(f"{a}/j2.json", "w") as f:
+        json.dump({"job_id": "j2", "job_type": "migrate_catalogs", "status": "failed"}, f, indent=4)
+    os.utime(f"{q}/j1.json", (2_000_000_000, 2_000_000_000))
+    with open(f"{logs}/j2.log", "w") as f:
+        f.write("line 1\nline 2\n")
+    rows = job_board(spark, q, a, logs).collect()
+    assert [r.job_id for r in rows] == ["j1", "j2"]  # newest file first
+    assert (rows[0].state, rows[0].status_colour, rows[0].log, rows[0].has_log) == ("queued", "blue", LOG_MISSING, False)
+    assert (rows[1].state, rows[1].status_display, rows[1].job_type_display, rows[1].log) == (
+        "archived", "FAILED", "Migrate Catalogs", "line 1\nline 2\n")
+    assert job_board(spark, f"{tmp}/x", f"{tmp}/y") is None

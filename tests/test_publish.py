@@ -1,0 +1,61 @@
+"""Publish manifest over real metadata folders and over a listing frame."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from tablemove.plans.publish import build_manifest, latest_metadata, metadata_versions, publish_manifest
+
+
+def _touch(path):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        f.write("{}")
+
+
+def test_version_pick_numeric_and_anchored(spark):
+    files = spark.createDataFrame([(p,) for p in [
+        "/wh/db/t/metadata/v1.metadata.json", "/wh/db/t/metadata/v2.metadata.json",
+        "/wh/db/t/metadata/v10.metadata.json", "/wh/db/t/metadata/v11.metadata.json.bak",
+        "/wh/db/t/metadata/snap-1.avro", "/wh/db/u/metadata/v3.metadata.json",
+    ]], "path string")
+    latest = {r.table_root: (r.metadata_file, r.version) for r in latest_metadata(metadata_versions(files)).collect()}
+    assert latest == {"/wh/db/t": ("/wh/db/t/metadata/v10.metadata.json", 10),
+                      "/wh/db/u": ("/wh/db/u/metadata/v3.metadata.json", 3)}
+
+
+def test_manifest_rows_and_failures(spark):
+    files = spark.createDataFrame([("abfss://c@acct/wh/db/t/metadata/v2.metadata.json",),
+                                   ("s3://other/db/x/metadata/v5.metadata.json",)], "path string")
+    tables = spark.createDataFrame([
+        ("db", "t", "abfss://c@acct/wh/db/t/", "SFDB", "PUBLIC"),
+        ("db", "none", "abfss://c@acct/wh/db/none", "SFDB", "PUBLIC"),
+        ("db", "x", "s3://other/db/x", "SFDB", "PUBLIC"),
+        ("db", "noloc", None, "SFDB", "PUBLIC"),
+    ], "namespace string, table string, location string, sf_db string, sf_schema string")
+    rows = {r.table: r for r in build_manifest(files, tables, "abfss://c@acct/wh").collect()}
+    assert rows["t"].status == "ok" and rows["t"].metadata_path == "db/t/metadata/v2.metadata.json"
+    assert rows["t"].ddl == ("CREATE OR REPLACE ICEBERG TABLE SFDB.PUBLIC.t CATALOG = 'my_hive_catalog_integration' "
+                             "EXTERNAL_VOLUME = 'iceberg_azure_vol' METADATA_FILE_PATH = 'db/t/metadata/v2.metadata.json';")
+    assert rows["none"].status == "failed" and "no metadata" in rows["none"].error
+    assert rows["x"].status == "failed" and "outside" in rows["x"].error
+    assert rows["noloc"].status == "failed" and "Location" in rows["noloc"].error
+
+
+def test_identifier_quoting_in_ddl(spark):
+    files = spark.createDataFrame([("/wh/d/my table/metadata/v1.metadata.json",)], "path string")
+    tables = spark.createDataFrame([("d", "my table", "/wh/d/my table", "SF DB", "P")],
+                                   "namespace string, table string, location string, sf_db string, sf_schema string")
+    ddl = build_manifest(files, tables, "/wh").first().ddl
+    assert ddl.startswith('CREATE OR REPLACE ICEBERG TABLE "SF DB".P."my table" ')
+
+
+def test_publish_over_catalog_tables(spark, ns, tmp):
+    spark.range(3).write.saveAsTable(f"{ns}.a")
+    spark.range(3).write.saveAsTable(f"{ns}.b")
+    loc_a = spark.sql(f"DESCRIBE EXTENDED {ns}.a").filter("col_name = 'Location'").first()[1]
+    for v in (1, 2, 10):
+        _touch(loc_a.replace("file:", "") + f"/metadata/v{v}.metadata.json")
+    out = {r.table: r for r in publish_manifest(spark, ns, ["a", "b", "missing"], tmp, "SFDB", "PUBLIC").collect()}
+    assert out["a"].status == "ok" and out["a"].metadata_path.endswith("a/metadata/v10.metadata.json")
+    assert out["b"].status == "failed" and out["missing"].status == "failed"
