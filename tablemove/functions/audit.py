@@ -22,7 +22,7 @@ without a zone counts as UTC regardless of the session time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -62,20 +62,21 @@ _ZONE = r"(Z|z|[+-]\d{2}(:?\d{2})?(:?\d{2}(\.\d+)?)?)$"
 _ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?" + r"(Z|z|[+-]\d{2}(:?\d{2})?(:?\d{2}(\.\d+)?)?)?)?$"
 
 
-def title_case(c: Column) -> Column:
-    """Python ``str.title`` semantics on a string column."""
-    chars = F.split(c, "")
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+_MARK = "\u0001 "
 
-    def cased(x: Column) -> Column:
-        return F.upper(x) != F.lower(x)
 
-    titled = F.transform(
-        chars,
-        lambda ch, i: F.when(
-            (i == 0) | ~cased(F.element_at(chars, i)), F.upper(ch)
-        ).otherwise(F.lower(ch)),
-    )
-    return F.when(c.isNull(), None).otherwise(F.array_join(titled, ""))
+def title_case(c: Column) -> Column:
+    """Python ``str.title`` semantics on a string column, fully code-generated.
+
+    ``str.title`` upper-cases a letter when the character before it is not a
+    cased letter and lower-cases it otherwise. SQL ``initcap`` does the same
+    but only treats spaces as word breaks, so a marker ending in a space is
+    inserted after every other uncased character that precedes a letter,
+    ``initcap`` runs, and the markers are removed again.
+    """
+    marked = F.regexp_replace(F.lower(c), f"([^{_CASED} ])(?=[{_CASED}])", "$1" + _MARK)
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def iso_micros(c: Column) -> Column:
@@ -135,8 +136,8 @@ def seconds_text(micros: Column) -> Column:
     return F.concat(sign, whole.cast("string"), F.lit("."), frac_txt)
 
 
-def duration_text(start: Column, end: Column) -> Column:
-    s_us, e_us = iso_micros(start), iso_micros(end)
+def duration_from_micros(start: Column, end: Column, s_us: Column, e_us: Column) -> Column:
+    """Duration text given the raw texts and their parsed micros (column refs)."""
     return (
         F.when(_blank(start) | _blank(end), F.lit(DURATION_MISSING))
         .when(s_us.isNull() | e_us.isNull(), F.lit(DURATION_ERROR))
@@ -144,6 +145,11 @@ def duration_text(start: Column, end: Column) -> Column:
     )
 
 
+def duration_text(start: Column, end: Column) -> Column:
+    """Stand-alone form; prefer :func:`audit_frame`, which parses each time once."""
+    return duration_from_micros(start, end, iso_micros(start), iso_micros(end))
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NONE_TEXT))
 
@@ -197,18 +203,37 @@ def status_colour(status: Column) -> Column:
     return out.otherwise(DEFAULT_COLOUR)
 
 
-def audit_columns() -> list[Column]:
-    """The seven report columns over a job-record row (see module doc)."""
+def audit_frame(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The seven report columns (plus ``keep`` columns) over job-record rows.
+
+    Built in two projections: the start/end instants are parsed once into
+    columns, and the report columns refer to those. (Spelling the parse
+    inside every expression that needs it would copy the parse tree many
+    times over and push the generated code past the size where Spark falls
+    back to interpretation.)
+    """
     c = F.col
-    return [
+    parsed = records.select(
+        *[c(n) for n in _JOB_INPUTS + list(keep or [])],
+        iso_micros(c("start_time")).alias("_s_us"),
+        iso_micros(c("end_time")).alias("_e_us"),
+    )
+    return parsed.select(
         F.coalesce(c("job_id"), F.lit(MISSING_ID)).alias("Job ID"),
         job_type_display(c("job_type")).alias("Job Type"),
         status_display(c("status")).alias("Status"),
         c("start_time").alias("Start Time (UTC)"),
-        iso_timestamp(c("end_time")).alias("End Time (UTC)"),
-        duration_text(c("start_time"), c("end_time")).alias("Duration (s)"),
+        F.timestamp_micros(c("_e_us")).alias("End Time (UTC)"),
+        duration_from_micros(c("start_time"), c("end_time"), c("_s_us"), c("_e_us")).alias("Duration (s)"),
         details(
             c("job_type"), c("source_db"), c("dest_db"), c("azure_db"), c("sf_db"),
             c("sf_schema"), c("tables"), c("register_on_snowflake"), c("chained_from"),
         ).alias("Details"),
-    ]
+        *[c(n) for n in (keep or [])],
+    )
+
+
+_JOB_INPUTS = [
+    "job_id", "job_type", "status", "start_time", "end_time", "source_db", "dest_db", "azure_db",
+    "sf_db", "sf_schema", "tables", "register_on_snowflake", "chained_from",
+]

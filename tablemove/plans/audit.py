@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.audit import REPORT_COLUMNS, audit_columns, iso_timestamp
+from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
 from ..operators.write import counted, ensure_namespace, replace_table, table_exists
 from ..sources.jobs import read_job_records
@@ -50,7 +50,7 @@ class AuditResult:
 
 def audit_rows(records: DataFrame) -> DataFrame:
     """Job records -> report columns plus the ledger's key columns."""
-    return records.select(*audit_columns(), *[F.col(c) for c in LEDGER_EXTRA])
+    return audit_frame(records, keep=LEDGER_EXTRA)
 
 
 def report_view(ledger: DataFrame) -> DataFrame:
