@@ -103,7 +103,7 @@ def generate_report(
         replace_table(fresh, ledger, fmt=fmt)
     new_jobs = int(obs.get.get("rows", 0))
     ledger_df = spark.read.table(quote_name(ledger))
-    if ledger_df.isEmpty():
+    if new_jobs == 0 and ledger_df.isEmpty():
         return AuditResult(None, MSG_EMPTY, 0, rejects)
     message = MSG_UP_TO_DATE if new_jobs == 0 else MSG_UPDATED.format(n=new_jobs)
     return AuditResult(sorted_report(report_view(ledger_df)), message, new_jobs, rejects)
