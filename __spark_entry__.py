@@ -413,6 +413,56 @@ def q_copy_request_stream(spark, sf_dir):
     return states.join(outcomes, "job_id", "left")
 
 
+def q_audit_rejects(spark, sf_dir):
+    """An archive where some lines are cut short: they are rejected, the rest reported."""
+    from tablemove.sources.jobs import JOB_COLUMNS
+
+    ensure_checkpoint_dir(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    jobs = jobs_from_events(events).withColumn("_n", F.substring("job_id", 5, 100).cast("long"))
+    line = F.to_json(F.struct(*JOB_COLUMNS))
+    archive = scratch_path(spark, "archive")
+    jobs.select(
+        F.when(F.col("_n") % 17 == 0, F.substring(line, 1, 25)).otherwise(line).alias("value")
+    ).write.text(archive)
+    res = audit_plan.generate_report(
+        spark, archive, _ledger_name(spark), full_rescan=True, multi_line=False, glob=None
+    )
+    n_rejects = res.rejects.count()
+    expected = jobs.filter(F.col("_n") % 17 == 0).count()
+    if n_rejects != expected:
+        raise RuntimeError(f"expected {expected} rejected lines, got {n_rejects}")
+    return _for_compare(res.report)
+
+
+def q_copy_keep_partitioning(spark, sf_dir):
+    """Copy a status-partitioned table keeping its partition layout."""
+    from tablemove.operators.catalog import partition_columns
+    from tablemove.operators.write import ensure_namespace
+
+    src, src_loc = _target_namespace(spark, "tm_psrc")
+    ensure_namespace(spark, src, src_loc)
+    (
+        spark.read.parquet(f"{sf_dir}/orders.parquet")
+        .write.partitionBy("o_orderstatus")
+        .saveAsTable(quote_name([src, "orders"]))
+    )
+    dst, loc = _target_namespace(spark)
+    copy_tables(spark, src, dst, ["orders"], keep_partitioning=True, target_location=loc)
+    if partition_columns(spark, f"{dst}.orders") != ["o_orderstatus"]:
+        raise RuntimeError("partition layout not kept")
+    return spark.read.table(quote_name([dst, "orders"]))
+
+
+def q_ingest_all_verified(spark, sf_dir):
+    """Every driver table ingested (four at a time) and verified by count + hash."""
+    src = _source_namespace(spark, sf_dir, ALL_TABLES)
+    dst, loc = _target_namespace(spark)
+    out = ingest_tables(spark, src, ALL_TABLES, target_namespace=dst, target_location=loc,
+                        verify=True, parallelism=4)
+    return out.select("position", "table", "status", "rows", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_orders": q_ingest_orders,
     "ingest_lineitem": q_ingest_lineitem,
@@ -440,6 +490,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "publish_manifest": q_publish_manifest,
     "audit_stream": q_audit_stream,
     "copy_request_stream": q_copy_request_stream,
+    "audit_rejects": q_audit_rejects,
+    "copy_keep_partitioning": q_copy_keep_partitioning,
+    "ingest_all_verified": q_ingest_all_verified,
 }
 
 
@@ -517,7 +570,7 @@ _ORACLE: dict[str, str] = {
         UNION ALL SELECT 3, 'part', 'succeeded', (SELECT count(*) FROM part), true, NULL
         UNION ALL SELECT 4, 'lineitem', 'succeeded', (SELECT count(*) FROM lineitem), true, NULL""",
     "copy_summary": """
-        SELECT 'succeeded' AS status, 2 AS tables, 'customer, part' AS names,
+        SELECT 'succeeded' AS status, CAST(2 AS BIGINT) AS tables, 'customer, part' AS names,
                (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS rows
         UNION ALL SELECT 'failed', 1, 'missing_table', NULL""",
     "reconcile_copy": """
@@ -608,6 +661,18 @@ _ORACLE["publish_manifest"] = "WITH " + _JOBS_CTE + f""",
 
 _ORACLE["audit_stream"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
 
+_ORACLE["audit_rejects"] = "WITH " + _REPORT_CTE + """ SELECT * FROM report
+    WHERE CAST(substr("Job ID", 5) AS BIGINT) % 17 <> 0"""
+
+_ORACLE["copy_keep_partitioning"] = (
+    "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, o_orderstatus FROM orders"
+)
+
+_ORACLE["ingest_all_verified"] = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{t}' AS \"table\", 'succeeded' AS status, count(*) AS rows, true AS verified FROM {t}"
+    for i, t in enumerate(ALL_TABLES, start=1)
+)
+
 _ORACLE["copy_request_stream"] = " UNION ALL ".join(
     f"""SELECT 'req-{t}' AS job_id, 'completed' AS job_status, '{t}' AS "table",
                'succeeded' AS status, count(*) AS rows FROM {t}"""

@@ -99,6 +99,10 @@ def replace_table(
     spark.sql(f"DROP TABLE IF EXISTS {quote_name(target)}")
     # The session catalog renames within the namespace; name the leaf only.
     spark.sql(f"ALTER TABLE {stage_name} RENAME TO {quote_name(parts[-1:] if len(parts) < 2 else parts[-2:])}")
+    if partition_by:
+        # Partition entries still name the staging folder; re-sync them
+        # with the folders now under the renamed table.
+        spark.sql(f"MSCK REPAIR TABLE {quote_name(target)} SYNC PARTITIONS")
     return "staged_swap"
 
 

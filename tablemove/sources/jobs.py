@@ -69,7 +69,11 @@ def read_job_records(
         reader = reader.option("pathGlobFilter", glob)
     raw = with_file_columns(reader.json(path))
     records = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    rejects = raw.filter(F.col("_corrupt_record").isNotNull()).select(
+    # The second, always-true term keeps a data column in the scan: Spark
+    # refuses raw JSON scans whose only column is the corrupt-record column,
+    # which is what a bare ``rejects.count()`` would otherwise prune to.
+    keep_scan = F.length(F.coalesce(F.col("job_id"), F.col("_corrupt_record"))) >= 0
+    rejects = raw.filter(F.col("_corrupt_record").isNotNull() & keep_scan).select(
         "source_file", "job_id", "_corrupt_record"
     )
     return records, rejects

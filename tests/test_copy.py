@@ -79,6 +79,9 @@ def test_partitioned_source(spark, ns):
     assert partition_columns(spark, f"{ns}_p.po") == []
     copy_tables(spark, ns, ns + "_k", ["po"], keep_partitioning=True)
     assert partition_columns(spark, f"{ns}_k.po") == ["o_orderstatus"]
+    assert spark.table(f"{ns}_k.po").count() == 1500
+    copy_tables(spark, ns, ns + "_k", ["po"], keep_partitioning=True)  # replace keeps rows too
+    assert spark.table(f"{ns}_k.po").count() == 1500
 
 
 def test_selection_rules(spark, src):
