@@ -75,6 +75,11 @@ def schema_frame(df: DataFrame) -> DataFrame:
     )
 
 
+def preview(spark: SparkSession, table: str, n: int = 5) -> DataFrame:
+    """First ``n`` rows of a table (no order: a look at the data, not a report)."""
+    return spark.read.table(quote_name(table)).limit(n)
+
+
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
     """Partition columns of a catalog table, in declared order."""
     return [c.name for c in spark.catalog.listColumns(quote_name(table)) if c.isPartition]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,25 +20,22 @@ class EmptySelection(ValueError):
 def select_tables(listing: DataFrame, spec: str | Sequence[str]) -> DataFrame:
     """Return ``(position, tableName)`` of the selected tables, ordered.
 
-    ``listing`` has a ``tableName`` column (from :func:`list_tables`).
+    ``listing`` has a ``tableName`` column (from :func:`list_tables`). A
+    listing is catalog metadata produced on the driver by ``SHOW TABLES``,
+    and a spec is a user-typed list, so the matching names are gathered
+    and numbered on the driver.
     """
     spark = listing.sparkSession
     names = [spec] if isinstance(spec, str) else list(spec)
-    names = [n.strip() for n in names if n is not None and n.strip()]
-    tables = listing.select("tableName").distinct()
+    names = dedupe_keep_order(n.strip() for n in names if n is not None and n.strip())
     if "*" in names:
-        return tables.select(
-            F.row_number().over(Window.orderBy("tableName")).alias("position"), "tableName"
-        ).orderBy("position")
-    wanted = spark.createDataFrame(list(enumerate(names)), "pos int, tableName string")
-    return (
-        wanted.join(tables, "tableName", "left_semi")
-        .groupBy("tableName")
-        .agg(F.min("pos").alias("pos"))
-        .select(
-            F.row_number().over(Window.orderBy("pos")).alias("position"), "tableName"
-        )
-        .orderBy("position")
+        chosen = sorted(r.tableName for r in listing.select("tableName").distinct().collect())
+    else:
+        wanted = spark.createDataFrame([(n,) for n in names], "tableName string")
+        found = {r.tableName for r in wanted.join(listing.select("tableName"), "tableName", "left_semi").collect()}
+        chosen = [n for n in names if n in found]
+    return spark.createDataFrame(
+        list(enumerate(chosen, start=1)), "position int, tableName string"
     )
 
 
@@ -50,6 +47,6 @@ def selected_names(listing: DataFrame, spec: str | Sequence[str]) -> list[str]:
     return names
 
 
-def dedupe_keep_order(values: Sequence[str]) -> list[str]:
+def dedupe_keep_order(values) -> list[str]:
     """First-seen order de-duplication of a short name list."""
     return list(dict.fromkeys(values))

@@ -72,7 +72,8 @@ def replace_table(
 ) -> str:
     """Create ``target`` from ``df`` or replace it wholesale.
 
-    Returns the strategy used: ``"v2_replace"`` or ``"staged_swap"``.
+    Returns the strategy used: ``"v2_replace"``, ``"create"`` (session
+    catalog, no previous table) or ``"staged_swap"``.
     """
     spark = df.sparkSession
     if not uses_staged_swap(spark, target, fmt):
@@ -85,6 +86,15 @@ def replace_table(
         writer.createOrReplace()
         return "v2_replace"
 
+    if not table_exists(spark, target):
+        # Nothing to replace: write the table directly (fails, rather than
+        # overwrites, if a concurrent writer created it meanwhile).
+        writer = df.write.format(_provider(spark, fmt))
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.saveAsTable(quote_name(target))
+        return "create"
+
     parts = split_name(target)
     stage = parts[:-1] + [f"{parts[-1]}__tm_stage_{uuid.uuid4().hex[:8]}"]
     stage_name = join_name(*stage)

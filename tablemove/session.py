@@ -20,7 +20,10 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
+    try:
+        found = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
+        return None
     return found.rstrip("/") if found else None
 
 
@@ -34,7 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if root is None:
         root = tempfile.mkdtemp(prefix="tablemove-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        try:
+            spark.sparkContext.setCheckpointDir(root)
+        except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
+            pass
     return root
 
 

@@ -6,9 +6,10 @@ For every micro-batch the requests are read (a handful of small records -
 their *tables* are copied by Spark jobs, never passed through the driver),
 each request runs as one multi-table copy, and two things are appended:
 per-table outcome rows and job status events (running, then
-completed/failed). Other job types fail without running anything; chained
-registrations are derived afterwards from the outcomes
-(:func:`tablemove.plans.chain.chain_registrations`).
+completed/failed). ``register_snowflake`` requests (e.g. queued by
+:func:`tablemove.plans.chain.chain_registrations`) build publish-manifest
+rows when a ``warehouse`` root is given; other job types fail without
+running anything.
 
 Processed request files are moved to the archive folder by the file source
 (``cleanSource=archive``); the move of a file happens in a later batch than
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.audit import TYPE_INGEST, TYPE_MIGRATE
+from ..functions.audit import TYPE_INGEST, TYPE_MIGRATE, TYPE_REGISTER
 from ..functions.identifiers import quote_name, split_name
 from ..operators.state import EVENT_SCHEMA
 from ..operators.write import ensure_namespace
 from ..plans.copy import OUTCOME, copy_tables
 from ..plans.ingest import target_namespace_for
+from ..plans.publish import publish_manifest
 from ..sources.jobs import job_record_stream
 
 REQUEST_OUTCOME = T.StructType(
@@ -48,12 +50,48 @@ def _handler(
     source_catalog: str | None,
     target_catalog: str | None,
     target_location_root: str | None,
+    warehouse: str | None = None,
+    manifest_table: str | None = None,
 ):
+    def qualified(ns: str | None) -> str | None:
+        if not ns:
+            return None
+        return quote_name(([target_catalog] if target_catalog else []) + [ns])
+
+    def serve(spark: SparkSession, req, batch_id: int) -> tuple[str, bool, DataFrame | None]:
+        """Run one request: ``(status, ran, outcome rows or None)``."""
+        tables = list(req.tables or [])
+        tag = [F.lit(req.job_id).alias("job_id"), F.lit(batch_id).cast("long").alias("batch_id")]
+        if req.job_type in (TYPE_INGEST, TYPE_MIGRATE):
+            src = ".".join(p for p in (source_catalog, req.source_db) if p)
+            if req.job_type == TYPE_INGEST:
+                dst = target_namespace_for(req.source_db, target_catalog)
+            else:
+                dst = qualified(req.dest_db or req.source_db)
+            loc = None
+            if target_location_root:
+                loc = f"{target_location_root.rstrip('/')}/{split_name(dst)[-1]}.db"
+            out = copy_tables(spark, src, dst, tables, target_location=loc)
+            out = out.select(*tag, *OUTCOME.fieldNames())
+            statuses = [r.status for r in out.select("status").collect()]  # one per table
+            ok = bool(tables) and all(x == "succeeded" for x in statuses)
+            return ("completed" if ok else "failed"), True, out
+        if req.job_type == TYPE_REGISTER and warehouse and manifest_table:
+            manifest = publish_manifest(spark, qualified(req.azure_db), tables, warehouse, req.sf_db, req.sf_schema)
+            rows = manifest.collect()  # one row per requested table
+            spark.createDataFrame(rows, manifest.schema).select(*tag, "*").write.mode("append").saveAsTable(
+                quote_name(manifest_table)
+            )
+            ok = bool(tables) and all(r.status == "ok" for r in rows)
+            return ("completed" if ok else "failed"), True, None
+        return "failed", False, None  # unknown type: fails, no end time
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = (
             batch.filter(F.col("_corrupt_record").isNull())
-            .select("job_id", "job_type", "source_db", "dest_db", "tables", "file_mtime")
+            .select("job_id", "job_type", "source_db", "dest_db", "azure_db", "sf_db", "sf_schema",
+                    "tables", "file_mtime")
             .orderBy("file_mtime", "job_id")
             .collect()
         )
@@ -61,33 +99,16 @@ def _handler(
         events = []
         seq = batch_id * 1_000_000
         for req in requests:
-            job_id = req.job_id
-            dst_ns = None
-            start = _now_iso()
             seq += 1
-            events.append((job_id, seq, "running", start, None))
-            status = "failed"
+            events.append((req.job_id, seq, "running", _now_iso(), None))
             try:
-                src_ns = ".".join(p for p in (source_catalog, req.source_db) if p)
-                if req.job_type == TYPE_INGEST:
-                    dst_ns = target_namespace_for(req.source_db, target_catalog)
-                elif req.job_type == TYPE_MIGRATE:
-                    dst_ns = quote_name(([target_catalog] if target_catalog else []) + [req.dest_db or req.source_db])
-                else:
-                    dst_ns = None
-                if dst_ns is not None:
-                    loc = None
-                    if target_location_root:
-                        loc = f"{target_location_root.rstrip('/')}/{split_name(dst_ns)[-1]}.db"
-                    out = copy_tables(spark, src_ns, dst_ns, list(req.tables or []), target_location=loc)
-                    out = out.select(F.lit(job_id).alias("job_id"), F.lit(batch_id).cast("long").alias("batch_id"), *OUTCOME.fieldNames())
-                    outcome_frames.append(out)
-                    failed = [r for r in out.select("status").collect() if r.status != "succeeded"]
-                    status = "failed" if failed or not req.tables else "completed"
+                status, ran, out = serve(spark, req, batch_id)
             except Exception:  # noqa: BLE001 - a request failure must not stop the batch
-                status = "failed"
+                status, ran, out = "failed", True, None
+            if out is not None:
+                outcome_frames.append(out)
             seq += 1
-            events.append((job_id, seq, status, None, _now_iso() if dst_ns is not None else None))
+            events.append((req.job_id, seq, status, None, _now_iso() if ran else None))
         if outcome_frames:
             merged = outcome_frames[0]
             for f in outcome_frames[1:]:
@@ -113,9 +134,17 @@ def start_copy_request_stream(
     glob: str | None = "*.json",
     max_files_per_trigger: int = 100,
     available_now: bool = True,
+    warehouse: str | None = None,
+    manifest_table: str | None = None,
 ):
-    """Start the request stream; returns the ``StreamingQuery``."""
-    for t in (outcomes_table, events_table):
+    """Start the request stream; returns the ``StreamingQuery``.
+
+    ``warehouse`` and ``manifest_table`` enable ``register_snowflake``
+    requests: their manifest rows are appended to ``manifest_table``.
+    """
+    for t in (outcomes_table, events_table, manifest_table):
+        if not t:
+            continue
         parent = split_name(t)[:-1]
         if parent:
             ensure_namespace(spark, quote_name(parent))
@@ -126,7 +155,8 @@ def start_copy_request_stream(
     )
     writer = (
         stream.writeStream.foreachBatch(
-            _handler(outcomes_table, events_table, source_catalog, target_catalog, target_location_root)
+            _handler(outcomes_table, events_table, source_catalog, target_catalog, target_location_root,
+                     warehouse, manifest_table)
         ).option("checkpointLocation", checkpoint)
     )
     if available_now:

@@ -46,13 +46,23 @@ def test_copy_request_stream(spark, tmp, ns):
     _write(queue, "r2.json", {"job_id": "r2", "job_type": "migrate_catalogs", "source_db": ns, "dest_db": ns + "_m",
                               "tables": ["region", "missing"]})
     _write(queue, "r3.json", {"job_id": "r3", "job_type": "compact_table", "source_db": ns, "tables": ["region"]})
+    spark.range(2).write.saveAsTable(f"{ns}.pub")
+    loc = spark.sql(f"DESCRIBE EXTENDED {ns}.pub").filter("col_name = 'Location'").first()[1].replace("file:", "")
+    os.makedirs(f"{loc}/metadata")
+    for v in (1, 10, 2):
+        with open(f"{loc}/metadata/v{v}.metadata.json", "w") as f:
+            f.write("{}")
+    _write(queue, "r5.json", {"job_id": "r5", "job_type": "register_snowflake", "azure_db": ns, "sf_db": "SFDB",
+                              "sf_schema": "PUBLIC", "tables": ["pub"]})
     ckpt = f"{tmp}/ckpt"
     for run in range(2):
         if run == 1:  # the file source moves processed files one batch later
             _write(queue, "r4.json", {"job_id": "r4", "job_type": "ingest_from_hive", "source_db": ns,
                                       "tables": ["region"]})
         q = start_copy_request_stream(spark, queue, archive, ckpt, f"{ns}.outcomes", f"{ns}.events",
-                                      target_location_root=f"{tmp}/targets", max_files_per_trigger=10)
+                                      target_location_root=f"{tmp}/targets", max_files_per_trigger=10,
+                                      warehouse=os.path.dirname(os.path.dirname(loc)),
+                                      manifest_table=f"{ns}.manifest")
         q.awaitTermination()
         assert q.exception() is None
     refresh_results(spark, f"{ns}.outcomes", f"{ns}.events")
@@ -63,7 +73,10 @@ def test_copy_request_stream(spark, tmp, ns):
     from tablemove.operators.state import latest_state
     st = {r.job_id: (r.status, r.end_time is None) for r in latest_state(spark.table(f"{ns}.events")).collect()}
     assert st == {"r1": ("completed", False), "r2": ("failed", False), "r3": ("failed", True),
-                  "r4": ("completed", False)}
+                  "r4": ("completed", False), "r5": ("completed", False)}
+    spark.catalog.refreshTable(f"{ns}.manifest")
+    m = spark.table(f"{ns}.manifest").first()
+    assert (m.job_id, m.table, m.status) == ("r5", "pub", "ok") and m.metadata_path.endswith("pub/metadata/v10.metadata.json")
     assert spark.table(f"{ns}_iceberg.nation").count() == 25
     moved = [f for _, _, fs in os.walk(archive) for f in fs if f.endswith(".json")]
-    assert {"r1.json", "r2.json", "r3.json"} <= set(moved)
+    assert {"r1.json", "r2.json", "r3.json", "r5.json"} <= set(moved)
