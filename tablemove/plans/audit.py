@@ -68,6 +68,16 @@ def top_recent(report: DataFrame, n: int) -> DataFrame:
     return sorted_report(report).limit(n)
 
 
+def known_keys(spark: SparkSession, ledger: str) -> DataFrame:
+    """Distinct ``job_key`` values of the ledger (only that column is read).
+
+    ``distinct`` aggregates map-side before the shuffle, so a key repeated
+    many times crosses the network once per task; the anti-join then reuses
+    the resulting hash partitioning on its right side.
+    """
+    return spark.read.table(quote_name(ledger)).select("job_key").distinct()
+
+
 def _is_missing_path(exc: AnalysisException) -> bool:
     return (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
 
@@ -95,7 +105,7 @@ def generate_report(
         ensure_namespace(spark, quote_name(parent))
     incremental = not full_rescan and table_exists(spark, ledger)
     if incremental:
-        known = spark.read.table(quote_name(ledger)).select("job_key")
+        known = known_keys(spark, ledger)
         fresh, obs = counted(rows.join(known, "job_key", "left_anti"), "tm_audit")
         fresh.write.mode("append").saveAsTable(quote_name(ledger))
     else:
