@@ -96,7 +96,7 @@ def replace_table(
         return "create"
 
     parts = split_name(target)
-    stage = parts[:-1] + [f"{parts[-1]}__tm_stage_{uuid.uuid4().hex[:8]}"]
+    stage = parts[:-1] + [f"{parts[-1]}{STAGE_MARKER}{uuid.uuid4().hex[:8]}"]
     stage_name = join_name(*stage)
     writer = df.write.format(_provider(spark, fmt))
     if partition_by:
@@ -116,6 +116,25 @@ def replace_table(
     return "staged_swap"
 
 
+STAGE_MARKER = "__tm_stage_"
+
+
+def cleanup_staging(spark: SparkSession, namespace: str) -> list[str]:
+    """Drop staging tables left behind by an interrupted replace; returns their names.
+
+    Only call this when no replace into ``namespace`` is running: a staging
+    table of a running copy is indistinguishable from a leftover one.
+    """
+    from .catalog import list_tables
+
+    dropped = []
+    for r in list_tables(spark, namespace).filter(F.col("tableName").contains(STAGE_MARKER)).collect():
+        name = quote_name(split_name(namespace) + [r.tableName])
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        dropped.append(r.tableName)
+    return dropped
+
+
 def create_table(
     df: DataFrame,
     target: str,

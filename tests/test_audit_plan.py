@@ -140,3 +140,20 @@ def test_export_writer_names(spark, tmp, ns):
     rep = P.generate_report(spark, arch, f"{ns}.ledger").report
     w = P.export_writer(rep, "jdbc:none://x", database="sfdb", schema="public")
     assert w is not None  # configured, not executed: no database is started in tests
+
+
+def test_mixed_end_time_formats_parse_per_value(spark, tmp, ns):
+    """Each End Time is parsed on its own: mixed formats do not null each other out."""
+    arch = f"{tmp}/archive"
+    _write_jobs(arch, [
+        _job(1, end="2024-01-01T00:00:05Z"),
+        _job(2, end="2024-01-01 00:00:06"),
+        _job(3, end="2024-01-01T00:00:07.5+00:00"),
+        _job(4, end="2024-01-01T02:00:08+02:00"),
+    ])
+    P.generate_report(spark, arch, f"{ns}.ledger")
+    _write_jobs(arch, [_job(5, end="2024-01-01T00:00:09.123456Z")])
+    rep = P.generate_report(spark, arch, f"{ns}.ledger").report
+    got = {r["Job ID"]: (r["End Time (UTC)"] is not None, r["Duration (s)"]) for r in rep.collect()}
+    assert got == {"id-0001": (True, "5.00"), "id-0002": (True, "6.00"), "id-0003": (True, "7.50"),
+                   "id-0004": (True, "8.00"), "id-0005": (True, "9.12")}

@@ -123,3 +123,20 @@ def test_parallel_copies_keep_order(spark, src, tmp):
                       target_location=f"{tmp}/par")
     assert [(r.position, r.table, r.status) for r in out.collect()] == [
         (1, "region", "succeeded"), (2, "nation", "succeeded"), (3, "orders", "succeeded")]
+
+
+def test_cleanup_staging(spark, ns):
+    from tablemove.operators.write import cleanup_staging
+
+    spark.range(3).write.saveAsTable(f"{ns}.t__tm_stage_deadbeef")
+    spark.range(3).write.saveAsTable(f"{ns}.keep")
+    assert cleanup_staging(spark, ns) == ["t__tm_stage_deadbeef"]
+    assert [r.tableName for r in list_tables(spark, ns).collect()] == ["keep"]
+
+
+def test_job_status_is_worst_of_tables(spark, src, tmp):
+    from tablemove.plans.copy import job_status
+
+    ok = copy_tables(spark, src, src + "_j1", ["region"], target_location=f"{tmp}/j1")
+    bad = copy_tables(spark, src, src + "_j2", ["region", "nope"], target_location=f"{tmp}/j2")
+    assert (job_status(ok), job_status(bad)) == ("completed", "failed")
