@@ -100,6 +100,12 @@ def iso_timestamp(c: Column) -> Column:
     return F.timestamp_micros(iso_micros(c))
 
 
+def utc_now_iso() -> Column:
+    """Current time as ISO-8601 text in UTC with a ``Z`` suffix (any session zone)."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
 def _blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
