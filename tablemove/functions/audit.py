@@ -110,6 +110,34 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+# Steps of the exact ``'%.2f'`` rendering of ``micros / 1e6`` (see
+# :func:`seconds_text`); each step names its inputs as columns so the steps
+# can run as successive projections, computing every intermediate once.
+_SEC_STEPS = [
+    ("_a", lambda c: F.abs(c("_d"))),
+    ("_cf", lambda c: F.floor(c("_a") / F.lit(10000)).cast("long")),
+    ("_rem", lambda c: F.pmod(c("_a"), F.lit(10000))),
+    ("_n", lambda c: F.floor(c("_a") / F.lit(5000)).cast("long")),  # odd when _rem == 5000
+    ("_sh", lambda c: F.lit(61) - F.length(F.bin(c("_n")))),
+    # Powers of two are exact doubles, and n * 2**k and fmod on them are
+    # exact too, so these comparisons and remainders carry no rounding.
+    ("_s", lambda c: F.when((c("_n").cast("double") * F.pow(F.lit(2.0), c("_sh"))) < F.lit(float(200 * 2**53)),
+                            c("_sh")).otherwise(c("_sh") - 1)),
+    # (n * 2**s) mod 200 == ((n mod 200) * (2**s mod 200)) mod 200
+    ("_frac", lambda c: F.pmod(F.pmod(c("_n"), F.lit(200))
+                               * F.pmod(F.pow(F.lit(2.0), c("_s")), F.lit(200.0)).cast("long"), F.lit(200))),
+    ("_up", lambda c: (c("_rem") > 5000) | ((c("_rem") == 5000) & (
+        (c("_frac") > 100) | ((c("_frac") == 0) & (F.pmod(c("_cf"), F.lit(2)) == 1))))),
+    ("_cents", lambda c: c("_cf") + F.when(c("_up"), 1).otherwise(0)),
+]
+_SEC_TEXT = lambda c: F.concat(
+    F.when(c("_d") < 0, "-").otherwise(""),
+    F.floor(c("_cents") / F.lit(100)).cast("long").cast("string"),
+    F.lit("."),
+    F.lpad(F.pmod(c("_cents"), F.lit(100)).cast("string"), 2, "0"),
+)
+
+
 def seconds_text(micros: Column) -> Column:
     """``'%.2f'`` of ``micros / 1e6`` exactly as Python formats the double.
 
@@ -119,27 +147,23 @@ def seconds_text(micros: Column) -> Column:
     is computed with integer arithmetic: for ``T = n / 200`` (``n`` odd) the
     double is ``round(n * 2**s / 200) / 2**s`` with ``s`` such that the
     quotient has 53 bits, so it lies above ``T`` iff ``(n * 2**s) mod 200 > 100``.
+
+    This single-expression form inlines every step; :func:`with_seconds_text`
+    computes the same steps as successive projections (smaller code).
     """
-    a = F.abs(micros)
-    cents_floor = F.floor(a / F.lit(10000)).cast("long")
-    rem = F.pmod(a, F.lit(10000))
-    n = F.floor(a / F.lit(5000)).cast("long")  # odd when rem == 5000
-    bits = F.length(F.bin(n))
-    s_hi = F.lit(61) - bits
-    # Powers of two are exact doubles, and n * 2**k and fmod on them are
-    # exact too, so these comparisons and remainders carry no rounding.
-    fits = (n.cast("double") * F.pow(F.lit(2.0), s_hi)) < F.lit(float(200 * 2**53))
-    s = F.when(fits, s_hi).otherwise(s_hi - 1)
-    # (n * 2**s) mod 200 == ((n mod 200) * (2**s mod 200)) mod 200
-    two_s_mod = F.pmod(F.pow(F.lit(2.0), s), F.lit(200.0)).cast("long")
-    frac = F.pmod(F.pmod(n, F.lit(200)) * two_s_mod, F.lit(200))
-    tie_up = F.when(frac > 100, True).when(frac == 0, F.pmod(cents_floor, F.lit(2)) == 1).otherwise(False)
-    up = F.when(rem > 5000, True).when(rem < 5000, False).otherwise(tie_up)
-    cents = cents_floor + F.when(up, 1).otherwise(0)
-    whole = F.floor(cents / F.lit(100)).cast("long")
-    frac_txt = F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0")
-    sign = F.when(micros < 0, "-").otherwise("")
-    return F.concat(sign, whole.cast("string"), F.lit("."), frac_txt)
+    env: dict[str, Column] = {"_d": micros}
+    for name, step in _SEC_STEPS:
+        env[name] = step(env.__getitem__)
+    return _SEC_TEXT(env.__getitem__)
+
+
+def with_seconds_text(df: DataFrame, micros: str, out: str) -> DataFrame:
+    """Add column ``out`` = :func:`seconds_text` of column ``micros``, step by step."""
+    keep = [F.col(quote_col) for quote_col in (f"`{c}`" for c in df.columns)]
+    cur = df.select(*keep, F.col(micros).alias("_d"))
+    for name, step in _SEC_STEPS:
+        cur = cur.withColumn(name, step(F.col))
+    return cur.select(*keep, _SEC_TEXT(F.col).alias(out))
 
 
 def duration_from_micros(start: Column, end: Column, s_us: Column, e_us: Column) -> Column:
@@ -174,8 +198,10 @@ def details(
     tables: Column,
     register_flag: Column,
     chained_from: Column,
+    tables_joined: bool = False,
 ) -> Column:
-    t = tables_text(tables)
+    """Per-type detail text; ``tables`` is the array, or its joined text if ``tables_joined``."""
+    t = tables if tables_joined else tables_text(tables)
     ingest = F.concat(F.lit("Source DB: "), _text(source_db), F.lit(", Tables: "), t)
     migrate = F.concat(
         F.lit("From: "), _text(source_db), F.lit(" To: "), _text(dest_db), F.lit(", Tables: "), t,
@@ -223,17 +249,24 @@ def audit_frame(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
         *[c(n) for n in _JOB_INPUTS + list(keep or [])],
         iso_micros(c("start_time")).alias("_s_us"),
         iso_micros(c("end_time")).alias("_e_us"),
+        tables_text(c("tables")).alias("_tables_txt"),
     )
+    parsed = with_seconds_text(parsed.withColumn("_d_us", c("_e_us") - c("_s_us")), "_d_us", "_secs")
     return parsed.select(
         F.coalesce(c("job_id"), F.lit(MISSING_ID)).alias("Job ID"),
         job_type_display(c("job_type")).alias("Job Type"),
         status_display(c("status")).alias("Status"),
         c("start_time").alias("Start Time (UTC)"),
         F.timestamp_micros(c("_e_us")).alias("End Time (UTC)"),
-        duration_from_micros(c("start_time"), c("end_time"), c("_s_us"), c("_e_us")).alias("Duration (s)"),
+        (
+            F.when(_blank(c("start_time")) | _blank(c("end_time")), F.lit(DURATION_MISSING))
+            .when(c("_s_us").isNull() | c("_e_us").isNull(), F.lit(DURATION_ERROR))
+            .otherwise(c("_secs"))
+        ).alias("Duration (s)"),
         details(
             c("job_type"), c("source_db"), c("dest_db"), c("azure_db"), c("sf_db"),
-            c("sf_schema"), c("tables"), c("register_on_snowflake"), c("chained_from"),
+            c("sf_schema"), c("_tables_txt"), c("register_on_snowflake"), c("chained_from"),
+            tables_joined=True,
         ).alias("Details"),
         *[c(n) for n in (keep or [])],
     )

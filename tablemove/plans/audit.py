@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
 from ..operators.write import counted, ensure_namespace, replace_table, table_exists
+from ..sources.files import list_files
 from ..sources.jobs import read_job_records
 
 # Status messages of a report run.
@@ -78,6 +79,26 @@ def known_keys(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.table(quote_name(ledger)).select("job_key").distinct()
 
 
+# Above this many unseen archive files, scan the whole archive instead of
+# naming files one by one (both are exact; the key anti-join dedups).
+MAX_LISTED_NEW_FILES = 200_000
+
+
+def unseen_files(spark: SparkSession, archive: str, ledger: str, glob: str | None) -> list[str] | None:
+    """Archive files not yet in the ledger, or ``None`` to scan everything.
+
+    The archive is listed (paths only, contents not read) and anti-joined
+    with the ledger's ``source_file`` column, so only new files are parsed,
+    as a run that skips known job files would. Files are assumed immutable
+    once written; the later key anti-join keeps the result exact anyway.
+    """
+    listing = list_files(spark, archive, glob_filter=glob).select("path")
+    seen = spark.read.table(quote_name(ledger)).select(F.col("source_file").alias("path")).distinct()
+    new = listing.join(seen, "path", "left_anti").limit(MAX_LISTED_NEW_FILES + 1)
+    paths = [r.path for r in new.collect()]
+    return None if len(paths) > MAX_LISTED_NEW_FILES else paths
+
+
 def _is_missing_path(exc: AnalysisException) -> bool:
     return (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
 
@@ -99,11 +120,19 @@ def generate_report(
         if _is_missing_path(exc):
             return AuditResult(None, MSG_NO_ARCHIVE, 0)
         raise
-    rows = audit_rows(records)
     parent = split_name(ledger)[:-1]
     if parent:
         ensure_namespace(spark, quote_name(parent))
     incremental = not full_rescan and table_exists(spark, ledger)
+    if incremental:
+        paths = unseen_files(spark, archive, ledger, glob)
+        if paths is not None:
+            if paths:
+                records, rejects = read_job_records(spark, paths, multi_line=multi_line, glob=None)
+            else:
+                records = records.limit(0)
+                rejects = rejects.limit(0)
+    rows = audit_rows(records)
     if incremental:
         known = known_keys(spark, ledger)
         fresh, obs = counted(rows.join(known, "job_key", "left_anti"), "tm_audit")

@@ -50,7 +50,7 @@ def with_file_columns(df: DataFrame) -> DataFrame:
 
 def read_job_records(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     multi_line: bool = True,
     glob: str | None = "*.json",
 ) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +67,7 @@ def read_job_records(
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = with_file_columns(reader.json(path))
+    raw = with_file_columns(reader.json(path if isinstance(path, str) else list(path)))
     records = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     # The second, always-true term keeps a data column in the scan: Spark
     # refuses raw JSON scans whose only column is the corrupt-record column,

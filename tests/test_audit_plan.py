@@ -157,3 +157,18 @@ def test_mixed_end_time_formats_parse_per_value(spark, tmp, ns):
     got = {r["Job ID"]: (r["End Time (UTC)"] is not None, r["Duration (s)"]) for r in rep.collect()}
     assert got == {"id-0001": (True, "5.00"), "id-0002": (True, "6.00"), "id-0003": (True, "7.50"),
                    "id-0004": (True, "8.00"), "id-0005": (True, "9.12")}
+
+
+def test_incremental_parses_only_unseen_files(spark, tmp, ns):
+    """Known files are skipped before parsing (like skipping known job files)."""
+    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
+    _write_jobs(arch, [_job(1), _job(2)])
+    P.generate_report(spark, arch, ledger)
+    with open(f"{arch}/id-0001.json", "w") as f:  # rewritten in place: not re-read
+        json.dump(_job(99), f)
+    _write_jobs(arch, [_job(3)])
+    res = P.generate_report(spark, arch, ledger)
+    assert res.new_jobs == 1 and res.message == "Report updated with 1 new job(s)."
+    assert sorted(r["Job ID"] for r in res.report.collect()) == ["id-0001", "id-0002", "id-0003"]
+    paths = P.unseen_files(spark, arch, ledger, "*.json")
+    assert paths == []
