@@ -51,9 +51,12 @@ def job_board(
     logs: str | DataFrame | None = None,
     multi_line: bool = True,
     glob: str | None = "*.json",
+    top: int | None = None,
 ) -> DataFrame | None:
     """Queued + archived jobs, newest file first, with log text; ``None`` if no folder exists.
 
+    ``top`` keeps only the newest ``top`` jobs (a top-k, not a full sort).
+
     ``logs`` is a folder of log files (see :func:`read_logs`) or a frame
     ``(job_id, log)``, e.g. a log table; one file per job is simple but
     costs a file open per job, a table does not.
@@ -93,4 +96,5 @@ def job_board(
     board = board.withColumn("has_log", F.col("log").isNotNull()).withColumn(
         "log", F.coalesce(F.col("log"), F.lit(LOG_MISSING))
     )
-    return board.orderBy(F.col("file_mtime").desc(), F.col("job_id"))
+    ordered = board.orderBy(F.col("file_mtime").desc(), F.col("job_id"))
+    return ordered.limit(top) if top else ordered

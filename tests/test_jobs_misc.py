@@ -62,3 +62,14 @@ def test_job_board_with_log_files(spark, tmp):
     assert (rows[1].state, rows[1].status_display, rows[1].job_type_display, rows[1].log) == (
         "archived", "FAILED", "Migrate Catalogs", "line 1\nline 2\n")
     assert job_board(spark, f"{tmp}/x", f"{tmp}/y") is None
+
+
+def test_job_board_top(spark, tmp):
+    a = os.path.join(tmp, "archive")
+    os.makedirs(a)
+    for i in range(5):
+        with open(f"{a}/j{i}.json", "w") as f:
+            json.dump({"job_id": f"j{i}", "job_type": "ingest_from_hive", "status": "completed"}, f)
+        os.utime(f"{a}/j{i}.json", (1_000_000_000 + i, 1_000_000_000 + i))
+    rows = job_board(spark, f"{tmp}/none", a, top=2).collect()
+    assert [r.job_id for r in rows] == ["j4", "j3"]
