@@ -343,11 +343,10 @@ def q_job_latest_state(spark, sf_dir):
 PUBLISH_WAREHOUSE = "hdfs://namenode/warehouse"
 
 
-def q_publish_manifest(spark, sf_dir):
+def manifest_from_records(jobs: DataFrame) -> DataFrame:
     """Migrations write metadata versions; registration jobs name the tables to publish."""
     from tablemove.plans.publish import build_manifest
 
-    jobs = _archived_records(spark, sf_dir)
     n = (F.substring("job_id", 5, 100).cast("long") + 1).cast("string")
     name = (
         F.when(F.col("status") == "completed", F.concat(F.lit("v"), n, F.lit(".metadata.json")))
@@ -368,6 +367,10 @@ def q_publish_manifest(spark, sf_dir):
     return build_manifest(files, tables, PUBLISH_WAREHOUSE)
 
 
+def q_publish_manifest(spark, sf_dir):
+    return manifest_from_records(_archived_records(spark, sf_dir))
+
+
 def q_audit_stream(spark, sf_dir):
     from tablemove.streaming.audit_stream import run_audit_stream
 
