@@ -120,9 +120,14 @@ def copy_tables(
     verify: bool = False,
     parallelism: int = 1,
     target_location: str | None = None,
+    scheduler_pool: str | None = None,
 ) -> DataFrame:
     """Copy ``tables`` from one namespace to another; one outcome row each.
 
+    ``scheduler_pool`` names a scheduler pool for the copy jobs (with
+    ``spark.scheduler.mode=FAIR`` concurrent copies then share executors
+    fairly instead of first-come first-served).
+
     ``target_namespace`` defaults to the source namespace name (useful when
     only the catalog differs: ``cat_a.db`` -> ``cat_b.db``). Names may carry a
     catalog: ``copy_tables(spark, "src_cat.sales", "dst_cat.sales", [...])``.
@@ -133,6 +138,8 @@ def copy_tables(
 
     def run(pos_table: tuple[int, str]) -> tuple:
         pos, table = pos_table
+        if scheduler_pool:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", scheduler_pool)
         src = split_name(source_namespace) + [table]
         dst = split_name(target_namespace) + [table]
         r = _copy_one(spark, quote_name(src), quote_name(dst), mode, fmt, keep_partitioning, verify)

@@ -45,6 +45,7 @@ def ingest_tables(
     verify: bool = False,
     parallelism: int = 1,
     target_location: str | None = None,
+    scheduler_pool: str | None = None,
 ) -> DataFrame:
     """Copy session tables of ``database`` into the target namespace.
 
@@ -70,6 +71,7 @@ def ingest_tables(
         verify=verify,
         parallelism=parallelism,
         target_location=target_location,
+        scheduler_pool=scheduler_pool,
     )
 
 

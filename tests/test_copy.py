@@ -120,7 +120,7 @@ def test_csv_single_file_vs_directory(spark, tmp, ns):
 
 def test_parallel_copies_keep_order(spark, src, tmp):
     out = copy_tables(spark, src, src + "_par", ["region", "nation", "orders"], parallelism=3,
-                      target_location=f"{tmp}/par")
+                      target_location=f"{tmp}/par", scheduler_pool="copies")
     assert [(r.position, r.table, r.status) for r in out.collect()] == [
         (1, "region", "succeeded"), (2, "nation", "succeeded"), (3, "orders", "succeeded")]
 
@@ -140,3 +140,22 @@ def test_job_status_is_worst_of_tables(spark, src, tmp):
     ok = copy_tables(spark, src, src + "_j1", ["region"], target_location=f"{tmp}/j1")
     bad = copy_tables(spark, src, src + "_j2", ["region", "nope"], target_location=f"{tmp}/j2")
     assert (job_status(ok), job_status(bad)) == ("completed", "failed")
+
+
+def test_catalog_reads(spark, src, ns):
+    from tablemove.operators.catalog import list_namespaces, preview, table_location, table_properties
+    from tablemove.plans.ingest import ingest_table
+
+    assert src in [r.namespace for r in list_namespaces(spark).collect()]
+    r = ingest_table(spark, f"{src}.region", f"{ns}.region_one", verify=True)
+    assert (r.status, r.rows, r.verified) == ("succeeded", 5, True)
+    assert preview(spark, f"{ns}.region_one", 3).count() == 3
+    assert table_location(spark, f"{ns}.region_one").endswith("region_one")
+    assert "key" in table_properties(spark, f"{ns}.region_one").columns
+
+
+def test_copy_table_verify_and_outcome_names(spark, src, ns):
+    r = copy_table(spark, f"{src}.nation", f"{ns}.nation_v", mode="replace", verify=True)
+    assert (r.rows, r.verified, r.strategy) == (25, True, "create")
+    out = copy_tables(spark, src, ns + "_o", ["nation"]).first()
+    assert (out.source, out.target) == (f"{src}.nation", f"{ns}_o.nation")
