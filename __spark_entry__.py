@@ -466,6 +466,17 @@ def q_ingest_all_verified(spark, sf_dir):
     return out.select("position", "table", "status", "rows", "verified")
 
 
+def q_reconcile_tables(spark, sf_dir):
+    """Check earlier copies after the fact; one table was never copied."""
+    from tablemove.operators.reconcile import reconcile_tables
+
+    names = ["customer", "part", "orders", "lineitem"]
+    src = _source_namespace(spark, sf_dir, names + ["supplier"])
+    dst, loc = _target_namespace(spark)
+    copy_tables(spark, src, dst, names, target_location=loc, parallelism=2)
+    return reconcile_tables(spark, src, dst, names + ["supplier"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_orders": q_ingest_orders,
     "ingest_lineitem": q_ingest_lineitem,
@@ -496,6 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_rejects": q_audit_rejects,
     "copy_keep_partitioning": q_copy_keep_partitioning,
     "ingest_all_verified": q_ingest_all_verified,
+    "reconcile_tables": q_reconcile_tables,
 }
 
 
@@ -683,6 +695,12 @@ _ORACLE["copy_request_stream"] = " UNION ALL ".join(
 ) + " UNION ALL SELECT 'req-unknown', 'failed', NULL, NULL, NULL"
 
 
+_ORACLE["reconcile_tables"] = " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", count(*) AS source_rows, count(*) AS target_rows, true AS matched FROM {t}"""
+    for t in ["customer", "part", "orders", "lineitem"]
+) + """ UNION ALL SELECT 'supplier', count(*), NULL, false FROM supplier"""
+
+
 # --------------------------------------------------------------------------- contract
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: ingest ``orders`` from a session namespace and read it back."""

@@ -11,7 +11,9 @@ sorted entry arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,3 +61,50 @@ def compare(source: DataFrame, target: DataFrame) -> dict:
         "target_hash": t["hash_sum"],
         "matched": s["rows"] == t["rows"] and s["hash_sum"] == t["hash_sum"],
     }
+
+
+def reconcile_tables(
+    spark: SparkSession,
+    source_namespace: str,
+    target_namespace: str,
+    tables: Sequence[str],
+) -> DataFrame:
+    """Compare existing copies: ``(table, source_rows, target_rows, matched)``.
+
+    All fingerprints are single-row aggregates unioned into one frame, so
+    the tables are scanned in one Spark job (each scan partially
+    aggregated, nothing but one row per side shuffled). A table missing on
+    either side yields ``matched = false`` with null counts for that side.
+    """
+    from ..functions.identifiers import split_name
+
+    def side(ns: str, t: str, label: str) -> DataFrame | None:
+        name = quote_name(split_name(ns) + [t])
+        if not spark.catalog.tableExists(name):
+            return None
+        return fingerprint(spark.read.table(name)).select(
+            F.lit(t).alias("table"), F.lit(label).alias("side"), "rows", "hash_sum"
+        )
+
+    parts = [p for t in dict.fromkeys(tables) for p in (side(source_namespace, t, "source"),
+                                                         side(target_namespace, t, "target")) if p is not None]
+    names = spark.createDataFrame([(t,) for t in dict.fromkeys(tables)], "table string")
+    if not parts:
+        return names.select("table", F.lit(None).cast("long").alias("source_rows"),
+                            F.lit(None).cast("long").alias("target_rows"), F.lit(False).alias("matched"))
+    fp = parts[0]
+    for p in parts[1:]:
+        fp = fp.unionByName(p)
+    wide = fp.groupBy("table").pivot("side", ["source", "target"]).agg(
+        F.first("rows").alias("rows"), F.first("hash_sum").alias("hash")
+    )
+    out = names.join(wide, "table", "left")
+    return out.select(
+        "table",
+        F.col("source_rows").alias("source_rows"),
+        F.col("target_rows").alias("target_rows"),
+        F.coalesce(
+            (F.col("source_rows") == F.col("target_rows")) & (F.col("source_hash") == F.col("target_hash")),
+            F.lit(False),
+        ).alias("matched"),
+    )

@@ -159,3 +159,14 @@ def test_copy_table_verify_and_outcome_names(spark, src, ns):
     assert (r.rows, r.verified, r.strategy) == (25, True, "create")
     out = copy_tables(spark, src, ns + "_o", ["nation"]).first()
     assert (out.source, out.target) == (f"{src}.nation", f"{ns}_o.nation")
+
+
+def test_reconcile_tables_detects_changed_copy(spark, src, ns):
+    from tablemove.operators.reconcile import reconcile_tables
+
+    dst = ns + "_r"
+    copy_tables(spark, src, dst, ["region", "nation"])
+    spark.sql(f"INSERT INTO {dst}.nation SELECT * FROM {dst}.nation LIMIT 1")  # an extra row
+    got = {r.table: (r.source_rows, r.target_rows, r.matched)
+           for r in reconcile_tables(spark, src, dst, ["region", "nation", "orders"]).collect()}
+    assert got == {"region": (5, 5, True), "nation": (25, 26, False), "orders": (1500, None, False)}
