@@ -57,6 +57,7 @@ def _parser() -> argparse.ArgumentParser:
     aud.add_argument("--full-rescan", action="store_true")
     aud.add_argument("--json-lines", action="store_true", help="archive holds JSON lines, not one object per file")
     aud.add_argument("--csv", help="also export the report as CSV to this folder")
+    aud.add_argument("--compact", action="store_true", help="rewrite the ledger into few large files afterwards")
 
     ch = sub.add_parser("chain", help="queue registration records for finished flagged copies")
     ch.add_argument("--archive", required=True)
@@ -110,7 +111,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             spark.createDataFrame(rows, manifest.schema).write.mode("append").saveAsTable(args.output_table)
         failed = any(r.status != "ok" for r in rows)
     elif args.command == "audit":
-        from .plans.audit import generate_report, write_report_csv
+        from .plans.audit import compact_ledger, generate_report, write_report_csv
 
         res = generate_report(spark, args.archive, args.ledger, full_rescan=args.full_rescan,
                               multi_line=not args.json_lines)
@@ -119,6 +120,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             res.report.show(args.show, truncate=False)
             if args.csv:
                 write_report_csv(res.report, args.csv)
+            if args.compact:
+                print("ledger files after compaction:", compact_ledger(spark, args.ledger))
         failed = res.report is None and res.message != "No completed jobs found to report."
     elif args.command == "chain":
         from .plans.chain import chain_registrations

@@ -148,6 +148,21 @@ def generate_report(
     return AuditResult(sorted_report(report_view(ledger_df)), message, new_jobs, rejects)
 
 
+def compact_ledger(spark: SparkSession, ledger: str, rows_per_file: int = 2_000_000) -> int:
+    """Rewrite the ledger into about ``rows / rows_per_file`` files; returns the file count.
+
+    Incremental runs append a few small files each; compaction reads the
+    ledger once and writes it back through the staged swap (the old table
+    stays until the new one is written). ``coalesce`` merges partitions
+    without a shuffle.
+    """
+    df = spark.read.table(quote_name(ledger))
+    n = max(1, -(-df.count() // rows_per_file))
+    replace_table(df.coalesce(n), ledger)
+    spark.catalog.refreshTable(quote_name(ledger))
+    return len(spark.read.table(quote_name(ledger)).inputFiles())
+
+
 def filter_report(
     report: DataFrame,
     job_types: Sequence[str] | None = None,

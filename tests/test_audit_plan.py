@@ -172,3 +172,16 @@ def test_incremental_parses_only_unseen_files(spark, tmp, ns):
     assert sorted(r["Job ID"] for r in res.report.collect()) == ["id-0001", "id-0002", "id-0003"]
     paths = P.unseen_files(spark, arch, ledger, "*.json")
     assert paths == []
+
+
+def test_compact_ledger(spark, tmp, ns):
+    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
+    for i in range(4):
+        _write_jobs(arch, [_job(i)])
+        P.generate_report(spark, arch, ledger)
+    before = _rows(P.report_view(spark.table(ledger)))
+    assert len(spark.table(ledger).inputFiles()) >= 4
+    assert P.compact_ledger(spark, ledger) == 1
+    assert _rows(P.report_view(spark.table(ledger))) == before
+    _write_jobs(arch, [_job(9)])
+    assert P.generate_report(spark, arch, ledger).new_jobs == 1  # still incremental after compaction

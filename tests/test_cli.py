@@ -29,8 +29,9 @@ def test_audit_and_chain_commands(spark, ns, tmp, capsys):
         json.dump(job, f, indent=4)
     assert run(["audit", "--archive", arch, "--ledger", f"{ns}.ledger", "--csv", f"{tmp}/csv"], spark) == 0
     assert "Report updated with 1 new job(s)." in capsys.readouterr().out
-    assert run(["audit", "--archive", arch, "--ledger", f"{ns}.ledger"], spark) == 0
-    assert "Audit report is already up-to-date." in capsys.readouterr().out
+    assert run(["audit", "--archive", arch, "--ledger", f"{ns}.ledger", "--compact"], spark) == 0
+    out = capsys.readouterr().out
+    assert "Audit report is already up-to-date." in out and "ledger files after compaction: 1" in out
     assert run(["chain", "--archive", arch, "--queue", f"{tmp}/queue"], spark) == 0
     assert run(["chain", "--archive", arch, "--queue", f"{tmp}/queue"], spark) == 0  # no duplicate
     queued = spark.read.json(f"{tmp}/queue").collect()
