@@ -17,7 +17,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemove.functions.audit import REPORT_COLUMNS
 from tablemove.functions.identifiers import quote_name
 from tablemove.operators.catalog import list_tables
 from tablemove.operators.select import select_tables
