@@ -465,6 +465,16 @@ def q_ingest_all_verified(spark, sf_dir):
     return out.select("position", "table", "status", "rows", "verified")
 
 
+def q_audit_csv_roundtrip(spark, sf_dir):
+    """Report exported as CSV, then imported as a new ledger: values unchanged."""
+    report = _audit_report(spark, sf_dir)
+    csv_dir = scratch_path(spark, "report-csv")
+    audit_plan.write_report_csv(report, csv_dir)
+    ledger = _ledger_name(spark)
+    audit_plan.import_report_csv(spark, csv_dir, ledger)
+    return _for_compare(audit_plan.report_view(spark.read.table(ledger)))
+
+
 def q_reconcile_tables(spark, sf_dir):
     """Check earlier copies after the fact; one table was never copied."""
     from tablemove.operators.reconcile import reconcile_tables
@@ -507,6 +517,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "copy_keep_partitioning": q_copy_keep_partitioning,
     "ingest_all_verified": q_ingest_all_verified,
     "reconcile_tables": q_reconcile_tables,
+    "audit_csv_roundtrip": q_audit_csv_roundtrip,
 }
 
 
@@ -694,6 +705,8 @@ _ORACLE["copy_request_stream"] = " UNION ALL ".join(
 ) + " UNION ALL SELECT 'req-unknown', 'failed', NULL, NULL, NULL"
 
 
+_ORACLE["audit_csv_roundtrip"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
+
 _ORACLE["reconcile_tables"] = " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", count(*) AS source_rows, count(*) AS target_rows, true AS matched FROM {t}"""
     for t in ["customer", "part", "orders", "lineitem"]

@@ -185,8 +185,18 @@ def filter_values(report: DataFrame) -> DataFrame:
 
 
 def write_report_csv(report: DataFrame, path: str) -> None:
-    """CSV export with header (directory of part files, full overwrite)."""
-    report.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export with header (directory of part files, full overwrite).
+
+    Timestamps are written with microseconds and an explicit offset (the
+    default CSV format keeps milliseconds only), so an import reads back
+    the same instants.
+    """
+    (
+        report.write.mode("overwrite")
+        .option("header", True)
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        .csv(path)
+    )
 
 
 AUDIT_CSV_SCHEMA = T.StructType(
@@ -197,9 +207,17 @@ AUDIT_CSV_SCHEMA = T.StructType(
 def import_report_csv(spark: SparkSession, csv_path: str, ledger: str) -> int:
     """Seed a ledger from an earlier CSV report; returns rows imported.
 
-    Every column is read as text (no re-inference), End Time parsed per value.
+    Every column is read as text (no re-inference), End Time parsed per value;
+    empty strings stay empty strings (no NaN/null drift).
     """
-    df = spark.read.option("header", True).schema(AUDIT_CSV_SCHEMA).csv(csv_path)
+    # Spark writes '' as a quoted "" and null as a bare empty field; with no
+    # null marker that can occur in the data, the two read back apart.
+    df = (
+        spark.read.option("header", True)
+        .option("nullValue", "\u0000")
+        .schema(AUDIT_CSV_SCHEMA)
+        .csv(csv_path)
+    )
     rows = df.select(
         *[F.col(quote_name([c])) for c in REPORT_COLUMNS if c != "End Time (UTC)"],
         iso_timestamp(F.regexp_replace(F.col("`End Time (UTC)`"), r"\+00:00$", "Z")).alias("End Time (UTC)"),

@@ -185,3 +185,17 @@ def test_compact_ledger(spark, tmp, ns):
     assert _rows(P.report_view(spark.table(ledger))) == before
     _write_jobs(arch, [_job(9)])
     assert P.generate_report(spark, arch, ledger).new_jobs == 1  # still incremental after compaction
+
+
+def test_csv_round_trip_keeps_empty_and_null_apart(spark, tmp, ns):
+    arch = f"{tmp}/archive"
+    no_start = _job(2, job_type="export_audit_to_snowflake")
+    del no_start["start_time"]
+    _write_jobs(arch, [_job(1, end="2024-01-01T00:00:00.123456Z"), no_start])
+    rep = P.generate_report(spark, arch, f"{ns}.ledger").report
+    P.write_report_csv(rep, f"{tmp}/csv")
+    P.import_report_csv(spark, f"{tmp}/csv", f"{ns}.imported")
+    back = {r["Job ID"]: r for r in P.report_view(spark.table(f"{ns}.imported")).collect()}
+    assert back["id-0002"]["Details"] == "" and back["id-0002"]["Start Time (UTC)"] is None
+    assert back["id-0002"]["Duration (s)"] == "N/A"
+    assert back["id-0001"]["End Time (UTC)"].microsecond == 123456
