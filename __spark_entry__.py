@@ -475,6 +475,20 @@ def q_audit_csv_roundtrip(spark, sf_dir):
     return _for_compare(audit_plan.report_view(spark.read.table(ledger)))
 
 
+def q_audit_compacted(spark, sf_dir):
+    """Ledger built by two incremental runs, then compacted; the report is unchanged."""
+    ensure_checkpoint_dir(spark)
+    jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    kind = F.col("job_type").isin("ingest_from_hive", "migrate_catalogs")
+    archive, ledger = scratch_path(spark, "archive"), _ledger_name(spark)
+    write_job_records(jobs.filter(kind), archive)
+    audit_plan.generate_report(spark, archive, ledger, multi_line=False)
+    write_job_records(jobs.filter(~kind), archive)
+    audit_plan.generate_report(spark, archive, ledger, multi_line=False)
+    audit_plan.compact_ledger(spark, ledger)
+    return _for_compare(audit_plan.report_view(spark.read.table(ledger)))
+
+
 def q_reconcile_tables(spark, sf_dir):
     """Check earlier copies after the fact; one table was never copied."""
     from tablemove.operators.reconcile import reconcile_tables
@@ -518,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_all_verified": q_ingest_all_verified,
     "reconcile_tables": q_reconcile_tables,
     "audit_csv_roundtrip": q_audit_csv_roundtrip,
+    "audit_compacted": q_audit_compacted,
 }
 
 
@@ -706,6 +721,7 @@ _ORACLE["copy_request_stream"] = " UNION ALL ".join(
 
 
 _ORACLE["audit_csv_roundtrip"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
+_ORACLE["audit_compacted"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
 
 _ORACLE["reconcile_tables"] = " UNION ALL ".join(
     f"""SELECT '{t}' AS "table", count(*) AS source_rows, count(*) AS target_rows, true AS matched FROM {t}"""
