@@ -79,6 +79,31 @@ def known_keys(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.table(quote_name(ledger)).select("job_key").distinct()
 
 
+# Up to this many distinct new keys, the increment's keys are broadcast to
+# the ledger scan instead of shuffling the ledger's keys (checked count).
+MAX_BROADCAST_NEW_KEYS = 1_000_000
+
+
+def unseen_rows(spark: SparkSession, rows: DataFrame, ledger: str) -> DataFrame:
+    """``rows`` whose ``job_key`` is not in the ledger.
+
+    An increment is usually far smaller than the ledger, but a left-anti
+    join can only broadcast its right (ledger) side. So the increment's
+    distinct keys are counted first (a job over the new rows only); within
+    the bound they are broadcast into a semi-join over the ledger's key
+    column (no ledger shuffle), the hits are de-duplicated (so a key
+    repeated throughout the ledger still yields one row, the result is
+    bounded by the checked count) and then broadcast into the anti-join.
+    Beyond the bound, a plain shuffle anti-join on the ledger's distinct keys.
+    """
+    new_keys = rows.select("job_key").distinct()
+    if new_keys.count() <= MAX_BROADCAST_NEW_KEYS:
+        ledger_keys = spark.read.table(quote_name(ledger)).select("job_key")
+        hits = ledger_keys.join(F.broadcast(new_keys), "job_key", "left_semi").distinct()
+        return rows.join(F.broadcast(hits), "job_key", "left_anti")
+    return rows.join(known_keys(spark, ledger), "job_key", "left_anti")
+
+
 # Above this many unseen archive files, scan the whole archive instead of
 # naming files one by one (both are exact; the key anti-join dedups).
 MAX_LISTED_NEW_FILES = 200_000
@@ -134,8 +159,7 @@ def generate_report(
                 rejects = rejects.limit(0)
     rows = audit_rows(records)
     if incremental:
-        known = known_keys(spark, ledger)
-        fresh, obs = counted(rows.join(known, "job_key", "left_anti"), "tm_audit")
+        fresh, obs = counted(unseen_rows(spark, rows, ledger), "tm_audit")
         fresh.write.mode("append").saveAsTable(quote_name(ledger))
     else:
         fresh, obs = counted(rows, "tm_audit")

@@ -68,11 +68,12 @@ def read_job_records(
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = with_file_columns(reader.json(path if isinstance(path, str) else list(path)))
-    records = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    # The second, always-true term keeps a data column in the scan: Spark
-    # refuses raw JSON scans whose only column is the corrupt-record column,
-    # which is what a bare ``rejects.count()`` would otherwise prune to.
-    keep_scan = F.length(F.coalesce(F.col("job_id"), F.col("_corrupt_record"))) >= 0
+    # The always-true ``keep_scan`` term keeps a data column in the scan:
+    # Spark refuses raw JSON scans whose only column is the corrupt-record
+    # column, which is what a bare ``count()`` over either frame would
+    # otherwise prune to (e.g. after AQE drops an empty join side).
+    keep_scan = F.length(F.coalesce(F.col("job_id"), F.lit(""))) >= 0
+    records = raw.filter(F.col("_corrupt_record").isNull() & keep_scan).drop("_corrupt_record")
     rejects = raw.filter(F.col("_corrupt_record").isNotNull() & keep_scan).select(
         "source_file", "job_id", "_corrupt_record"
     )

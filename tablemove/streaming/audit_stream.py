@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import quote_name, split_name
 from ..operators.write import ensure_namespace, table_exists
-from ..plans.audit import audit_rows, known_keys
+from ..plans.audit import audit_rows, unseen_rows
 from ..sources.jobs import job_record_stream
 
 
@@ -24,7 +24,7 @@ def _append_batch(ledger: str):
         spark = batch.sparkSession
         rows = audit_rows(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
         if table_exists(spark, ledger):
-            rows = rows.join(known_keys(spark, ledger), "job_key", "left_anti")
+            rows = unseen_rows(spark, rows, ledger)
         rows.write.mode("append").saveAsTable(quote_name(ledger))
 
     return handle
