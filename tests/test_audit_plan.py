@@ -199,3 +199,30 @@ def test_csv_round_trip_keeps_empty_and_null_apart(spark, tmp, ns):
     assert back["id-0002"]["Details"] == "" and back["id-0002"]["Start Time (UTC)"] is None
     assert back["id-0002"]["Duration (s)"] == "N/A"
     assert back["id-0001"]["End Time (UTC)"].microsecond == 123456
+
+
+def test_unseen_rows_both_paths_and_hot_key(spark, ns, monkeypatch):
+    """Broadcast path and shuffle fallback agree, also when one key fills the ledger."""
+    from pyspark.sql import functions as F
+
+    ledger = f"{ns}.keys"
+    hot = spark.range(20000).select(F.lit("hot").alias("job_key"), F.lit("f").alias("source_file"))
+    cold = spark.range(100).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("job_key"),
+                                   F.lit("f").alias("source_file"))
+    hot.unionByName(cold).write.saveAsTable(ledger)
+    rows = spark.createDataFrame([("hot", 1), ("k5", 2), ("new1", 3), ("new2", 4), ("new1", 5)],
+                                 "job_key string, v int")
+    fast = sorted(tuple(r) for r in P.unseen_rows(spark, rows, ledger).collect())
+    monkeypatch.setattr(P, "MAX_BROADCAST_NEW_KEYS", 0)
+    slow = sorted(tuple(r) for r in P.unseen_rows(spark, rows, ledger).collect())
+    assert fast == slow == [("new1", 3), ("new1", 5), ("new2", 4)]
+
+
+def test_incremental_full_scan_fallback(spark, tmp, ns, monkeypatch):
+    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
+    _write_jobs(arch, [_job(1), _job(2)])
+    P.generate_report(spark, arch, ledger)
+    _write_jobs(arch, [_job(3)])
+    monkeypatch.setattr(P, "MAX_LISTED_NEW_FILES", 0)  # too many new files: scan everything
+    res = P.generate_report(spark, arch, ledger)
+    assert res.new_jobs == 1 and res.report.count() == 3
