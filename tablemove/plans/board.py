@@ -77,8 +77,14 @@ def job_board(
         "file_mtime",
         "source_file",
     )
+    order = [F.col("file_mtime").desc(), F.col("job_id")]
+    if top:
+        # Pick the newest jobs before touching any log text (a top-k, no
+        # global sort), so only their logs are read into the join.
+        board = board.orderBy(*order).limit(top)
+    log_df = None
     if isinstance(logs, DataFrame):
-        board = board.join(logs.select("job_id", "log"), "job_id", "left")
+        log_df = logs.select("job_id", "log")
     elif logs:
         try:
             log_df = read_logs(spark, logs)
@@ -87,14 +93,14 @@ def job_board(
             if not (exc.getCondition() or "").startswith("PATH_NOT_FOUND"):
                 raise
             log_df = None
-        if log_df is not None:
-            board = board.join(log_df, "job_id", "left")
-        else:
-            board = board.withColumn("log", F.lit(None).cast("string"))
+    if log_df is not None:
+        if top:
+            # exactly ``top`` ids at most: a broadcast with a known bound
+            log_df = log_df.join(F.broadcast(board.select("job_id")), "job_id", "left_semi")
+        board = board.join(log_df, "job_id", "left")
     else:
         board = board.withColumn("log", F.lit(None).cast("string"))
     board = board.withColumn("has_log", F.col("log").isNotNull()).withColumn(
         "log", F.coalesce(F.col("log"), F.lit(LOG_MISSING))
     )
-    ordered = board.orderBy(F.col("file_mtime").desc(), F.col("job_id"))
-    return ordered.limit(top) if top else ordered
+    return board.orderBy(*order)

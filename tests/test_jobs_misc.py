@@ -71,5 +71,6 @@ def test_job_board_top(spark, tmp):
         with open(f"{a}/j{i}.json", "w") as f:
             json.dump({"job_id": f"j{i}", "job_type": "ingest_from_hive", "status": "completed"}, f)
         os.utime(f"{a}/j{i}.json", (1_000_000_000 + i, 1_000_000_000 + i))
-    rows = job_board(spark, f"{tmp}/none", a, top=2).collect()
-    assert [r.job_id for r in rows] == ["j4", "j3"]
+    logs = spark.createDataFrame([("j4", "four"), ("j0", "zero")], "job_id string, log string")
+    rows = job_board(spark, f"{tmp}/none", a, logs, top=2).collect()
+    assert [(r.job_id, r.log, r.has_log) for r in rows] == [("j4", "four", True), ("j3", LOG_MISSING, False)]
