@@ -58,13 +58,14 @@ def main() -> int:
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TM_SHUFFLE_PARTITIONS", "8"))
+        .config("spark.sql.session.timeZone", os.environ.get("TM_TZ", "UTC"))
+        .config("spark.sql.ansi.enabled", os.environ.get("TM_ANSI", "true"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
-    con.sql("SET TimeZone='UTC'")
+    con.sql(f"SET TimeZone='{os.environ.get('TM_DUCK_TZ', 'UTC')}'")
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     qs, oracle = e.queries(), e.oracle_sql()
