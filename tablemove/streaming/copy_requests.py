@@ -14,8 +14,10 @@ running anything.
 Processed request files are moved to the archive folder by the file source
 (``cleanSource=archive``); the move of a file happens in a later batch than
 its processing. A replayed batch re-runs its copies, which are idempotent
-(create-or-replace), and appends outcome rows again under the same job id
-and ``batch_id``, so readers can keep the latest per ``(job_id, table)``.
+(create-or-replace); outcome rows are keyed by ``(job_id, batch_id, table)``
+and events by ``(job_id, event_seq)`` (sequence numbers are derived from the
+batch id and the request order), and rows already present are not appended
+again.
 """
 
 from __future__ import annotations
@@ -44,6 +46,14 @@ def _now_iso() -> str:
     return dt.datetime.now(dt.timezone.utc).isoformat().replace("+00:00", "Z")
 
 
+def _append_new(spark: SparkSession, rows: DataFrame, table: str, key: list[str]) -> None:
+    """Append ``rows`` whose ``key`` is not in ``table`` yet (a replayed batch adds nothing)."""
+    name = quote_name(table)
+    if spark.catalog.tableExists(name):
+        rows = rows.join(spark.read.table(name).select(*key).distinct(), key, "left_anti")
+    rows.write.mode("append").saveAsTable(name)
+
+
 def _handler(
     outcomes_table: str,
     events_table: str,
@@ -113,9 +123,9 @@ def _handler(
             merged = outcome_frames[0]
             for f in outcome_frames[1:]:
                 merged = merged.unionByName(f)
-            merged.write.mode("append").saveAsTable(quote_name(outcomes_table))
+            _append_new(spark, merged, outcomes_table, ["job_id", "batch_id", "table"])
         if events:
-            spark.createDataFrame(events, EVENT_SCHEMA).write.mode("append").saveAsTable(quote_name(events_table))
+            _append_new(spark, spark.createDataFrame(events, EVENT_SCHEMA), events_table, ["job_id", "event_seq"])
 
     return handle
 

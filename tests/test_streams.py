@@ -80,3 +80,22 @@ def test_copy_request_stream(spark, tmp, ns):
     assert spark.table(f"{ns}_iceberg.nation").count() == 25
     moved = [f for _, _, fs in os.walk(archive) for f in fs if f.endswith(".json")]
     assert {"r1.json", "r2.json", "r3.json", "r5.json"} <= set(moved)
+
+
+def test_request_batch_replay_appends_nothing_twice(spark, tmp, ns):
+    """Running one micro-batch handler twice (a replay) leaves one set of rows."""
+    from tablemove.streaming.copy_requests import _handler
+
+    register_parquet_tables(spark, "/root/testdata/sf0.001", ns, ["region"])
+    _write(f"{tmp}/q", "r1.json", {"job_id": "r1", "job_type": "ingest_from_hive", "source_db": ns,
+                                   "tables": ["region"]})
+    raw = spark.read.schema("job_id string, job_type string, source_db string, dest_db string, azure_db string, "
+                            "sf_db string, sf_schema string, tables array<string>, _corrupt_record string") \
+        .option("multiLine", True).json(f"{tmp}/q").withColumn("file_mtime", F.current_timestamp())
+    handle = _handler(f"{ns}.outcomes", f"{ns}.events", None, None, f"{tmp}/targets")
+    handle(raw, 7)
+    handle(raw, 7)
+    spark.catalog.refreshTable(f"{ns}.outcomes")
+    spark.catalog.refreshTable(f"{ns}.events")
+    assert spark.table(f"{ns}.outcomes").count() == 1
+    assert spark.table(f"{ns}.events").count() == 2
