@@ -119,20 +119,31 @@ def replace_table(
 STAGE_MARKER = "__tm_stage_"
 
 
-def cleanup_staging(spark: SparkSession, namespace: str) -> list[str]:
-    """Drop staging tables left behind by an interrupted replace; returns their names.
-
-    Only call this when no replace into ``namespace`` is running: a staging
-    table of a running copy is indistinguishable from a leftover one.
+def cleanup_staging(spark: SparkSession, namespace: str, restore: bool = True) -> list[tuple[str, str]]:
+    """Resolve staging tables left by an interrupted replace: ``[(table, action)]``.
+
+    A staging table enters the catalog only after its rows are written (the
+    catalog entry of a CTAS is created after the data), so it is complete.
+    If the driver died between dropping the old table and renaming, the
+    target name is missing: with ``restore`` the staging table is renamed
+    into place (``"restored"``). Otherwise it is dropped (``"dropped"``).
+    Only call this when no replace into ``namespace`` is running.
     """
     from .catalog import list_tables
 
-    dropped = []
-    for r in list_tables(spark, namespace).filter(F.col("tableName").contains(STAGE_MARKER)).collect():
-        name = quote_name(split_name(namespace) + [r.tableName])
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        dropped.append(r.tableName)
-    return dropped
+    ns = split_name(namespace)
+    done = []
+    rows = list_tables(spark, namespace).filter(F.col("tableName").contains(STAGE_MARKER)).collect()
+    for r in rows:
+        stage = quote_name(ns + [r.tableName])
+        target = r.tableName.split(STAGE_MARKER)[0]
+        if restore and not spark.catalog.tableExists(quote_name(ns + [target])):
+            spark.sql(f"ALTER TABLE {stage} RENAME TO {quote_name(ns[-1:] + [target])}")
+            done.append((target, "restored"))
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {stage}")
+            done.append((r.tableName, "dropped"))
+    return done
 
 
 def create_table(

@@ -128,10 +128,12 @@ def test_parallel_copies_keep_order(spark, src, tmp):
 def test_cleanup_staging(spark, ns):
     from tablemove.operators.write import cleanup_staging
 
-    spark.range(3).write.saveAsTable(f"{ns}.t__tm_stage_deadbeef")
+    spark.range(3).write.saveAsTable(f"{ns}.keep__tm_stage_deadbeef")  # target exists: leftover
     spark.range(3).write.saveAsTable(f"{ns}.keep")
-    assert cleanup_staging(spark, ns) == ["t__tm_stage_deadbeef"]
-    assert [r.tableName for r in list_tables(spark, ns).collect()] == ["keep"]
+    spark.range(4).write.saveAsTable(f"{ns}.lost__tm_stage_0badf00d")  # died between drop and rename
+    assert sorted(cleanup_staging(spark, ns)) == [("keep__tm_stage_deadbeef", "dropped"), ("lost", "restored")]
+    assert sorted(r.tableName for r in list_tables(spark, ns).collect()) == ["keep", "lost"]
+    assert spark.table(f"{ns}.lost").count() == 4
 
 
 def test_job_status_is_worst_of_tables(spark, src, tmp):
