@@ -18,15 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemove.functions.identifiers import quote_name
-from tablemove.operators.catalog import list_tables
+from tablemove.operators.catalog import list_tables, partition_columns
+from tablemove.operators.reconcile import reconcile_tables
 from tablemove.operators.select import select_tables
+from tablemove.operators.state import append_events, latest_state
+from tablemove.operators.write import ensure_namespace
 from tablemove.plans import audit as audit_plan
+from tablemove.plans.board import job_board
+from tablemove.plans.chain import chain_registrations
 from tablemove.plans.copy import copy_summary, copy_table, copy_tables
 from tablemove.plans.ingest import ingest_files, ingest_selection, ingest_tables
+from tablemove.plans.publish import build_manifest
 from tablemove.session import ensure_checkpoint_dir, scratch_path, unique_name
 from tablemove.sources.job_fixture import jobs_from_events
-from tablemove.sources.jobs import write_job_records
+from tablemove.sources.jobs import JOB_COLUMNS, read_job_records, write_job_records
 from tablemove.sources.tables import register_parquet_tables
+from tablemove.streaming.audit_stream import run_audit_stream
+from tablemove.streaming.copy_requests import refresh_results, start_copy_request_stream
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 ALL_TABLES = [
@@ -77,8 +85,6 @@ def _job_archive(spark: SparkSession, sf_dir: str, predicate: str | None = None,
 
 def _ledger_name(spark: SparkSession) -> str:
     ns, loc = _target_namespace(spark, "tm_audit")
-    from tablemove.operators.write import ensure_namespace
-
     ensure_namespace(spark, ns, loc)
     return f"{ns}.ledger"
 
@@ -131,8 +137,6 @@ def q_copy_part(spark, sf_dir):
 def q_copy_create_strict(spark, sf_dir):
     src = _source_namespace(spark, sf_dir, ["supplier"])
     dst, loc = _target_namespace(spark)
-    from tablemove.operators.write import ensure_namespace
-
     ensure_namespace(spark, dst, loc)
     copy_table(spark, f"{src}.supplier", f"{dst}.supplier", mode="create")
     return spark.read.table(quote_name([dst, "supplier"]))
@@ -143,8 +147,6 @@ def q_ingest_csv_nation(spark, sf_dir):
     csv_dir = scratch_path(spark, "csv", "load_date=2025-06-04")
     spark.read.parquet(f"{sf_dir}/nation.parquet").write.option("header", True).csv(csv_dir)
     dst, loc = _target_namespace(spark)
-    from tablemove.operators.write import ensure_namespace
-
     ensure_namespace(spark, dst, loc)
     ingest_files(spark, f"{csv_dir}/*.csv", f"{dst}.nation")
     return spark.read.table(quote_name([dst, "nation"]))
@@ -154,8 +156,6 @@ def q_ingest_partitioned_orders(spark, sf_dir):
     """Source partitioned by status; the copy carries columns, partition col last."""
     ensure_checkpoint_dir(spark)
     src, src_loc = _target_namespace(spark, "tm_psrc")
-    from tablemove.operators.write import ensure_namespace
-
     ensure_namespace(spark, src, src_loc)
     (
         spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -274,23 +274,17 @@ def q_audit_duration_stats(spark, sf_dir):
 
 
 def _archived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tablemove.sources.jobs import read_job_records
-
     records, _ = read_job_records(spark, _job_archive(spark, sf_dir), multi_line=False)
     return records
 
 
 def q_chain_registrations(spark, sf_dir):
-    from tablemove.plans.chain import chain_registrations
-
     children = chain_registrations(_archived_records(spark, sf_dir))
     return children.withColumn("tables", F.array_join("tables", ", "))
 
 
 def q_job_board(spark, sf_dir):
     """Running jobs sit in the queue, the rest in the archive; failed ones have a log."""
-    from tablemove.plans.board import job_board
-
     ensure_checkpoint_dir(spark)
     jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     queue, archive, logs = (scratch_path(spark, n) for n in ("queue", "archive", "logs"))
@@ -329,9 +323,6 @@ def _status_events(jobs: DataFrame) -> DataFrame:
 
 
 def q_job_latest_state(spark, sf_dir):
-    from tablemove.operators.state import append_events, latest_state
-    from tablemove.operators.write import ensure_namespace
-
     ns, loc = _target_namespace(spark, "tm_state")
     ensure_namespace(spark, ns, loc)
     table = f"{ns}.job_events"
@@ -344,8 +335,6 @@ PUBLISH_WAREHOUSE = "hdfs://namenode/warehouse"
 
 def manifest_from_records(jobs: DataFrame) -> DataFrame:
     """Migrations write metadata versions; registration jobs name the tables to publish."""
-    from tablemove.plans.publish import build_manifest
-
     n = (F.substring("job_id", 5, 100).cast("long") + 1).cast("string")
     name = (
         F.when(F.col("status") == "completed", F.concat(F.lit("v"), n, F.lit(".metadata.json")))
@@ -371,8 +360,6 @@ def q_publish_manifest(spark, sf_dir):
 
 
 def q_audit_stream(spark, sf_dir):
-    from tablemove.streaming.audit_stream import run_audit_stream
-
     archive = _job_archive(spark, sf_dir)
     ledger = _ledger_name(spark)
     out = run_audit_stream(spark, archive, ledger, scratch_path(spark, "ckpt-audit"), multi_line=False)
@@ -384,10 +371,6 @@ STREAM_TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "
 
 def q_copy_request_stream(spark, sf_dir):
     """Copy requests (one per table, plus one of an unknown type) served by a stream."""
-    from tablemove.operators.state import latest_state
-    from tablemove.operators.write import ensure_namespace
-    from tablemove.streaming.copy_requests import refresh_results, start_copy_request_stream
-
     src = _source_namespace(spark, sf_dir, STREAM_TABLES)
     ns, loc = _target_namespace(spark, "tm_req")
     ensure_namespace(spark, ns, loc)
@@ -417,8 +400,6 @@ def q_copy_request_stream(spark, sf_dir):
 
 def q_audit_rejects(spark, sf_dir):
     """An archive where some lines are cut short: they are rejected, the rest reported."""
-    from tablemove.sources.jobs import JOB_COLUMNS
-
     ensure_checkpoint_dir(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     jobs = jobs_from_events(events).withColumn("_n", F.substring("job_id", 5, 100).cast("long"))
@@ -439,9 +420,6 @@ def q_audit_rejects(spark, sf_dir):
 
 def q_copy_keep_partitioning(spark, sf_dir):
     """Copy a status-partitioned table keeping its partition layout."""
-    from tablemove.operators.catalog import partition_columns
-    from tablemove.operators.write import ensure_namespace
-
     src, src_loc = _target_namespace(spark, "tm_psrc")
     ensure_namespace(spark, src, src_loc)
     (
@@ -491,8 +469,6 @@ def q_audit_compacted(spark, sf_dir):
 
 def q_reconcile_tables(spark, sf_dir):
     """Check earlier copies after the fact; one table was never copied."""
-    from tablemove.operators.reconcile import reconcile_tables
-
     names = ["customer", "part", "orders", "lineitem"]
     src = _source_namespace(spark, sf_dir, names + ["supplier"])
     dst, loc = _target_namespace(spark)
