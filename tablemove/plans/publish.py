@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,20 +145,28 @@ def publish_manifest(
     sf_db: str,
     sf_schema: str,
     pattern: str = VERSION_PATTERN,
+    lookup_parallelism: int = 8,
     **ddl_names,
 ) -> DataFrame:
     """Manifest for catalog tables: locations from ``DESCRIBE``, one listing for all.
 
-    Location lookup is one catalog call per table (metadata only); the
-    metadata folders of all tables are listed in a single file scan.
+    Location lookup is one catalog call per table (metadata only, made
+    ``lookup_parallelism`` at a time); the metadata folders of all tables
+    are listed in a single file scan.
     """
-    rows = []
-    for t in dict.fromkeys(tables):
+    def lookup(t: str) -> tuple:
         try:
             location = table_location(spark, quote_name(split_name(namespace) + [t]))
         except Exception:  # noqa: BLE001 - an unreadable table becomes a failed row
             location = None
-        rows.append((namespace, t, location, sf_db, sf_schema))
+        return (namespace, t, location, sf_db, sf_schema)
+
+    names = list(dict.fromkeys(tables))
+    if lookup_parallelism > 1 and len(names) > 1:
+        with ThreadPoolExecutor(max_workers=lookup_parallelism) as pool:
+            rows = list(pool.map(lookup, names))
+    else:
+        rows = [lookup(t) for t in names]
     table_df = spark.createDataFrame(
         rows, "namespace string, table string, location string, sf_db string, sf_schema string"
     )
