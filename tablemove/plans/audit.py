@@ -29,7 +29,6 @@ from pyspark.sql import types as T
 from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
 from ..operators.write import counted, ensure_namespace, replace_table, table_exists
-from ..sources.files import list_files
 from ..sources.jobs import read_job_records
 
 # Status messages of a report run.
@@ -117,9 +116,14 @@ def unseen_files(spark: SparkSession, archive: str, ledger: str, glob: str | Non
     as a run that skips known job files would. Files are assumed immutable
     once written; the later key anti-join keeps the result exact anyway.
     """
-    listing = list_files(spark, archive, glob_filter=glob).select("path")
-    seen = spark.read.table(quote_name(ledger)).select(F.col("source_file").alias("path")).distinct()
-    new = listing.join(seen, "path", "left_anti").limit(MAX_LISTED_NEW_FILES + 1)
+    # Compare on the scan's own ``_metadata.file_path`` (URL-encoded, the form
+    # stored in the ledger) and read the new files by their plain ``path``.
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    listing = reader.load(archive).select("path", F.col("_metadata.file_path").alias("source_file"))
+    seen = spark.read.table(quote_name(ledger)).select("source_file").distinct()
+    new = listing.join(seen, "source_file", "left_anti").select("path").limit(MAX_LISTED_NEW_FILES + 1)
     paths = [r.path for r in new.collect()]
     return None if len(paths) > MAX_LISTED_NEW_FILES else paths
 

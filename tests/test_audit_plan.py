@@ -226,3 +226,16 @@ def test_incremental_full_scan_fallback(spark, tmp, ns, monkeypatch):
     monkeypatch.setattr(P, "MAX_LISTED_NEW_FILES", 0)  # too many new files: scan everything
     res = P.generate_report(spark, arch, ledger)
     assert res.new_jobs == 1 and res.report.count() == 3
+
+
+def test_seen_files_with_spaces_in_path(spark, tmp, ns):
+    arch, ledger = f"{tmp}/my archive", f"{ns}.ledger"
+    os.makedirs(arch)
+    with open(f"{arch}/job one.json", "w") as f:
+        json.dump(_job(1), f)
+    P.generate_report(spark, arch, ledger)
+    assert P.unseen_files(spark, arch, ledger, "*.json") == []
+    with open(f"{arch}/job two.json", "w") as f:
+        json.dump(_job(2), f)
+    assert [p.rsplit("/", 1)[-1] for p in P.unseen_files(spark, arch, ledger, "*.json")] == ["job two.json"]
+    assert P.generate_report(spark, arch, ledger).new_jobs == 1
