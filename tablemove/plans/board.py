@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.audit import job_type_display, status_colour
+from ..sources.files import file_name
 from ..sources.jobs import read_job_records
 
 # Fixed values shown by the board.
@@ -28,7 +29,7 @@ def read_logs(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.text(path, wholetext=True)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.log$", "")
+    stem = F.regexp_replace(file_name(), r"\.log$", "")
     key = F.coalesce(F.col("job_id"), stem) if "job_id" in df.columns else stem
     return df.select(key.alias("job_id"), F.col("value").alias("log"))
 

@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def file_name() -> "Column":
+    """The scanned file's name, decoded (``_metadata.file_name`` is URL-encoded).
+
+    URI path encoding leaves ``+`` as is while URL decoding would turn it
+    into a space, so ``+`` is escaped before decoding.
+    """
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import file_name
+
 JOB_FIELDS = [
     T.StructField("job_id", T.StringType()),
     T.StructField("job_type", T.StringType()),
@@ -43,7 +45,7 @@ def with_file_columns(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("source_file", F.col("_metadata.file_path"))
         .withColumn("file_mtime", F.col("_metadata.file_modification_time"))
-        .withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+        .withColumn("stem", F.regexp_replace(file_name(), r"\.[^.]*$", ""))
         .withColumn("job_key", F.coalesce(F.col("job_id"), F.col("stem")))
     )
 

@@ -239,3 +239,13 @@ def test_seen_files_with_spaces_in_path(spark, tmp, ns):
         json.dump(_job(2), f)
     assert [p.rsplit("/", 1)[-1] for p in P.unseen_files(spark, arch, ledger, "*.json")] == ["job two.json"]
     assert P.generate_report(spark, arch, ledger).new_jobs == 1
+
+
+def test_stem_key_is_the_decoded_file_name(spark, tmp):
+    arch = f"{tmp}/arch ive"
+    os.makedirs(arch)
+    for name in ("a b+c", "100%done"):
+        with open(f"{arch}/{name}.json", "w") as f:
+            json.dump({"job_type": "ingest_from_hive", "status": "completed"}, f)
+    records, _ = read_job_records(spark, arch)
+    assert sorted(r.job_key for r in records.collect()) == ["100%done", "a b+c"]
