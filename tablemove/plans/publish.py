@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,6 +160,9 @@ def publish_manifest(
             location = table_location(spark, quote_name(split_name(namespace) + [t]))
         except Exception:  # noqa: BLE001 - an unreadable table becomes a failed row
             location = None
+        if location:
+            # DESCRIBE shows a URI (spaces as %20); listings show plain paths
+            location = unquote(location)
         return (namespace, t, location, sf_db, sf_schema)
 
     names = list(dict.fromkeys(tables))

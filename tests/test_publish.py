@@ -59,3 +59,14 @@ def test_publish_over_catalog_tables(spark, ns, tmp):
     out = {r.table: r for r in publish_manifest(spark, ns, ["a", "b", "missing"], tmp, "SFDB", "PUBLIC").collect()}
     assert out["a"].status == "ok" and out["a"].metadata_path.endswith("a/metadata/v10.metadata.json")
     assert out["b"].status == "failed" and out["missing"].status == "failed"
+
+
+def test_publish_with_space_in_location(spark, tmp):
+    ns = "tm_pub_space"
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {ns} LOCATION '{tmp}/my wh/{ns}.db'")
+    spark.range(1).write.saveAsTable(f"{ns}.t")
+    loc = spark.sql(f"DESCRIBE EXTENDED {ns}.t").filter("col_name = 'Location'").first()[1]
+    from urllib.parse import unquote
+    _touch(unquote(loc).replace("file:", "") + "/metadata/v3.metadata.json")
+    row = publish_manifest(spark, ns, ["t"], f"{tmp}/my wh", "SFDB", "PUBLIC").first()
+    assert (row.status, row.metadata_path) == ("ok", f"{ns}.db/t/metadata/v3.metadata.json")
