@@ -89,6 +89,4 @@ def read_text_files(spark: SparkSession, path: str, glob_filter: str | None = No
     reader = spark.read
     if glob_filter:
         reader = reader.option("pathGlobFilter", glob_filter)
-    return reader.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value")
-    )
+    return reader.text(path, wholetext=True).select(file_name().alias("file_name"), F.col("value"))

@@ -70,3 +70,18 @@ def test_publish_with_space_in_location(spark, tmp):
     _touch(unquote(loc).replace("file:", "") + "/metadata/v3.metadata.json")
     row = publish_manifest(spark, ns, ["t"], f"{tmp}/my wh", "SFDB", "PUBLIC").first()
     assert (row.status, row.metadata_path) == ("ok", f"{ns}.db/t/metadata/v3.metadata.json")
+
+
+def test_file_listing_and_text_readers(spark, tmp):
+    from tablemove.sources.files import list_files, read_text_files
+
+    _touch(f"{tmp}/d/a.log")
+    _touch(f"{tmp}/d/b.txt")
+    with open(f"{tmp}/d/a.log", "w") as f:
+        f.write("x\ny\n")
+    names = sorted(r.path.rsplit("/", 1)[-1] for r in list_files(spark, f"{tmp}/d").collect())
+    assert names == ["a.log", "b.txt"]
+    assert [r.path.rsplit("/", 1)[-1] for r in list_files(spark, f"{tmp}/d", "*.log").collect()] == ["a.log"]
+    assert list_files(spark, f"{tmp}/missing").count() == 0
+    rows = read_text_files(spark, f"{tmp}/d", "*.log").collect()
+    assert [(r.file_name, r.value) for r in rows] == [("a.log", "x\ny\n")]
