@@ -21,9 +21,23 @@ from ..functions.identifiers import quote_name
 
 
 def _hashable(field: T.StructField) -> Column:
+    """A column in a form that survives the type changes a target may make.
+
+    Catalogs may widen integers (byte/short -> int), floats, or return a
+    ``timestamp_ntz`` as ``timestamp``; hashing integers as ``bigint``,
+    floats as ``double`` and both timestamp kinds as their text keeps the
+    fingerprint equal for equal values.
+    """
     c = F.col(quote_name([field.name]))
-    if isinstance(field.dataType, T.MapType):
+    t = field.dataType
+    if isinstance(t, T.MapType):
         return F.array_sort(F.map_entries(c))
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long")
+    if isinstance(t, T.FloatType):
+        return c.cast("double")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return c.cast("string")
     return c
 
 

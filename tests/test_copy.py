@@ -172,3 +172,12 @@ def test_reconcile_tables_detects_changed_copy(spark, src, ns):
     got = {r.table: (r.source_rows, r.target_rows, r.matched)
            for r in reconcile_tables(spark, src, dst, ["region", "nation", "orders"]).collect()}
     assert got == {"region": (5, 5, True), "nation": (25, 26, False), "orders": (1500, None, False)}
+
+
+def test_fingerprint_survives_type_widening(spark):
+    a = spark.createDataFrame([(1, 2.5, "2024-01-01 00:00:00")], "i short, f float, t string").select(
+        "i", "f", F.col("t").cast("timestamp_ntz").alias("t"))
+    b = a.select(F.col("i").cast("int").alias("i"), F.col("f").cast("double").alias("f"),
+                 F.col("t").cast("timestamp").alias("t"))
+    assert compare(a, b)["matched"]
+    assert not compare(a, b.withColumn("i", F.col("i") + 1))["matched"]
