@@ -25,8 +25,8 @@ def _hashable(field: T.StructField) -> Column:
 
     Catalogs may widen integers (byte/short -> int), floats, or return a
     ``timestamp_ntz`` as ``timestamp``; hashing integers as ``bigint``,
-    floats as ``double`` and both timestamp kinds as their text keeps the
-    fingerprint equal for equal values.
+    floats as ``double`` and both timestamp kinds as wall-clock microseconds
+    keeps the fingerprint equal for equal values.
     """
     c = F.col(quote_name([field.name]))
     t = field.dataType
@@ -37,7 +37,10 @@ def _hashable(field: T.StructField) -> Column:
     if isinstance(t, T.FloatType):
         return c.cast("double")
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return c.cast("string")
+        # wall-clock microseconds (session zone for TIMESTAMP): integer math,
+        # no per-row text formatting
+        ntz = c if isinstance(t, T.TimestampNTZType) else c.cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ntz)
     return c
 
 
