@@ -116,6 +116,13 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         res = generate_report(spark, args.archive, args.ledger, full_rescan=args.full_rescan,
                               multi_line=not args.json_lines)
         print(res.message)
+        if res.rejects is not None:
+            bad_files = res.rejects.select("source_file").distinct()  # unparseable files of this run
+            n_bad = bad_files.count()
+            if n_bad:
+                print(f"Warning: {n_bad} file(s) with records that could not be parsed, e.g.:")
+                for r in bad_files.limit(20).collect():  # console display only
+                    print(f"  could not parse a record in {r.source_file}")
         if res.report is not None:
             res.report.show(args.show, truncate=False)
             if args.csv:

@@ -27,8 +27,11 @@ def test_audit_and_chain_commands(spark, ns, tmp, capsys):
            "start_time": "2024-01-01T00:00:00Z", "end_time": "2024-01-01T00:00:01Z"}
     with open(f"{arch}/m1.json", "w") as f:
         json.dump(job, f, indent=4)
+    with open(f"{arch}/broken.json", "w") as f:
+        f.write('{"job_id": ')
     assert run(["audit", "--archive", arch, "--ledger", f"{ns}.ledger", "--csv", f"{tmp}/csv"], spark) == 0
-    assert "Report updated with 1 new job(s)." in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "Report updated with 1 new job(s)." in out and "could not parse a record in" in out
     assert run(["audit", "--archive", arch, "--ledger", f"{ns}.ledger", "--compact"], spark) == 0
     out = capsys.readouterr().out
     assert "Audit report is already up-to-date." in out and "ledger files after compaction: 1" in out
