@@ -35,3 +35,10 @@ def test_query_matches_oracle(spark, duck, name):
     rows = [tuple(r) for r in df.collect()]
     res = duck.sql(E.oracle_sql()[name])
     assert digest(df.columns, rows)[:2] == digest(res.columns, [tuple(r) for r in res.fetchall()])[:2]
+
+
+def test_every_oracle_runs_in_duckdb(duck):
+    for name, sql in E.oracle_sql().items():
+        res = duck.sql(sql)
+        assert res.columns, name
+        res.fetchall()
