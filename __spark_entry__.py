@@ -706,6 +706,21 @@ _ORACLE["reconcile_tables"] = " UNION ALL ".join(
 
 
 # --------------------------------------------------------------------------- contract
+# The training-data operators are optional: the rest of the library works without them.
+try:
+    import corpus_pipeline
+    from tablemove.llm import queries as _llm
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "tablemove.llm"):
+        raise
+else:
+    QUERIES.update(_llm.QUERIES)
+    QUERIES["pipeline"] = corpus_pipeline.run
+    _ORACLE.update(_llm.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: ingest ``orders`` from a session namespace and read it back."""
     return q_ingest_orders(spark, SMOKE_DIR)
