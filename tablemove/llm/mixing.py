@@ -77,12 +77,19 @@ def fit_domains(x: np.ndarray, y: list[str], names: tuple[str, ...], vocabulary:
     spread = np.where(spread > 1e-9, spread, 1e9)
     z = np.c_[(x - centre) / spread, np.ones(len(x))]
     target = np.array([[float(v == name) for name in names] for v in y])
-    weights[-1] = np.log(target.mean(0) + 1e-9)
-    penalty = np.r_[np.full(width, ridge), 1e-6]
-    for _ in range(15):
-        e = np.exp((s := z @ weights) - s.max(1, keepdims=True))
+    start = np.r_[np.zeros((width, k)), np.log(target.mean(0) + 1e-9)[None]]
+    weights = start
+    penalty = np.r_[np.full(width, ridge), 1e-3]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        s = z @ w
+        e = np.exp(s - s.max(1, keepdims=True))
         p = e / e.sum(1, keepdims=True)
-        gradient = z.T @ (target - p) - penalty[:, None] * (weights - np.r_[np.zeros((width, k)), np.log(target.mean(0) + 1e-9)[None]])
+        return -np.log(np.maximum((p * target).sum(1), 1e-300)).sum() + 0.5 * (penalty[:, None] * (w - start) ** 2).sum(), p
+
+    now, p = loss(weights)
+    for _ in range(30):
+        gradient = z.T @ (target - p) - penalty[:, None] * (weights - start)
         hess = np.zeros((k * (width + 1), k * (width + 1)))
         for a in range(k):
             for b in range(a, k):
@@ -90,11 +97,14 @@ def fit_domains(x: np.ndarray, y: list[str], names: tuple[str, ...], vocabulary:
                 at_a, at_b = slice(a * (width + 1), (a + 1) * (width + 1)), slice(b * (width + 1), (b + 1) * (width + 1))
                 hess[at_a, at_b] = h
                 hess[at_b, at_a] = h.T
-        hess += np.diag(np.tile(penalty, k)) + 1e-9 * np.eye(len(hess))
+        hess += np.diag(np.tile(penalty, k))
         step = np.linalg.solve(hess, gradient.T.ravel()).reshape(k, width + 1).T
-        weights = weights + step
-        if np.abs(step).max() < 1e-5:
+        size = 1.0
+        while size > 1e-4 and (after := loss(weights + size * step))[0] > now:
+            size /= 2
+        if size <= 1e-4 or now - after[0] < 1e-6 * max(1.0, now):
             break
+        weights, (now, p) = weights + size * step, after
     return Domains(names, vocabulary, centre, spread, weights)
 
 

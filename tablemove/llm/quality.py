@@ -71,11 +71,20 @@ def fit(x: np.ndarray, y: np.ndarray, *, ridge: float = 1.0, seed: int = 11) ->
     pairs = [(good[rng.permutation(n) % len(good)], bad[rng.permutation(n) % len(bad)]) for _ in range(OPPONENTS)]
     d = np.concatenate([z[a] - z[b] for a, b in pairs])
     w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return np.logaddexp(0, -(d @ w)).sum() + 0.5 * ridge * w @ w
+
+    now = loss(w)
     for _ in range(25):
         p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
         hess = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, d.T @ p - ridge * w)
-        w = w + step
+        while (after := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if after > now:
+            break
+        w, now = w + step, after
         if np.abs(step).max() < 1e-6:
             break
     weights = np.where(use, w / np.where(use, spread, 1), 0)
