@@ -127,14 +127,14 @@ def write_archives(
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            f = f.astype(object).where(f.notna(), None)
-            for r in zip(f["serial"], f["id"], f["url"], f["data"], f["digest"], f["to"]):
-                serial, page_id, where, payload, digest, to = r
-                got = records(int(serial), None if page_id is None else int(page_id), where, payload, digest, None if to is None else int(to), segment)
-                yield pd.DataFrame({"record": got})
-
-    made = rows.select("serial", "id", "url", "data", "digest", "to").mapInPandas(write, "record binary")
-    text = made.select(F.col("record").cast("string").alias("value"))
+            made: list[bytes] = []
+            gone = zip(f["id"].isna(), f["to"].isna())
+            for (no_id, no_to), serial, page_id, where, payload, digest, to in zip(gone, f["serial"], f["id"], f["url"], f["data"], f["digest"], f["to"]):
+                made += records(serial, None if no_id else int(page_id), where, payload, digest, None if no_to else int(to), segment)
+            yield pd.DataFrame({"record": made})
+
+    text = rows.select("serial", "id", "url", "data", "digest", "to").mapInPandas(write, "record binary")
+    text = text.select(F.col("record").cast("string").alias("value"))
     text.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
