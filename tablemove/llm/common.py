@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablemove.session import ensure_checkpoint_dir, scratch_path
 
-#: Rows of text that one Arrow batch to a Python worker may hold. Texts of 100 kB then take 25 MB.
-ARROW_ROWS = 256
+#: Bytes that one Arrow batch to a Python worker may hold (more only for a single larger row).
+ARROW_BYTES = 4_000_000
 #: A table is broadcast only if a count finds at most so many rows of a few numbers each (about 16 MB).
 BROADCAST_ROWS = 500_000
 
@@ -30,14 +30,15 @@ def materialise(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit in a worker's memory.
+    """Bound the bytes of an Arrow batch, so that long texts fit in a worker's memory.
 
     The setting stays on the session, because frames run after the operator
     has returned. A smaller value that a user has set is kept.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -90,8 +91,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         if not len(batch):
             continue
         held.append(batch)
-        last = batch[keys].iloc[-1]
-        if (batch[keys].iloc[0] == last).all() and (held[0][keys].iloc[0] == last).all():
+        if (held[0][keys].iloc[0] == batch[keys].iloc[-1]).all():
             continue
         frame = pd.concat(held, ignore_index=True)
         starts = _starts(frame, keys)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ BLANK = "▁"  # how SentencePiece writes a blank
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A character without a piece scores so much below the lowest piece, as in SentencePiece.
 UNKNOWN_PENALTY = 10.0
+#: Scores are rounded to multiples of its inverse: their sums are then exact, whatever the order, and ties are true ties.
+GRAIN = 1 << 16
 #: Stretches whose ids a worker remembers at most.
 MEMORY = 200_000
 
@@ -34,7 +37,11 @@ class Vocabulary:
 
     @staticmethod
     def load(model_file: str) -> Vocabulary:
-        """Read a public model file on the driver. Control and unknown pieces are never matched in a text."""
+        """Read a public model file on the driver. Control and unknown pieces are never matched in a text.
+
+        A unigram model's scores are log probabilities. A BPE model's are merge ranks, all whole numbers
+        from 0 down; by Zipf's law a piece of rank r gets the log probability -log(2 + r), but for a constant.
+        """
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -49,11 +56,13 @@ class Vocabulary:
             else:
                 normal.append((piece, i, float(m.get_score(i))))
                 surfaces.append(piece.encode())
+        if all(score == int(score) <= 0 for _, _, score in normal):
+            normal = [(p, i, -math.log(2 - score)) for p, i, score in normal]
         return Vocabulary.of(normal, surfaces, at)
 
     @staticmethod
     def of(normal: Iterable[tuple[str, int, float]], surfaces: Iterable[bytes], bytes_at: Iterable[int]) -> Vocabulary:
-        pieces = {p: (i, s) for p, i, s in normal}
+        pieces = {p: (i, round(s * GRAIN) / GRAIN) for p, i, s in normal}
         lowest = min((s for _, s in pieces.values()), default=0.0)
         return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), lowest - UNKNOWN_PENALTY)
 
@@ -136,8 +145,7 @@ class StreamingViterbi:
                 ids.extend(self.vocabulary.bytes_at[b] for b in reversed(self.text[start:at].encode("utf-8", "replace")))
             at = start
         self.text = self.text[to:]
-        base = self.score[to]
-        self.score = [s - base for s in self.score[to:]]
+        self.score = self.score[to:]
         self.back = [(max(0, s - to), p) for s, p in self.back[to:]]
         self.done = max(0, self.done - to)
         return ids[::-1]
