@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -33,6 +34,7 @@ class Vocabulary:
     surfaces: tuple[bytes, ...]
     bytes_at: tuple[int, ...]
     longest: int
+    reach: dict[str, int]  # the longest piece that starts with these two characters
     unknown_score: float
 
     @staticmethod
@@ -64,7 +66,10 @@ class Vocabulary:
     def of(normal: Iterable[tuple[str, int, float]], surfaces: Iterable[bytes], bytes_at: Iterable[int]) -> Vocabulary:
         pieces = {p: (i, round(s * GRAIN) / GRAIN) for p, i, s in normal}
         lowest = min((s for _, s in pieces.values()), default=0.0)
-        return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), lowest - UNKNOWN_PENALTY)
+        reach: dict[str, int] = {}
+        for p in pieces:
+            reach[p[:2]] = max(reach.get(p[:2], 1), len(p))
+        return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), reach, lowest - UNKNOWN_PENALTY)
 
     def stretches(self) -> re.Pattern:
         """Cuts a text where no piece can cross: before blanks that follow another character, if no piece
@@ -98,27 +103,40 @@ class StreamingViterbi:
         """Ids that are certain after ``more``; with ``last``, all the rest."""
         v, out = self.vocabulary, []
         self.text += more
-        get, worst = v.pieces.get, v.unknown_score
-        while self.done < len(self.text) and (last or self.done + v.longest <= len(self.text)):
-            at, here = self.done, self.score[self.done]
-            for end in range(at + 1, min(at + v.longest, len(self.text)) + 1):
-                hit = get(self.text[at:end])
+        text, score, back = self.text, self.score, self.back
+        get, reach, longest, unknown = v.pieces.get, v.reach, v.longest, (-1, v.unknown_score)
+        stop = len(text) if last else len(text) - longest + 1
+        whole = last and not self.done and len(text) <= 4 * longest  # fits in the window: committed at the end
+        at = self.done
+        while at < stop:
+            here = score[at]
+            far = min(at + reach.get(text[at : at + 2], 1), len(text))
+            if far >= len(score):
+                more_ends = far + 1 - len(score)
+                score.extend([-math.inf] * more_ends)
+                back.extend([(0, -1)] * more_ends)
+            for end in range(at + 1, far + 1):
+                hit = get(text[at:end])
                 if hit is None:
                     if end > at + 1:
                         continue
-                    hit = (-1, worst)
-                while len(self.score) <= end:
-                    self.score.append(-np.inf)
-                    self.back.append((0, -1))
-                if here + hit[1] > self.score[end]:
-                    self.score[end] = here + hit[1]
-                    self.back[end] = (at, hit[0])
-            self.done += 1
-            self.held = max(self.held, len(self.text))
-            if len(self.score) - 1 == self.done:
-                out += self._commit(self.done)
-            elif self.done >= 2 * v.longest and self.done % v.longest == 0:
+                    hit = unknown
+                if here + hit[1] > score[end]:
+                    score[end] = here + hit[1]
+                    back[end] = (at, hit[0])
+            at += 1
+            if whole:
+                continue
+            self.done = at
+            self.held = max(self.held, len(text))
+            if len(score) - 1 == at:
+                out += self._commit(at)
+            elif at >= 2 * longest and at % longest == 0:
                 out += self._commit(self._meeting())
+            if self.text is not text:
+                stop -= len(text) - len(self.text)
+                text, score, back, at = self.text, self.score, self.back, self.done
+        self.done = at
         if last:
             out += self._commit(len(self.text))
         return out
@@ -178,6 +196,17 @@ class Codec(dict):
         return text[1:] if text[:1] == " " else text
 
 
+_CODECS: dict[tuple, Codec] = {}
+
+
+def _codec(key: tuple, vocabulary: Vocabulary) -> Codec:
+    """The worker's codec for a vocabulary: its memory outlives a task, so that the next one starts with common words known."""
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary)
+    return _CODECS[key]
+
+
 def encode(spark: SparkSession, docs: DataFrame, *, text: str = "text", model_file: str = MODEL, ids: str = "ids") -> DataFrame:
     """``docs`` with an array column ``ids``: the ids of each whole text (null or empty: no ids).
 
@@ -187,11 +216,11 @@ def encode(spark: SparkSession, docs: DataFrame, *, text: str = "text", model_fi
     the model file has them) goes to the workers with the task.
     """
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary.load(model_file))
+    shared, key = spark.sparkContext.broadcast(Vocabulary.load(model_file)), (model_file, uuid.uuid4().hex)
 
     @F.pandas_udf("array<int>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
+        codec = _codec(key, shared.value)
         for s in texts:
             yield pd.Series([np.array(codec.encode(t or ""), dtype=np.int32) for t in s], dtype=object)
 
@@ -208,7 +237,7 @@ def decode(spark: SparkSession, rows: DataFrame, *, ids: str = "ids", text: str
         codec = Codec(shared.value)
         size = len(codec.vocabulary.surfaces)
         for s in lists:
-            known = ([] if x is None else np.asarray(x, dtype=float) for x in s)
-            yield pd.Series([codec.decode([int(i) for i in x if 0 <= i < size]) for x in known], dtype=object)
+            known = (np.empty(0) if x is None else np.asarray(x, dtype=float) for x in s)
+            yield pd.Series([codec.decode(x[(x >= 0) & (x < size)].astype(np.int64).tolist()) for x in known], dtype=object)
 
     return rows.withColumn(text, of(F.col(ids)))
