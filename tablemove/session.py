@@ -35,6 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     root = checkpoint_root(spark)
     if root is None:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set on {master}; name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tablemove-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
         try:
