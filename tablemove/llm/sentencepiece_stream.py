@@ -22,6 +22,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Scores are rounded to multiples of its inverse: their sums are then exact, whatever the order, and ties are true ties.
 GRAIN = 1 << 16
+NO_PIECE = (-2, -math.inf)
 #: Stretches whose ids a worker remembers at most.
 MEMORY = 200_000
 
@@ -34,7 +35,7 @@ class Vocabulary:
     surfaces: tuple[bytes, ...]
     bytes_at: tuple[int, ...]
     longest: int
-    reach: dict[str, int]  # the longest piece that starts with these two characters
+    starts: dict[str, tuple[int, float]]  # the pieces, and NO_PIECE for what only starts some
     unknown_score: float
 
     @staticmethod
@@ -66,10 +67,8 @@ class Vocabulary:
     def of(normal: Iterable[tuple[str, int, float]], surfaces: Iterable[bytes], bytes_at: Iterable[int]) -> Vocabulary:
         pieces = {p: (i, round(s * GRAIN) / GRAIN) for p, i, s in normal}
         lowest = min((s for _, s in pieces.values()), default=0.0)
-        reach: dict[str, int] = {}
-        for p in pieces:
-            reach[p[:2]] = max(reach.get(p[:2], 1), len(p))
-        return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), reach, lowest - UNKNOWN_PENALTY)
+        starts = {p[:k]: NO_PIECE for p in pieces for k in range(1, len(p))} | pieces
+        return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), starts, lowest - UNKNOWN_PENALTY)
 
     def stretches(self) -> re.Pattern:
         """Cuts a text where no piece can cross: before blanks that follow another character, if no piece
@@ -104,26 +103,33 @@ class StreamingViterbi:
         v, out = self.vocabulary, []
         self.text += more
         text, score, back = self.text, self.score, self.back
-        get, reach, longest, unknown = v.pieces.get, v.reach, v.longest, (-1, v.unknown_score)
+        get, longest, unknown = v.starts.get, v.longest, v.unknown_score
         stop = len(text) if last else len(text) - longest + 1
         whole = last and not self.done and len(text) <= 4 * longest  # fits in the window: committed at the end
         at = self.done
         while at < stop:
             here = score[at]
-            far = min(at + reach.get(text[at : at + 2], 1), len(text))
-            if far >= len(score):
-                more_ends = far + 1 - len(score)
-                score.extend([-math.inf] * more_ends)
-                back.extend([(0, -1)] * more_ends)
-            for end in range(at + 1, far + 1):
-                hit = get(text[at:end])
+            hit = get(text[at]) or NO_PIECE
+            piece, value = (-1, unknown) if hit[0] < 0 else hit
+            end = at + 1
+            while True:
+                if end == len(score):
+                    score.append(-math.inf)
+                    back.append((0, -1))
+                if here + value > score[end]:
+                    score[end] = here + value
+                    back[end] = (at, piece)
+                end += 1
+                hit = get(text[at:end]) if end <= len(text) else None
+                while hit is not None and hit[0] == -2:  # a start of pieces only
+                    end += 1
+                    hit = get(text[at:end]) if end <= len(text) else None
                 if hit is None:
-                    if end > at + 1:
-                        continue
-                    hit = unknown
-                if here + hit[1] > score[end]:
-                    score[end] = here + hit[1]
-                    back[end] = (at, hit[0])
+                    break
+                while len(score) < end:
+                    score.append(-math.inf)
+                    back.append((0, -1))
+                piece, value = hit
             at += 1
             if whole:
                 continue
