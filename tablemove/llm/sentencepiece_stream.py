@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 #: Scores are rounded to multiples of its inverse: their sums are then exact, whatever the order, and ties are true ties.
 GRAIN = 1 << 16
-NO_PIECE = (-2, -math.inf)
+#: Characters fed to a search at a time.
+STEP = 1024
 #: Stretches whose ids a worker remembers at most.
 MEMORY = 200_000
 
@@ -35,7 +36,7 @@ class Vocabulary:
     surfaces: tuple[bytes, ...]
     bytes_at: tuple[int, ...]
     longest: int
-    starts: dict[str, tuple[int, float]]  # the pieces, and NO_PIECE for what only starts some
+    starts: dict[str, float]  # scores of the pieces; what only starts some: minus infinity, or as unknown if one character
     unknown_score: float
 
     @staticmethod
@@ -67,8 +68,9 @@ class Vocabulary:
     def of(normal: Iterable[tuple[str, int, float]], surfaces: Iterable[bytes], bytes_at: Iterable[int]) -> Vocabulary:
         pieces = {p: (i, round(s * GRAIN) / GRAIN) for p, i, s in normal}
         lowest = min((s for _, s in pieces.values()), default=0.0)
-        starts = {p[:k]: NO_PIECE for p in pieces for k in range(1, len(p))} | pieces
-        return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), starts, lowest - UNKNOWN_PENALTY)
+        unknown = lowest - UNKNOWN_PENALTY
+        starts = {p[:k]: -math.inf if k > 1 else unknown for p in pieces for k in range(1, len(p))} | {p: score for p, (_, score) in pieces.items()}
+        return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), starts, unknown)
 
     def stretches(self) -> re.Pattern:
         """Cuts a text where no piece can cross: before blanks that follow another character, if no piece
@@ -79,6 +81,10 @@ class Vocabulary:
             return re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         return re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
 
+    def pairs(self) -> set[str]:
+        """Neighbouring characters within pieces. No piece can cross any other two neighbours in a text."""
+        return {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+
 
 @dataclass
 class StreamingViterbi:
@@ -94,107 +100,113 @@ class StreamingViterbi:
     vocabulary: Vocabulary
     text: str = ""  # since the last committed boundary
     score: list[float] = field(default_factory=lambda: [0.0])
-    back: list[tuple[int, int]] = field(default_factory=lambda: [(0, -1)])  # where the last piece starts, its id (-1: bytes)
+    back: list[int] = field(default_factory=lambda: [0])  # where the last piece starts
     done: int = 0  # starts up to here have been extended
+    reach: int = 0  # the farthest open end
     held: int = 0  # most characters ever held
 
     def push(self, more: str, last: bool = False) -> list[int]:
         """Ids that are certain after ``more``; with ``last``, all the rest."""
         v, out = self.vocabulary, []
         self.text += more
-        text, score, back = self.text, self.score, self.back
-        get, longest, unknown = v.starts.get, v.longest, v.unknown_score
-        stop = len(text) if last else len(text) - longest + 1
-        whole = last and not self.done and len(text) <= 4 * longest  # fits in the window: committed at the end
-        at = self.done
-        while at < stop:
-            here = score[at]
-            hit = get(text[at]) or NO_PIECE
-            piece, value = (-1, unknown) if hit[0] < 0 else hit
-            end = at + 1
-            while True:
-                if end == len(score):
-                    score.append(-math.inf)
-                    back.append((0, -1))
-                if here + value > score[end]:
-                    score[end] = here + value
-                    back[end] = (at, piece)
-                end += 1
-                hit = get(text[at:end]) if end <= len(text) else None
-                while hit is not None and hit[0] == -2:  # a start of pieces only
-                    end += 1
-                    hit = get(text[at:end]) if end <= len(text) else None
-                if hit is None:
-                    break
-                while len(score) < end:
-                    score.append(-math.inf)
-                    back.append((0, -1))
-                piece, value = hit
-            at += 1
-            if whole:
-                continue
-            self.done = at
-            self.held = max(self.held, len(text))
-            if len(score) - 1 == at:
-                out += self._commit(at)
-            elif at >= 2 * longest and at % longest == 0:
+        self.score += [-math.inf] * (len(self.text) + 1 - len(self.score))
+        self.back += [0] * (len(self.text) + 1 - len(self.back))
+        longest = v.longest
+        if last and not self.done and len(self.text) <= 4 * longest:  # fits in the window: committed at the end
+            self._extend(len(self.text))
+            return self._commit(len(self.text))
+        behind = 0 if last else longest - 1  # starts whose longest piece may not have come yet
+        while self.done < len(self.text) - behind:
+            self.held = max(self.held, len(self.text))
+            self._extend(min(self.done + longest, len(self.text) - behind))
+            if self.reach == self.done or self.done >= 2 * longest:
                 out += self._commit(self._meeting())
-            if self.text is not text:
-                stop -= len(text) - len(self.text)
-                text, score, back, at = self.text, self.score, self.back, self.done
-        self.done = at
-        if last:
-            out += self._commit(len(self.text))
-        return out
+        return out + self._commit(len(self.text)) if last else out
+
+    def _extend(self, stop: int) -> None:
+        """Extend the paths to all starts before ``stop`` by each piece that comes next, or one unknown character."""
+        text, score, back, reach = self.text, self.score, self.back, self.reach
+        get, unknown, ends = self.vocabulary.starts.get, self.vocabulary.unknown_score, len(text) + 1
+        for at in range(self.done, stop):
+            here, end = score[at], at + 1
+            value = get(text[at])
+            total = here + (unknown if value is None else value)
+            if total > score[end]:
+                score[end], back[end] = total, at
+            if value is not None:
+                for end in range(at + 2, ends):
+                    value = get(text[at:end])
+                    if value is None:
+                        end -= 1
+                        break
+                    total = here + value
+                    if total > score[end]:
+                        score[end], back[end] = total, at
+            if end > reach:
+                reach = end
+        self.done, self.reach = stop, reach
 
     def _meeting(self) -> int:
         """The last boundary that the best paths to all open ends share."""
-        ends = {e for e in range(self.done, len(self.score)) if self.score[e] > -np.inf}
+        ends = {e for e in range(self.done, self.reach + 1) if self.score[e] > -math.inf}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(self.back[far][0])
+            ends.add(self.back[far])
         return ends.pop()
 
     def _commit(self, to: int) -> list[int]:
         if not to:
             return []
         ids: list[int] = []
-        at = to
+        at, pieces = to, self.vocabulary.pieces
         while at:
-            start, piece = self.back[at]
-            if piece >= 0:
-                ids.append(piece)
+            start = self.back[at]
+            piece = pieces.get(self.text[start:at])
+            if piece:
+                ids.append(piece[0])
             else:
                 ids.extend(self.vocabulary.bytes_at[b] for b in reversed(self.text[start:at].encode("utf-8", "replace")))
             at = start
         self.text = self.text[to:]
         self.score = self.score[to:]
-        self.back = [(max(0, s - to), p) for s, p in self.back[to:]]
-        self.done = max(0, self.done - to)
+        self.back = [max(0, s - to) for s in self.back[to:]]
+        self.done, self.reach = max(0, self.done - to), max(0, self.reach - to)
         return ids[::-1]
 
 
 class Codec(dict):
-    """Encodes and decodes whole texts; remembers the ids of stretches between certain boundaries."""
+    """Encodes and decodes whole texts; remembers the ids of stretches between certain boundaries, as packed integers.
+
+    Holds at most ``MEMORY`` stretches twice: when full, it starts anew and
+    takes over what is met again from the last filling.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.cut = vocabulary, vocabulary.stretches().findall
-
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = StreamingViterbi(self.vocabulary).push(stretch, last=True)
+        self.vocabulary, self.cut, self.pairs, self.before = vocabulary, vocabulary.stretches().findall, vocabulary.pairs(), {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self.before.get(stretch)
+        if packed is None:
+            pairs = self.pairs
+            cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in pairs]
+            if cuts:
+                packed = b"".join([self[stretch[i:j]] for i, j in zip([0, *cuts], [*cuts, len(stretch)])])
+            else:
+                search, ends = StreamingViterbi(self.vocabulary), range(STEP, len(stretch) + STEP, STEP)
+                packed = b"".join([array("i", search.push(stretch[e - STEP : e], e >= len(stretch))).tobytes() for e in ends])
         if len(stretch) <= 64:
             if len(self) >= MEMORY:
+                self.before = dict(self)
                 self.clear()
-            self[stretch] = ids
-        return ids
+            self[stretch] = packed
+        return packed
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text: a blank is put before it, blanks become U+2581; nothing else is normalised. An empty text has none."""
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.__getitem__, self.cut(BLANK + text.replace(" ", BLANK)))))
+        stretches = self.cut(BLANK + text.replace(" ", BLANK)) if text else ()
+        return np.frombuffer(b"".join(map(self.__getitem__, stretches)), dtype=np.intc)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: the leading blank goes, U+2581 becomes a blank, bytes that are no UTF-8 become U+FFFD."""
@@ -228,7 +240,7 @@ def encode(spark: SparkSession, docs: DataFrame, *, text: str = "text", model_fi
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(key, shared.value)
         for s in texts:
-            yield pd.Series([np.array(codec.encode(t or ""), dtype=np.int32) for t in s], dtype=object)
+            yield pd.Series([codec.encode(t or "") for t in s], dtype=object)
 
     return docs.withColumn(ids, of(F.col(text).cast("string")))
 

@@ -122,13 +122,13 @@ def brute_viterbi(v, text):
     return ids[::-1]
 
 
-TEXTS = ["a", "  a  b\n\tc ", "Étion dans la vie", "中文 \U0001f600 é", "thonblean | restat.\nFor ▁ it", "x" * 50, "\n\n", "aaaa bbbb" * 9, "\x00\x1c"]
+TEXTS = ["a", "  a  b\n\tc ", "Étion dans la vie", "中文 \U0001f600 é", "thonblean | restat.\nFor ▁ it", "x" * 50, "\n\n", "aaaa bbbb" * 9, "\x00\x1c", "(a) b, c.d... &&&x -- \"it's\"\n.\n,a ,a | .", "a" + "." * 300 + "b"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_encode_equals_whole_text_search(vocabulary, text):
     codec = sp.Codec(vocabulary)
-    assert codec.encode(text) == brute_viterbi(vocabulary, sp.BLANK + text.replace(" ", sp.BLANK))
+    assert codec.encode(text).tolist() == brute_viterbi(vocabulary, sp.BLANK + text.replace(" ", sp.BLANK))
     assert codec.decode(codec.encode(text)) == text.replace(sp.BLANK, " ")
 
 
@@ -152,15 +152,24 @@ def test_stream_in_pieces_of_any_size_and_bounded_window():
     assert stream.held < 500  # of 30,000 characters
 
 
+def test_memory_is_bounded_and_changes_no_ids(vocabulary, monkeypatch):
+    monkeypatch.setattr(sp, "MEMORY", 50)
+    rng, codec = random.Random(4), sp.Codec(vocabulary)
+    for _ in range(400):
+        text = " ".join("".join(rng.choice("aeinst") for _ in range(rng.randrange(1, 4))) for _ in range(5))
+        assert codec.encode(text).tolist() == brute_viterbi(vocabulary, sp.BLANK + text.replace(" ", sp.BLANK))
+        assert len(codec) <= 50 and len(codec.before) <= 50
+
+
 def test_the_library_decodes_our_ids(vocabulary):
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
     codec = sp.Codec(vocabulary)
     for text in [t for t in TEXTS if sp.BLANK not in t]:
-        assert m.decode(codec.encode(text)) == text
+        assert m.decode(codec.encode(text).tolist()) == text
     words = "the quick brown fox and this is what they were saying about it".split()
-    assert sum(codec.encode(w) == m.encode(w) for w in words) >= 10  # most common words have a piece of their own
+    assert sum(codec.encode(w).tolist() == m.encode(w) for w in words) >= 10  # most common words have a piece of their own
 
 
 def test_encode_table(spark):
