@@ -25,7 +25,7 @@ GRAIN = 1 << 16
 #: Characters fed to a search at a time.
 STEP = 1024
 #: Stretches whose ids a worker remembers at most.
-MEMORY = 200_000
+MEMORY = 400_000
 
 
 @dataclass(frozen=True)
