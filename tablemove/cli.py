@@ -16,6 +16,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -90,11 +91,15 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         copy_summary(out).show(truncate=False)
         failed = out.filter("status <> 'succeeded'").limit(1).count() > 0
     elif args.command == "migrate":
+        from .operators.catalog import list_tables
         from .plans.copy import copy_summary, copy_tables
 
         src = _qualified(args.source_catalog, args.source_db)
         dst = _qualified(args.target_catalog, args.dest_db or args.source_db)
-        out = copy_tables(spark, src, dst, args.tables, mode="create" if args.strict else "replace",
+        tables = args.tables
+        if tables == ["*"]:
+            tables = [r.tableName for r in list_tables(spark, src).collect()]  # names only
+        out = copy_tables(spark, src, dst, tables, mode="create" if args.strict else "replace",
                           fmt=args.fmt, verify=args.verify, parallelism=args.parallelism)
         out.show(args.show, truncate=False)
         copy_summary(out).show(truncate=False)
@@ -117,7 +122,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
                               multi_line=not args.json_lines)
         print(res.message)
         if res.rejects is not None:
-            bad_files = res.rejects.select("source_file").distinct()  # unparseable files of this run
+            res.rejects.write.mode("overwrite").saveAsTable(f"{args.ledger}_rejects")
+            bad_files = spark.read.table(f"{args.ledger}_rejects").select("source_file").distinct()
             n_bad = bad_files.count()
             if n_bad:
                 print(f"Warning: {n_bad} file(s) with records that could not be parsed, e.g.:")
@@ -135,13 +141,13 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         from .sources.jobs import read_job_records, write_job_records
 
         records, _ = read_job_records(spark, args.archive, multi_line=not args.json_lines)
-        existing = None
+        existing = records.select("job_id")  # children that were served
         try:
-            queued, _ = read_job_records(spark, args.queue, multi_line=False)
-            queued.schema  # noqa: B018
-            existing = queued.select("job_id")
-        except Exception:  # noqa: BLE001 - empty or missing queue
-            existing = None
+            queued, _ = read_job_records(spark, args.queue)  # either layout
+            existing = existing.unionByName(queued.select("job_id"))
+        except AnalysisException as exc:
+            if not (exc.getCondition() or "").startswith("PATH_NOT_FOUND"):
+                raise
         children = chain_registrations(records, existing=existing)
         write_job_records(children, args.queue)
         print("queued registration records written to", args.queue)

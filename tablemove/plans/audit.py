@@ -103,31 +103,6 @@ def unseen_rows(spark: SparkSession, rows: DataFrame, ledger: str) -> DataFrame:
     return rows.join(known_keys(spark, ledger), "job_key", "left_anti")
 
 
-# Above this many unseen archive files, scan the whole archive instead of
-# naming files one by one (both are exact; the key anti-join dedups).
-MAX_LISTED_NEW_FILES = 200_000
-
-
-def unseen_files(spark: SparkSession, archive: str, ledger: str, glob: str | None) -> list[str] | None:
-    """Archive files not yet in the ledger, or ``None`` to scan everything.
-
-    The archive is listed (paths only, contents not read) and anti-joined
-    with the ledger's ``source_file`` column, so only new files are parsed,
-    as a run that skips known job files would. Files are assumed immutable
-    once written; the later key anti-join keeps the result exact anyway.
-    """
-    # Compare on the scan's own ``_metadata.file_path`` (URL-encoded, the form
-    # stored in the ledger) and read the new files by their plain ``path``.
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    listing = reader.load(archive).select("path", F.col("_metadata.file_path").alias("source_file"))
-    seen = spark.read.table(quote_name(ledger)).select("source_file").distinct()
-    new = listing.join(seen, "source_file", "left_anti").select("path").limit(MAX_LISTED_NEW_FILES + 1)
-    paths = [r.path for r in new.collect()]
-    return None if len(paths) > MAX_LISTED_NEW_FILES else paths
-
-
 def _is_missing_path(exc: AnalysisException) -> bool:
     return (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
 
@@ -141,7 +116,13 @@ def generate_report(
     glob: str | None = "*.json",
     fmt: str | None = None,
 ) -> AuditResult:
-    """Update the ledger table ``ledger`` from ``archive``; return the report."""
+    """Update the ledger table ``ledger`` from ``archive``; return the report.
+
+    Every run parses the whole archive, so files may grow; an incremental run
+    appends the jobs whose key the ledger lacks. For archives too large to be
+    parsed anew each time, the file-source stream (``run_audit_stream``) keeps
+    the same ledger and reads new files only.
+    """
     try:
         records, rejects = read_job_records(spark, archive, multi_line=multi_line, glob=glob)
         records.schema  # noqa: B018 - resolve the path now
@@ -153,18 +134,11 @@ def generate_report(
     if parent:
         ensure_namespace(spark, quote_name(parent))
     incremental = not full_rescan and table_exists(spark, ledger)
-    if incremental:
-        paths = unseen_files(spark, archive, ledger, glob)
-        if paths is not None:
-            if paths:
-                records, rejects = read_job_records(spark, paths, multi_line=multi_line, glob=None)
-            else:
-                records = records.limit(0)
-                rejects = rejects.limit(0)
     rows = audit_rows(records)
     if incremental:
         fresh, obs = counted(unseen_rows(spark, rows, ledger), "tm_audit")
-        fresh.write.mode("append").saveAsTable(quote_name(ledger))
+        # by position, in the ledger's own format
+        fresh.select(*spark.read.table(quote_name(ledger)).columns).write.insertInto(quote_name(ledger))
     else:
         fresh, obs = counted(rows, "tm_audit")
         replace_table(fresh, ledger, fmt=fmt)
@@ -181,12 +155,12 @@ def compact_ledger(spark: SparkSession, ledger: str, rows_per_file: int = 2_000_
 
     Incremental runs append a few small files each; compaction reads the
     ledger once and writes it back through the staged swap (the old table
-    stays until the new one is written). ``coalesce`` merges partitions
-    without a shuffle.
+    stays until the new one is written). The rows are dealt evenly over as
+    many tasks as files.
     """
     df = spark.read.table(quote_name(ledger))
     n = max(1, -(-df.count() // rows_per_file))
-    replace_table(df.coalesce(n), ledger)
+    replace_table(df.repartition(n), ledger)
     spark.catalog.refreshTable(quote_name(ledger))
     return len(spark.read.table(quote_name(ledger)).inputFiles())
 

@@ -109,15 +109,19 @@ def build_manifest(
     """Manifest rows for ``tables`` given a listing ``files`` (``path`` column).
 
     ``tables`` columns: ``namespace, table, location, sf_db, sf_schema``
-    (``location`` may be null when the catalog reported none).
+    (``location`` may be null when the catalog reported none), and optionally
+    ``lookup_error``, the reason why there is none.
     """
     latest = latest_metadata(metadata_versions(files, pattern))
     loc = F.regexp_replace(F.col("location"), "/+$", "")
     joined = tables.withColumn("table_root", loc).join(latest, "table_root", "left")
     rel = relative_to(F.col("metadata_file"), warehouse)
     status_ok = F.col("location").isNotNull() & F.col("metadata_file").isNotNull() & rel.isNotNull()
+    no_location = F.lit("no Location for table")
+    if "lookup_error" in tables.columns:
+        no_location = F.coalesce("lookup_error", no_location)
     error = (
-        F.when(F.col("location").isNull(), F.lit("no Location for table"))
+        F.when(F.col("location").isNull(), no_location)
         .when(F.col("metadata_file").isNull(), F.lit("no metadata file matching the version pattern"))
         .when(rel.isNull(), F.lit("metadata file is outside the warehouse location"))
     )
@@ -156,14 +160,15 @@ def publish_manifest(
     are listed in a single file scan.
     """
     def lookup(t: str) -> tuple:
+        reason = None
         try:
             location = table_location(spark, quote_name(split_name(namespace) + [t]))
-        except Exception:  # noqa: BLE001 - an unreadable table becomes a failed row
-            location = None
+        except Exception as exc:  # noqa: BLE001 - an unreadable table becomes a failed row
+            location, reason = None, str(exc).split("\n", 1)[0]
         if location:
             # DESCRIBE shows a URI (spaces as %20); listings show plain paths
             location = unquote(location)
-        return (namespace, t, location, sf_db, sf_schema)
+        return (namespace, t, location, sf_db, sf_schema, reason)
 
     names = list(dict.fromkeys(tables))
     if lookup_parallelism > 1 and len(names) > 1:
@@ -172,7 +177,7 @@ def publish_manifest(
     else:
         rows = [lookup(t) for t in names]
     table_df = spark.createDataFrame(
-        rows, "namespace string, table string, location string, sf_db string, sf_schema string"
+        rows, "namespace string, table string, location string, sf_db string, sf_schema string, lookup_error string"
     )
     folders = [r[2].rstrip("/") + "/metadata" for r in rows if r[2]]
     files = list_folders(spark, folders)

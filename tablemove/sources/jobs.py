@@ -2,8 +2,10 @@
 
 A job record is one JSON object. Two on-disk layouts are read:
 
-* ``multi_line=True``  - one (indented) object per file, the layout of a
-  job queue/archive folder; the file stem is the job's fallback key.
+* ``multi_line=True``  - objects over one or more lines, each from the start
+  of a line: indented, as in a job queue/archive folder, or JSON lines, or
+  both in one file. A file is read as one text, so files should be small;
+  the file stem is the job's fallback key.
 * ``multi_line=False`` - JSON lines, many records per file; splittable, the
   layout to use for large archives (one tiny file per job does not scale).
 
@@ -41,13 +43,33 @@ JOB_COLUMNS = [f.name for f in JOB_FIELDS]
 
 
 def with_file_columns(df: DataFrame) -> DataFrame:
-    """Add ``source_file``, ``file_mtime``, ``stem`` and ``job_key``."""
-    return (
+    """Add ``source_file``, ``file_mtime``, ``stem`` and, where there is a ``job_id``, ``job_key``."""
+    out = (
         df.withColumn("source_file", F.col("_metadata.file_path"))
         .withColumn("file_mtime", F.col("_metadata.file_modification_time"))
         .withColumn("stem", F.regexp_replace(file_name(), r"\.[^.]*$", ""))
-        .withColumn("job_key", F.coalesce(F.col("job_id"), F.col("stem")))
     )
+    return out.withColumn("job_key", F.coalesce("job_id", "stem")) if "job_id" in df.columns else out
+
+
+def _scan(reader, path, multi_line: bool, glob: str | None) -> DataFrame:
+    """Records and rejects of a batch or streaming ``reader``."""
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if not multi_line:
+        lines = reader.schema(JOB_READ_SCHEMA).option("mode", "PERMISSIVE")
+        return with_file_columns(lines.option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    # One object, array or stray text from each line start that is no inner line of an indented object.
+    files = with_file_columns(reader.text(path, wholetext=True))
+    pieces = files.withColumn("_piece", F.explode(F.split("value", r"\r?\n(?=[^\s}\]\"])"))).filter(F.col("_piece").rlike(r"\S"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    # A piece that starts like an object or array but goes on after its end, or is neither, is a reject.
+    whole = F.when(F.col("_piece").rlike(r"^\s*(?s:\{.*\}|\[.*\])\s*$"), F.col("_piece"))
+    parsed = pieces.withColumn("_job", F.explode_outer(F.from_json(whole, T.ArrayType(JOB_READ_SCHEMA), options)))
+    corrupt = F.when(F.col("_job").isNull(), F.col("_piece")).otherwise(F.col("_job._corrupt_record"))
+    jobs = [F.col(f"_job.{c}").alias(c) for c in JOB_COLUMNS]
+    rows = parsed.select(*jobs, corrupt.alias("_corrupt_record"), "source_file", "file_mtime", "stem")
+    return rows.withColumn("job_key", F.coalesce("job_id", "stem"))
 
 
 def read_job_records(
@@ -61,15 +83,7 @@ def read_job_records(
     ``records`` has the job fields plus ``source_file``, ``file_mtime``,
     ``stem`` and ``job_key`` (= ``job_id``, else the file stem).
     """
-    reader = (
-        spark.read.schema(JOB_READ_SCHEMA)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("multiLine", multi_line)
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = with_file_columns(reader.json(path if isinstance(path, str) else list(path)))
+    raw = _scan(spark.read, path if isinstance(path, str) else list(path), multi_line, glob)
     # The always-true ``keep_scan`` term keeps a data column in the scan:
     # Spark refuses raw JSON scans whose only column is the corrupt-record
     # column, which is what a bare ``count()`` over either frame would
@@ -84,16 +98,7 @@ def read_job_records(
 
 def job_record_stream(spark: SparkSession, path: str, multi_line: bool = True, glob: str | None = "*.json", **options):
     """Streaming scan of a job folder (same schema, PERMISSIVE)."""
-    reader = (
-        spark.readStream.schema(JOB_READ_SCHEMA)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line)
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return with_file_columns(reader.json(path))
+    return _scan(spark.readStream.options(**options), path, multi_line, glob)
 
 
 def write_job_records(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -4,7 +4,8 @@ The file source's checkpoint is the set of archive files already seen, so
 each run parses only new files (the streaming form of "skip known jobs").
 Each micro-batch is turned into report rows and appended to the ledger
 after a left-anti join on ``job_key``; a batch replayed after a failure
-therefore adds nothing twice. Run it with ``availableNow`` from a scheduler
+therefore adds nothing twice. Records that cannot be parsed go to
+``<ledger>_rejects``. Run it with ``availableNow`` from a scheduler
 (process everything new, then stop) or with a processing-time trigger.
 """
 
@@ -25,7 +26,16 @@ def _append_batch(ledger: str):
         rows = audit_rows(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
         if table_exists(spark, ledger):
             rows = unseen_rows(spark, rows, ledger)
-        rows.write.mode("append").saveAsTable(quote_name(ledger))
+            rows = rows.select(*spark.read.table(quote_name(ledger)).columns)
+            rows.write.insertInto(quote_name(ledger))
+        else:
+            rows.write.mode("append").saveAsTable(quote_name(ledger))
+        rejects = batch.filter(F.col("_corrupt_record").isNotNull()).select("source_file", "_corrupt_record")
+        rejects_table = f"{ledger}_rejects"
+        if table_exists(spark, rejects_table):  # a replayed batch adds nothing
+            known = spark.read.table(quote_name(rejects_table))
+            rejects = rejects.join(known, ["source_file", "_corrupt_record"], "left_anti")
+        rejects.write.mode("append").saveAsTable(quote_name(rejects_table))
 
     return handle
 

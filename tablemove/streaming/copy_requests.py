@@ -9,7 +9,9 @@ per-table outcome rows and job status events (running, then
 completed/failed). ``register_snowflake`` requests (e.g. queued by
 :func:`tablemove.plans.chain.chain_registrations`) build publish-manifest
 rows when a ``warehouse`` root is given; other job types fail without
-running anything.
+running anything. A request without an id goes by its file stem. Records
+that cannot be parsed fail, and the reason of every failed request that has
+no outcome rows is kept in ``<events table>_errors``.
 
 Processed request files are moved to the archive folder by the file source
 (``cleanSource=archive``); the move of a file happens in a later batch than
@@ -41,6 +43,9 @@ REQUEST_OUTCOME = T.StructType(
     [T.StructField("job_id", T.StringType()), T.StructField("batch_id", T.LongType())] + OUTCOME.fields
 )
 
+#: Requests that could not be parsed (with their text) or that raised.
+REQUEST_ERROR = "job_id string, batch_id long, source_file string, record string, error string"
+
 
 def _now_iso() -> str:
     return dt.datetime.now(dt.timezone.utc).isoformat().replace("+00:00", "Z")
@@ -63,6 +68,8 @@ def _handler(
     warehouse: str | None = None,
     manifest_table: str | None = None,
 ):
+    errors_table = f"{events_table}_errors"
+
     def qualified(ns: str | None) -> str | None:
         if not ns:
             return None
@@ -71,9 +78,9 @@ def _handler(
     def serve(spark: SparkSession, req, batch_id: int) -> tuple[str, bool, DataFrame | None]:
         """Run one request: ``(status, ran, outcome rows or None)``."""
         tables = list(req.tables or [])
-        tag = [F.lit(req.job_id).alias("job_id"), F.lit(batch_id).cast("long").alias("batch_id")]
+        tag = [F.lit(req.job_key).alias("job_id"), F.lit(batch_id).cast("long").alias("batch_id")]
         if req.job_type in (TYPE_INGEST, TYPE_MIGRATE):
-            src = ".".join(p for p in (source_catalog, req.source_db) if p)
+            src = quote_name([p for p in (source_catalog, req.source_db) if p])
             if req.job_type == TYPE_INGEST:
                 dst = target_namespace_for(req.source_db, target_catalog)
             else:
@@ -89,9 +96,8 @@ def _handler(
         if req.job_type == TYPE_REGISTER and warehouse and manifest_table:
             manifest = publish_manifest(spark, qualified(req.azure_db), tables, warehouse, req.sf_db, req.sf_schema)
             rows = manifest.collect()  # one row per requested table
-            spark.createDataFrame(rows, manifest.schema).select(*tag, "*").write.mode("append").saveAsTable(
-                quote_name(manifest_table)
-            )
+            tagged = spark.createDataFrame(rows, manifest.schema).select(*tag, "*")
+            _append_new(spark, tagged, manifest_table, ["job_id", "batch_id", "table"])
             ok = bool(tables) and all(r.status == "ok" for r in rows)
             return ("completed" if ok else "failed"), True, None
         return "failed", False, None  # unknown type: fails, no end time
@@ -99,26 +105,32 @@ def _handler(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = (
-            batch.filter(F.col("_corrupt_record").isNull())
-            .select("job_id", "job_type", "source_db", "dest_db", "azure_db", "sf_db", "sf_schema",
-                    "tables", "file_mtime")
-            .orderBy("file_mtime", "job_id")
+            batch.select("job_key", "job_type", "source_db", "dest_db", "azure_db", "sf_db", "sf_schema",
+                         "tables", "file_mtime", "source_file", "_corrupt_record")
+            .orderBy("file_mtime", "source_file", "job_key")
             .collect()
         )
         outcome_frames = []
         events = []
-        seq = batch_id * 1_000_000
+        errors = []
+        seq = batch_id << 32  # no batch of collected requests comes near 2^31
         for req in requests:
-            seq += 1
-            events.append((req.job_id, seq, "running", _now_iso(), None))
+            seq += 2
+            if req._corrupt_record is not None:
+                events.append((req.job_key, seq, "failed", None, None))
+                errors.append((req.job_key, batch_id, req.source_file, req._corrupt_record, "not a job record"))
+                continue
+            events.append((req.job_key, seq - 1, "running", _now_iso(), None))
             try:
                 status, ran, out = serve(spark, req, batch_id)
-            except Exception:  # noqa: BLE001 - a request failure must not stop the batch
+                if not ran:
+                    errors.append((req.job_key, batch_id, req.source_file, None, f"no handler for job type {req.job_type}"))
+            except Exception as exc:  # noqa: BLE001 - a request failure must not stop the batch
                 status, ran, out = "failed", True, None
+                errors.append((req.job_key, batch_id, req.source_file, None, str(exc)))
             if out is not None:
                 outcome_frames.append(out)
-            seq += 1
-            events.append((req.job_id, seq, status, None, _now_iso() if ran else None))
+            events.append((req.job_key, seq, status, None, _now_iso() if ran else None))
         if outcome_frames:
             merged = outcome_frames[0]
             for f in outcome_frames[1:]:
@@ -126,6 +138,8 @@ def _handler(
             _append_new(spark, merged, outcomes_table, ["job_id", "batch_id", "table"])
         if events:
             _append_new(spark, spark.createDataFrame(events, EVENT_SCHEMA), events_table, ["job_id", "event_seq"])
+        if errors:
+            _append_new(spark, spark.createDataFrame(errors, REQUEST_ERROR), errors_table, ["job_id", "batch_id", "source_file"])
 
     return handle
 

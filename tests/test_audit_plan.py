@@ -159,19 +159,45 @@ def test_mixed_end_time_formats_parse_per_value(spark, tmp, ns):
                    "id-0004": (True, "8.00"), "id-0005": (True, "9.12")}
 
 
-def test_incremental_parses_only_unseen_files(spark, tmp, ns):
-    """Known files are skipped before parsing (like skipping known job files)."""
+def test_file_that_grew_adds_its_new_job(spark, tmp, ns):
     arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
     _write_jobs(arch, [_job(1), _job(2)])
     P.generate_report(spark, arch, ledger)
-    with open(f"{arch}/id-0001.json", "w") as f:  # rewritten in place: not re-read
-        json.dump(_job(99), f)
+    with open(f"{arch}/id-0001.json", "a") as f:
+        f.write("\n" + json.dumps(_job(99)))
     _write_jobs(arch, [_job(3)])
     res = P.generate_report(spark, arch, ledger)
-    assert res.new_jobs == 1 and res.message == "Report updated with 1 new job(s)."
-    assert sorted(r["Job ID"] for r in res.report.collect()) == ["id-0001", "id-0002", "id-0003"]
-    paths = P.unseen_files(spark, arch, ledger, "*.json")
-    assert paths == []
+    assert res.new_jobs == 2 and res.message == "Report updated with 2 new job(s)."
+    assert sorted(r["Job ID"] for r in res.report.collect()) == ["id-0001", "id-0002", "id-0003", "id-0099"]
+
+
+def test_mixed_layouts_lose_no_record(spark, tmp):
+    os.makedirs(f"{tmp}/mixed")
+    lines = [json.dumps(_job(i)) for i in range(1, 6)]
+    texts = {
+        "lines": "\n".join(lines) + "\n",
+        "indented": json.dumps(_job(6), indent=2),
+        "both": json.dumps(_job(7), indent=4) + "\r\n\r\n" + json.dumps(_job(8)) + "\nstray text\n",
+        "cut": json.dumps(_job(9))[:-5],
+        "array": json.dumps([_job(10), _job(11)], indent=2),
+        "trailing": json.dumps(_job(12)) + " tail",
+        "empty": "",
+    }
+    for name, text in texts.items():
+        with open(f"{tmp}/mixed/{name}.json", "w", newline="") as f:
+            f.write(text)
+    records, rejects = read_job_records(spark, f"{tmp}/mixed")
+    assert sorted(r.job_id for r in records.collect()) == [f"id-{i:04d}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 10, 11)]
+    assert sorted(r.source_file.rsplit("/", 1)[-1] for r in rejects.collect()) == ["both.json", "cut.json", "trailing.json"]
+
+
+def test_ledger_keeps_its_format(spark, tmp, ns):
+    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
+    _write_jobs(arch, [_job(1)])
+    P.generate_report(spark, arch, ledger, fmt="orc")
+    _write_jobs(arch, [_job(2)])
+    assert P.generate_report(spark, arch, ledger).new_jobs == 1
+    assert spark.table(ledger).count() == 2
 
 
 def test_compact_ledger(spark, tmp, ns):
@@ -218,27 +244,14 @@ def test_unseen_rows_both_paths_and_hot_key(spark, ns, monkeypatch):
     assert fast == slow == [("new1", 3), ("new1", 5), ("new2", 4)]
 
 
-def test_incremental_full_scan_fallback(spark, tmp, ns, monkeypatch):
-    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
-    _write_jobs(arch, [_job(1), _job(2)])
-    P.generate_report(spark, arch, ledger)
-    _write_jobs(arch, [_job(3)])
-    monkeypatch.setattr(P, "MAX_LISTED_NEW_FILES", 0)  # too many new files: scan everything
-    res = P.generate_report(spark, arch, ledger)
-    assert res.new_jobs == 1 and res.report.count() == 3
-
-
-def test_seen_files_with_spaces_in_path(spark, tmp, ns):
+def test_incremental_with_any_file_name(spark, tmp, ns):
     arch, ledger = f"{tmp}/my archive", f"{ns}.ledger"
     os.makedirs(arch)
-    with open(f"{arch}/job one.json", "w") as f:
-        json.dump(_job(1), f)
-    P.generate_report(spark, arch, ledger)
-    assert P.unseen_files(spark, arch, ledger, "*.json") == []
-    with open(f"{arch}/job two.json", "w") as f:
-        json.dump(_job(2), f)
-    assert [p.rsplit("/", 1)[-1] for p in P.unseen_files(spark, arch, ledger, "*.json")] == ["job two.json"]
-    assert P.generate_report(spark, arch, ledger).new_jobs == 1
+    for i, name in enumerate(("job one", "j[2]", "k{3}"), 1):
+        with open(f"{arch}/{name}.json", "w") as f:
+            json.dump(_job(i), f)
+        assert P.generate_report(spark, arch, ledger).new_jobs == 1
+    assert P.generate_report(spark, arch, ledger).message == P.MSG_UP_TO_DATE
 
 
 def test_stem_key_is_the_decoded_file_name(spark, tmp):

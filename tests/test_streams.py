@@ -84,18 +84,24 @@ def test_copy_request_stream(spark, tmp, ns):
 
 def test_request_batch_replay_appends_nothing_twice(spark, tmp, ns):
     """Running one micro-batch handler twice (a replay) leaves one set of rows."""
+    from tablemove.sources.jobs import _scan
     from tablemove.streaming.copy_requests import _handler
 
     register_parquet_tables(spark, "/root/testdata/sf0.001", ns, ["region"])
     _write(f"{tmp}/q", "r1.json", {"job_id": "r1", "job_type": "ingest_from_hive", "source_db": ns,
                                    "tables": ["region"]})
-    raw = spark.read.schema("job_id string, job_type string, source_db string, dest_db string, azure_db string, "
-                            "sf_db string, sf_schema string, tables array<string>, _corrupt_record string") \
-        .option("multiLine", True).json(f"{tmp}/q").withColumn("file_mtime", F.current_timestamp())
+    _write(f"{tmp}/q", "no-id.json", {"job_type": "export_audit_to_snowflake", "csv_path": "x"})
+    with open(f"{tmp}/q/broken.json", "w") as f:
+        f.write('{"job_id": ')
+    raw = _scan(spark.read, f"{tmp}/q", True, "*.json")
     handle = _handler(f"{ns}.outcomes", f"{ns}.events", None, None, f"{tmp}/targets")
     handle(raw, 7)
     handle(raw, 7)
     spark.catalog.refreshTable(f"{ns}.outcomes")
     spark.catalog.refreshTable(f"{ns}.events")
     assert spark.table(f"{ns}.outcomes").count() == 1
-    assert spark.table(f"{ns}.events").count() == 2
+    events = [(r.job_id, r.status) for r in spark.table(f"{ns}.events").orderBy("job_id", "event_seq").collect()]
+    assert events == [("broken", "failed"), ("no-id", "running"), ("no-id", "failed"), ("r1", "running"), ("r1", "completed")]
+    errors = {r.job_id: r for r in spark.table(f"{ns}.events_errors").collect()}
+    assert set(errors) == {"broken", "no-id"} and spark.table(f"{ns}.events_errors").count() == 2
+    assert errors["broken"].record == '{"job_id": ' and "export_audit" in errors["no-id"].error
