@@ -103,6 +103,7 @@ class StreamingViterbi:
     back: list[int] = field(default_factory=lambda: [0])  # where the last piece starts
     done: int = 0  # starts up to here have been extended
     reach: int = 0  # the farthest open end
+    wait: int = 0  # no search for a shared boundary before so many starts are extended
     held: int = 0  # most characters ever held
 
     def push(self, more: str, last: bool = False) -> list[int]:
@@ -119,8 +120,9 @@ class StreamingViterbi:
         while self.done < len(self.text) - behind:
             self.held = max(self.held, len(self.text))
             self._extend(min(self.done + longest, len(self.text) - behind))
-            if self.reach == self.done or self.done >= 2 * longest:
+            if self.reach == self.done or self.done >= max(2 * longest, self.wait):
                 out += self._commit(self._meeting())
+                self.wait = 2 * self.done  # what stays open is walked again only when it has doubled
         return out + self._commit(len(self.text)) if last else out
 
     def _extend(self, stop: int) -> None:
