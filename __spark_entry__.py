@@ -12,6 +12,7 @@ engines hash the same value.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -476,6 +477,45 @@ def q_reconcile_tables(spark, sf_dir):
     return reconcile_tables(spark, src, dst, names + ["supplier"])
 
 
+def q_reconcile_nested(spark, sf_dir):
+    """Copies of nested columns, one with wider numbers inside, one with a changed value deep in a map."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn(
+        "said", F.struct(F.create_map("role", F.create_map(F.lit("turn"), F.col("turn").cast("int"))).alias("by"), "text")
+    )
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", F.array(F.struct(F.col("vec_id").cast("int").alias("n"), F.create_map(F.lit("id"), F.col("vec_id").cast("int")).alias("m"))).alias("parts")
+    )
+    wide = "array<struct<n:bigint,m:map<string,bigint>>>"
+    src, src_loc = _target_namespace(spark, "tm_src")
+    dst, dst_loc = _target_namespace(spark)
+    ensure_namespace(spark, src, src_loc)
+    ensure_namespace(spark, dst, dst_loc)
+    turns.write.saveAsTable(f"{src}.turns")
+    vecs.write.saveAsTable(f"{src}.vecs")
+    copy_tables(spark, src, f"{dst}_same", ["turns"], target_location=f"{dst_loc}_same", verify=True)
+    spark.read.table(f"{dst}_same.turns").write.saveAsTable(f"{dst}.turns")
+    vecs.withColumn("parts", F.col("parts").cast(wide)).write.saveAsTable(f"{dst}.vecs")
+    other = F.create_map("role", F.create_map(F.lit("turn"), F.when(F.col("turn") == 0, 1).otherwise(F.col("turn").cast("int"))))
+    for ns, frame in ((src, turns), (dst, turns.withColumn("said", F.struct(other.alias("by"), "text")))):
+        frame.write.saveAsTable(f"{ns}.changed")
+    return reconcile_tables(spark, src, dst, ["turns", "vecs", "changed"])
+
+
+def q_audit_incremental_dup(spark, sf_dir):
+    """Every job archived twice, the second time with another status: the first stays, in two runs as in one."""
+    ensure_checkpoint_dir(spark)
+    jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    archive, ledger = scratch_path(spark, "archive"), _ledger_name(spark)
+    write_job_records(jobs, archive)
+    audit_plan.generate_report(spark, archive, ledger, multi_line=False)
+    time.sleep(1.1)  # file times of some stores have whole seconds
+    write_job_records(jobs.withColumn("status", F.lit("repeated")), archive)
+    second = audit_plan.generate_report(spark, archive, ledger, multi_line=False)
+    full = audit_plan.generate_report(spark, archive, _ledger_name(spark), full_rescan=True, multi_line=False)
+    both = _for_compare(second.report).withColumn("run", F.lit("incremental"))
+    return both.unionByName(_for_compare(full.report).withColumn("run", F.lit("full")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_orders": q_ingest_orders,
     "ingest_lineitem": q_ingest_lineitem,
@@ -507,6 +547,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "copy_keep_partitioning": q_copy_keep_partitioning,
     "ingest_all_verified": q_ingest_all_verified,
     "reconcile_tables": q_reconcile_tables,
+    "reconcile_nested": q_reconcile_nested,
+    "audit_incremental_dup": q_audit_incremental_dup,
     "audit_csv_roundtrip": q_audit_csv_roundtrip,
     "audit_compacted": q_audit_compacted,
 }
@@ -705,6 +747,15 @@ _ORACLE["reconcile_tables"] = " UNION ALL ".join(
 ) + """ UNION ALL SELECT 'supplier', count(*), NULL, false FROM supplier"""
 
 
+_ORACLE["reconcile_nested"] = """
+    SELECT 'turns' AS "table", count(*) AS source_rows, count(*) AS target_rows, true AS matched FROM conversations
+    UNION ALL SELECT 'changed', count(*), count(*), count(*) FILTER (WHERE turn = 0) = 0 FROM conversations
+    UNION ALL SELECT 'vecs', count(*), count(*), true FROM embeddings"""
+
+_ORACLE["audit_incremental_dup"] = "WITH " + _REPORT_CTE + """
+    SELECT report.*, run FROM report CROSS JOIN (VALUES ('incremental'), ('full')) AS r(run)"""
+
+
 # --------------------------------------------------------------------------- contract
 # The training-data operators are optional: the rest of the library works without them.
 try:

@@ -59,6 +59,12 @@ def table_location(spark: SparkSession, table: str) -> str | None:
     return row[0] if row else None
 
 
+def table_provider(spark: SparkSession, table: str) -> str | None:
+    """The ``Provider`` row of ``DESCRIBE EXTENDED``; ``None`` when absent."""
+    row = describe_extended(spark, table).filter(F.col("col_name") == "Provider").select("data_type").first()
+    return row[0] if row else None
+
+
 def table_properties(spark: SparkSession, table: str) -> DataFrame:
     """``SHOW TBLPROPERTIES`` -> ``(key, value)``."""
     return spark.sql(f"SHOW TBLPROPERTIES {quote_name(table)}")

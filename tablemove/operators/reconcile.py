@@ -5,8 +5,8 @@ sum taken as ``decimal(38,0)`` so it cannot overflow under ANSI mode. It is
 a plain aggregate: partial sums per task, one tiny shuffle, no sort, so it
 costs one scan at any size. Columns are hashed in name order, which makes
 the hash insensitive to column order (a copy may move partition columns to
-the end). ``xxhash64`` rejects maps, so map columns are hashed as their
-sorted entry arrays.
+the end). ``xxhash64`` rejects maps, so maps are hashed as their sorted entry
+arrays, at any depth.
 """
 
 from __future__ import annotations
@@ -20,19 +20,67 @@ from pyspark.sql import types as T
 from ..functions.identifiers import quote_name
 
 
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _widened(t: T.DataType) -> T.DataType:
+    """``t`` with every number and timestamp inside it in its widest form."""
+    if isinstance(t, _INTEGERS):
+        return T.LongType()
+    if isinstance(t, T.FloatType):
+        return T.DoubleType()
+    if isinstance(t, T.TimestampType):
+        return T.TimestampNTZType()
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_widened(t.elementType))
+    if isinstance(t, T.MapType):
+        return T.MapType(_widened(t.keyType), _widened(t.valueType))
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _widened(f.dataType)) for f in t.fields])
+    return t
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _has_map(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t.fields)
+    return isinstance(t, T.MapType)
+
+
+def _without_maps(c: Column, t: T.DataType) -> Column:
+    """``c`` with each map turned into its entries in order; untouched where there is none."""
+    if not _has_map(t):
+        return c
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _without_maps(x, t.elementType))
+    if isinstance(t, T.StructType):
+        fields = [_without_maps(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+
+    def entry(e: Column) -> Column:
+        return F.struct(
+            _without_maps(e["key"], t.keyType).alias("key"), _without_maps(e["value"], t.valueType).alias("value")
+        )
+
+    return F.array_sort(F.transform(F.map_entries(c), entry))
+
+
 def _hashable(field: T.StructField) -> Column:
     """A column in a form that survives the type changes a target may make.
 
     Catalogs may widen integers (byte/short -> int), floats, or return a
     ``timestamp_ntz`` as ``timestamp``; hashing integers as ``bigint``,
     floats as ``double`` and both timestamp kinds as wall-clock microseconds
-    keeps the fingerprint equal for equal values.
+    keeps the fingerprint equal for equal values. Nested values are cast as a
+    whole; only types that hold a map need a function per element.
     """
     c = F.col(quote_name([field.name]))
     t = field.dataType
-    if isinstance(t, T.MapType):
-        return F.array_sort(F.map_entries(c))
-    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+        wide = _widened(t)
+        return _without_maps(c if wide == t else c.cast(wide), wide)
+    if isinstance(t, _INTEGERS):
         return c.cast("long")
     if isinstance(t, T.FloatType):
         return c.cast("double")

@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 
 from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
+from ..operators.catalog import table_provider
 from ..operators.write import counted, ensure_namespace, replace_table, table_exists
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.jobs import read_job_records
 
 # Status messages of a report run.
@@ -53,6 +55,24 @@ def audit_rows(records: DataFrame) -> DataFrame:
     return audit_frame(records, keep=LEDGER_EXTRA)
 
 
+def one_per_job(records: DataFrame) -> DataFrame:
+    """Report rows of ``records``, one per job: that of the file archived first.
+
+    A job once reported stays as it is, so runs only ever append, and an
+    incremental run, a stream and a full rescan agree. Records of one job in
+    the same file, or in files of the same time, go by file, then by the
+    smallest row. Records without an id share their file's key but are
+    not taken for one job; only equal ones count once.
+    """
+    rows = audit_frame(records, keep=[*LEDGER_EXTRA, "file_mtime", "job_id"])
+    values = [quote_name([c]) for c in REPORT_COLUMNS]
+    # a null for records with an id, which therefore form one group per key
+    anonymous = F.when(F.col("job_id").isNull(), F.struct(*values))
+    first = F.min(F.struct("file_mtime", "source_file", *values)).alias("r")
+    picked = rows.groupBy("job_key", anonymous.alias("anonymous")).agg(first)
+    return picked.select(*[F.col(f"r.{v}") for v in values], "job_key", F.col("r.source_file"))
+
+
 def report_view(ledger: DataFrame) -> DataFrame:
     """The seven report columns of a ledger."""
     return ledger.select(*[F.col(quote_name([c])) for c in REPORT_COLUMNS])
@@ -134,8 +154,13 @@ def generate_report(
     if parent:
         ensure_namespace(spark, quote_name(parent))
     incremental = not full_rescan and table_exists(spark, ledger)
-    rows = audit_rows(records)
+    rows = one_per_job(records)
     if incremental:
+        # parsed once: the keys and the rows are then both read from the copy
+        ensure_checkpoint_dir(spark)
+        staged = scratch_path(spark, "audit")
+        rows.write.parquet(staged)
+        rows = spark.read.schema(rows.schema).parquet(staged)
         fresh, obs = counted(unseen_rows(spark, rows, ledger), "tm_audit")
         # by position, in the ledger's own format
         fresh.select(*spark.read.table(quote_name(ledger)).columns).write.insertInto(quote_name(ledger))
@@ -155,12 +180,12 @@ def compact_ledger(spark: SparkSession, ledger: str, rows_per_file: int = 2_000_
 
     Incremental runs append a few small files each; compaction reads the
     ledger once and writes it back through the staged swap (the old table
-    stays until the new one is written). The rows are dealt evenly over as
-    many tasks as files.
+    stays until the new one is written) in the ledger's own format. The rows
+    are dealt evenly over as many tasks as files.
     """
     df = spark.read.table(quote_name(ledger))
     n = max(1, -(-df.count() // rows_per_file))
-    replace_table(df.repartition(n), ledger)
+    replace_table(df.repartition(n), ledger, fmt=table_provider(spark, ledger))
     spark.catalog.refreshTable(quote_name(ledger))
     return len(spark.read.table(quote_name(ledger)).inputFiles())
 
@@ -180,10 +205,16 @@ def filter_report(
 
 
 def filter_values(report: DataFrame) -> DataFrame:
-    """Distinct choices for the two filters: ``(filter, value)`` rows."""
-    types = report.select(F.lit("Job Type").alias("filter"), F.col("`Job Type`").alias("value"))
-    stats = report.select(F.lit("Status").alias("filter"), F.col("`Status`").alias("value"))
-    return types.unionByName(stats).distinct()
+    """Distinct choices for the two filters: ``(filter, value)`` rows.
+
+    One scan: the pairs are made distinct first (which also frees the plan of
+    the report's order), so that only few rows are taken apart.
+    """
+    pairs = report.select("Job Type", "Status").distinct()
+    choices = [
+        F.struct(F.lit(name).alias("filter"), F.col(quote_name([name])).alias("value")) for name in ("Job Type", "Status")
+    ]
+    return pairs.select(F.inline(F.array(*choices))).distinct()
 
 
 def write_report_csv(report: DataFrame, path: str) -> None:

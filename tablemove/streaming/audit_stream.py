@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import quote_name, split_name
 from ..operators.write import ensure_namespace, table_exists
-from ..plans.audit import audit_rows, unseen_rows
+from ..plans.audit import one_per_job, unseen_rows
 from ..sources.jobs import job_record_stream
 
 
 def _append_batch(ledger: str):
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = audit_rows(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
+        rows = one_per_job(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
         if table_exists(spark, ledger):
             rows = unseen_rows(spark, rows, ledger)
             rows = rows.select(*spark.read.table(quote_name(ledger)).columns)

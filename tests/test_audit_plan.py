@@ -262,3 +262,37 @@ def test_stem_key_is_the_decoded_file_name(spark, tmp):
             json.dump({"job_type": "ingest_from_hive", "status": "completed"}, f)
     records, _ = read_job_records(spark, arch)
     assert sorted(r.job_key for r in records.collect()) == ["100%done", "a b+c"]
+
+
+def test_one_row_per_job_in_every_path(spark, tmp, ns):
+    from tablemove.streaming.audit_stream import run_audit_stream
+
+    arch = f"{tmp}/archive"
+    _write_jobs(f"{arch}", [_job(1)])
+    os.utime(f"{arch}/id-0001.json", (1_000_000, 1_000_000))
+    with open(f"{arch}/again.json", "w") as f:  # the same job later, and twice in one file
+        f.write("".join(json.dumps(_job(1, status=s)) + "\n" for s in ("failed", "running")))
+    with open(f"{arch}/anon.json", "w") as f:  # three records without an id, two of them equal
+        f.write("".join(json.dumps({"job_type": t, "status": "completed"}) + "\n" for t in ("a", "b", "b")))
+    full = P.generate_report(spark, arch, f"{ns}.full", full_rescan=True)
+    got = _rows(full.report.select("Job ID", "Job Type", "Status"))
+    assert got == [("N/A", "A", "COMPLETED"), ("N/A", "B", "COMPLETED"), ("id-0001", "Ingest From Hive", "COMPLETED")]
+    assert P.generate_report(spark, arch, f"{ns}.full").new_jobs == 0
+    streamed = run_audit_stream(spark, arch, f"{ns}.streamed", f"{tmp}/ckpt")
+    assert _rows(P.report_view(streamed)) == _rows(full.report)
+
+
+def test_compaction_keeps_the_format(spark, tmp, ns):
+    from tablemove.operators.catalog import table_provider
+
+    _write_jobs(f"{tmp}/archive", [_job(1), _job(2)])
+    P.generate_report(spark, f"{tmp}/archive", f"{ns}.ledger", fmt="orc")
+    P.compact_ledger(spark, f"{ns}.ledger")
+    assert table_provider(spark, f"{ns}.ledger").lower() == "orc" and spark.table(f"{ns}.ledger").count() == 2
+
+
+def test_filter_values_scans_once_without_a_sort(spark, tmp, ns):
+    _write_jobs(f"{tmp}/archive", [_job(1), _job(2, status="failed")])
+    report = P.generate_report(spark, f"{tmp}/archive", f"{ns}.ledger").report
+    plan = P.filter_values(report)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "rangepartitioning" not in plan

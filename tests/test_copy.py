@@ -107,6 +107,21 @@ def test_reconcile_detects_difference(spark, ns):
     assert not compare(a, b)["matched"]
 
 
+def test_reconcile_nested_types(spark):
+    base = spark.range(50)
+    inner = F.create_map(F.lit("a"), F.col("id").cast("int"), F.lit("b"), F.lit(None).cast("int"))
+    swapped = F.create_map(F.lit("b"), F.lit(None).cast("int"), F.lit("a"), F.col("id").cast("int"))
+
+    def table(m, x):
+        return base.select("id", F.array(F.struct(m.alias("m"), x.alias("x"))).alias("s"), F.when(F.col("id") > 9, F.struct(m.alias("m"))).alias("o"))
+
+    a, b = table(inner, F.col("id").cast("float")), table(swapped, F.col("id").cast("double"))
+    wide = b.withColumn("s", F.col("s").cast("array<struct<m:map<string,bigint>,x:double>>"))
+    assert compare(a, b)["matched"] and compare(a, wide)["matched"]
+    changed = table(F.create_map(F.lit("a"), F.lit(3), F.lit("b"), F.lit(None).cast("int")), F.col("id").cast("float"))
+    assert not compare(a, changed)["matched"]
+
+
 def test_csv_single_file_vs_directory(spark, tmp, ns):
     d = f"{tmp}/sales/load_date=2025-06-04"
     spark.read.parquet(f"{SF}/nation.parquet").coalesce(1).write.option("header", True).csv(d)
