@@ -399,6 +399,35 @@ def q_copy_request_stream(spark, sf_dir):
     return states.join(outcomes, "job_id", "left")
 
 
+def q_request_stream_chain(spark, sf_dir):
+    """A flagged migration with one missing table queues a registration of the tables that it copied."""
+    src = _source_namespace(spark, sf_dir, STREAM_TABLES)
+    ns, loc = _target_namespace(spark, "tm_req")
+    ensure_namespace(spark, ns, loc)
+    queue = scratch_path(spark, "queue")
+    request = [("req-chain", "migrate_catalogs", src, f"{ns}_to", [*STREAM_TABLES, "missing"], True, "SFDB", "PUBLIC")]
+    spark.createDataFrame(
+        request,
+        "job_id string, job_type string, source_db string, dest_db string, tables array<string>, "
+        "register_on_snowflake boolean, sf_db string, sf_schema string",
+    ).write.json(queue)
+    q = start_copy_request_stream(
+        spark, queue, scratch_path(spark, "archive"), scratch_path(spark, "ckpt-req"),
+        outcomes_table=f"{ns}.outcomes", events_table=f"{ns}.job_events",
+        target_location_root=scratch_path(spark, "req-targets"),
+    )
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    refresh_results(spark, f"{ns}.outcomes", f"{ns}.job_events")
+    queued, _ = read_job_records(spark, queue)
+    children = queued.filter(F.col("chained_from").isNotNull()).select(
+        "chained_from", "job_type", "status", "sf_db", "sf_schema", F.explode("tables").alias("table")
+    )
+    copied = spark.read.table(f"{ns}.outcomes").select("table", "rows")
+    return children.join(copied, "table", "left")
+
+
 def q_audit_rejects(spark, sf_dir):
     """An archive where some lines are cut short: they are rejected, the rest reported."""
     ensure_checkpoint_dir(spark)
@@ -547,6 +576,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "copy_keep_partitioning": q_copy_keep_partitioning,
     "ingest_all_verified": q_ingest_all_verified,
     "reconcile_tables": q_reconcile_tables,
+    "request_stream_chain": q_request_stream_chain,
     "reconcile_nested": q_reconcile_nested,
     "audit_incremental_dup": q_audit_incremental_dup,
     "audit_csv_roundtrip": q_audit_csv_roundtrip,
@@ -738,6 +768,12 @@ _ORACLE["copy_request_stream"] = " UNION ALL ".join(
 ) + " UNION ALL SELECT 'req-unknown', 'failed', NULL, NULL, NULL"
 
 
+_ORACLE["request_stream_chain"] = " UNION ALL ".join(
+    f"""SELECT 'req-chain' AS chained_from, 'register_snowflake' AS job_type, 'pending' AS status,
+               'SFDB' AS sf_db, 'PUBLIC' AS sf_schema, '{t}' AS "table", count(*) AS rows FROM {t}"""
+    for t in STREAM_TABLES
+)
+
 _ORACLE["audit_csv_roundtrip"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
 _ORACLE["audit_compacted"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
 

@@ -32,6 +32,13 @@ def _parser() -> argparse.ArgumentParser:
     ing.add_argument("--verify", action="store_true")
     ing.add_argument("--parallelism", type=int, default=1)
 
+    inf = sub.add_parser("ingest-files", help="copy CSV files (header, inferred types) into a table")
+    inf.add_argument("--path", required=True, nargs="+", help="files or a folder")
+    inf.add_argument("--target", required=True, help="[catalog.]namespace.table")
+    inf.add_argument("--format", dest="fmt")
+    inf.add_argument("--verify", action="store_true")
+    inf.add_argument("--preview", type=int, default=5, help="rows of the new table to print")
+
     mig = sub.add_parser("migrate", help="copy tables between catalogs (create or replace)")
     mig.add_argument("--source-db", required=True)
     mig.add_argument("--dest-db")
@@ -65,7 +72,7 @@ def _parser() -> argparse.ArgumentParser:
     ch.add_argument("--queue", required=True)
     ch.add_argument("--json-lines", action="store_true")
 
-    for sp in (ing, mig, reg, aud, ch):
+    for sp in (ing, inf, mig, reg, aud, ch):
         sp.add_argument("--allow-failures", action="store_true")
         sp.add_argument("--show", type=int, default=100, help="rows to print")
     return p
@@ -90,6 +97,18 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         out.show(args.show, truncate=False)
         copy_summary(out).show(truncate=False)
         failed = out.filter("status <> 'succeeded'").limit(1).count() > 0
+    elif args.command == "ingest-files":
+        from .functions.identifiers import quote_name, split_name
+        from .operators.catalog import list_tables, preview
+        from .plans.ingest import ingest_files
+
+        path = args.path[0] if len(args.path) == 1 else args.path
+        done = ingest_files(spark, path, args.target, fmt=args.fmt, verify=args.verify)
+        print(done)
+        parent = split_name(args.target)[:-1]
+        if parent:
+            list_tables(spark, quote_name(parent)).show(args.show, truncate=False)
+        preview(spark, args.target, args.preview).show(truncate=False)
     elif args.command == "migrate":
         from .operators.catalog import list_tables
         from .plans.copy import copy_summary, copy_tables

@@ -34,10 +34,11 @@ from ..functions.audit import TYPE_INGEST, TYPE_MIGRATE, TYPE_REGISTER
 from ..functions.identifiers import quote_name, split_name
 from ..operators.state import EVENT_SCHEMA
 from ..operators.write import ensure_namespace
+from ..plans.chain import chain_registrations
 from ..plans.copy import OUTCOME, copy_tables
 from ..plans.ingest import target_namespace_for
 from ..plans.publish import publish_manifest
-from ..sources.jobs import job_record_stream
+from ..sources.jobs import job_record_stream, read_job_records, write_job_records
 
 REQUEST_OUTCOME = T.StructType(
     [T.StructField("job_id", T.StringType()), T.StructField("batch_id", T.LongType())] + OUTCOME.fields
@@ -46,6 +47,12 @@ REQUEST_OUTCOME = T.StructType(
 #: Requests that could not be parsed (with their text) or that raised.
 REQUEST_ERROR = "job_id string, batch_id long, source_file string, record string, error string"
 
+#: What a registration is chained from.
+PARENT = (
+    "job_id string, job_type string, status string, register_on_snowflake boolean, "
+    "dest_db string, sf_db string, sf_schema string, tables array<string>"
+)
+
 
 def _now_iso() -> str:
     return dt.datetime.now(dt.timezone.utc).isoformat().replace("+00:00", "Z")
@@ -67,6 +74,7 @@ def _handler(
     target_location_root: str | None,
     warehouse: str | None = None,
     manifest_table: str | None = None,
+    queue: str | None = None,
 ):
     errors_table = f"{events_table}_errors"
 
@@ -102,17 +110,27 @@ def _handler(
             return ("completed" if ok else "failed"), True, None
         return "failed", False, None  # unknown type: fails, no end time
 
+    def chain(spark: SparkSession, parents: list[tuple], outcomes: DataFrame) -> None:
+        """Queue the registrations that are not in the queue yet (a replayed batch adds none)."""
+        queued, _ = read_job_records(spark, queue)
+        children = chain_registrations(spark.createDataFrame(parents, PARENT), outcomes, queued)
+        children = children.filter(F.size("tables") > 0)
+        rows = children.collect()  # one per flagged request
+        if rows:
+            write_job_records(spark.createDataFrame(rows, children.schema).coalesce(1), queue)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         requests = (
             batch.select("job_key", "job_type", "source_db", "dest_db", "azure_db", "sf_db", "sf_schema",
-                         "tables", "file_mtime", "source_file", "_corrupt_record")
+                         "tables", "register_on_snowflake", "file_mtime", "source_file", "_corrupt_record")
             .orderBy("file_mtime", "source_file", "job_key")
             .collect()
         )
         outcome_frames = []
         events = []
         errors = []
+        parents = []
         seq = batch_id << 32  # no batch of collected requests comes near 2^31
         for req in requests:
             seq += 2
@@ -130,12 +148,18 @@ def _handler(
                 errors.append((req.job_key, batch_id, req.source_file, None, str(exc)))
             if out is not None:
                 outcome_frames.append(out)
+                if queue and req.job_type == TYPE_MIGRATE and req.register_on_snowflake:
+                    # which tables are registered depends on their outcome rows, not on the whole request's
+                    parents.append((req.job_key, req.job_type, "completed", True, req.dest_db or req.source_db,
+                                    req.sf_db, req.sf_schema, req.tables))
             events.append((req.job_key, seq, status, None, _now_iso() if ran else None))
         if outcome_frames:
             merged = outcome_frames[0]
             for f in outcome_frames[1:]:
                 merged = merged.unionByName(f)
             _append_new(spark, merged, outcomes_table, ["job_id", "batch_id", "table"])
+            if parents:
+                chain(spark, parents, merged)
         if events:
             _append_new(spark, spark.createDataFrame(events, EVENT_SCHEMA), events_table, ["job_id", "event_seq"])
         if errors:
@@ -180,7 +204,7 @@ def start_copy_request_stream(
     writer = (
         stream.writeStream.foreachBatch(
             _handler(outcomes_table, events_table, source_catalog, target_catalog, target_location_root,
-                     warehouse, manifest_table)
+                     warehouse, manifest_table, queue)
         ).option("checkpointLocation", checkpoint)
     )
     if available_now:

@@ -46,3 +46,10 @@ def test_utc_now_iso(spark):
 
     v = spark.range(1).select(utc_now_iso().alias("t")).first().t
     assert v.endswith("Z") and len(v) == len("2024-01-01T00:00:00.000000Z")
+
+
+def test_ingest_files_command(spark, ns, tmp, capsys):
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.option("header", True).csv(f"{tmp}/csv")
+    assert run(["ingest-files", "--path", f"{tmp}/csv", "--target", f"{ns}.nation", "--preview", "2"], spark) == 0
+    assert spark.table(f"{ns}.nation").count() == 25
+    assert "nation" in capsys.readouterr().out

@@ -105,3 +105,22 @@ def test_request_batch_replay_appends_nothing_twice(spark, tmp, ns):
     errors = {r.job_id: r for r in spark.table(f"{ns}.events_errors").collect()}
     assert set(errors) == {"broken", "no-id"} and spark.table(f"{ns}.events_errors").count() == 2
     assert errors["broken"].record == '{"job_id": ' and "export_audit" in errors["no-id"].error
+
+
+def test_flagged_migration_queues_what_it_copied_once(spark, tmp, ns):
+    """The child names the copied tables only, a replay adds none, and a run serves it."""
+    from tablemove.sources.jobs import _scan, read_job_records
+    from tablemove.streaming.copy_requests import _handler
+
+    register_parquet_tables(spark, "/root/testdata/sf0.001", ns, ["region"])
+    base = {"job_type": "migrate_catalogs", "source_db": ns, "dest_db": f"{ns}_to", "sf_db": "S", "sf_schema": "P"}
+    _write(f"{tmp}/q", "m1.json", {**base, "job_id": "m1", "tables": ["region", "gone"], "register_on_snowflake": True})
+    _write(f"{tmp}/q", "m2.json", {**base, "job_id": "m2", "tables": ["region"]})
+    _write(f"{tmp}/q", "m3.json", {**base, "job_id": "m3", "tables": ["gone"], "register_on_snowflake": True})
+    handle = _handler(f"{ns}.outcomes", f"{ns}.events", None, None, f"{tmp}/targets", queue=f"{tmp}/q")
+    raw = _scan(spark.read, [f"{tmp}/q/{m}.json" for m in ("m1", "m2", "m3")], True, "*.json")
+    handle(raw, 1)
+    handle(raw, 1)
+    queued = read_job_records(spark, f"{tmp}/q")[0].filter("chained_from is not null").collect()
+    assert [(r.chained_from, r.job_type, r.azure_db, r.tables) for r in queued] == [
+        ("m1", "register_snowflake", f"{ns}_to", ["region"])]
