@@ -31,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
     ing.add_argument("--format", dest="fmt")
     ing.add_argument("--verify", action="store_true")
     ing.add_argument("--parallelism", type=int, default=1)
+    ing.add_argument("--preview", type=int, default=5, help="rows of each new table to print")
 
     inf = sub.add_parser("ingest-files", help="copy CSV files (header, inferred types) into a table")
     inf.add_argument("--path", required=True, nargs="+", help="files or a folder")
@@ -88,14 +89,22 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     failed = False
 
     if args.command == "ingest":
+        from .functions.identifiers import quote_name, split_name
+        from .operators.catalog import list_tables, preview
         from .plans.copy import copy_summary
-        from .plans.ingest import ingest_tables
+        from .plans.ingest import ingest_tables, target_namespace_for
 
         tables = "*" if args.tables == ["*"] else args.tables
         out = ingest_tables(spark, args.database, tables, target_catalog=args.target_catalog,
                             fmt=args.fmt, verify=args.verify, parallelism=args.parallelism)
         out.show(args.show, truncate=False)
         copy_summary(out).show(truncate=False)
+        target = target_namespace_for(args.database, args.target_catalog)
+        list_tables(spark, target).show(args.show, truncate=False)
+        if args.preview:
+            for r in out.filter("status = 'succeeded'").limit(args.show).collect():  # console display only
+                print(f"{target}.{r.table}")
+                preview(spark, quote_name([*split_name(target), r.table]), args.preview).show()
         failed = out.filter("status <> 'succeeded'").limit(1).count() > 0
     elif args.command == "ingest-files":
         from .functions.identifiers import quote_name, split_name

@@ -11,6 +11,7 @@ def test_ingest_and_migrate_commands(spark, ns, capsys):
     register_parquet_tables(spark, "/root/testdata/sf0.001", ns, ["region", "nation"])
     assert run(["ingest", "--database", ns, "--tables", "region", "nation"], spark) == 0
     assert spark.table(f"{ns}_iceberg.nation").count() == 25
+    assert "n_nationkey" in capsys.readouterr().out  # the preview
     assert run(["migrate", "--source-db", ns, "--dest-db", ns + "_m", "--tables", "region", "zzz"], spark) == 1
     assert run(["migrate", "--source-db", ns, "--dest-db", ns + "_m", "--tables", "region", "zzz",
                 "--allow-failures"], spark) == 0
