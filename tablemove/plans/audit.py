@@ -30,7 +30,6 @@ from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
 from ..operators.catalog import table_provider
 from ..operators.write import counted, ensure_namespace, replace_table, table_exists
-from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.jobs import read_job_records
 
 # Status messages of a report run.
@@ -154,18 +153,14 @@ def generate_report(
     if parent:
         ensure_namespace(spark, quote_name(parent))
     incremental = not full_rescan and table_exists(spark, ledger)
-    rows = one_per_job(records)
     if incremental:
-        # parsed once: the keys and the rows are then both read from the copy
-        ensure_checkpoint_dir(spark)
-        staged = scratch_path(spark, "audit")
-        rows.write.parquet(staged)
-        rows = spark.read.schema(rows.schema).parquet(staged)
-        fresh, obs = counted(unseen_rows(spark, rows, ledger), "tm_audit")
+        # jobs already reported leave before anything is computed of them; one pass over the archive
+        unseen = records.join(known_keys(spark, ledger), "job_key", "left_anti")
+        fresh, obs = counted(one_per_job(unseen), "tm_audit")
         # by position, in the ledger's own format
         fresh.select(*spark.read.table(quote_name(ledger)).columns).write.insertInto(quote_name(ledger))
     else:
-        fresh, obs = counted(rows, "tm_audit")
+        fresh, obs = counted(one_per_job(records), "tm_audit")
         replace_table(fresh, ledger, fmt=fmt)
     new_jobs = int(obs.get.get("rows", 0))
     ledger_df = spark.read.table(quote_name(ledger))
