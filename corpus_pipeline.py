@@ -27,8 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that occur earlier in the corpus; ``n_chars`` follows the new text."""
-    done = line_dedup.dedup_lines(spark, docs)
+    """Texts without lines, short ones included, that occur earlier in the corpus; ``n_chars`` follows the new text."""
+    done = line_dedup.dedup_lines(spark, docs, short_exact=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = F.when(F.col("n_dropped") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))

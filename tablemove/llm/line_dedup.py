@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from tablemove.llm.common import join_small, materialise
 
-#: Lines of fewer code points without outer blanks ("Yes.", a blank line, a brace) are never dropped.
+#: Lines of fewer code points without outer blanks ("Yes.", a brace) have no near copies, and equal ones go only if asked for.
 SHORTEST = 16
 #: Width of the stretches that the second sieve deletes at once.
 CELL = 16
 
 
-def _lines(docs: DataFrame, id_col: str, text: str, shortest: int) -> DataFrame:
-    """Lines that count: id, text hash, number, line, and two 64-bit hashes that together name the line."""
+def _lines(docs: DataFrame, id_col: str, text: str, shortest: int, short_exact: bool = False) -> DataFrame:
+    """Lines that count: id, text hash, number, line, whether it is long, and two 64-bit hashes that together name the line."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole).alias("of"), F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
-    rows = rows.where(F.char_length(F.trim("line")) >= shortest)
+    rows = rows.withColumn("long", F.char_length(F.trim("line")) >= shortest)
+    rows = rows.where(F.col("long") | F.col("line").rlike(r"(?U)\S")) if short_exact else rows.where("long")
     return rows.withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(1), "line"))
 
 
@@ -96,13 +97,14 @@ def near_lines(spark: SparkSession, docs: DataFrame, firsts: DataFrame, *, id_co
     return materialise(spark, met.where(F.levenshtein("line", "earlier", 1) >= 0).select("a", "b").distinct(), "line-near")
 
 
-def dropped_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", max_edits: int = 1, shortest: int = SHORTEST) -> DataFrame:
+def dropped_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", max_edits: int = 1, shortest: int = SHORTEST, short_exact: bool = False) -> DataFrame:
     """(id, of, dropped): numbers of the lines that go, from 0, per document that loses any; ``of`` is the text's XXH64."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1: a deletion neighbourhood of two edits grows with the square of the line")
-    rows = _lines(docs, id_col, text, shortest)
+    rows = _lines(docs, id_col, text, shortest, short_exact)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "line_no")
-    halves = rows.withColumn("n", F.char_length("line")).withColumn("halves", _halves()) if max_edits else rows.withColumn("halves", F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    halves = rows.withColumn("n", F.char_length("line")).withColumn("halves", F.when(F.col("long"), _halves()).otherwise(none) if max_edits else none)
     firsts = halves.groupBy("a", "b", "halves").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     firsts = materialise(spark, firsts, "line-firsts")
     again = firsts.where("times > 1").select("a", "b", "first", F.lit(False).alias("near"))
@@ -117,14 +119,15 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id
 
 
 def dedup_lines(
-    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", max_edits: int = 1, shortest: int = SHORTEST
+    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", max_edits: int = 1, shortest: int = SHORTEST, short_exact: bool = False
 ) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts, and ``n_lines``, ``n_dropped``.
 
     Over the whole corpus, a line is dropped if an equal line occurs earlier (by id, then line
     number; null ids last), or if its text is within ``max_edits`` (0 or 1: one code point
     inserted, deleted or replaced) of a line whose first occurrence is earlier. Lines of fewer than ``shortest`` code points without outer blanks
-    always stay. Lines end at line feeds; the others are joined again by them.
+    have no near copies, and equal ones of them go only with ``short_exact``; without it they stay. Lines of white space
+    only always stay. Lines end at line feeds; the others are joined again by them.
 
     A text that loses nothing comes back as it was, a null text as null (0
     lines). A text all of whose lines go becomes empty; its row stays. Repeated
@@ -132,7 +135,7 @@ def dedup_lines(
     id with different texts are ordered by line number only, and a tie keeps both. Input columns named ``n_lines`` or
     ``n_dropped`` are replaced, all others stay. An empty table gives no rows.
     """
-    gone = dropped_lines(spark, docs, id_col=id_col, text=text, max_edits=max_edits, shortest=shortest)
+    gone = dropped_lines(spark, docs, id_col=id_col, text=text, max_edits=max_edits, shortest=shortest, short_exact=short_exact)
     gone = gone.select(F.col("id").alias("_id"), F.col("of").alias("_of"), F.col("dropped").alias("_dropped"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("_lines", F.split(F.col(text).cast("string"), "\n"))
     same = rows[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(rows[text].cast("string"), F.lit(""))) == gone["_of"])

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tablemove.llm import embedding_dedup, exact_dedup, line_dedup, simhash_dedup
 from tablemove.llm.components import connected_components
 from tests.llm.helpers import CLASHES, ODD, SF, WORDS, docs
@@ -231,6 +232,20 @@ def test_lines_cells_of_one_edit(spark):
             assert got is None or got == {1: line, 2: "", 3: line[::-1]}, (k, other)
 
 
+@pytest.mark.parametrize("edits", [0, 1])
+def test_lines_short_exact(spark, edits):
+    """Equal short lines go, near ones and blank ones stay."""
+    rows = [(1, "Yes.\n}\n\nYes.\n\t\n"), (2, "Yes!\n}\n\n \u3000\nYes."), (3, f"{WORDS}\nNo.\n{WORDS}"), (4, " \u3000\n\t"), (5, f"No.\n{WORDS}x")]
+    got = line_dedup.dedup_lines(spark, docs(spark, rows), max_edits=edits, short_exact=True)
+    want = {1: "Yes.\n}\n\n\t\n", 2: "Yes!\n\n \u3000", 3: f"{WORDS}\nNo.", 4: " \u3000\n\t", 5: "" if edits else f"{WORDS}x"}
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_pipeline_drops_equal_short_lines(spark):
+    got = corpus_pipeline.line_deduplication(spark, docs(spark, [(1, "Wh the.\nWh the.\n"), (2, "Wh the.")]), SF)
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "Wh the.\n", 2: ""}
+
+
 def test_lines_empty_and_bad_bound(spark):
     assert line_dedup.dedup_lines(spark, docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
