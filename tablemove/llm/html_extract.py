@@ -21,6 +21,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？…]")
 #: Elements whose content is not text, up to their own end tag.
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "object", "canvas", "xmp"}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that do not start a block of their own.
 _INLINE = {
@@ -63,18 +64,28 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Tokens of a page without what stands in raw elements: after such a start tag comes its own end tag, or nothing."""
+    at: int | None = 0
+    while at is not None:
+        start, at = at, None
+        for m in _TOKEN.finditer(page, start):
+            yield m
+            tag = (m[1] or "").lower()
+            if tag in _RAW and m[0][1] != "/" and not m[0].endswith("/>"):
+                end = _RAW_END[tag].search(page, m.end())
+                at = end and end.start()
+                break
+
+
 def blocks(page: str | None) -> list[Block]:
     """Text blocks of a page in page order, broken markup included (unclosed, stray and cut-off tags)."""
     found: list[Block] = []
     stack: list[tuple[str, str, bool, int]] = []  # tag, tag with class, boilerplate, number of the main element or 0
     now: Block | None = None
-    raw, regions = "", 0
-    for m in _TOKEN.finditer(page or ""):
+    regions = 0
+    for m in _tokens(page or ""):
         token, tag = m[0], (m[1] or "").lower()
-        if raw:
-            if token[:2] == "</" and tag == raw:
-                raw = ""
-            continue
         if not tag:
             if token[0] == "<" and len(token) > 1:
                 continue
@@ -98,9 +109,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         if tag in _RAW:
-            raw = "" if token.endswith("/>") else tag
-            if tag not in _INLINE:
-                now = None
+            now = None
             continue
         if tag == "br":
             if now is not None:

@@ -30,6 +30,21 @@ PAGES = {
 }
 
 
+RAW_PAGES = {
+    "less than": (f"<script>for(i=0;i<n;i++){{f(i);}}</script><article><p>{P}</p></article>", [P]),
+    "no > in the script": (f"<head><script>if(a<b)f('x')</script ></head><article><p>{P}</p><style>a<b</STYLE><p>after</p></article>", [P, "after"]),
+    "quotes and comments": (f"<script>a<b+\"'</script><textarea><!-- </textarea><article><p>{P}</p></article>", [P]),
+    "longer name": (f"<script>a('</scripts>')</script><article><svg/><p>{P}</p></article>", [P]),
+    "no end": (f"<article><p>{P}</p></article><script>a<b", [P]),
+}
+
+
+@pytest.mark.parametrize("name", RAW_PAGES)
+def test_raw_elements_end_at_their_end_tag(name):
+    page, want = RAW_PAGES[name]
+    assert html_extract.main_text(page) == "\n\n".join(want)
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     page, want = PAGES[name]
