@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ _NOT_MAIN_WORDS = {
     "contentinfo", "complementary", "search", "alert",
 }
 _MAIN = {"article", "main"}
+_HEADING = re.compile(r"h[1-6](?![a-z0-9])")
 #: Share of the best path's ratio that a path needs.
 THRESHOLD = 0.1
 
@@ -59,10 +61,19 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
-    @property
+    @cached_property
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
+    @property
+    def prose(self) -> int:
+        """Code points of text, links counting against it."""
+        return max(0, len(self.text) - 2 * self.linked)
+
+    @property
+    def heading(self) -> bool:
+        return any(_HEADING.match(step) for step in self.path)
+
 
 def _tokens(page: str) -> Iterator[re.Match]:
     """Tokens of a page without what stands in raw elements: after such a start tag comes its own end tag, or nothing."""
@@ -161,15 +172,15 @@ def _marks(tag: str, attributes: str) -> tuple[bool, str]:
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """Main text of a page: its blocks joined by two line ends; empty if there is none.
 
-    A tag path's ratios are its text length and its punctuation per node, text
-    in links counting against both. They are smoothed over the container: paths
-    that stand in one article or main element share that element's ratios (so a
-    heading or a short list in it stays with its paragraphs); other paths take the mean
-    of their own and their parent's. Length and punctuation are fused by
-    product, or length alone where no path has punctuation. Paths under
-    ``threshold`` of the best go. Paths in elements that name themselves
-    navigation, advert, form and the like are no candidates, nor, where a page
-    has an article or main element, are paths outside of it, nor lists of links only.
+    Paths in elements that name themselves navigation, advert, form and the like are no candidates, nor,
+    where a page has an article or main element, are paths outside of it, nor lists of links only.
+    Of the article and main elements all stay; only those of nothing but links go if another has text.
+
+    On other pages, a tag path's ratios are its text length and its punctuation per node, text
+    in links counting against both. They are fused by the root of their product (marks count from 1,
+    so that text without punctuation has a score) and smoothed by the mean with the parent's.
+    Paths under ``threshold`` of the best go, unless their text stands between blocks that
+    stay or, as a lead, right before the first of them. A heading stays with the text that it heads.
     """
     found = [b for b in blocks(page) if not b.boilerplate]
     if any(b.main for b in found):
@@ -177,21 +188,38 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     own: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     near: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for b in found:
-        size = len(b.text)
-        prose = max(0, size - 2 * b.linked)
-        seen = (1, prose, len(_PUNCTUATION.findall(b.text)) if prose else 0)
+        seen = (1, b.prose, len(_PUNCTUATION.findall(b.text)) if b.prose else 0)
         for row in (own[b.path], near[b.container]):
             for k in range(3):
                 row[k] += seen[k]
-    marks = any(row[2] for row in own.values())
 
     def fused(row: list[float]) -> float:
-        return row[1] / row[0] * (row[2] / row[0] if marks else 1)
+        return (row[1] / row[0] * (row[2] / row[0] + 1)) ** 0.5
 
-    score = {(b.path, b.container): fused(near[b.container]) if b.main else (fused(own[b.path]) + fused(near[b.container])) / 2 for b in found}
-    limit = threshold * max(score.values(), default=0)
+    if any(b.main for b in found):
+        some = any(row[1] for row in near.values())
+        stays = [not some or near[b.container][1] > 0 for b in found]
+    else:
+        score = {(b.path, b.container): (fused(own[b.path]) + fused(near[b.container])) / 2 for b in found}
+        limit = threshold * max(score.values(), default=0)
+        stays = [score[b.path, b.container] >= limit for b in found]
+        _with_neighbours(found, stays)
     menus = {p for p in own if p and p[-1].startswith("li") and own[p][0] > 1 and not own[p][1]}
-    return "\n\n".join(b.text for b in found if score[b.path, b.container] >= limit and b.path not in menus)
+    return "\n\n".join(b.text for b, stay in zip(found, stays) if stay and b.path not in menus)
+
+
+def _with_neighbours(found: list[Block], stays: list[bool]) -> None:
+    """Adds headings of text that stays, text between blocks that stay, and text right before the first of them."""
+    below = False  # whether something stays in the section that the next heading up the page heads
+    for k in range(len(found) - 1, -1, -1):
+        if found[k].heading and found[k].prose:
+            stays[k] |= below
+            below = stays[k] and k > 0 and found[k - 1].heading
+        else:
+            below |= stays[k]
+    kept = [k for k, stay in enumerate(stays) if stay]
+    for k in range(max(0, kept[0] - 1), kept[-1]) if kept else ():
+        stays[k] |= found[k].prose > 0
 
 
 def extract(spark: SparkSession, pages: DataFrame, *, page: str = "html", out: str = "text") -> DataFrame:

@@ -51,6 +51,26 @@ def test_main_text(name):
     assert html_extract.main_text(page) == "\n\n".join(want)
 
 
+LONG = ("A long paragraph of some length, with marks; it goes on, and on. " * 6).strip()
+SHORT = "A hundred characters or so of running text in a container of its own, which has but one mark and ends"
+UNMARKED_PAGES = {
+    "short container": (f"<div class=a><p>{LONG}</p></div><div class=b><p>{SHORT}</p></div>", [LONG, SHORT]),
+    "title alone": (f"<div class=title><h1>Title</h1></div><div class=body><p>{LONG}</p></div>", ["Title", LONG]),
+    "title and byline": (f"<div class=t><h1>Title</h1></div><div class=by>J. D.</div><div class=body><p>{LONG}</p></div>", ["Title", "J. D.", LONG]),
+    "headings": (f"<div class=t><h1>One</h1></div><div class=u><h2>Two</h2></div><div class=c><p>{LONG}</p></div><div class=v><h2>Three</h2></div>", ["One", "Two", LONG]),
+    "between": (f"<div class=a><p>{LONG}</p></div><div class=b>Ah</div><div class=c><p>{LONG}</p></div><div class=d>x</div>", [LONG, "Ah", LONG]),
+    "links between": (f"<div class=a><p>{LONG}</p></div><div class=b><a href=x>Ah, so.</a></div><div class=c><p>{LONG}</p></div>", [LONG, LONG]),
+    "lead": (f"<div class=lead>What this page is about in one line</div><div class=body><p>{LONG}</p></div>", ["What this page is about in one line", LONG]),
+    "articles": (f"<article><p>{LONG}</p></article><article><p>Short one</p></article><article><a href=x>Read, more.</a></article>", [LONG, "Short one"]),
+}
+
+
+@pytest.mark.parametrize("name", UNMARKED_PAGES)
+def test_short_text_stays(name):
+    page, want = UNMARKED_PAGES[name]
+    assert html_extract.main_text(page) == "\n\n".join(want)
+
+
 def test_extract_table(spark):
     rows = [(1, None), (2, ""), (3, PAGES["plain"][0]), (3, PAGES["plain"][0]), (None, "<p>" * 3000 + "deep, text."), (4, f"<article><p>{'word, ' * 100_000}</p></article>")]
     table = spark.createDataFrame([(i, h, "old") for i, h in rows], "page_id long, html string, text string")
