@@ -7,7 +7,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +44,13 @@ _NOT_MAIN_WORDS = {
     "recommended", "comment", "comments", "reply", "replies", "disqus", "widget", "toolbar", "pagination", "pager", "legal", "copyright",
     "contentinfo", "complementary", "search", "alert",
 }
+#: Words that leave a class such as "site-footer" what its other words say.
+_NEUTRAL_WORDS = {
+    "site", "top", "bottom", "left", "right", "main", "primary", "secondary", "container", "wrapper", "wrap", "box", "block", "bar", "area", "section",
+    "list", "links", "item", "items", "inner", "outer", "global", "posts", "module", "form", "button", "buttons", "icons", "slot",
+}
+#: Of the elements in _NOT_MAIN and those with such words, these may also wrap main text.
+_MAY_WRAP = {"form", "fieldset"}
 _MAIN = {"article", "main"}
 _HEADING = re.compile(r"h[1-6](?![a-z0-9])")
 #: Share of the best path's ratio that a path needs.
@@ -56,8 +63,10 @@ class Block:
 
     path: tuple[str, ...]
     container: tuple  # its article or main element (the outermost), else the parent's path
-    boilerplate: bool
     main: bool
+    over: tuple[int, ...]  # boilerplate marks around its article or main element
+    marks: tuple[int, ...]  # those within, or all on its path if it is in none
+    boilerplate: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -92,9 +101,9 @@ def _tokens(page: str) -> Iterator[re.Match]:
 def blocks(page: str | None) -> list[Block]:
     """Text blocks of a page in page order, broken markup included (unclosed, stray and cut-off tags)."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, tag with class, boilerplate, number of the main element or 0
+    stack: list[tuple[str, str, int, int]] = []  # tag, tag with class, number of its boilerplate mark or 0, number of the main element or 0
     now: Block | None = None
-    regions = 0
+    regions, fixed = 0, [True]  # by mark: whether it holds for whatever is in its element
     for m in _tokens(page or ""):
         token, tag = m[0], (m[1] or "").lower()
         if not tag:
@@ -103,9 +112,14 @@ def blocks(page: str | None) -> list[Block]:
             if now is None:
                 if token.isspace():
                     continue
+                inner = next((k for k in range(len(stack), 0, -1) if stack[k - 1][0] not in _INLINE), 0)
+                if any(s[2] for s in stack[inner:]):
+                    continue  # marked inline text, apart from its block
                 shown = [s for s in stack if s[0] not in _INLINE]
-                path, region = tuple(s[1] for s in shown), next((s[3] for s in stack if s[3]), 0)
-                now = Block(path, ("main", region) if region else path[:-1], any(s[2] for s in stack), region > 0)
+                top = next((k for k, s in enumerate(stack) if s[3]), len(stack))
+                path, region = tuple(s[1] for s in shown), stack[top][3] if top < len(stack) else 0
+                over, marks = (tuple(s[2] for s in part if s[2]) for part in (stack[:top], stack[top:]))
+                now = Block(path, ("main", region) if region else path[:-1], region > 0, over if region else (), marks if region else over)
                 found.append(now)
             now.parts.append(token)
             if any(s[0] == "a" for s in stack):
@@ -137,10 +151,45 @@ def blocks(page: str | None) -> list[Block]:
         boiler, label = _marks(tag, m[2] or "")
         if tag == "header" and any(s[3] for s in stack):
             boiler = False  # an article's own head, its title
+        if boiler:
+            fixed.append(tag in _NOT_MAIN - _MAY_WRAP)
         main = tag in _MAIN or "[role=main" in label
         regions += main
-        stack.append((tag, label, boiler, regions if main else 0))
-    return [b for b in found if b.text]
+        stack.append((tag, label, boiler and len(fixed) - 1, regions if main else 0))
+    found = [b for b in found if b.text]
+    _settle(found, fixed)
+    return found
+
+
+def _settle(found: list[Block], fixed: list[bool]) -> None:
+    """Sets ``boilerplate``: a mark says nothing about an element that holds the main text.
+
+    Such are the elements around the article or main element with the most text (comments and
+    teasers, in article elements of their own, are shorter), and, within article and main elements or
+    on a page without them, those that hold most of the text: over half of it and the first
+    heading, or nine tenths where there is no heading. Navigation, footers and the like never do.
+    """
+    void: set[int] = set()
+    base = [b for b in found if b.main] or found
+    size = sum(b.prose for b in base)
+    held: dict[int, int] = defaultdict(int)
+    for b in base:
+        for mark in b.marks:
+            held[mark] += b.prose
+    heading = next((b for b in base if b.heading and not any(fixed[k] for k in b.marks)), None)
+    for mark, n in held.items():
+        if not fixed[mark] and (n * 2 > size and mark in heading.marks if heading else n * 10 >= size * 9 > 0):
+            void.add(mark)
+    regions: dict[tuple, int] = defaultdict(int)
+    for b in base:
+        if b.main and void.issuperset(b.marks):
+            regions[b.container] += b.prose
+    longest = max(regions, key=regions.get, default=None)
+    for b in base:
+        if b.main and b.container == longest:
+            void.update(b.over)
+    for b in found:
+        b.boilerplate = not void.issuperset(b.over + b.marks)
 
 
 def _close(stack: list, tags: set[str], stop: set[str]) -> None:
@@ -163,12 +212,18 @@ def _marks(tag: str, attributes: str) -> tuple[bool, str]:
             elif name == "hidden" or name == "aria-hidden":
                 boiler |= value != "false"
             else:
-                words = set(re.split(r"[^a-z]+", value))
-                boiler |= bool(words & _NOT_MAIN_WORDS) and tag not in ("html", "body", *_MAIN)
+                boiler |= any(map(_names_boilerplate, value.split())) and tag not in ("html", "body", *_MAIN)
                 label += {"class": ".", "id": "#", "role": "[role="}[name] + value
     return boiler, label
 
 
+@lru_cache(10_000)
+def _names_boilerplate(token: str) -> bool:
+    """Whether a whole class token says so: "site-footer" and "cookie-notice" do, "has-sidebar" and "post-header" don't."""
+    words = {w for w in re.split(r"[^a-z]+", token) if w}
+    return bool(words & _NOT_MAIN_WORDS) and words <= _NOT_MAIN_WORDS | _NEUTRAL_WORDS
+
+
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """Main text of a page: its blocks joined by two line ends; empty if there is none.
 

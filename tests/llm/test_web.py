@@ -71,6 +71,28 @@ def test_short_text_stays(name):
     assert html_extract.main_text(page) == "\n\n".join(want)
 
 
+MARKED_PAGES = {
+    "sidebar": (f"<div class='content has-sidebar'><article><h1>T</h1><p>{P}</p></article></div>", ["T", P]),
+    "no comments": (f"<div class=no-comments><div class=search-page><div class=post-header><h1>T</h1></div><p>{P}</p></div></div>", ["T", P]),
+    "form": (f"<body><form><nav><p>Menu, one.</p></nav><article><h1>T</h1><p>{P}</p></article><footer><p>F, f.</p></footer></form>", ["T", P]),
+    "form without article": (f"<form><nav><p>Menu, one.</p></nav><h1>T</h1><p>{P}</p><div class=site-footer><p>F, f.</p></div></form>", ["T", P]),
+    "form in main": (f"<main><form><div class=sidebar><p>S, s.</p></div><h1>T</h1><p>{P}</p></form></main>", ["T", P]),
+    "sidebar token": (f"<div class='content sidebar'><p>{P}</p><p>{P}</p></div>", [P, P]),
+    "aside only": (f"<aside><article><p>{P}</p></article></aside>", [P]),
+    "teasers": (f"<article><p>{P}</p></article><aside><article><p>Teaser, one.</p></article></aside>", [P]),
+    "comment articles": (f"<article><h1>T</h1><p>{P}</p></article><div id=comments>{f'<article><p>{P[:60]}</p></article>' * 9}</div>", ["T", P]),
+    "long comments": (f"<article><h1>T</h1><p>{P}</p><section class=comment-list>{f'<p>{P}</p>' * 9}</section></article>", ["T", P]),
+    "long consent": (f"<h1>T</h1><p>{P}</p><div class=cookie-consent>{f'<p>{P}</p>' * 9}</div>", ["T", P]),
+    "inline": (f"<article><p><a class=social>Share</a> {P}</p><p>See <a class=related>the river</a>, too.</p><p><a class=share>x</a></p></article>", [P, "See the river, too."]),
+}
+
+
+@pytest.mark.parametrize("name", MARKED_PAGES)
+def test_marks_leave_main_text(name):
+    page, want = MARKED_PAGES[name]
+    assert html_extract.main_text(page) == "\n\n".join(want)
+
+
 def test_extract_table(spark):
     rows = [(1, None), (2, ""), (3, PAGES["plain"][0]), (3, PAGES["plain"][0]), (None, "<p>" * 3000 + "deep, text."), (4, f"<article><p>{'word, ' * 100_000}</p></article>")]
     table = spark.createDataFrame([(i, h, "old") for i, h in rows], "page_id long, html string, text string")
