@@ -75,6 +75,23 @@ def test_rates_with_targets_out_of_reach_are_least_squares(spark):
     assert np.allclose(r, [0.25, 0.25, 2.0], atol=1e-4)
 
 
+def test_mix_meets_the_target_of_a_rare_domain(spark, caplog):
+    """A domain with under an eighth of its target share is repeated as often as it takes; a caller's bound is told of."""
+    rows, labels = good_and_bad(300)
+    table = docs(spark, [(i, t if x[2] else f"{t} " * 20) for (i, t), x in zip(rows, labels)])
+    marks = mixing.label_domains(spark.createDataFrame(labels, LABELS))
+    weights = {"clean": 0.5, "junk": 0.2, "toxic": 0.3}
+    for bound, met in (({}, True), ({"most": 2.0}, False)):
+        caplog.clear()
+        got = mixing.assign(spark, table, marks, weights, **bound).collect()
+        total = sum(r.tokens for r in got)
+        shares = {k: sum(r.tokens * r.rate * r[f"p_{k}"] for r in got) / total for k in weights}
+        assert sum(r.tokens * r.p_toxic for r in got) / total < 0.3 / 8
+        assert all(abs(shares[k] - weights[k]) < 1e-3 for k in weights) == met, shares
+        assert max(r.rate for r in got) > 8 if met else max(r.rate for r in got) == 2
+        assert ("mixing misses its targets" in caplog.text and "toxic" in caplog.text) != met
+
+
 def test_mix_odd_rows(spark):
     rows, labels = good_and_bad(90)
     table, marks = docs(spark, rows + ODD), spark.createDataFrame(labels + [(None, 1, 0), (100, None, 1)], LABELS)
