@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemove.llm.common import small_batches
+from tablemove.llm.common import join_small, materialise, small_batches
 from tablemove.llm.features import N_STYLE, features, labelled_sample, sample_features
 
 #: Labelled rows that are fitted at most (drawn by a hash of the id), and opponents that each meets.
 SAMPLE_ROWS, OPPONENTS = 8_000, 6
+#: Bins of the histogram of strengths that places the cut where more rows are labelled than fitted.
+BINS = 20_000
 #: Score at and above which a document counts as good.
 CUT = 0.3
 
@@ -108,12 +110,50 @@ def best_quantile(strength: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Ranking:
-    """Fit on labelled rows that are not held out, ``sample_rows`` at most. An id with several labels counts as good if their mean is 0.5 or more; null labels are ignored."""
+    """Fit on labelled rows that are not held out, ``sample_rows`` at most, and cut at a quantile of all of them.
+
+    An id with several labels counts as good if their mean is 0.5 or more; null labels are ignored.
+    """
     small_batches(spark)
     one = labels.where(~held_out(id_col)).where("quality is not null").groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
+    one = materialise(spark, one, "quality-labels")
     sample = labelled_sample(docs.select(id_col, text), one, sample_rows, id_col=id_col)
     x, y = sample_features(spark, sample, text, "_y")
-    return fit(x, np.array(y))
+    ranking = fit(x, np.array(y))
+    if len(set(y)) < 2 or one.limit(sample_rows + 1).count() <= sample_rows:
+        return ranking  # the sample holds all there is
+    return cut_over_all(spark, docs.select(id_col, text), one, ranking, id_col=id_col, text=text)
+
+
+def cut_over_all(spark: SparkSession, docs: DataFrame, labels: DataFrame, ranking: Ranking, *, id_col: str = "doc_id", text: str = "text") -> Ranking:
+    """``ranking`` with its cut placed by the strengths of all rows of ``labels`` (id, ``_y``).
+
+    The cut is again the quantile that parts the two labels with the smallest mean error. Strengths are counted by
+    label in ``BINS`` bins between their outermost thousandths, what is beyond in the first and last; the cut falls between two
+    neighbouring bins. Counts combine map-side, and only that histogram reaches the driver.
+    """
+
+    @F.pandas_udf("double")
+    def strength(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series(ranking.strength(features(s)))
+
+    rows = join_small(docs, labels, [id_col], "inner")
+    rows = materialise(spark, rows.select(strength(F.col(text).cast("string")).alias("s"), F.col("_y").alias("y")), "quality-strengths")
+    ends = rows.agg(F.percentile_approx("s", [0.001, 0.999], 10_000)).first()[0]
+    if ends is None or ends[0] >= ends[1]:
+        return ranking
+    at = F.floor((F.col("s") - ends[0]) / ((ends[1] - ends[0]) / BINS))
+    at = F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).cast("int").alias("at")
+    bins = rows.groupBy(at).agg(F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    bins = sorted(bins.collect())
+    bad, good = (np.r_[0, np.cumsum([r[k] for r in bins])] for k in ("bad", "good"))
+    lo, hi = (np.array([r[k] for r in bins]) for k in ("lo", "hi"))
+    edges = np.r_[lo[0] - 1, (lo[1:] + hi[:-1]) / 2, hi[-1] + 1]
+    error = good / max(1, good[-1]) + 1 - bad / max(1, bad[-1])
+    best = np.flatnonzero(error <= error.min() + 1e-12)
+    k = best[len(best) // 2]
+    return replace(ranking, cut=float(edges[k]), quantile=float((good[k] + bad[k]) / (good[-1] + bad[-1])))
 
 
 def score_documents(

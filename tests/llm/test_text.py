@@ -56,6 +56,23 @@ def test_quantile_between_labels():
     assert quality.best_quantile(s, y) == (2.5, 0.5)
 
 
+def test_quality_cut_is_placed_by_all_labels(spark):
+    """With a small sample, the fit is the sample's, but the cut is the best over all labelled rows."""
+    rows = [(i, " ".join("brook%" if (i * 7 + k * 37) % 100 < i % 100 else "brook" for k in range(100))) for i in range(400)]
+    labels = [(i, int(i % 100 < 50), 0) for i in range(400)]
+    table, marks = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    one = marks.where(~quality.held_out()).select("doc_id", F.col("quality").alias("_y"))
+    sample = quality.sample_features(spark, quality.labelled_sample(table.select("doc_id", "text"), one, 12), "text", "_y")
+    part, whole = quality.fit(sample[0], np.array(sample[1])), quality.learn(spark, table, marks, sample_rows=12)
+    assert (part.weights == whole.weights).all() and part.cut != whole.cut
+    x, y = quality.sample_features(spark, quality.labelled_sample(table.select("doc_id", "text"), one, 400), "text", "_y")
+    y = np.array(y)
+    error = lambda cut: np.mean(whole.strength(x)[y == 1] < cut) + np.mean(whole.strength(x)[y == 0] >= cut)
+    assert error(whole.cut) < error(part.cut)
+    assert abs(error(whole.cut) - error(quality.best_quantile(whole.strength(x), y)[0])) < 1e-9
+    assert abs(whole.quantile - np.mean(whole.strength(x) < whole.cut)) < 1e-9
+
+
 # ------------------------------------------------------------------ mixing
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(8)
