@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemove.llm import (
-    chat, embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, quality, sentencepiece_stream, simhash_dedup, warc,
+    chat, document_fingerprints, embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, quality, sentencepiece_stream,
+    simhash_dedup, token_alignment, vector_codes, warc,
 )
 from tablemove.session import ensure_checkpoint_dir, scratch_path
 
@@ -71,11 +72,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(spark, docs, mixing.label_domains(_table(spark, sf_dir, "labels")), MIX).drop("draw")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_report(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.fingerprints(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_quality_classifier, op3_sentencepiece, op4_html_extraction, op5_chat_formatting,
         op6_exact_dedup, op7_simhash_near_dedup, op8_warc, op9_line_dedup, op10_mixing,
+        op11_token_alignment, op12_vector_codes, op13_document_fingerprints,
     )
 }
 
@@ -85,4 +99,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -1,0 +1,113 @@
+"""Vector codes by ball k-means against a plain statement in whole numbers, and against SQL."""
+
+import hashlib
+import math
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from oracle_check import digest
+
+from tablemove.llm import queries
+from tablemove.llm import vector_codes as vc
+from tests.llm.helpers import SF
+
+
+def plain(rows, parts=16, entries=64, rounds=2):
+    """(id, vector, label) rows -> result rows, comparing every part with every entry in plain Python."""
+    kept = []
+    for key, v, label in rows:
+        if v and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((key, [math.floor(256 * x) for x in v], label))
+    if not kept:
+        return []
+    width = len(kept[0][1]) // parts
+    cut = [[tuple(v[p * width : (p + 1) * width]) for p in range(parts)] for _, v, _ in kept]
+    first = sorted(range(len(kept)), key=lambda k: (kept[k][0] is None, kept[k][0] or 0, kept[k][1]))[:entries]
+    books = [[cut[k][p] for k in first] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(book))
+
+    for k in range(rounds + 1):
+        found = [[nearest(row[p], books[p]) for p in range(parts)] for row in cut]
+        if k < rounds:
+            for p in range(parts):
+                for e in range(len(first)):
+                    mine = [row[p] for row, f in zip(cut, found) if f[p][1] == e]
+                    if mine:
+                        books[p][e] = tuple(sum(c) // len(mine) for c in zip(*mine))
+    shown = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+    errors = [sum(d for d, _ in f) for f in found]
+    by_label = {}
+    for (_, _, label), e in zip(kept, errors):
+        by_label[label] = by_label.get(label, 0) + e
+    return [(key, "".join(f"{e:02x}" for _, e in f), err, by_label[label], shown) for (key, _, label), f, err in zip(kept, found, errors)]
+
+
+def order(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def test_balls_find_the_nearest_entries():
+    rng = np.random.default_rng(1)
+    for width, spread, n in ((4, 6, 500), (1, 3, 200), (3, 40, 400), (4, 2, 300)):
+        book = rng.integers(-spread, spread + 1, (20, width))  # small spreads: many ties and equal entries
+        parts = rng.integers(-spread, spread + 1, (n, width))
+        want = vc.first_assignment(parts, book)
+        dist = ((parts[:, None] - book[None]) ** 2).sum(2)
+        assert (want[0] == dist.argmin(1)).all() and (want[1] == dist.min(1)).all()
+        for before in (want[0], rng.integers(0, 20, n), np.zeros(n, dtype=np.int64)):
+            got = vc.ball_assignment(parts, before, book)
+            assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_stable_cores_stay():
+    book = np.array([[0, 0], [1000, 0], [0, 1000]])
+    parts = np.repeat(book, 50, 0) + np.random.default_rng(2).integers(-20, 21, (150, 2))
+    own = np.repeat(np.arange(3), 50)
+    got, dist = vc.ball_assignment(parts, own, book)
+    assert (got == own).all() and (dist == ((parts - book[own]) ** 2).sum(1)).all()
+
+
+def test_query_against_plain_and_sql(spark):
+    got = queries.op12_vector_codes(spark, SF)
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    found = got.collect()
+    assert order(found) == order(plain(rows))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
+    sql = con.sql(queries.ORACLE_SQL["op12_vector_codes"])
+    assert digest(got.columns, [tuple(r) for r in found])[:2] == digest(sql.columns, sql.fetchall())[:2]
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, v string, code string, error string, _label string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "x", "x", "x", "x", "x") for r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("entries", [4, 64])
+def test_odd_rows(spark, entries):
+    rng = random.Random(4)
+    vec = lambda: [rng.randint(-3, 3) / 256 for _ in range(32)]
+    twin = vec()
+    rows = [(k, vec(), k % 3 or None) for k in range(40)]
+    rows += [(50, None, 1), (51, [], 1), (52, [None] * 32, 1), (53, [float("nan")] * 32, 2), (54, [float("inf")] * 32, 2), (55, [0.0] * 32, None)]
+    rows += [(60, twin, 1), (60, twin, 1), (60, vec(), 2), (None, vec(), None), (None, twin, 1), (3, twin, 9), (-5, [-0.0] * 32, 7)]
+    got = vc.compress(spark, table(spark, rows), entries=entries)
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert order(got.collect()) == order(plain(rows, entries=entries))
+
+
+def test_empty_tables_and_refusals(spark):
+    assert vc.compress(spark, table(spark, [])).collect() == []
+    assert vc.compress(spark, table(spark, [(1, None, 1), (2, [float("nan")] * 16, 1)])).collect() == []
+    for bad in ([(1, [1.0] * 16, 1), (2, [1.0] * 32, 1)], [(1, [1.0] * 20, 1)]):
+        with pytest.raises(ValueError):
+            vc.compress(spark, table(spark, bad))
+    with pytest.raises(Exception, match="beyond"):
+        vc.compress(spark, table(spark, [(1, [1e9] * 16, 1)])).collect()
