@@ -17,7 +17,8 @@ def test_entry_runs(spark):
 
 #: Trained models, token ids, HTML and XXH64 fingerprints can't be put in SQL; tests/llm holds these against brute force.
 NOT_IN_SQL = {
-    "op2_quality_classifier", "op3_sentencepiece", "op4_html_extraction", "op7_simhash_near_dedup", "op10_mixing", "pipeline",
+    "op2_quality_classifier", "op3_sentencepiece", "op4_html_extraction", "op7_simhash_near_dedup", "op10_mixing",
+    "op11_token_alignment", "op13_document_fingerprints", "pipeline",
 }
 
 
