@@ -90,37 +90,38 @@ def linked_pairs(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(pairs, times) with every linked id pair of a document once, and how many links it has.
 
-    One yield for a document of up to ``at_once`` links. One with more goes
-    through its A ids in classes, so that the yields share no pair and none
-    spreads out all links; within a class a group's ids are counted before they
-    are paired.
+    One yield for a document of up to ``at_once`` links. With more, ids are
+    counted within their groups before they are paired, and the A ids are gone through in
+    classes, so that the yields share no pair and each spreads out about ``at_once`` pairs
+    (one A id alone pairs with no more than the document's B tokens).
     """
     starts_a, starts_b = np.append(0, cuts_a[:-1]), np.append(0, cuts_b[:-1])
     n_a, n_b = cuts_a - starts_a, cuts_b - starts_b
-    links = n_a * n_b
-    total = int(links.sum())
-    if total <= at_once:
-        group = np.repeat(np.arange(len(links)), links)
-        nth = np.arange(total) - np.repeat(np.cumsum(links) - links, links)
-        width = n_b[group]
-        yield np.unique(a[starts_a[group] + nth // width] * SHIFT + b[starts_b[group] + nth % width], return_counts=True)
+    if (n_a * n_b).sum() <= at_once:
+        mine, at = _spread(np.repeat(starts_b, n_a), np.repeat(n_b, n_a))
+        yield np.unique(a[mine] * SHIFT + b[at], return_counts=True)
         return
-    classes = -(-total // at_once)
+    groups = np.arange(len(n_a))
+    ua, ca = np.unique(np.repeat(groups, n_a) * SHIFT + a, return_counts=True)
+    ub, cb = np.unique(np.repeat(groups, n_b) * SHIFT + b, return_counts=True)
+    group, ids = ua // SHIFT, ua % SHIFT
+    first = np.searchsorted(ub, groups * SHIFT)
+    width = np.diff(first, append=len(ub))
+    classes = -(-int(width[group].sum()) // at_once)
     for c in range(classes):
-        keys, times = [], []
-        for s, e, t, u in zip(starts_a.tolist(), cuts_a.tolist(), starts_b.tolist(), cuts_b.tolist()):
-            ids = a[s:e]
-            ids = ids[ids % classes == c]
-            if len(ids):
-                ua, ca = np.unique(ids, return_counts=True)
-                ub, cb = np.unique(b[t:u], return_counts=True)
-                keys.append(np.add.outer(ua * SHIFT, ub).ravel())
-                times.append(np.multiply.outer(ca, cb).ravel())
-        if keys:
-            pairs, where = np.unique(np.concatenate(keys), return_inverse=True)
-            counted = np.zeros(len(pairs), dtype=np.int64)
-            np.add.at(counted, where, np.concatenate(times))
-            yield pairs, counted
+        pick = np.flatnonzero(ids % classes == c)
+        if len(pick):
+            mine, at = _spread(first[group[pick]], width[group[pick]])
+            pairs, where = np.unique(ids[pick][mine] * SHIFT + ub[at] % SHIFT, return_inverse=True)
+            times = np.zeros(len(pairs), dtype=np.int64)
+            np.add.at(times, where, ca[pick][mine] * cb[at])
+            yield pairs, times
+
+
+def _spread(first: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k, ``width[k]`` rows (k, first[k]), (k, first[k] + 1), ..."""
+    mine = np.repeat(np.arange(len(width)), width)
+    return mine, np.arange(len(mine)) + np.repeat(first - (np.cumsum(width) - width), width)
 
 
 def byte_alphabet() -> dict[str, int]:
