@@ -90,7 +90,7 @@ def test_pairs_in_classes_equal_pairs_at_once():
     a, b = rng.integers(0, 9, 400), rng.integers(0, 7, 300)
     cuts_a, cuts_b = np.array([1, 2, 200, 390, 400]), np.array([1, 5, 100, 299, 300])
     (whole,) = ta.linked_pairs(a, b, cuts_a, cuts_b)
-    parts = list(ta.linked_pairs(a, b, cuts_a, cuts_b, at_once=9000))
+    parts = list(ta.linked_pairs(a, b, cuts_a, cuts_b, at_once=50))
     assert len(parts) > 1
     together = {int(k): int(n) for p in parts for k, n in zip(*p)}
     assert together == {int(k): int(n) for k, n in zip(*whole)} and sum(len(p[0]) for p in parts) == len(together)
