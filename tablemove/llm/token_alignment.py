@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,27 +26,32 @@ SHIFT = 1 << 32
 LINKS_AT_ONCE = 1 << 21
 #: Texts encoded at once, and the code points after which a call is made anyway.
 TEXTS_AT_ONCE, POINTS_AT_ONCE = 64, 200_000
+#: How the byte-level pre-tokenizer cuts (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Most counted pairs that are broadcast (16 bytes of numbers each, about 200 MB as a hash table); more are joined by a shuffle.
 BROADCAST_PAIRS = 3_000_000
 
 
-def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], list[int]]:
+#: Tokens that are compared first from a common boundary; each probe after it takes twice as many.
+PROBE = 8
+
+
+def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Cut two tokenisations of the same bytes where both have a token end.
 
     ``ends`` are the byte offsets at which tokens end, ascending, the last ones
     equal. Returns, for each group, the index after its last A token and after its
     last B token. From a common boundary the ends are compared at the current
-    index shift over 1, 2, 4, ... tokens; a stretch that agrees is one-to-one and
+    index shift over 8, 16, 32, ... tokens; a stretch that agrees is one-to-one and
     jumped, and halving finds where the first window that differs departs. There
     the shorter side is advanced until both meet, which makes one irregular group,
     and its token counts give the new shift.
     """
-    cuts_a: list[int] = []
-    cuts_b: list[int] = []
+    first_a, last_a, first_b, last_b = [], [], [], []
     i = j = 0
     n = len(ends_a)
     while i < n:
-        start, step = i, 1
+        step = PROBE
         while (ahead := ends_a[i : i + step]) == ends_b[j : j + step]:
             i, j = i + len(ahead), j + len(ahead)
             if i == n:
@@ -54,10 +62,10 @@ def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], list
                 step //= 2
                 if ends_a[i : i + step] == ends_b[j : j + step]:
                     i, j = i + step, j + step
-        cuts_a.extend(range(start + 1, i + 1))
-        cuts_b.extend(range(j - i + start + 1, j + 1))
         if i == n:
             break
+        first_a.append(i)
+        first_b.append(j)
         x, y = ends_a[i], ends_b[j]
         while x != y:
             if x < y:
@@ -66,23 +74,44 @@ def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[int], list
             else:
                 j += 1
                 y = ends_b[j]
+        last_a.append(i)
+        last_b.append(j)
         i, j = i + 1, j + 1
-        cuts_a.append(i)
-        cuts_b.append(j)
-    return cuts_a, cuts_b
-
-
-def groups_text(a: Sequence[int], b: Sequence[int], cuts_a: Sequence[int], cuts_b: Sequence[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order."""
-    sa, sb = list(map(str, a)), list(map(str, b))
-    out, i, j = [], 0, 0
-    for x, y in zip(cuts_a, cuts_b):
-        if x - i == 1 and y - j == 1:
-            out.append(sa[i] + "|" + sb[j])
-        else:
-            out.append(",".join(sa[i:x]) + "|" + ",".join(sb[j:y]))
-        i, j = x, y
-    return ";".join(out)
+    return _cuts(n, first_a, last_a), _cuts(len(ends_b), first_b, last_b)
+
+
+def _cuts(n: int, first: list[int], last: list[int]) -> np.ndarray:
+    """1 to ``n`` without what lies within an irregular group from token ``first`` to token ``last``."""
+    inside = np.zeros(n + 1, dtype=np.int64)
+    inside[first] += 1
+    inside[last] -= 1
+    return np.flatnonzero(np.cumsum(inside)[:n] == 0) + 1
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups in order. Each id takes a row of digits and the mark after it; blanks of short ids go at the end."""
+    starts_a, starts_b = np.append(0, cuts_a[:-1]), np.append(0, cuts_b[:-1])
+    at_a = np.arange(len(a)) + np.repeat(starts_b, cuts_a - starts_a)
+    at_b = np.arange(len(b)) + np.repeat(cuts_a, cuts_b - starts_b)
+    digits = _digits(int(max(a.max(), b.max())) + 1)
+    rows = np.empty((len(a) + len(b), digits.shape[1] + 1), dtype=np.uint8)
+    rows[at_a, :-1], rows[at_b, :-1] = digits[a], digits[b]
+    rows[:, -1] = ord(",")
+    rows[at_a[cuts_a - 1], -1] = ord("|")
+    rows[at_b[cuts_b - 1], -1] = ord(";")
+    return rows[rows != 0].tobytes()[:-1]
+
+
+_DIGITS = np.empty((0, 0), dtype=np.uint8)
+
+
+def _digits(n: int) -> np.ndarray:
+    """The decimal digits of 0 to n - 1 at least, a row each with zero bytes after them, made once a worker."""
+    global _DIGITS
+    if len(_DIGITS) < n:
+        shown = np.array(list(map(str, range(max(n, 65_536)))), dtype=bytes)
+        _DIGITS = shown.view(np.uint8).reshape(len(shown), -1)
+    return _DIGITS
 
 
 def linked_pairs(
@@ -134,7 +163,7 @@ def byte_alphabet() -> dict[str, int]:
 class Tokenizers:
     """Both tokenizers of a worker, made from the contents of their public files, with the bytes of every token."""
 
-    def __init__(self, byte_level: str, pieces: bytes):
+    def __init__(self, byte_level: str, pieces: bytes, use_ranks: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -153,17 +182,50 @@ class Tokenizers:
             piece = self.b.id_to_piece(k)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode())
         self.lengths_a, self.lengths_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each text by both; none for an empty text or where joined token bytes differ from a blank and the text."""
-        coded_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        coded_b = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, coded_a, coded_b):
-            raw, a = b" " + text.encode(), a.ids
-            same = text and all(
-                b"".join(map(table.__getitem__, ids)) == raw for table, ids in ((self.bytes_a, a), (self.bytes_b, b))
-            )
-            yield (a, b) if same else ([], [])
+        self.by_rank = None
+        if use_ranks:
+            import tiktoken
+
+            ranks = {token: k for k, token in enumerate(self.bytes_a) if token}
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ranks_agree(self, byte_level: str) -> bool:
+        """Whether an encoder that merges whatever pair makes the token of lowest id encodes as A does.
+
+        So it is if A cuts by the byte-level pattern and changes nothing, ids follow the order of its merges, and each
+        token, met alone, is encoded as itself: then a pair that makes a token is always that of its rule.
+        """
+        made = json.loads(byte_level)
+        split, merges = made.get("pre_tokenizer") or {}, made["model"].get("merges") or []
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        if (
+            made.get("normalizer") is not None or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space")
+            or [vocabulary.get(x + y) for x, y in pairs] != list(range(256, 256 + len(pairs)))
+        ):
+            return False
+        pieces = regex.compile(PATTERN).findall
+        for k, token in enumerate(self.bytes_a[: 256 + len(pairs)]):
+            text = token.decode("utf-8", "replace")
+            if text.encode() == token and pieces(text) == [text] and self.a.encode(text, add_special_tokens=False).ids != [k]:
+                return False
+        return True
+
+    unusual = re.compile(r"[^\x00-\u024f]|\s{400}").search
+
+    def quick(self, text: str) -> bool:
+        """Whether the quicker encoder takes a text: not with characters that are not long classified the same way in Unicode, nor with very long words."""
+        return self.by_rank is not None and not self.unusual(text) and max(map(len, text.split()), default=0) < 400
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of each text by both; None for an empty text or where joined token bytes differ from a blank and the text."""
+        rest = [t for t in texts if not self.quick(t)]
+        slow = iter(self.a.encode_batch_fast([" " + t for t in rest], add_special_tokens=False))
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            quick, raw = self.quick(text), b" " + text.encode()
+            a = self.by_rank(" " + text) if quick else next(slow).ids  # the quicker encoder cuts bytes and never changes them
+            same = text and b"".join(map(self.bytes_b.__getitem__, b)) == raw and (quick or b"".join(map(self.bytes_a.__getitem__, a)) == raw)
+            yield (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if same else None
 
 
 def _sub_batches(texts: list[str]) -> Iterator[list[str]]:
@@ -195,11 +257,13 @@ def align_texts(
     with other pairs of it, whose numbers are null.
 
     The files are read on the driver and sent to the workers, which need no
-    folder of their own for them.
+    folder of their own for them. Where A's merges allow it, a quicker encoder of the same
+    vocabulary stands in for it.
     """
     small_batches(spark)
     with open(byte_level, encoding="utf-8") as f, open(pieces, "rb") as g:
-        shared, name = spark.sparkContext.broadcast((f.read(), g.read())), uuid.uuid4().hex
+        files, name = (f.read(), g.read()), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((*files, Tokenizers(*files).ranks_agree(files[0])))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _READY:
@@ -210,18 +274,17 @@ def align_texts(
             texts = [t or "" for t in frame["text"]]
             coded = (x for part in _sub_batches(texts) for x in both.encode(part))
             out, size = [], 0
-            for row, key, (a, b) in zip(frame["row"], frame["key"], coded):
+            for row, key, ids in zip(frame["row"], frame["key"], coded):
                 key = None if pd.isna(key) else key
-                if not a:
+                if not ids:
                     out.append((row, key, 0, 0, 0, 0, "", [], []))
                     continue
-                ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-                cuts_a, cuts_b = align(np.cumsum(both.lengths_a[ids_a]).tolist(), np.cumsum(both.lengths_b[ids_b]).tolist())
-                digest = hashlib.sha256(groups_text(a, b, cuts_a, cuts_b).encode()).hexdigest()
-                ends_a, ends_b = np.array(cuts_a), np.array(cuts_b)
-                n_links = int((np.diff(ends_a, prepend=0) * np.diff(ends_b, prepend=0)).sum())
+                a, b = ids
+                cuts_a, cuts_b = align(np.cumsum(both.lengths_a[a]).tolist(), np.cumsum(both.lengths_b[b]).tolist())
+                digest = hashlib.sha256(groups_text(a, b, cuts_a, cuts_b)).hexdigest()
+                n_links = int((np.diff(cuts_a, prepend=0) * np.diff(cuts_b, prepend=0)).sum())
                 numbers = (key, len(a), len(b), len(cuts_a), n_links, digest)
-                for pairs, times in linked_pairs(ids_a, ids_b, ends_a, ends_b, at_once):
+                for pairs, times in linked_pairs(a, b, cuts_a, cuts_b, at_once):
                     out.append((row, *numbers, pairs, times))
                     numbers = (None,) * 6
                     size += len(pairs)

@@ -85,6 +85,20 @@ def test_a_long_agreeing_run_is_jumped():
     assert len(cuts_a) == len(cuts_b) == n - 1 and Counting.looks < 200
 
 
+def test_quicker_encoder_agrees():
+    byte_level, pieces = open(ta.BYTE_LEVEL, encoding="utf-8").read(), open(ta.PIECES, "rb").read()
+    slow, rng = ta.Tokenizers(byte_level, pieces), random.Random(6)
+    assert slow.ranks_agree(byte_level)
+    quick = ta.Tokenizers(byte_level, pieces, use_ranks=True)
+    texts = ["".join(rng.choice("abcdeinorstu  '.,\n\t0123éñŒ\xa0\x1c\x85") for _ in range(rng.randint(1, 200))) for _ in range(3000)]
+    texts += [w for t in texts[:300] for w in (t.title(), t.upper(), t.replace(" ", ""))] + ["a" * 399, "b" * 5000, " " * 5000]
+    assert sum(map(quick.quick, texts)) > 3000 and not any(map(slow.quick, texts))
+    for x, y in zip(quick.encode(texts), slow.encode(texts)):
+        assert (x is None) == (y is None) and (x is None or x[0].tolist() == y[0].tolist())
+    changed = byte_level.replace('"use_regex": true', '"use_regex": false').replace('"use_regex":true', '"use_regex":false')
+    assert not slow.ranks_agree(changed)
+
+
 def test_pairs_in_classes_equal_pairs_at_once():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 9, 400), rng.integers(0, 7, 300)
