@@ -219,10 +219,10 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of each text by both; None for an empty text or where joined token bytes differ from a blank and the text."""
-        rest = [t for t in texts if not self.quick(t)]
-        slow = iter(self.a.encode_batch_fast([" " + t for t in rest], add_special_tokens=False))
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            quick, raw = self.quick(text), b" " + text.encode()
+        quicks = list(map(self.quick, texts))
+        slow = iter(self.a.encode_batch_fast([" " + t for t, quick in zip(texts, quicks) if not quick], add_special_tokens=False))
+        for text, quick, b in zip(texts, quicks, self.b.encode(texts, num_threads=1)):
+            raw = b" " + text.encode()
             a = self.by_rank(" " + text) if quick else next(slow).ids  # the quicker encoder cuts bytes and never changes them
             same = text and b"".join(map(self.bytes_b.__getitem__, b)) == raw and (quick or b"".join(map(self.bytes_a.__getitem__, a)) == raw)
             yield (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if same else None
