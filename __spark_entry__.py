@@ -530,6 +530,40 @@ def q_reconcile_nested(spark, sf_dir):
     return reconcile_tables(spark, src, dst, ["turns", "vecs", "changed"])
 
 
+#: Changes that keep counts and all non-null values: table -> (how the source reads, how the target reads), in both engines' SQL.
+_NULL_CHANGES = {
+    "same": ("c_nationkey AS a, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey END AS b", None),
+    "moved": ("CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_nationkey END AS a, CASE WHEN c_custkey % 2 = 1 THEN NULL ELSE c_nationkey END AS b",
+              "CASE WHEN c_custkey % 2 = 1 THEN NULL ELSE c_nationkey END AS a, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_nationkey END AS b"),
+    "elements": ("{arr}(c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 1 END, 2) AS v",
+                 "CASE WHEN c_custkey % 5 = 0 THEN {arr}(c_custkey, 2) ELSE {arr}(c_custkey, 1, 2) END AS v"),
+    "borders": ("{arr}(c_custkey) AS v, {arr}(c_nationkey) AS w", "{arr}(c_custkey, c_nationkey) AS v, {none} AS w"),
+    "fields": ("{row1} AS s", "{row2} AS s"),
+    "missing": ("CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE {arr}(c_custkey) END AS v", "CASE WHEN c_custkey % 7 = 0 THEN {none} ELSE {arr}(c_custkey) END AS v"),
+}
+_SPARK_WORDS = {
+    "arr": "array", "none": "array_remove(array(c_custkey), c_custkey)",
+    "row1": "named_struct('p', CAST(NULL AS BIGINT), 'q', c_custkey)", "row2": "named_struct('p', c_custkey, 'q', CAST(NULL AS BIGINT))",
+}
+_DUCK_WORDS = {
+    "arr": "list_value", "none": "list_filter(list_value(c_custkey), lambda x: x <> c_custkey)",
+    "row1": "{'p': NULL::BIGINT, 'q': c_custkey}", "row2": "{'p': c_custkey, 'q': NULL::BIGINT}",
+}
+
+
+def q_reconcile_nulls(spark, sf_dir):
+    """Copies in which only the place of nulls or of array borders differs from the source; one is a true copy."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("tm_null_source")
+    src, src_loc = _target_namespace(spark, "tm_src")
+    dst, dst_loc = _target_namespace(spark)
+    ensure_namespace(spark, src, src_loc)
+    ensure_namespace(spark, dst, dst_loc)
+    for name, (source, target) in _NULL_CHANGES.items():
+        for ns, reads in ((src, source), (dst, target or source)):
+            spark.sql(f"SELECT c_custkey % 1000 AS k, {reads.format(**_SPARK_WORDS)} FROM tm_null_source").write.saveAsTable(f"{ns}.{name}")
+    return reconcile_tables(spark, src, dst, list(_NULL_CHANGES))
+
+
 def q_audit_incremental_dup(spark, sf_dir):
     """Every job archived twice, the second time with another status: the first stays, in two runs as in one."""
     ensure_checkpoint_dir(spark)
@@ -578,6 +612,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reconcile_tables": q_reconcile_tables,
     "request_stream_chain": q_request_stream_chain,
     "reconcile_nested": q_reconcile_nested,
+    "reconcile_nulls": q_reconcile_nulls,
     "audit_incremental_dup": q_audit_incremental_dup,
     "audit_csv_roundtrip": q_audit_csv_roundtrip,
     "audit_compacted": q_audit_compacted,
@@ -788,6 +823,16 @@ _ORACLE["reconcile_nested"] = """
     UNION ALL SELECT 'changed', count(*), count(*), count(*) FILTER (WHERE turn = 0) = 0 FROM conversations
     UNION ALL SELECT 'vecs', count(*), count(*), true FROM embeddings"""
 
+
+
+def _null_change_sql(name: str) -> str:
+    source, target = (f"SELECT c_custkey % 1000 AS k, {r.format(**_DUCK_WORDS)} FROM customer" for r in (_NULL_CHANGES[name][0], _NULL_CHANGES[name][1] or _NULL_CHANGES[name][0]))
+    return f"""SELECT '{name}' AS "table", (SELECT count(*) FROM customer) AS source_rows, (SELECT count(*) FROM customer) AS target_rows,
+        NOT EXISTS (({source}) EXCEPT ALL ({target})) AND NOT EXISTS (({target}) EXCEPT ALL ({source})) AS matched"""
+
+
+_ORACLE["reconcile_nulls"] = " UNION ALL ".join(map(_null_change_sql, _NULL_CHANGES))
+
 _ORACLE["audit_incremental_dup"] = "WITH " + _REPORT_CTE + """
     SELECT report.*, run FROM report CROSS JOIN (VALUES ('incremental'), ('full')) AS r(run)"""
 

@@ -5,8 +5,9 @@ sum taken as ``decimal(38,0)`` so it cannot overflow under ANSI mode. It is
 a plain aggregate: partial sums per task, one tiny shuffle, no sort, so it
 costs one scan at any size. Columns are hashed in name order, which makes
 the hash insensitive to column order (a copy may move partition columns to
-the end). ``xxhash64`` rejects maps, so maps are hashed as their sorted entry
-arrays, at any depth.
+the end). ``xxhash64`` skips nulls, does not mark where an array ends and
+rejects maps, so null marks of columns, fields and elements and the sizes of
+arrays are hashed along with the values, and maps as their sorted entries, at any depth.
 """
 
 from __future__ import annotations
@@ -40,30 +41,51 @@ def _widened(t: T.DataType) -> T.DataType:
     return t
 
 
-def _has_map(t: T.DataType) -> bool:
-    if isinstance(t, T.ArrayType):
-        return _has_map(t.elementType)
-    if isinstance(t, T.StructType):
-        return any(_has_map(f.dataType) for f in t.fields)
-    return isinstance(t, T.MapType)
+#: Null marks of so many columns or fields share a number.
+MARKS = 60
 
 
-def _without_maps(c: Column, t: T.DataType) -> Column:
-    """``c`` with each map turned into its entries in order; untouched where there is none."""
-    if not _has_map(t):
-        return c
-    if isinstance(t, T.ArrayType):
-        return F.transform(c, lambda x: _without_maps(x, t.elementType))
+def _null_marks(columns: Sequence[Column]) -> list[Column]:
+    """Which of ``columns`` are null, as numbers with a bit for each."""
+    marks = []
+    for start in range(0, len(columns), MARKS):
+        mark = F.lit(0).cast("long")
+        for k, c in enumerate(columns[start : start + MARKS]):
+            mark = mark + F.when(c.isNull(), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+        marks.append(mark)
+    return marks
+
+
+def _is_nested(t: T.DataType) -> bool:
+    return isinstance(t, (T.ArrayType, T.MapType, T.StructType))
+
+
+def _marked(c: Column, t: T.DataType) -> Column:
+    """A nested value in a form of which ``xxhash64`` leaves nothing out; null if it is null itself.
+
+    A struct gets the null marks of its fields before them, an array its size
+    and the null marks of its elements, a map becomes the array of its entries in order.
+    """
     if isinstance(t, T.StructType):
-        fields = [_without_maps(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields]
-        return F.when(c.isNotNull(), F.struct(*fields))
+        fields = [c.getField(f.name) for f in t.fields]
+        marks = [m.alias(f"_null{k}") for k, m in enumerate(_null_marks(fields))]
+        inner = [_marked(v, f.dataType).alias(f"_{k}") for k, (v, f) in enumerate(zip(fields, t.fields))]
+        return F.when(c.isNotNull(), F.struct(F.lit(len(fields)).alias("_fields"), *marks, *inner))
+    if isinstance(t, T.ArrayType):
+        values = F.transform(c, lambda x: _marked(x, t.elementType)) if _is_nested(t.elementType) else c
+        nulls = F.transform(c, lambda x: x.isNull())
+        return F.when(c.isNotNull(), F.struct(F.size(c).alias("_size"), nulls.alias("_nulls"), values.alias("_values")))
+    if isinstance(t, T.MapType):
 
-    def entry(e: Column) -> Column:
-        return F.struct(
-            _without_maps(e["key"], t.keyType).alias("key"), _without_maps(e["value"], t.valueType).alias("value")
-        )
+        def entry(e: Column) -> Column:
+            key, value = e["key"], e["value"]
+            return F.struct(
+                _marked(key, t.keyType).alias("key"), value.isNull().alias("null"), _marked(value, t.valueType).alias("value")
+            )
 
-    return F.array_sort(F.transform(F.map_entries(c), entry))
+        entries = F.array_sort(F.transform(F.map_entries(c), entry))
+        return F.when(c.isNotNull(), F.struct(F.size(c).alias("_size"), entries.alias("_values")))
+    return c
 
 
 def _hashable(field: T.StructField) -> Column:
@@ -73,13 +95,13 @@ def _hashable(field: T.StructField) -> Column:
     ``timestamp_ntz`` as ``timestamp``; hashing integers as ``bigint``,
     floats as ``double`` and both timestamp kinds as wall-clock microseconds
     keeps the fingerprint equal for equal values. Nested values are cast as a
-    whole; only types that hold a map need a function per element.
+    whole.
     """
     c = F.col(quote_name([field.name]))
     t = field.dataType
-    if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+    if _is_nested(t):
         wide = _widened(t)
-        return _without_maps(c if wide == t else c.cast(wide), wide)
+        return _marked(c if wide == t else c.cast(wide), wide)
     if isinstance(t, _INTEGERS):
         return c.cast("long")
     if isinstance(t, T.FloatType):
@@ -94,7 +116,8 @@ def _hashable(field: T.StructField) -> Column:
 
 def row_hash(df: DataFrame) -> Column:
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    return F.xxhash64(*[_hashable(f) for f in fields])
+    marks = _null_marks([F.col(quote_name([f.name])) for f in fields])
+    return F.xxhash64(*marks, *[_hashable(f) for f in fields])
 
 
 def fingerprint_columns(df: DataFrame) -> list[Column]:
