@@ -564,8 +564,65 @@ def q_reconcile_nulls(spark, sf_dir):
     return reconcile_tables(spark, src, dst, list(_NULL_CHANGES))
 
 
+def _indented(jobs):
+    """Each record as JSON over several lines, its list's items at line starts."""
+    line = F.to_json(F.struct(*JOB_COLUMNS))
+    spread = F.regexp_replace(F.regexp_replace(line, r'","', '",\n  "'), r"\[", "[\n")
+    return jobs.select(F.concat(F.lit("{\n  "), F.substring(spread, 2, 1 << 30)).alias("value"))
+
+
+def q_audit_indented(spark, sf_dir):
+    """Indented records, very many to a file, read by split files: the report is that of JSON lines."""
+    ensure_checkpoint_dir(spark)
+    jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    archive, ledger = scratch_path(spark, "archive"), _ledger_name(spark)
+    _indented(jobs).write.text(archive)
+    res = audit_plan.generate_report(spark, archive, ledger, glob=None)
+    if not res.rejects.isEmpty():
+        raise RuntimeError("an indented record was rejected")
+    return _for_compare(res.report)
+
+
+def q_audit_mixed_layout(spark, sf_dir):
+    """Indented records, JSON lines and cut lines in the same files: what can be read is reported, each cut line is a reject."""
+    ensure_checkpoint_dir(spark)
+    jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("_n", F.substring("job_id", 5, 100).cast("long"))
+    line = F.to_json(F.struct(*JOB_COLUMNS))
+    lines = jobs.filter("_n % 17 <> 0 AND _n % 2 = 1").select(line.alias("value"))
+    cut = jobs.filter("_n % 17 = 0").select(F.substring(line, 1, 25).alias("value"))
+    archive = scratch_path(spark, "archive")
+    mixed = _indented(jobs.filter("_n % 17 <> 0 AND _n % 2 = 0")).unionByName(lines).unionByName(cut)
+    mixed.repartition(4).write.text(archive)
+    res = audit_plan.generate_report(spark, archive, _ledger_name(spark), glob=None)
+    n_rejects, expected = res.rejects.count(), cut.count()
+    if n_rejects != expected:
+        raise RuntimeError(f"expected {expected} rejects, got {n_rejects}")
+    return _for_compare(res.report)
+
+
+def q_audit_empty_files(spark, sf_dir):
+    """Files a crash has left without content, beside good ones: (kind, rows) of what the batch and the stream report of them."""
+    ensure_checkpoint_dir(spark)
+    jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("_n", F.substring("job_id", 5, 100).cast("long") % 4)
+    archive, ledger = scratch_path(spark, "archive"), _ledger_name(spark)
+    lines = jobs.select("_n", F.when(F.col("_n") < 2, F.to_json(F.struct(*JOB_COLUMNS))).otherwise(" ").alias("value"))
+    lines.repartition(4, "_n").write.partitionBy("_n").text(archive)  # two of the four folders hold blank lines only
+    res = audit_plan.generate_report(spark, archive, ledger, glob=None)
+    streamed = run_audit_stream(spark, archive, f"{ledger}_s", scratch_path(spark, "ckpt-empty"), glob=None)
+    spark.catalog.refreshTable(f"{ledger}_s_rejects")
+    folder = F.regexp_extract("source_file", r"/_n=(\d)/", 1)
+    counts = [("batch", "empty", res.rejects), ("stream", "empty", spark.read.table(f"{ledger}_s_rejects")),
+              ("batch", "reported", res.report), ("stream", "reported", streamed)]
+    out = None
+    for run, kind, df in counts:
+        n = F.count_distinct(folder) if kind == "empty" else F.count(F.lit(1))
+        row = df.agg(n.cast("long").alias("n")).select(F.lit(run).alias("run"), F.lit(kind).alias("kind"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def q_audit_incremental_dup(spark, sf_dir):
-    """Every job archived twice, the second time with another status: the first stays, in two runs as in one."""
+    """Every job archived twice, the second time with another status: the newest wins, in two runs as in one."""
     ensure_checkpoint_dir(spark)
     jobs = jobs_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
     archive, ledger = scratch_path(spark, "archive"), _ledger_name(spark)
@@ -614,6 +671,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reconcile_nested": q_reconcile_nested,
     "reconcile_nulls": q_reconcile_nulls,
     "audit_incremental_dup": q_audit_incremental_dup,
+    "audit_indented": q_audit_indented,
+    "audit_mixed_layout": q_audit_mixed_layout,
+    "audit_empty_files": q_audit_empty_files,
     "audit_csv_roundtrip": q_audit_csv_roundtrip,
     "audit_compacted": q_audit_compacted,
 }
@@ -834,7 +894,13 @@ def _null_change_sql(name: str) -> str:
 _ORACLE["reconcile_nulls"] = " UNION ALL ".join(map(_null_change_sql, _NULL_CHANGES))
 
 _ORACLE["audit_incremental_dup"] = "WITH " + _REPORT_CTE + """
-    SELECT report.*, run FROM report CROSS JOIN (VALUES ('incremental'), ('full')) AS r(run)"""
+    SELECT report.* REPLACE ('REPEATED' AS "Status"), run FROM report CROSS JOIN (VALUES ('incremental'), ('full')) AS r(run)"""
+
+_ORACLE["audit_indented"] = _ORACLE["audit_full"]
+_ORACLE["audit_mixed_layout"] = _ORACLE["audit_rejects"]
+_ORACLE["audit_empty_files"] = """
+    SELECT run, 'empty' AS kind, count(DISTINCT event_id % 4) FILTER (WHERE event_id % 4 >= 2) AS n FROM events, (VALUES ('batch'), ('stream')) AS r(run) GROUP BY run
+    UNION ALL SELECT run, 'reported', count(*) FILTER (WHERE event_id % 4 < 2) FROM events, (VALUES ('batch'), ('stream')) AS r(run) GROUP BY run"""
 
 
 # --------------------------------------------------------------------------- contract

@@ -144,14 +144,13 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
             spark.createDataFrame(rows, manifest.schema).write.mode("append").saveAsTable(args.output_table)
         failed = any(r.status != "ok" for r in rows)
     elif args.command == "audit":
-        from .plans.audit import compact_ledger, generate_report, write_report_csv
+        from .plans.audit import append_rejects, compact_ledger, generate_report, write_report_csv
 
         res = generate_report(spark, args.archive, args.ledger, full_rescan=args.full_rescan,
                               multi_line=not args.json_lines)
         print(res.message)
         if res.rejects is not None:
-            res.rejects.write.mode("overwrite").saveAsTable(f"{args.ledger}_rejects")
-            bad_files = spark.read.table(f"{args.ledger}_rejects").select("source_file").distinct()
+            bad_files = spark.read.table(append_rejects(spark, res.rejects, args.ledger)).select("source_file").distinct()
             n_bad = bad_files.count()
             if n_bad:
                 print(f"Warning: {n_bad} file(s) with records that could not be parsed, e.g.:")

@@ -1,23 +1,21 @@
 """Incremental job-audit report over an archive of job records.
 
 The report lives in a typed *ledger* table (the seven report columns plus
-``job_key`` and ``source_file``); it is never round-tripped through CSV, so
-values do not drift between runs. A run:
+``LEDGER_EXTRA``); it is never round-tripped through CSV, so
+values do not drift between runs. Beside it, ``<ledger>_files`` keeps path, length and
+modification time of the files that the ledger covers. A run:
 
-1. scans the archive (PERMISSIVE; unparseable records returned as rejects),
+1. lists the archive and scans the files whose state is new (incremental), or all of them (full rescan),
 2. computes the report columns with built-in expressions (no UDFs),
-3. incremental: keeps only records whose ``job_key`` is not in the ledger
-   (left-anti join reading just the ledger's key column) and appends them;
-   full rescan: replaces the ledger with all records,
+3. keeps the newest record of each job: rows that are new, or newer than the
+   ledger's, are appended, or replace those they supersede; a full rescan replaces the ledger,
 4. returns the ledger ordered by End Time (newest first, nulls last, then
    Job ID) plus a status message.
-
-The number of new rows comes from an observation on the ledger write, so
-no extra pass is made to count them.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -30,6 +28,8 @@ from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
 from ..operators.catalog import table_provider
 from ..operators.write import counted, ensure_namespace, replace_table, table_exists
+from ..session import ensure_checkpoint_dir, scratch_path
+from ..sources.files import file_states
 from ..sources.jobs import read_job_records
 
 # Status messages of a report run.
@@ -37,8 +37,14 @@ MSG_NO_ARCHIVE = "Archive directory does not exist."
 MSG_EMPTY = "No completed jobs found to report."
 MSG_UP_TO_DATE = "Audit report is already up-to-date."
 MSG_UPDATED = "Report updated with {n} new job(s)."
+MSG_UNREADABLE = "Could not read existing audit report. Performing a full rescan. Error: %s"
+
+#: Key, file and file time of a row's record; ``entry`` tells records without an id apart, which share their file's key (null: has an id).
+LEDGER_EXTRA = ["job_key", "entry", "source_file", "file_mtime"]
+#: A run reads so many files by name; with more of them new it scans the archive and drops the others' records.
+MAX_NAMED_FILES = 5_000
 
-LEDGER_EXTRA = ["job_key", "source_file"]
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -49,27 +55,19 @@ class AuditResult:
     rejects: DataFrame | None = None
 
 
-def audit_rows(records: DataFrame) -> DataFrame:
-    """Job records -> report columns plus the ledger's key columns."""
-    return audit_frame(records, keep=LEDGER_EXTRA)
-
-
 def one_per_job(records: DataFrame) -> DataFrame:
-    """Report rows of ``records``, one per job: that of the file archived first.
+    """Ledger rows of ``records``, one per job: that of the newest file.
 
-    A job once reported stays as it is, so runs only ever append, and an
-    incremental run, a stream and a full rescan agree. Records of one job in
-    the same file, or in files of the same time, go by file, then by the
-    smallest row. Records without an id share their file's key but are
+    Records of one job in the same file, or in files of the same time, go by
+    file, then by the largest row. Records without an id share their file's key but are
     not taken for one job; only equal ones count once.
     """
-    rows = audit_frame(records, keep=[*LEDGER_EXTRA, "file_mtime", "job_id"])
+    rows = audit_frame(records, keep=["job_key", "source_file", "file_mtime", "job_id"])
     values = [quote_name([c]) for c in REPORT_COLUMNS]
-    # a null for records with an id, which therefore form one group per key
-    anonymous = F.when(F.col("job_id").isNull(), F.struct(*values))
-    first = F.min(F.struct("file_mtime", "source_file", *values)).alias("r")
-    picked = rows.groupBy("job_key", anonymous.alias("anonymous")).agg(first)
-    return picked.select(*[F.col(f"r.{v}") for v in values], "job_key", F.col("r.source_file"))
+    anonymous = F.when(F.col("job_id").isNull(), F.sha2(F.to_json(F.struct(*values)), 256))
+    newest = F.max(F.struct("file_mtime", "source_file", *values)).alias("r")
+    picked = rows.groupBy("job_key", anonymous.alias("entry")).agg(newest)
+    return picked.select(*[F.col(f"r.{v}") for v in values], "job_key", "entry", F.col("r.source_file"), F.col("r.file_mtime"))
 
 
 def report_view(ledger: DataFrame) -> DataFrame:
@@ -87,45 +85,95 @@ def top_recent(report: DataFrame, n: int) -> DataFrame:
     return sorted_report(report).limit(n)
 
 
-def known_keys(spark: SparkSession, ledger: str) -> DataFrame:
-    """Distinct ``job_key`` values of the ledger (only that column is read).
-
-    ``distinct`` aggregates map-side before the shuffle, so a key repeated
-    many times crosses the network once per task; the anti-join then reuses
-    the resulting hash partitioning on its right side.
-    """
-    return spark.read.table(quote_name(ledger)).select("job_key").distinct()
-
-
 # Up to this many distinct new keys, the increment's keys are broadcast to
 # the ledger scan instead of shuffling the ledger's keys (checked count).
 MAX_BROADCAST_NEW_KEYS = 1_000_000
 
 
-def unseen_rows(spark: SparkSession, rows: DataFrame, ledger: str) -> DataFrame:
-    """``rows`` whose ``job_key`` is not in the ledger.
+def ledger_rows_of(spark: SparkSession, rows: DataFrame, ledger: str) -> DataFrame:
+    """The ledger's rows whose ``job_key`` is among those of ``rows``.
 
-    An increment is usually far smaller than the ledger, but a left-anti
-    join can only broadcast its right (ledger) side. So the increment's
+    An increment is usually far smaller than the ledger, so its
     distinct keys are counted first (a job over the new rows only); within
-    the bound they are broadcast into a semi-join over the ledger's key
-    column (no ledger shuffle), the hits are de-duplicated (so a key
-    repeated throughout the ledger still yields one row, the result is
-    bounded by the checked count) and then broadcast into the anti-join.
-    Beyond the bound, a plain shuffle anti-join on the ledger's distinct keys.
+    the bound they are broadcast into a semi-join over the ledger, which then isn't
+    shuffled. Beyond the bound it is a plain semi-join.
     """
-    new_keys = rows.select("job_key").distinct()
-    if new_keys.count() <= MAX_BROADCAST_NEW_KEYS:
-        ledger_keys = spark.read.table(quote_name(ledger)).select("job_key")
-        hits = ledger_keys.join(F.broadcast(new_keys), "job_key", "left_semi").distinct()
-        return rows.join(F.broadcast(hits), "job_key", "left_anti")
-    return rows.join(known_keys(spark, ledger), "job_key", "left_anti")
+    keys = rows.select("job_key").distinct()
+    few = keys.count() <= MAX_BROADCAST_NEW_KEYS
+    return spark.read.table(quote_name(ledger)).join(F.broadcast(keys) if few else keys, "job_key", "left_semi")
+
+
+def merge_rows(spark: SparkSession, rows: DataFrame, ledger: str, fmt: str | None = None) -> int:
+    """Put ``rows`` (of ``one_per_job``) into the ledger; returns how many were new or newer.
+
+    A row goes in if the ledger has none of its job, or an older one with other
+    values; doing it again therefore changes nothing. New jobs only are appended.
+    Where a row supersedes one, the ledger is written anew without the old row, by the staged swap,
+    so it always holds one row per job. Without a ledger the rows become it.
+    """
+    ensure_checkpoint_dir(spark)
+    name = quote_name(ledger)
+    if not table_exists(spark, ledger):
+        fresh, obs = counted(rows, "tm_audit")
+        replace_table(fresh, ledger, fmt=fmt)
+        return int(obs.get.get("rows", 0))
+    path = scratch_path(spark, "audit-rows")
+    rows.write.parquet(path)  # parsed once, looked at several times
+    rows = spark.read.schema(rows.schema).parquet(path)
+    old = ledger_rows_of(spark, rows, ledger).alias("old")
+    same_job = (F.col("new.job_key") == F.col("old.job_key")) & F.col("new.entry").eqNullSafe(F.col("old.entry"))
+    both = rows.alias("new").join(old, same_job, "left")
+    equal = F.lit(True)
+    for c in REPORT_COLUMNS:
+        equal = equal & F.col(f"new.{quote_name([c])}").eqNullSafe(F.col(f"old.{quote_name([c])}"))
+    newer = F.struct("new.file_mtime", "new.source_file") > F.struct("old.file_mtime", "old.source_file")
+    missing = F.col("old.job_key").isNull()
+    fresh = both.filter(missing | (~equal & (newer | F.col("old.file_mtime").isNull()))).select("new.*", missing.alias("_new"))
+    columns = spark.read.table(name).columns
+    kinds = {r._new: r.n for r in fresh.groupBy("_new").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if False in kinds:
+        gone = fresh.filter("NOT _new").select("job_key", "entry").alias("gone")
+        superseded = (F.col("kept.job_key") == F.col("gone.job_key")) & F.col("kept.entry").eqNullSafe(F.col("gone.entry"))
+        kept = spark.read.table(name).alias("kept").join(gone, superseded, "left_anti")
+        replace_table(kept.select(*columns).unionByName(fresh.select(*columns)), ledger, fmt=table_provider(spark, ledger))
+        spark.catalog.refreshTable(name)
+    elif True in kinds:
+        fresh.select(*columns).write.insertInto(name)  # by position, in the ledger's own format
+    return sum(kinds.values())
+
+
+def append_rejects(spark: SparkSession, rejects: DataFrame, ledger: str) -> str:
+    """Append rejects that ``<ledger>_rejects`` does not hold yet; returns that table's name."""
+    table = f"{ledger}_rejects"
+    rejects = rejects.select("source_file", "_corrupt_record").distinct()
+    if table_exists(spark, table):
+        rejects = rejects.join(spark.read.table(quote_name(table)), ["source_file", "_corrupt_record"], "left_anti")
+    rejects.write.mode("append").saveAsTable(quote_name(table))
+    return table
 
 
 def _is_missing_path(exc: AnalysisException) -> bool:
     return (exc.getCondition() or "").startswith("PATH_NOT_FOUND")
 
 
+def _readable(spark: SparkSession, ledger: str) -> bool:
+    """Whether the ledger has its columns and gives a row; if not, a warning says that everything is scanned anew."""
+    try:
+        spark.read.table(quote_name(ledger)).select(*[quote_name([c]) for c in [*REPORT_COLUMNS, *LEDGER_EXTRA]]).first()
+        return True
+    except Exception as exc:  # noqa: BLE001 - whatever keeps it from being read
+        log.warning(MSG_UNREADABLE, str(exc).split("\n", 1)[0])
+        return False
+
+
+def new_files(spark: SparkSession, states: DataFrame, ledger: str) -> DataFrame:
+    """Those of the listed ``states`` that ``<ledger>_files`` does not hold with the same length and time."""
+    table = f"{ledger}_files"
+    if not table_exists(spark, table):
+        return states
+    return states.join(spark.read.table(quote_name(table)), states.columns, "left_anti")
+
+
 def generate_report(
     spark: SparkSession,
     archive: str,
@@ -137,14 +185,15 @@ def generate_report(
 ) -> AuditResult:
     """Update the ledger table ``ledger`` from ``archive``; return the report.
 
-    Every run parses the whole archive, so files may grow; an incremental run
-    appends the jobs whose key the ledger lacks. For archives too large to be
-    parsed anew each time, the file-source stream (``run_audit_stream``) keeps
-    the same ledger and reads new files only.
+    An incremental run opens only files that are new, or of another length or
+    modification time than when the ledger took them in; it ends with
+    the ledger of a full rescan, except that a job whose file has gone stays. The newest record of a job wins. ``new_jobs``
+    counts rows that are new or replaced; ``rejects`` are those of the files that the run has read.
+    The file states are written after the ledger: a run cut short between the two reads the same
+    files again and finds nothing to change. A ledger that can't be read is made anew.
     """
     try:
-        records, rejects = read_job_records(spark, archive, multi_line=multi_line, glob=glob)
-        records.schema  # noqa: B018 - resolve the path now
+        spark.read.text(archive).schema  # noqa: B018 - resolve the path now
     except AnalysisException as exc:
         if _is_missing_path(exc):
             return AuditResult(None, MSG_NO_ARCHIVE, 0)
@@ -152,17 +201,30 @@ def generate_report(
     parent = split_name(ledger)[:-1]
     if parent:
         ensure_namespace(spark, quote_name(parent))
-    incremental = not full_rescan and table_exists(spark, ledger)
+    states, files_table = file_states(spark, archive, glob), f"{ledger}_files"
+    incremental = not full_rescan and table_exists(spark, ledger) and _readable(spark, ledger)
+    seen = new_files(spark, states, ledger) if incremental else states
+    named = [r for r in seen.limit(MAX_NAMED_FILES + 1).collect()] if incremental else None
+    if named is not None and len(named) <= MAX_NAMED_FILES:
+        seen = spark.createDataFrame(named, states.schema)
+        records, rejects = read_job_records(spark, archive, multi_line, glob, files=[r.source_file for r in named])
+    else:
+        path = scratch_path(spark, "audit-files")
+        seen.write.parquet(path)  # as listed before the scan: a file that grows meanwhile is read again next time
+        seen = spark.read.schema(states.schema).parquet(path)
+        records, rejects = read_job_records(spark, archive, multi_line, glob)
+        if incremental:
+            records = records.join(seen.select("source_file"), "source_file", "left_semi")
     if incremental:
-        # jobs already reported leave before anything is computed of them; one pass over the archive
-        unseen = records.join(known_keys(spark, ledger), "job_key", "left_anti")
-        fresh, obs = counted(one_per_job(unseen), "tm_audit")
-        # by position, in the ledger's own format
-        fresh.select(*spark.read.table(quote_name(ledger)).columns).write.insertInto(quote_name(ledger))
+        new_jobs = merge_rows(spark, one_per_job(records), ledger) if named else 0
     else:
         fresh, obs = counted(one_per_job(records), "tm_audit")
         replace_table(fresh, ledger, fmt=fmt)
-    new_jobs = int(obs.get.get("rows", 0))
+        new_jobs = int(obs.get.get("rows", 0))
+    if not incremental:
+        replace_table(seen, files_table)
+    elif named:
+        seen.write.mode("append").saveAsTable(quote_name(files_table))
     ledger_df = spark.read.table(quote_name(ledger))
     if new_jobs == 0 and ledger_df.isEmpty():
         return AuditResult(None, MSG_EMPTY, 0, rejects)
@@ -250,10 +312,13 @@ def import_report_csv(spark: SparkSession, csv_path: str, ledger: str) -> int:
         *[F.col(quote_name([c])) for c in REPORT_COLUMNS if c != "End Time (UTC)"],
         iso_timestamp(F.regexp_replace(F.col("`End Time (UTC)`"), r"\+00:00$", "Z")).alias("End Time (UTC)"),
         F.col("`Job ID`").alias("job_key"),
+        F.lit(None).cast("string").alias("entry"),
         F.lit(csv_path).alias("source_file"),
+        F.lit(None).cast("timestamp").alias("file_mtime"),
     ).select(*[quote_name([c]) for c in REPORT_COLUMNS], *LEDGER_EXTRA)
     counted_rows, obs = counted(rows, "tm_import")
     replace_table(counted_rows, ledger)
+    spark.sql(f"DROP TABLE IF EXISTS {quote_name(f'{ledger}_files')}")  # no file is known to be covered
     return int(obs.get.get("rows", 0))
 
 

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def file_name() -> "Column":
-    """The scanned file's name, decoded (``_metadata.file_name`` is URL-encoded).
+def _decoded(name: Column) -> Column:
+    # URI path encoding leaves ``+`` as is while URL decoding would turn it into a space, so ``+`` is escaped before decoding.
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
-    URI path encoding leaves ``+`` as is while URL decoding would turn it
-    into a space, so ``+`` is escaped before decoding.
-    """
-    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+def file_name() -> Column:
+    """The scanned file's name, decoded (``_metadata.file_name`` is URL-encoded)."""
+    return _decoded(F.col("_metadata.file_name"))
+
+
+def stem_of(path: Column) -> Column:
+    """The decoded file name of a ``source_file``, without its extension."""
+    return F.regexp_replace(_decoded(F.regexp_extract(path, r"[^/]*$", 0)), r"\.[^.]*$", "")
 
 
 def read_csv(
@@ -61,6 +69,36 @@ def list_files(spark: SparkSession, pattern: str, glob_filter: str | None = None
     return df.select("path", "length", "modificationTime")
 
 
+def file_states(spark: SparkSession, path: str | Sequence[str], glob_filter: str | None = None) -> DataFrame:
+    """``(source_file, length, file_mtime)`` of each file with content, named as scans name them; listed, not opened.
+
+    No such path gives an empty frame.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob_filter:
+        reader = reader.option("pathGlobFilter", glob_filter)
+    try:
+        df = reader.load(path if isinstance(path, str) else list(path))
+    except AnalysisException as exc:
+        if not (exc.getCondition() or "").startswith("PATH_NOT_FOUND"):
+            raise
+        return spark.createDataFrame([], "source_file string, length long, file_mtime timestamp")
+    return df.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_modification_time").alias("file_mtime"),
+    )
+
+
+def listed_files(scan: DataFrame) -> DataFrame:
+    """``(source_file)`` of each file that a scan has listed, also of those without a byte, which Spark never opens.
+
+    The names come from the listing that the scan's plan holds on the driver.
+    """
+    names = [(re.sub("^file:///", "file:/", n),) for n in scan.inputFiles()]
+    return scan.sparkSession.createDataFrame(names, "source_file string")
+
+
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """The subset of ``paths`` that exist (one file-system metadata call each)."""
     jvm = spark.sparkContext._jvm

@@ -4,22 +4,24 @@ A job record is one JSON object. Two on-disk layouts are read:
 
 * ``multi_line=True``  - objects over one or more lines, each from the start
   of a line: indented, as in a job queue/archive folder, or JSON lines, or
-  both in one file. A file is read as one text, so files should be small;
-  the file stem is the job's fallback key.
-* ``multi_line=False`` - JSON lines, many records per file; splittable, the
-  layout to use for large archives (one tiny file per job does not scale).
+  both in one file; also arrays of objects. Files are split at line starts with an
+  opening brace, so a file may be of any size and is read by many tasks; only one
+  record is held at a time. The file stem is the job's fallback key.
+* ``multi_line=False`` - JSON lines only: the same without looking at braces.
 
 Unparseable records are not dropped silently: they come back as a second
-DataFrame ``(source_file, _corrupt_record)``.
+DataFrame ``(source_file, job_id, _corrupt_record)``, with a row (an empty record) for each
+file that holds nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import file_name
+from .files import file_name, file_states, listed_files, stem_of
 
 JOB_FIELDS = [
     T.StructField("job_id", T.StringType()),
@@ -52,24 +54,115 @@ def with_file_columns(df: DataFrame) -> DataFrame:
     return out.withColumn("job_key", F.coalesce("job_id", "stem")) if "job_id" in df.columns else out
 
 
-def _scan(reader, path, multi_line: bool, glob: str | None) -> DataFrame:
-    """Records and rejects of a batch or streaming ``reader``."""
+def _scan(reader, path, multi_line: bool, glob: str | None, files: list[str] | None = None) -> DataFrame:
+    """What a batch or streaming ``reader`` finds: records and rejects of JSON lines, else pieces for ``parse_pieces``.
+
+    ``files`` keeps the scan to these file paths; others are not opened.
+    """
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if not multi_line:
+    if multi_line:
+        raw = reader.option("lineSep", "\n{").text(path).withColumn("_block", F.col("_metadata.file_block_start"))
+    else:
         lines = reader.schema(JOB_READ_SCHEMA).option("mode", "PERMISSIVE")
-        return with_file_columns(lines.option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    # One object, array or stray text from each line start that is no inner line of an indented object.
-    files = with_file_columns(reader.text(path, wholetext=True))
-    pieces = files.withColumn("_piece", F.explode(F.split("value", r"\r?\n(?=[^\s}\]\"])"))).filter(F.col("_piece").rlike(r"\S"))
+        raw = lines.option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    if files is not None:
+        raw = raw.filter(F.col("_metadata.file_path").isin(files))
+    return with_file_columns(raw)
+
+
+def _reduced(skeleton: Column, times: int) -> Column:
+    """Brackets without the pairs that hold nothing, taken out ``times`` times from within."""
+    for _ in range(times):
+        skeleton = F.regexp_replace(skeleton, r"\{\}|\[\]", "")
+    return skeleton
+
+
+def _with_shape(df: DataFrame, text: str, depth: int) -> DataFrame:
+    """Add ``_skeleton`` (brackets outside strings) and ``_whole``: the text is one object or array, nested up to ``depth`` more levels."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "s")
+    df = df.withColumn("_bare", bare).withColumn("_skeleton", F.regexp_replace("_bare", r"[^\[\]{}]+", ""))
+    inner = _reduced(F.expr("substring(_skeleton, 2, length(_skeleton) - 2)"), depth)
+    # a value with nothing but brackets and blanks around the outer pair, and no string left open
+    whole = F.col("_bare").rlike(r"(?s)^\s*(\{[^\"]*\}|\[[^\"]*\])\s*$") & (inner == "") & (F.length("_skeleton") >= 2)
+    return df.withColumn("_whole", whole).drop("_bare")
+
+
+#: Levels below the outermost that a record may have: in the quick check, and at all.
+QUICK_DEPTH, DEPTH = 4, 32
+
+
+def parse_pieces(pieces: DataFrame) -> DataFrame:
+    """Records and rejects of pieces of files (``value``, ``_block`` and the file columns; not a stream).
+
+    A piece reaches from one line start with an opening brace, which the split has
+    taken away, to the next. Most are whole objects and are parsed where
+    they are. Only what is left, such as text beside a record, a record cut short, or
+    one with inner lines that start with a brace, is cut into lines and looked at in file order: a line
+    goes on the one before if JSON allows the one after the other (after a colon, an opening bracket or a comma, before a closing one),
+    until the brackets are balanced. What then is no whole object or array is a reject.
+    A record cut short after a bracket or colon may take lines after it along, but never a whole piece.
+    A file that starts with a key or a closing brace reads as if an opening one were before it.
+    """
+    lead = F.regexp_extract("value", r"^[\s\uFEFF]*(\S)", 1)
+    text = F.when(lead.isin('"', "}"), F.concat(F.lit("{"), "value")).otherwise(F.regexp_replace("value", "^\uFEFF", ""))
+    parts = pieces.select("source_file", "file_mtime", "stem", "_block", F.monotonically_increasing_id().alias("_at"), text.alias("_text"))
+    parts = _with_shape(parts.filter(F.col("_text").rlike(r"\S")), "_text", QUICK_DEPTH)
+    keep = ["source_file", "file_mtime", "stem"]
+    rest = _with_shape(_joined(parts.filter("NOT _whole"), keep), "_text", DEPTH)
+    return _parsed(parts.filter("_whole"), keep).unionByName(_parsed(rest, keep))
+
+
+def _joined(parts: DataFrame, keep: list[str]) -> DataFrame:
+    """(``_text``, file columns) of pieces that are not whole, cut into lines and joined again where a value goes on."""
+    cut = parts.withColumn("_cut", F.split("_text", r"\s*\n\s*(?=\S)"))
+    cut = cut.select(*keep, "_block", "_at", F.size("_cut").alias("_n"), F.posexplode("_cut").alias("_sub", "_text"))
+    cut = _with_shape(cut, "_text", 0)
+    brackets = F.length(F.regexp_replace("_skeleton", r"[\]}]", "")) - F.length(F.regexp_replace("_skeleton", r"[\[{]", ""))
+    cut = cut.select(
+        "*", brackets.alias("_rise"), F.regexp_extract("_text", r"(\S)\s*$", 1).alias("_tail"),
+        F.regexp_extract(_reduced(F.col("_skeleton"), DEPTH), r"[\[{]$", 0).alias("_open"),
+    )
+    in_file = Window.partitionBy("source_file").orderBy("_block", "_at", "_sub")
+
+    def before(c: str) -> Column:
+        return F.lag(c).over(in_file)
+
+    next_piece = (before("_sub") == before("_n") - 1) & (F.col("_sub") == 0) & (
+        (before("_block") != F.col("_block")) | (before("_at") == F.col("_at") - 1)
+    )
+    follows = ((before("_at") == F.col("_at")) & (before("_sub") == F.col("_sub") - 1)) | next_piece
+    lead = F.regexp_extract("_text", r"^\s*(\S)", 1)
+    unfinished = (
+        before("_tail").isin("[", ":") | ((before("_tail") == ",") & ((lead == '"') | (before("_open") != "{")))
+        | ((before("_tail") == "{") & (lead == '"')) | lead.isin("}", "]", ",", ":")
+    )
+    cut = cut.withColumn("_goes_on", F.coalesce(follows & unfinished, F.lit(False)))
+    cut = cut.withColumn("_run", F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(in_file))
+    in_run = Window.partitionBy("source_file", "_run").orderBy("_block", "_at", "_sub")
+    cut = cut.withColumn("_level", F.sum("_rise").over(in_run))
+    cut = cut.withColumn("_value", F.sum(F.when(F.lag("_level").over(in_run) <= 0, 1).otherwise(0)).over(in_run))
+    parts = F.array_sort(F.collect_list(F.struct("_block", "_at", "_sub", "_text")))
+    values = cut.groupBy("source_file", "_run", "_value").agg(F.first("file_mtime").alias("file_mtime"), F.first("stem").alias("stem"), parts.alias("_parts"))
+    values = values.withColumn("_text", F.array_join(F.col("_parts._text"), "\n"))
+    return values.filter(F.col("_text").rlike(r"\S")).select("_text", *keep)
+
+
+def _parsed(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """Records and rejects of texts; one that is no ``_whole`` is a reject unparsed, as text after the end of a value would be passed over."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    # A piece that starts like an object or array but goes on after its end, or is neither, is a reject.
-    whole = F.when(F.col("_piece").rlike(r"^\s*(?s:\{.*\}|\[.*\])\s*$"), F.col("_piece"))
-    parsed = pieces.withColumn("_job", F.explode_outer(F.from_json(whole, T.ArrayType(JOB_READ_SCHEMA), options)))
-    corrupt = F.when(F.col("_job").isNull(), F.col("_piece")).otherwise(F.col("_job._corrupt_record"))
+    whole = F.when(F.col("_whole"), F.col("_text"))
+    parsed = texts.withColumn("_job", F.explode_outer(F.from_json(whole, T.ArrayType(JOB_READ_SCHEMA), options)))
+    corrupt = F.when(F.col("_job").isNull(), F.col("_text")).otherwise(F.col("_job._corrupt_record"))
     jobs = [F.col(f"_job.{c}").alias(c) for c in JOB_COLUMNS]
-    rows = parsed.select(*jobs, corrupt.alias("_corrupt_record"), "source_file", "file_mtime", "stem")
-    return rows.withColumn("job_key", F.coalesce("job_id", "stem"))
+    return parsed.select(*jobs, corrupt.alias("_corrupt_record"), *keep).withColumn("job_key", F.coalesce("job_id", "stem"))
+
+
+def without_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row like those of ``rows``, with an empty ``_corrupt_record``, for each of ``files`` (``source_file``) that has none."""
+    none = files.join(rows.select("source_file").distinct(), "source_file", "left_anti").withColumn("stem", stem_of(F.col("source_file")))
+    made = {"source_file": F.col("source_file"), "stem": F.col("stem"), "job_key": F.col("stem"), "_corrupt_record": F.lit("")}
+    return none.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
 
 
 def read_job_records(
@@ -77,30 +170,56 @@ def read_job_records(
     path: str | list[str],
     multi_line: bool = True,
     glob: str | None = "*.json",
+    files: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Scan job records under ``path``; return ``(records, rejects)``.
 
     ``records`` has the job fields plus ``source_file``, ``file_mtime``,
-    ``stem`` and ``job_key`` (= ``job_id``, else the file stem).
+    ``stem`` and ``job_key`` (= ``job_id``, else the file stem). ``files`` (values of
+    ``source_file``) keeps the scan to these; the others are listed, not opened.
     """
-    raw = _scan(spark.read, path if isinstance(path, str) else list(path), multi_line, glob)
+    scan = raw = _scan(spark.read, path if isinstance(path, str) else list(path), multi_line, glob, files)
+    if multi_line:
+        raw = parse_pieces(raw)
     # The always-true ``keep_scan`` term keeps a data column in the scan:
     # Spark refuses raw JSON scans whose only column is the corrupt-record
     # column, which is what a bare ``count()`` over either frame would
     # otherwise prune to (e.g. after AQE drops an empty join side).
     keep_scan = F.length(F.coalesce(F.col("job_id"), F.lit(""))) >= 0
-    records = raw.filter(F.col("_corrupt_record").isNull() & keep_scan).drop("_corrupt_record")
-    rejects = raw.filter(F.col("_corrupt_record").isNotNull() & keep_scan).select(
-        "source_file", "job_id", "_corrupt_record"
-    )
-    return records, rejects
+    raw = raw.filter(keep_scan)
+    records = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    listed = listed_files(scan)
+    if files is not None:
+        listed = listed.filter(F.col("source_file").isin(files))
+    rejects = raw.filter(F.col("_corrupt_record").isNotNull()).unionByName(without_rows(listed, raw))
+    return records, rejects.select("source_file", "job_id", "_corrupt_record")
 
 
 def job_record_stream(spark: SparkSession, path: str, multi_line: bool = True, glob: str | None = "*.json", **options):
-    """Streaming scan of a job folder (same schema, PERMISSIVE)."""
+    """Streaming scan of a job folder; its micro-batches go through ``batch_records``."""
     return _scan(spark.readStream.options(**options), path, multi_line, glob)
 
 
+def batch_records(batch: DataFrame, path: str, multi_line: bool = True, glob: str | None = "*.json") -> DataFrame:
+    """Records and rejects of a micro-batch of ``job_record_stream``, with a row for each file without content.
+
+    A file without any byte is in no batch; those lying in the folder now are added.
+    """
+    rows = parse_pieces(batch) if multi_line else batch
+    reader = batch.sparkSession.read
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    try:
+        lying = listed_files(reader.text(path))
+    except AnalysisException as exc:  # all files have been moved away
+        if not (exc.getCondition() or "").startswith("PATH_NOT_FOUND"):
+            raise
+        lying = batch.select("source_file").limit(0)
+    lying = lying.join(file_states(batch.sparkSession, path, glob), "source_file", "left_anti")
+    seen = batch.select("source_file").distinct()
+    return rows.unionByName(without_rows(lying.unionByName(seen).distinct(), rows))
+
+
 def write_job_records(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append job records as JSON lines (null fields omitted, like absent keys)."""
     df.select(*[c for c in JOB_COLUMNS if c in df.columns]).write.mode(mode).json(path)

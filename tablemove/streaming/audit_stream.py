@@ -2,9 +2,9 @@
 
 The file source's checkpoint is the set of archive files already seen, so
 each run parses only new files (the streaming form of "skip known jobs").
-Each micro-batch is turned into report rows and appended to the ledger
-after a left-anti join on ``job_key``; a batch replayed after a failure
-therefore adds nothing twice. Records that cannot be parsed go to
+Each micro-batch is turned into report rows and merged into the ledger,
+where the newest record of a job wins; a batch replayed after a failure
+therefore changes nothing. Records that cannot be parsed go to
 ``<ledger>_rejects``. Run it with ``availableNow`` from a scheduler
 (process everything new, then stop) or with a processing-time trigger.
 """
@@ -15,27 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import quote_name, split_name
-from ..operators.write import ensure_namespace, table_exists
-from ..plans.audit import one_per_job, unseen_rows
-from ..sources.jobs import job_record_stream
+from ..operators.write import ensure_namespace
+from ..plans.audit import append_rejects, merge_rows, one_per_job
+from ..sources.jobs import batch_records, job_record_stream
 
 
-def _append_batch(ledger: str):
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = one_per_job(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"))
-        if table_exists(spark, ledger):
-            rows = unseen_rows(spark, rows, ledger)
-            rows = rows.select(*spark.read.table(quote_name(ledger)).columns)
-            rows.write.insertInto(quote_name(ledger))
-        else:
-            rows.write.mode("append").saveAsTable(quote_name(ledger))
-        rejects = batch.filter(F.col("_corrupt_record").isNotNull()).select("source_file", "_corrupt_record")
-        rejects_table = f"{ledger}_rejects"
-        if table_exists(spark, rejects_table):  # a replayed batch adds nothing
-            known = spark.read.table(quote_name(rejects_table))
-            rejects = rejects.join(known, ["source_file", "_corrupt_record"], "left_anti")
-        rejects.write.mode("append").saveAsTable(quote_name(rejects_table))
+def _append_batch(ledger: str, archive: str, multi_line: bool, glob: str | None):
+    def handle(pieces: DataFrame, batch_id: int) -> None:
+        spark = pieces.sparkSession
+        batch = batch_records(pieces, archive, multi_line, glob)
+        merge_rows(spark, one_per_job(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")), ledger)
+        append_rejects(spark, batch.filter(F.col("_corrupt_record").isNotNull()), ledger)  # a replayed batch adds nothing
 
     return handle
 
@@ -59,7 +49,7 @@ def start_audit_stream(
     if max_files_per_trigger:
         options["maxFilesPerTrigger"] = str(max_files_per_trigger)
     stream = job_record_stream(spark, archive, multi_line=multi_line, glob=glob, **options)
-    writer = stream.writeStream.foreachBatch(_append_batch(ledger)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(_append_batch(ledger, archive, multi_line, glob)).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:

@@ -38,7 +38,7 @@ from ..plans.chain import chain_registrations
 from ..plans.copy import OUTCOME, copy_tables
 from ..plans.ingest import target_namespace_for
 from ..plans.publish import publish_manifest
-from ..sources.jobs import job_record_stream, read_job_records, write_job_records
+from ..sources.jobs import batch_records, job_record_stream, read_job_records, write_job_records
 
 REQUEST_OUTCOME = T.StructType(
     [T.StructField("job_id", T.StringType()), T.StructField("batch_id", T.LongType())] + OUTCOME.fields
@@ -201,12 +201,19 @@ def start_copy_request_stream(
         maxFilesPerTrigger=str(max_files_per_trigger),
         cleanSource="archive", sourceArchiveDir=archive,
     )
-    writer = (
-        stream.writeStream.foreachBatch(
-            _handler(outcomes_table, events_table, source_catalog, target_catalog, target_location_root,
+    serve = _handler(outcomes_table, events_table, source_catalog, target_catalog, target_location_root,
                      warehouse, manifest_table, queue)
-        ).option("checkpointLocation", checkpoint)
-    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch_records(batch, queue, multi_line, glob)
+        errors = quote_name(f"{events_table}_errors")
+        if batch.sparkSession.catalog.tableExists(errors):  # a file without content stays listed until it is archived
+            known = batch.sparkSession.read.table(errors).filter("record = ''").select("source_file").distinct()
+            empty = F.coalesce(F.col("_corrupt_record") == "", F.lit(False))
+            rows = rows.filter(~empty).unionByName(rows.filter(empty).join(known, "source_file", "left_anti").select(*rows.columns))
+        serve(rows, batch_id)
+
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

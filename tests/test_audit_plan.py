@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablemove.plans import audit as P
@@ -188,7 +189,84 @@ def test_mixed_layouts_lose_no_record(spark, tmp):
             f.write(text)
     records, rejects = read_job_records(spark, f"{tmp}/mixed")
     assert sorted(r.job_id for r in records.collect()) == [f"id-{i:04d}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 10, 11)]
-    assert sorted(r.source_file.rsplit("/", 1)[-1] for r in rejects.collect()) == ["both.json", "cut.json", "trailing.json"]
+    assert sorted(r.source_file.rsplit("/", 1)[-1] for r in rejects.collect()) == ["both.json", "cut.json", "empty.json", "trailing.json"]
+
+
+LEGAL = [
+    '{"job_id": "1", "tables":[\nnull,\n"a"]}', '{\n"job_id":\n"2",\n"tables": [\n"x",\nnull\n]\n}', '{\n"job_id": "3",\n"extra":\n{\n"n":\n7\n}\n}',
+    '{"job_id": "4", "list": [\n{\n"x": 1\n},\n{\n"y": [\n{"z": "}{"}\n]\n}\n]\n}', '[\n{"job_id": "5"},\n{"job_id": "6"}\n]',
+    '{"job_id": "7", "note": "brace \\" {\\n{ [ in text"}', '{"deep": [[[[[[[{"a": [{}]}]]]]]]], "job_id": "8"}', '{"job_id": "9"}\n{"job_id": "10"}',
+]
+BROKEN = ['{"job_id": "x", ', '{"job_id": "y', '{"job_id": "z"}, ', '"text"', "}", '{"job_id": "a"}{"job_id": "b"}', '{"tables": ["a"', "word"]
+
+
+def _ids(df):
+    return sorted(r.job_id for r in df.collect())
+
+
+@pytest.mark.parametrize("split", [None, "64b"])
+def test_every_legal_record_whatever_lies_around_it(spark, tmp, split):
+    os.makedirs(f"{tmp}/a")
+    n = 0
+    for i, bad in enumerate([None, *BROKEN]):
+        for j, good in enumerate(LEGAL):
+            for text in ([good] if bad is None else [f"{bad}\n{good}", f"{good}\n{bad}", f"{LEGAL[-1]}\r\n{bad}\n{good}"]):
+                n += 1
+                if bad and n % 3 != (i + j) % 3:  # one of three places each
+                    continue
+                with open(f"{tmp}/a/{i}-{j}-{n}.json", "w", newline="") as f:
+                    f.write(text)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        records, rejects = read_job_records(spark, f"{tmp}/a")
+        got, bad = records.collect(), rejects.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by_file, bad_files = {}, {r.source_file.rsplit("/", 1)[-1] for r in bad}
+    for r in got:
+        by_file.setdefault(r.source_file.rsplit("/", 1)[-1], []).append(r.job_id)
+    for i, j, n in ((i, j, n) for i, j, n in (name[:-5].split("-") for name in os.listdir(f"{tmp}/a")) if BROKEN[int(i) - 1] == "}" and i != "0"):
+        if open(f"{tmp}/a/{i}-{j}-{n}.json").read().startswith("}"):  # reads as if its opening brace were there
+            os.remove(f"{tmp}/a/{i}-{j}-{n}.json")
+    want = [["1"], ["2"], ["3"], ["4"], ["5", "6"], ["7"], ["8"], ["10", "9"]]
+    for name in os.listdir(f"{tmp}/a"):
+        i, j, _ = name[:-5].split("-")
+        assert set(want[int(j)]) <= set(by_file.get(name, [])), (name, open(f"{tmp}/a/{name}").read(), by_file.get(name))
+        assert (name in bad_files) == (i != "0"), (name, open(f"{tmp}/a/{name}").read(), by_file.get(name))
+
+
+def test_long_file_is_read_by_many_tasks(spark, tmp):
+    os.makedirs(f"{tmp}/a")
+    with open(f"{tmp}/a/all.json", "w") as f:
+        f.write("\n".join(json.dumps(_job(i), indent=2) for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        records, rejects = read_job_records(spark, f"{tmp}/a")
+        assert records.rdd.getNumPartitions() > 5
+        assert _ids(records) == [f"id-{i:04d}" for i in range(3000)] and rejects.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_without_content_are_rejects(spark, tmp, ns):
+    from tablemove.streaming.audit_stream import run_audit_stream
+
+    arch = f"{tmp}/a"
+    _write_jobs(arch, [_job(1)])
+    for name, text in (("none", ""), ("blank", " \n\t\n"), ("brace", "{")):
+        with open(f"{arch}/{name}.json", "w") as f:
+            f.write(text)
+    for multi_line in (True, False):
+        records, rejects = read_job_records(spark, arch, multi_line=multi_line)
+        found = {r.source_file.rsplit("/", 1)[-1]: r._corrupt_record for r in rejects.filter("source_file NOT LIKE '%id-0001%'").collect()}
+        assert found == {"none.json": "", "blank.json": "", "brace.json": "{"}
+    assert _ids(read_job_records(spark, arch)[0]) == ["id-0001"]
+    run_audit_stream(spark, arch, f"{ns}.led", f"{tmp}/ckpt")
+    _write_jobs(arch, [_job(2)])
+    run_audit_stream(spark, arch, f"{ns}.led", f"{tmp}/ckpt")
+    spark.catalog.refreshTable(f"{ns}.led_rejects")
+    assert sorted(r.source_file.rsplit("/", 1)[-1] for r in spark.table(f"{ns}.led_rejects").collect()) == ["blank.json", "brace.json", "none.json"]
 
 
 def test_ledger_keeps_its_format(spark, tmp, ns):
@@ -227,21 +305,69 @@ def test_csv_round_trip_keeps_empty_and_null_apart(spark, tmp, ns):
     assert back["id-0001"]["End Time (UTC)"].microsecond == 123456
 
 
-def test_unseen_rows_both_paths_and_hot_key(spark, ns, monkeypatch):
-    """Broadcast path and shuffle fallback agree, also when one key fills the ledger."""
-    from pyspark.sql import functions as F
-
-    ledger = f"{ns}.keys"
-    hot = spark.range(20000).select(F.lit("hot").alias("job_key"), F.lit("f").alias("source_file"))
-    cold = spark.range(100).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("job_key"),
-                                   F.lit("f").alias("source_file"))
-    hot.unionByName(cold).write.saveAsTable(ledger)
-    rows = spark.createDataFrame([("hot", 1), ("k5", 2), ("new1", 3), ("new2", 4), ("new1", 5)],
-                                 "job_key string, v int")
-    fast = sorted(tuple(r) for r in P.unseen_rows(spark, rows, ledger).collect())
+def test_ledger_rows_of_both_paths(spark, tmp, ns, monkeypatch):
+    """Broadcast path and plain semi-join agree."""
+    _write_jobs(f"{tmp}/archive", [_job(i) for i in range(20)])
+    P.generate_report(spark, f"{tmp}/archive", f"{ns}.keys")
+    rows = spark.createDataFrame([("id-0003", 1), ("id-0003", 2), ("new", 3)], "job_key string, v int")
+    fast = _rows(P.ledger_rows_of(spark, rows, f"{ns}.keys"))
     monkeypatch.setattr(P, "MAX_BROADCAST_NEW_KEYS", 0)
-    slow = sorted(tuple(r) for r in P.unseen_rows(spark, rows, ledger).collect())
-    assert fast == slow == [("new1", 3), ("new1", 5), ("new2", 4)]
+    assert _rows(P.ledger_rows_of(spark, rows, f"{ns}.keys")) == fast and len(fast) == 1
+
+
+def test_newest_record_wins_and_unchanged_files_stay_shut(spark, tmp, ns, monkeypatch):
+    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
+    _write_jobs(arch, [_job(i, status="running", end=None) for i in range(30)])
+    P.generate_report(spark, arch, ledger)
+    opened = []
+    real = P.read_job_records
+
+    def spy(*args, files=None, **kw):
+        records, rejects = real(*args, files=files, **kw)
+        opened.append(sorted(r.stem for r in records.select("stem").distinct().collect()))
+        return records, rejects
+
+    monkeypatch.setattr(P, "read_job_records", spy)
+    _write_jobs(arch, [_job(3), _job(40)])  # job 3 has ended since, job 40 is new
+    res = P.generate_report(spark, arch, ledger)
+    assert res.new_jobs == 2 and opened == [["id-0003", "id-0040"]]
+    status = {r["Job ID"]: r["Status"] for r in res.report.collect()}
+    assert status["id-0003"] == "COMPLETED" and status["id-0004"] == "RUNNING" and len(status) == 31
+    assert P.generate_report(spark, arch, ledger).message == P.MSG_UP_TO_DATE and opened[1:] == [[]]
+    monkeypatch.setattr(P, "MAX_NAMED_FILES", 1)
+    _write_jobs(arch, [_job(5), _job(6, status="failed"), _job(41)])
+    many = P.generate_report(spark, arch, ledger)
+    full = P.generate_report(spark, arch, f"{ns}.full", full_rescan=True)
+    assert many.new_jobs == 3 and _rows(many.report) == _rows(full.report)
+
+
+def test_named_files_prune_the_scan(spark, tmp):
+    arch = f"{tmp}/archive"
+    os.makedirs(arch)
+    for i in range(12):
+        with open(f"{arch}/{i}.json", "w") as f:
+            f.write(json.dumps(_job(i)) + "\n")
+    for multi_line in (True, False):
+        path = read_job_records(spark, arch, multi_line)[0].select("source_file").first().source_file
+        some, _ = read_job_records(spark, arch, multi_line, files=[path])
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = some._jdf.queryExecution().executedPlan()
+            some._jdf.queryExecution().toRdd().count()
+            leaves = plan.collectLeaves()
+            read = {leaves.apply(k).metrics().apply("numFiles").value() for k in range(leaves.size()) if leaves.apply(k).metrics().contains("numFiles")}
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert read == {1}
+
+
+def test_an_unreadable_ledger_is_made_anew(spark, tmp, ns, caplog):
+    arch, ledger = f"{tmp}/archive", f"{ns}.ledger"
+    _write_jobs(arch, [_job(1), _job(2)])
+    spark.createDataFrame([("id-0001",)], "job_key string").write.saveAsTable(ledger)
+    res = P.generate_report(spark, arch, ledger)
+    assert res.new_jobs == 2 and "Performing a full rescan" in caplog.text
+    assert P.generate_report(spark, arch, ledger).message == P.MSG_UP_TO_DATE
 
 
 def test_incremental_with_any_file_name(spark, tmp, ns):
@@ -276,7 +402,7 @@ def test_one_row_per_job_in_every_path(spark, tmp, ns):
         f.write("".join(json.dumps({"job_type": t, "status": "completed"}) + "\n" for t in ("a", "b", "b")))
     full = P.generate_report(spark, arch, f"{ns}.full", full_rescan=True)
     got = _rows(full.report.select("Job ID", "Job Type", "Status"))
-    assert got == [("N/A", "A", "COMPLETED"), ("N/A", "B", "COMPLETED"), ("id-0001", "Ingest From Hive", "COMPLETED")]
+    assert got == [("N/A", "A", "COMPLETED"), ("N/A", "B", "COMPLETED"), ("id-0001", "Ingest From Hive", "RUNNING")]
     assert P.generate_report(spark, arch, f"{ns}.full").new_jobs == 0
     streamed = run_audit_stream(spark, arch, f"{ns}.streamed", f"{tmp}/ckpt")
     assert _rows(P.report_view(streamed)) == _rows(full.report)

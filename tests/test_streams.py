@@ -84,7 +84,7 @@ def test_copy_request_stream(spark, tmp, ns):
 
 def test_request_batch_replay_appends_nothing_twice(spark, tmp, ns):
     """Running one micro-batch handler twice (a replay) leaves one set of rows."""
-    from tablemove.sources.jobs import _scan
+    from tablemove.sources.jobs import _scan, parse_pieces
     from tablemove.streaming.copy_requests import _handler
 
     register_parquet_tables(spark, "/root/testdata/sf0.001", ns, ["region"])
@@ -93,7 +93,7 @@ def test_request_batch_replay_appends_nothing_twice(spark, tmp, ns):
     _write(f"{tmp}/q", "no-id.json", {"job_type": "export_audit_to_snowflake", "csv_path": "x"})
     with open(f"{tmp}/q/broken.json", "w") as f:
         f.write('{"job_id": ')
-    raw = _scan(spark.read, f"{tmp}/q", True, "*.json")
+    raw = parse_pieces(_scan(spark.read, f"{tmp}/q", True, "*.json"))
     handle = _handler(f"{ns}.outcomes", f"{ns}.events", None, None, f"{tmp}/targets")
     handle(raw, 7)
     handle(raw, 7)
@@ -109,7 +109,7 @@ def test_request_batch_replay_appends_nothing_twice(spark, tmp, ns):
 
 def test_flagged_migration_queues_what_it_copied_once(spark, tmp, ns):
     """The child names the copied tables only, a replay adds none, and a run serves it."""
-    from tablemove.sources.jobs import _scan, read_job_records
+    from tablemove.sources.jobs import _scan, parse_pieces, read_job_records
     from tablemove.streaming.copy_requests import _handler
 
     register_parquet_tables(spark, "/root/testdata/sf0.001", ns, ["region"])
@@ -118,7 +118,7 @@ def test_flagged_migration_queues_what_it_copied_once(spark, tmp, ns):
     _write(f"{tmp}/q", "m2.json", {**base, "job_id": "m2", "tables": ["region"]})
     _write(f"{tmp}/q", "m3.json", {**base, "job_id": "m3", "tables": ["gone"], "register_on_snowflake": True})
     handle = _handler(f"{ns}.outcomes", f"{ns}.events", None, None, f"{tmp}/targets", queue=f"{tmp}/q")
-    raw = _scan(spark.read, [f"{tmp}/q/{m}.json" for m in ("m1", "m2", "m3")], True, "*.json")
+    raw = parse_pieces(_scan(spark.read, [f"{tmp}/q/{m}.json" for m in ("m1", "m2", "m3")], True, "*.json"))
     handle(raw, 1)
     handle(raw, 1)
     queued = read_job_records(spark, f"{tmp}/q")[0].filter("chained_from is not null").collect()
