@@ -29,7 +29,7 @@ def test_audit_projection_is_codegen_and_topk_is_not_a_full_sort(spark, tmp, ns)
     with open(f"{arch}/a.json", "w") as f:
         json.dump({"job_id": "a", "job_type": "ingest_from_hive", "status": "completed",
                    "start_time": "2024-01-01T00:00:00Z", "end_time": "2024-01-01T00:00:01Z"}, f)
-    records, _ = read_job_records(spark, arch)
+    records, _ = read_job_records(spark, arch, multi_line=False)
     rows = P.audit_frame(records, keep=["job_key", "source_file"])
     projects = [ln for ln in _plan(rows).splitlines() if "Project [" in ln]
     assert projects and all(ln.lstrip(" :+-").startswith("*(") for ln in projects)
