@@ -148,15 +148,17 @@ def dedup_lines(
     return rows.drop("_lines", "_dropped", "_id", "_of")
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-e AS (SELECT * FROM l WHERE length(trim(line, ' ')) >= 16),
-f AS (SELECT line, length(line) AS n, min({'d': doc_id, 'i': line_no}) AS first FROM e GROUP BY line),
+f AS (
+  SELECT line, length(line) AS n, length(trim(line, ' ')) >= 16 AS long, min({'d': doc_id, 'i': line_no}) AS first FROM l
+  WHERE regexp_matches(line, '[^\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') GROUP BY line),
+g AS (SELECT * FROM f WHERE long),
 near AS (
-  SELECT DISTINCT x.line FROM f x JOIN f y ON y.n = x.n WHERE y.first < x.first AND levenshtein(x.line, y.line) <= 1
-  UNION SELECT DISTINCT x.line FROM f x JOIN f y ON y.n = x.n + 1 WHERE y.first < x.first AND levenshtein(x.line, y.line) <= 1
-  UNION SELECT DISTINCT x.line FROM f x JOIN f y ON y.n + 1 = x.n WHERE y.first < x.first AND levenshtein(x.line, y.line) <= 1),
+  SELECT DISTINCT x.line FROM g x JOIN g y ON y.n = x.n WHERE y.first < x.first AND levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT x.line FROM g x JOIN g y ON y.n = x.n + 1 WHERE y.first < x.first AND levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT x.line FROM g x JOIN g y ON y.n + 1 = x.n WHERE y.first < x.first AND levenshtein(x.line, y.line) <= 1),
 marked AS (
   SELECT l.doc_id, l.line_no, l.line,
     coalesce(near.line IS NOT NULL OR f.first <> {'d': l.doc_id, 'i': l.line_no}, false) AS gone

@@ -7,16 +7,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablemove.llm.common import join_small, materialise, small_batches
+from tablemove.llm.common import join_small, key_partitions, materialise, small_batches
 from tablemove.llm.features import N_STYLE, features, labelled_sample, sample_features
 
 #: Labelled rows that are fitted at most (drawn by a hash of the id), and opponents that each meets.
 SAMPLE_ROWS, OPPONENTS = 8_000, 6
-#: Bins of the histogram of strengths that places the cut where more rows are labelled than fitted.
-BINS = 20_000
 #: Score at and above which a document counts as good.
 CUT = 0.3
 
@@ -109,51 +107,73 @@ def best_quantile(strength: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(edges[k]), float(k / len(s))
 
 
+def balanced_sample(docs: DataFrame, labels: DataFrame, rows: int, *, id_col: str = "doc_id") -> DataFrame:
+    """``labelled_sample`` of half the rows from each label ``_y``, or of all rows that a rarer one has and more of the other."""
+    n = {r._y: r.n for r in labels.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_good = min(n.get(1, 0), max(rows // 2, rows - n.get(0, 0)))
+    good, bad = (labelled_sample(docs, labels.where(F.col("_y") == y), k, id_col=id_col) for y, k in ((1, n_good), (0, rows - n_good)))
+    return good.unionByName(bad)
+
+
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Ranking:
     """Fit on labelled rows that are not held out, ``sample_rows`` at most, and cut at a quantile of all of them.
 
-    An id with several labels counts as good if their mean is 0.5 or more; null labels are ignored.
+    The sample takes half of its rows from each label, or all that a rarer one has. Whatever its size, the cut is placed by all
+    labelled rows. An id with several labels counts as good if their mean is 0.5 or more; null labels are ignored.
     """
     small_batches(spark)
     one = labels.where(~held_out(id_col)).where("quality is not null").groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
     one = materialise(spark, one, "quality-labels")
-    sample = labelled_sample(docs.select(id_col, text), one, sample_rows, id_col=id_col)
-    x, y = sample_features(spark, sample, text, "_y")
+    picked = docs.select(id_col, text)
+    x, y = sample_features(spark, balanced_sample(picked, one, sample_rows, id_col=id_col), text, "_y")
     ranking = fit(x, np.array(y))
-    if len(set(y)) < 2 or one.limit(sample_rows + 1).count() <= sample_rows:
-        return ranking  # the sample holds all there is
-    return cut_over_all(spark, docs.select(id_col, text), one, ranking, id_col=id_col, text=text)
+    if len(set(y)) < 2:
+        return ranking  # no pairs, so no strengths to cut
+    return cut_over_all(spark, picked, one, ranking, id_col=id_col, text=text)
 
 
 def cut_over_all(spark: SparkSession, docs: DataFrame, labels: DataFrame, ranking: Ranking, *, id_col: str = "doc_id", text: str = "text") -> Ranking:
     """``ranking`` with its cut placed by the strengths of all rows of ``labels`` (id, ``_y``).
 
-    The cut is again the quantile that parts the two labels with the smallest mean error. Strengths are counted by
-    label in ``BINS`` bins between their outermost thousandths, what is beyond in the first and last; the cut falls between two
-    neighbouring bins. Counts combine map-side, and only that histogram reaches the driver.
+    The cut is again the quantile that parts the two labels with the smallest mean error: every place between two neighbouring
+    distinct strengths is tried. Labels are counted per strength, map-side first; the strengths are dealt out
+    in ranges, whose running counts start from the totals of the ranges before. The driver gets a row a range.
     """
 
     @F.pandas_udf("double")
     def strength(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield pd.Series(ranking.strength(features(s)))
-
-    rows = join_small(docs, labels, [id_col], "inner")
-    rows = materialise(spark, rows.select(strength(F.col(text).cast("string")).alias("s"), F.col("_y").alias("y")), "quality-strengths")
-    ends = rows.agg(F.percentile_approx("s", [0.001, 0.999], 10_000)).first()[0]
-    if ends is None or ends[0] >= ends[1]:
+            yield pd.Series(np.round(ranking.strength(features(s)), 9))  # alike in every batch
+
+    rows = join_small(docs, labels, [id_col], "inner").select(strength(F.col(text).cast("string")).alias("s"), F.col("_y").alias("y"))
+    counts = rows.groupBy("s").agg(F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good"))
+    counts = materialise(spark, counts, "quality-strengths")
+    ranged = counts.repartitionByRange(key_partitions(spark), "s").withColumn("part", F.spark_partition_id())
+    ranged = materialise(spark, ranged, "quality-ranges")
+    totals = ranged.groupBy("part").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.min("s").alias("low")).orderBy("low").collect()
+    all_bad, all_good = sum(r.bad for r in totals), sum(r.good for r in totals)
+    if not all_bad or not all_good:
         return ranking
-    at = F.floor((F.col("s") - ends[0]) / ((ends[1] - ends[0]) / BINS))
-    at = F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).cast("int").alias("at")
-    bins = rows.groupBy(at).agg(F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    bins = sorted(bins.collect())
-    bad, good = (np.r_[0, np.cumsum([r[k] for r in bins])] for k in ("bad", "good"))
-    lo, hi = (np.array([r[k] for r in bins]) for k in ("lo", "hi"))
-    edges = np.r_[lo[0] - 1, (lo[1:] + hi[:-1]) / 2, hi[-1] + 1]
-    error = good / max(1, good[-1]) + 1 - bad / max(1, bad[-1])
-    best = np.flatnonzero(error <= error.min() + 1e-12)
-    k = best[len(best) // 2]
-    return replace(ranking, cut=float(edges[k]), quantile=float((good[k] + bad[k]) / (good[-1] + bad[-1])))
+    starts, bad, good = [], 0, 0
+    for r in totals:
+        starts.append((r.part, bad, good))
+        bad, good = bad + r.bad, good + r.good
+    upto = Window.partitionBy("part").orderBy("s")
+    below = ranged.join(F.broadcast(spark.createDataFrame(starts, "part int, bad_before long, good_before long")), "part").select(
+        "s", (F.col("bad_before") + F.sum("bad").over(upto)).alias("bad"), (F.col("good_before") + F.sum("good").over(upto)).alias("good")
+    )
+    # errors as whole numbers, so that equally good places are told exactly
+    wide = "decimal(18,0)"
+    error = (F.col("good").cast(wide) * F.lit(all_bad).cast(wide) + (all_bad - F.col("bad")).cast(wide) * F.lit(all_good).cast(wide)).alias("error")
+    below = materialise(spark, below.select("s", "bad", "good", error), "quality-cuts")
+    least = below.agg(F.min("error")).first()[0]
+    if least >= all_bad * all_good:  # no place is better than to take everything
+        return replace(ranking, cut=float(totals[0].low) - 1, quantile=0.0)
+    at = below.where(F.col("error") == least).agg(F.percentile_approx("s", 0.5, 10_000)).first()[0]
+    place = below.where(F.col("s") == at).first()
+    above = below.where(F.col("s") > at).agg(F.min("s")).first()[0]
+    cut = at + 1 if above is None else (at + above) / 2
+    return replace(ranking, cut=float(cut), quantile=float((place.bad + place.good) / (all_bad + all_good)))
 
 
 def score_documents(

@@ -60,11 +60,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     path = scratch_path(spark, "llm", "warc")
     warc.write_archives(spark, pages, path)
-    return warc.resolve(spark, warc.read_pages(spark, path)).drop("url")
+    return warc.resolve(spark, warc.read_pages(spark, path)).drop("url", "problem")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.dedup_lines(spark, _table(spark, sf_dir, "documents"), short_exact=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

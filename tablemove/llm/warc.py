@@ -260,15 +260,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """``pages`` as :func:`read_pages` gives them, without payloads: ``payload_bytes`` and ``payload_digest``, for revisits those of the response that they refer to."""
-    light = pages.where("problem is null").select(
+    """``pages`` as :func:`read_pages` gives them, without payloads: ``payload_bytes`` and ``payload_digest``, for revisits those of the response that they refer to.
+
+    Every record keeps its row. One with a ``problem`` has no ``payload_bytes``, and no more than its headers say; a
+    revisit of it has no ``payload_bytes`` either. Other columns are not handed on.
+    """
+    light = pages.select(
         "page_id", "url", F.octet_length("payload").cast("long").alias("own"),
-        F.coalesce(payload_digest(F.col("payload")), "payload_digest").alias("payload_digest"), "record_type", "refers_to",
+        F.coalesce(payload_digest(F.col("payload")), "payload_digest").alias("payload_digest"), "record_type", "refers_to", "problem",
     )
     light = materialise(spark, light, "warc-read")
-    by = light.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("own").alias("_bytes")).distinct()
+    sound = light.where("record_type = 'response' AND problem IS NULL")
+    by = sound.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("own").alias("_bytes")).distinct()
     rows = light.join(by, ["refers_to", "payload_digest"], "left")
-    return rows.select("page_id", "url", F.coalesce("own", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return rows.select("page_id", "url", F.coalesce("own", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "problem")
 
 
 ORACLE_SQL = """

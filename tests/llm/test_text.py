@@ -62,7 +62,7 @@ def test_quality_cut_is_placed_by_all_labels(spark):
     labels = [(i, int(i % 100 < 50), 0) for i in range(400)]
     table, marks = docs(spark, rows), spark.createDataFrame(labels, LABELS)
     one = marks.where(~quality.held_out()).select("doc_id", F.col("quality").alias("_y"))
-    sample = quality.sample_features(spark, quality.labelled_sample(table.select("doc_id", "text"), one, 12), "text", "_y")
+    sample = quality.sample_features(spark, quality.balanced_sample(table.select("doc_id", "text"), one, 12), "text", "_y")
     part, whole = quality.fit(sample[0], np.array(sample[1])), quality.learn(spark, table, marks, sample_rows=12)
     assert (part.weights == whole.weights).all() and part.cut != whole.cut
     x, y = quality.sample_features(spark, quality.labelled_sample(table.select("doc_id", "text"), one, 400), "text", "_y")
@@ -256,3 +256,32 @@ def test_chat_cuts_a_crowded_turn(spark):
     got = chat.rotate(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most=50).collect()
     assert sum(r.n_messages for r in got) == 802 and max(r.n_messages for r in got) < 100
     assert {r.first_turn for r in got} == {0, 1} and len({(r.perspective, r.first_turn, r.part) for r in got}) == len(got)
+
+
+def test_cut_does_not_depend_on_the_sample(spark):
+    """Few good rows among many bad ones of few distinct strengths: any sample size parts them."""
+    good, bad = "plain quiet words about rivers and stones here.", ["| %% || && ##", "%% | && | ##  ||", "|| || ## && %%"]
+    rows = [(1000 + k, f"{good} {k % 3}" if k % 100 == 7 else bad[k % 3]) for k in range(2000)]
+    labels = spark.createDataFrame([(i, int(t.startswith("plain")), 0) for i, t in rows], LABELS)
+    table = docs(spark, rows)
+    for sample_rows in (60, 500, 8_000):
+        scored = quality.score_documents(spark, table, labels, sample_rows=sample_rows)
+        assert scored.where((F.col("predicted") == 1) != F.col("text").startswith("plain")).count() == 0
+
+
+def test_cut_against_brute_force(spark):
+    rows, marks = good_and_bad(150)
+    labels = spark.createDataFrame([(i, q if k % 7 else 1 - q, t) for k, (i, q, t) in enumerate(marks)], LABELS)  # some labels are wrong
+    table = docs(spark, rows)
+    got = quality.learn(spark, table, labels)
+    used = {r.doc_id: r.quality for r in labels.where(~quality.held_out("doc_id")).collect()}
+    texts = [(t, used[i]) for i, t in rows if i in used]
+    strength = got.strength(quality.features([t for t, _ in texts]))
+    y = [q for _, q in texts]
+
+    def error(cut):
+        lost = sum(q == 1 and s <= cut for s, q in zip(strength, y)) / sum(y)
+        return lost + sum(q == 0 and s > cut for s, q in zip(strength, y)) / (len(y) - sum(y))
+
+    least = min(error(c) for c in [min(strength) - 1, *strength])
+    assert abs(error(got.cut) - least) < 1e-12

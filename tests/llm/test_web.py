@@ -7,6 +7,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tablemove.llm import html_extract, warc
 
 P = "A first sentence, with a comma. And a second one; it is long enough to be text."
@@ -131,6 +133,16 @@ def test_round_trip(spark, tmp, segment):
         assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
 
 
+def test_damaged_record_keeps_its_row(spark, tmp):
+    pages = written(spark, tmp)
+    hit = F.col("page_id") == 9
+    damaged = pages.withColumn("problem", F.when(hit, F.lit("the payload digest differs"))).withColumn("payload", F.when(~hit, F.col("payload")))
+    found = {r.page_id: r for r in warc.resolve(spark, damaged).collect()}
+    assert set(found) == {i for i, _, _ in ROWS}
+    assert found[9].problem == "the payload digest differs" and found[9].payload_bytes is None and found[8].payload_bytes is None
+    assert all(r.payload_bytes is not None and r.problem is None for i, r in found.items() if i not in (8, 9))
+
+
 def test_least_bytes(spark, tmp):
     pages = written(spark, tmp, least_bytes=100).collect()
     assert [(r.page_id, r.refers_to) for r in pages if r.record_type == "revisit"] == [(8, 9)]
