@@ -13,6 +13,7 @@ engines hash the same value.
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -908,9 +909,9 @@ _ORACLE["audit_empty_files"] = """
 try:
     import corpus_pipeline
     from tablemove.llm import queries as _llm
-except ModuleNotFoundError as e:
-    if e.name not in ("corpus_pipeline", "tablemove.llm"):
-        raise
+except ImportError as e:
+    if getattr(e, "name", None) not in ("corpus_pipeline", "tablemove.llm"):
+        warnings.warn(f"the training-data operators are left out: {e}", stacklevel=2)
 else:
     QUERIES.update(_llm.QUERIES)
     QUERIES["pipeline"] = corpus_pipeline.run
