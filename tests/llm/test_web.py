@@ -3,7 +3,11 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
+import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -95,6 +99,127 @@ def test_marks_leave_main_text(name):
     assert html_extract.main_text(page) == "\n\n".join(want)
 
 
+FOREIGN = """comment-content comment-body comment-text user-comments post-comments related-articles sponsored-content ad-unit share-this
+cookie-law-info promo-card comments__body c-comment__text userComments commentList in-article-ad article-sidebar newsletter-box social-share
+sidebar-widget ad_slot js-ad comment-123""".split()
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_foreign_text_in_an_article_goes(name):
+    for element in ("div", "section", "article"):
+        foreign = f"<{element} class='x {name}'><p>{P}</p></{element}>"
+        assert html_extract.main_text(f"<article><h1>T</h1><p>{P} More.</p>{foreign}<p>End.</p></article>") == f"T\n\n{P} More.\n\nEnd."
+        assert html_extract.main_text(f"<main><h1>T</h1><p>{P} More.</p></main>{foreign}") == f"T\n\n{P} More."
+
+
+@pytest.mark.parametrize("name", ["has-comments", "no-sidebar", "with-ads", "post-header", "commentary", "adverbs", "market-legal-note"])
+def test_other_names_stay(name):
+    assert html_extract.main_text(f"<article><h1>T</h1><p>{P}</p><div class={name}><p>Said here.</p></div></article>") == f"T\n\n{P}\n\nSaid here."
+
+
+QUOTES = {
+    "in a value": ("<article><p data-x=it's>Hello</p><p>World's end</p><p>End.</p></article>", "Hello\n\nWorld's end\n\nEnd."),
+    "one too many": (f'<article><p><a href="x"">One</a> two, three.</p><p>{P}</p></article>', f"One two, three.\n\n{P}"),
+    "never closed": (f'<article><p><a title="x>One</a> two, three.</p><p>{P}</p></article>', f"One two, three.\n\n{P}"),
+    "class in a value": (f"<article><p>{P}</p><p title='class=ad' data-class=comments>Yes, stays.</p></article>", f"{P}\n\nYes, stays."),
+    "odd end tags": (f"<article><p>{P}</></ p>more</p></article>", f"{P}more"),
+}
+
+
+@pytest.mark.parametrize("name", QUOTES)
+def test_quotes(name):
+    page, want = QUOTES[name]
+    assert html_extract.main_text(page) == want
+
+
+def test_link_lists():
+    one = "<ul><li><a href={}a>One</a><li><a href={}b>Two</a></ul>"
+    assert html_extract.main_text(f"<article><p>{P}</p>{one.format('/', '/')}<p>{P}</p></article>") == f"{P}\n\nOne\n\nTwo\n\n{P}"
+    assert html_extract.main_text(f"<article><p>{P}</p>{one.format('#', '#')}<p>{P}</p></article>") == f"{P}\n\n{P}"
+    assert html_extract.main_text(f"<div><p>{P}</p>{one.format('/', '/')}<p>{P}</p></div>") == f"{P}\n\n{P}"
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<div class=ad>x", "<p><button><span><div>x", "<table><tr><td>x</p>", "<a class=ad>x<div>", "</div><b>x"])
+def test_deep_pages_take_linear_time(part):
+    def seconds(n):
+        start = time.process_time()
+        html_extract.main_text(part * n)
+        return time.process_time() - start
+
+    seconds(1_000)
+    few = min(seconds(8_000) for _ in range(3))
+    assert few < 1 and min(seconds(32_000) for _ in range(2)) < 10 * few + 0.2
+
+
+class Paths(HTMLParser):
+    """Brute force: the text nodes of a well-formed page with the whole path of each, as lists."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.nodes = [], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append((tag, len(self.nodes), dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.nodes.append(([f"{t}.{c}" if c else t for t, _, c in self.open if t != "a"], data, any(t == "a" for t, _, _ in self.open), [x for x in self.open if x[0] == "article"][:1]))
+
+
+def brute_scores(page):
+    nodes = Paths(page).nodes
+    any_article = any(n[3] for n in nodes)
+
+    def ratio(some):
+        text = sum(0 if linked else len(t) for _, t, linked, _ in some) / len(some)
+        marks = sum(0 if linked else sum(c in ".,;:!?" for c in t) for _, t, linked, _ in some) / len(some)
+        return math.sqrt(min(text, 500) * (1 + min(marks, 15)))
+
+    def around(n):
+        return ("article", n[3][0][1]) if n[3] else ("path", n[0][:-1])
+
+    out = []
+    for n in nodes:
+        own = ratio([x for x in nodes if x[0] == n[0]])
+        near = ratio([x for x in nodes if around(x) == around(n)])
+        out.append((own + near) / 2 * (0.02 if any_article and not n[3] else 1))
+    return out
+
+
+def test_path_scores_by_brute_force():
+    draw = random.Random(7)
+
+    def inside(depth):
+        got = ""
+        for _ in range(draw.randint(1, 4)):
+            tag = draw.choice(["div", "div class=a", "div class=b", "section", "p"])
+            text = "".join(draw.choice(["word", "so", "a longer one", ",", ".", " "]) for _ in range(draw.choice([1, 5, 60, 400]))).strip() or "x"
+            text = f"<a>{' '.join(text.split())}</a>" if draw.random() < 0.2 else " ".join(text.split())
+            got += f"<{tag}>{inside(depth - 1) if depth and tag != 'p' and draw.random() < 0.6 else text}</{tag.split()[0]}>"
+        return got
+
+    for _ in range(150):
+        page = "<body>" + "".join(draw.choice([inside(2), f"<article>{inside(2)}</article>"]) for _ in range(draw.randint(1, 3))) + "</body>"
+        found = html_extract.blocks(page)
+        scores, want = html_extract.path_scores(found), brute_scores(page)
+        assert [scores[b.path, b.container] for b in found] == pytest.approx(want)
+        assert [b.text for b in found] == [n[1] for n in Paths(page).nodes]
+        kept, best = html_extract.main_text(page).split("\n\n"), max(want)
+        for b, score in zip(found, want):
+            assert score < 0.1 * best or b.text in kept  # all paths over the threshold stay, on pages with articles and without
+
+
+def test_ratios_decide_with_articles_too():
+    teasers = "".join(f"<article><a href=/{k}>Read on, number {k}.</a></article>" for k in range(3))
+    assert html_extract.main_text(f"{teasers}<div class=body><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n\n{LONG}"
+    assert html_extract.main_text(f"<div class=x1><p>{SHORT}</p></div><article><p>{LONG}</p></article><div class=x2><p>{SHORT}</p></div>") == LONG
+    items = "".join(f"<li>item {k}</li>" for k in range(2_000))
+    assert html_extract.main_text(f"<article><p>{LONG * 300}</p><ul>{items}</ul></article>").endswith("item 1998\n\nitem 1999")
+
+
 def test_extract_table(spark):
     rows = [(1, None), (2, ""), (3, PAGES["plain"][0]), (3, PAGES["plain"][0]), (None, "<p>" * 3000 + "deep, text."), (4, f"<article><p>{'word, ' * 100_000}</p></article>")]
     table = spark.createDataFrame([(i, h, "old") for i, h in rows], "page_id long, html string, text string")
