@@ -251,11 +251,21 @@ def test_chat_equals_brute_force(spark):
     assert chat.rotate(spark, table.limit(0)).count() == 0
 
 
-def test_chat_cuts_a_crowded_turn(spark):
-    rows = [(1, 0, "a" if k % 2 else "b", f"m{k}") for k in range(400)] + [(1, 1, "a", "end")]
-    got = chat.rotate(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), most=50).collect()
-    assert sum(r.n_messages for r in got) == 802 and max(r.n_messages for r in got) < 100
-    assert {r.first_turn for r in got} == {0, 1} and len({(r.perspective, r.first_turn, r.part) for r in got}) == len(got)
+def test_chat_keeps_the_order_in_a_crowded_stretch(spark):
+    rows = [(1, 3, "a" if k % 2 else "b", f"m{k}") for k in range(400)] + [(1, 4, "a", "end"), (1, 0, "system", "start"), (1, 70, "b", "later"), (1, 2, None, "who")]
+    rows += [(c, t, "a" if k % 3 else "c", f"m{k}") for c, t in ((None, 5), (2, None)) for k in range(130)] + [(3, 1, "a", "few")] + rows[:9]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.rotate(spark, table, most=50).collect(), key=lambda r: (r.first_turn or 0, r.part))
+    want = brute_chat(rows, 64)
+    joined, learnt = {}, {}
+    for r in got:
+        k = (r.conv_id, r.perspective, r.first_turn)
+        ofs = len(joined.get(k, ""))
+        joined[k] = joined.get(k, "") + r.text
+        learnt.setdefault(k, []).extend(f"{int(x.split('-')[0]) + ofs}-{int(x.split('-')[1]) + ofs}" for x in r.mask.split(",") if x)
+    assert {k: (t, ",".join(learnt[k])) for k, t in joined.items()} == want
+    assert max(r.n_messages for r in got) == 50 and {r.first_turn for r in got if r.conv_id == 1} == {0, 64}
+    assert sorted(r.part for r in got if r.perspective == "a" and r.conv_id == 1 and r.first_turn == 0) == list(range(9))
 
 
 def test_cut_does_not_depend_on_the_sample(spark):
