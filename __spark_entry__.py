@@ -30,7 +30,7 @@ from tablemove.plans.board import job_board
 from tablemove.plans.chain import chain_registrations
 from tablemove.plans.copy import copy_summary, copy_table, copy_tables
 from tablemove.plans.ingest import ingest_files, ingest_selection, ingest_tables
-from tablemove.plans.publish import build_manifest
+from tablemove.plans.publish import build_manifest, publish_namespace
 from tablemove.session import ensure_checkpoint_dir, scratch_path, unique_name
 from tablemove.sources.job_fixture import jobs_from_events
 from tablemove.sources.jobs import JOB_COLUMNS, read_job_records, write_job_records
@@ -333,6 +333,7 @@ def q_job_latest_state(spark, sf_dir):
 
 
 PUBLISH_WAREHOUSE = "hdfs://namenode/warehouse"
+DDL_NAMES = {"catalog_integration": "my_hive_catalog_integration", "external_volume": "iceberg_azure_vol"}
 
 
 def manifest_from_records(jobs: DataFrame) -> DataFrame:
@@ -354,13 +355,32 @@ def manifest_from_records(jobs: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("location", F.concat_ws("/", F.lit(PUBLISH_WAREHOUSE), "namespace", "table"))
     )
-    return build_manifest(files, tables, PUBLISH_WAREHOUSE)
+    return build_manifest(files, tables, PUBLISH_WAREHOUSE, **DDL_NAMES)
 
 
 def q_publish_manifest(spark, sf_dir):
     return manifest_from_records(_archived_records(spark, sf_dir))
 
 
+def q_publish_listed(spark, sf_dir):
+    """Tables of a namespace and the metadata files that lie in their folders: a table per region, a version per supplier."""
+    ns, loc = _target_namespace(spark, "tm_listed")
+    ensure_namespace(spark, ns, loc)
+    nations, regions = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    for r in regions.collect():
+        nations.filter(F.col("n_regionkey") == r.r_regionkey).write.saveAsTable(f"{ns}.region_{r.r_regionkey}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for r in suppliers.filter("n_regionkey > 0").select("n_regionkey", "s_suppkey").toLocalIterator():
+        name = f"v{r.s_suppkey}.metadata.json" + (".tmp" if r.s_suppkey % 4 == 0 else "")
+        file = path(f"{loc}/region_{r.n_regionkey}/metadata/{name}")
+        out = file.getFileSystem(conf).create(file)
+        out.writeBytes("{}")
+        out.close()
+    return publish_namespace(spark, ns, loc, "SFDB", "PUBLIC", **DDL_NAMES).drop("namespace")
+
+
 def q_audit_stream(spark, sf_dir):
     archive = _job_archive(spark, sf_dir)
     ledger = _ledger_name(spark)
@@ -662,6 +682,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "job_board": q_job_board,
     "job_latest_state": q_job_latest_state,
     "publish_manifest": q_publish_manifest,
+    "publish_listed": q_publish_listed,
     "audit_stream": q_audit_stream,
     "copy_request_stream": q_copy_request_stream,
     "audit_rejects": q_audit_rejects,
@@ -843,6 +864,19 @@ _ORACLE["publish_manifest"] = "WITH " + _JOBS_CTE + f""",
            CASE WHEN l.path IS NULL THEN 'no metadata file matching the version pattern' END AS error
     FROM req r LEFT JOIN latest l ON l.ns = r.namespace AND l.tbl = r."table" """
 
+_ORACLE["publish_listed"] = """
+    WITH newest AS (
+      SELECT n_regionkey, max(s_suppkey) AS version FROM supplier JOIN nation ON s_nationkey = n_nationkey
+      WHERE n_regionkey > 0 AND s_suppkey % 4 <> 0 GROUP BY n_regionkey),
+    t AS (SELECT 'region_' || r_regionkey AS "table", version FROM region LEFT JOIN newest ON n_regionkey = r_regionkey),
+    p AS (SELECT *, "table" || '/metadata/v' || version || '.metadata.json' AS metadata_path FROM t)
+    SELECT "table", 'SFDB' AS sf_db, 'PUBLIC' AS sf_schema, version, metadata_path,
+           'CREATE OR REPLACE ICEBERG TABLE SFDB.PUBLIC.' || "table" || ' CATALOG = ''my_hive_catalog_integration'' EXTERNAL_VOLUME = ''iceberg_azure_vol'''
+             || ' METADATA_FILE_PATH = ''' || metadata_path || ''';' AS ddl,
+           CASE WHEN version IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+           CASE WHEN version IS NULL THEN 'no metadata file matching the version pattern' END AS error
+    FROM p"""
+
 _ORACLE["audit_stream"] = "WITH " + _REPORT_CTE + " SELECT * FROM report"
 
 _ORACLE["audit_rejects"] = "WITH " + _REPORT_CTE + """ SELECT * FROM report

@@ -7,13 +7,13 @@ from .plans.board import job_board
 from .plans.chain import chain_registrations
 from .plans.copy import copy_summary, copy_table, copy_tables
 from .plans.ingest import ingest_files, ingest_selection, ingest_table, ingest_tables
-from .plans.publish import build_manifest, publish_manifest
+from .plans.publish import build_manifest, publish_manifest, publish_namespace
 
 __version__ = "0.1.0"
 
 __all__ = [
     "build_manifest", "chain_registrations", "compact_ledger", "copy_summary", "copy_table",
     "copy_tables", "filter_report", "generate_report", "ingest_files", "ingest_selection",
-    "ingest_table", "ingest_tables", "job_board", "latest_state", "publish_manifest",
+    "ingest_table", "ingest_tables", "job_board", "latest_state", "publish_manifest", "publish_namespace",
     "reconcile_tables", "top_recent",
 ]

@@ -53,10 +53,12 @@ def _parser() -> argparse.ArgumentParser:
 
     reg = sub.add_parser("register", help="manifest of newest metadata files and registration DDL")
     reg.add_argument("--azure-db", required=True, help="namespace holding the copied tables")
-    reg.add_argument("--tables", required=True, nargs="+")
+    reg.add_argument("--tables", required=True, nargs="+", help="table names, or * for all (one listing of the warehouse)")
     reg.add_argument("--sf-db", required=True)
     reg.add_argument("--sf-schema", required=True)
     reg.add_argument("--warehouse", required=True)
+    reg.add_argument("--catalog-integration", required=True)
+    reg.add_argument("--external-volume", required=True)
     reg.add_argument("--catalog")
     reg.add_argument("--output-table", help="append manifest rows to this table")
 
@@ -133,10 +135,15 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         copy_summary(out).show(truncate=False)
         failed = out.filter("status <> 'succeeded'").limit(1).count() > 0
     elif args.command == "register":
-        from .plans.publish import publish_manifest
+        from .plans.publish import publish_manifest, publish_namespace
 
         ns = _qualified(args.catalog, args.azure_db)
-        manifest = publish_manifest(spark, ns, args.tables, args.warehouse, args.sf_db, args.sf_schema)
+        target = (args.warehouse, args.sf_db, args.sf_schema)
+        names = {"catalog_integration": args.catalog_integration, "external_volume": args.external_volume}
+        if args.tables == ["*"]:
+            manifest = publish_namespace(spark, ns, *target, **names)
+        else:
+            manifest = publish_manifest(spark, ns, args.tables, *target, **names)
         rows = manifest.collect()  # one row per requested table
         for r in rows:
             print(r.ddl if r.status == "ok" else f"-- {r.table}: {r.error}")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from ..functions.identifiers import quote_name
+from ..functions.identifiers import quote_name, split_name
+from ..sources.files import decoded
 
 TABLE_LISTING = T.StructType(
     [
@@ -59,6 +60,25 @@ def table_location(spark: SparkSession, table: str) -> str | None:
     return row[0] if row else None
 
 
+def table_locations(spark: SparkSession, namespace: str) -> DataFrame:
+    """``(namespace, table, location)`` of all tables of a namespace, from one catalog listing.
+
+    Locations are plain paths, as file listings show them (a catalog shows
+    a URI, spaces as %20), and null for tables and views without one. A missing namespace is empty.
+    """
+    try:
+        listed = spark.sql(f"SHOW TABLE EXTENDED IN {quote_name(namespace)} LIKE '*'")
+        listed.schema  # noqa: B018 - forces analysis so a missing namespace raises here
+    except AnalysisException as exc:
+        if (exc.getCondition() or "").startswith(("SCHEMA_NOT_FOUND", "NO_SUCH_NAMESPACE")):
+            return spark.createDataFrame([], "namespace string, table string, location string")
+        raise
+    uri = F.regexp_extract("information", r"(?m)^Location: ?(.*)$", 1)
+    return listed.filter(~F.col("isTemporary")).select(
+        F.lit(split_name(namespace)[-1]).alias("namespace"), F.col("tableName").alias("table"), F.nullif(decoded(uri), F.lit("")).alias("location")
+    )
+
+
 def table_provider(spark: SparkSession, table: str) -> str | None:
     """The ``Provider`` row of ``DESCRIBE EXTENDED``; ``None`` when absent."""
     row = describe_extended(spark, table).filter(F.col("col_name") == "Provider").select("data_type").first()

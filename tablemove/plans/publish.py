@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import quote_name, split_name
-from ..operators.catalog import table_location
-from ..sources.files import list_folders
+from ..operators.catalog import table_location, table_locations
+from ..sources.files import list_folders, list_tree
 
-# Default file pattern and the names used by the registration DDL.
+# Fixed value: default file pattern.
 VERSION_PATTERN = r"^v(\d+)\.metadata\.json$"
-DEFAULT_CATALOG_INTEGRATION = "my_hive_catalog_integration"
-DEFAULT_EXTERNAL_VOLUME = "iceberg_azure_vol"
 
 _SCHEME_ONLY = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _SCHEME = _SCHEME_ONLY + r"(//[^/]*)?"
@@ -85,8 +83,8 @@ def registration_ddl(
     sf_schema: Column,
     table: Column,
     metadata_path: Column,
-    catalog_integration: str = DEFAULT_CATALOG_INTEGRATION,
-    external_volume: str = DEFAULT_EXTERNAL_VOLUME,
+    catalog_integration: str,
+    external_volume: str,
 ) -> Column:
     return F.concat(
         F.lit("CREATE OR REPLACE ICEBERG TABLE "),
@@ -103,8 +101,9 @@ def build_manifest(
     tables: DataFrame,
     warehouse: str,
     pattern: str = VERSION_PATTERN,
-    catalog_integration: str = DEFAULT_CATALOG_INTEGRATION,
-    external_volume: str = DEFAULT_EXTERNAL_VOLUME,
+    *,
+    catalog_integration: str,
+    external_volume: str,
 ) -> DataFrame:
     """Manifest rows for ``tables`` given a listing ``files`` (``path`` column).
 
@@ -151,7 +150,9 @@ def publish_manifest(
     sf_schema: str,
     pattern: str = VERSION_PATTERN,
     lookup_parallelism: int = 8,
-    **ddl_names,
+    *,
+    catalog_integration: str,
+    external_volume: str,
 ) -> DataFrame:
     """Manifest for catalog tables: locations from ``DESCRIBE``, one listing for all.
 
@@ -181,4 +182,32 @@ def publish_manifest(
     )
     folders = [r[2].rstrip("/") + "/metadata" for r in rows if r[2]]
     files = list_folders(spark, folders)
-    return build_manifest(files.select("path"), table_df, warehouse, pattern, **ddl_names)
+    return build_manifest(
+        files.select("path"), table_df, warehouse, pattern, catalog_integration=catalog_integration, external_volume=external_volume
+    )
+
+
+def publish_namespace(
+    spark: SparkSession,
+    namespace: str,
+    warehouse: str,
+    sf_db: str,
+    sf_schema: str,
+    pattern: str = VERSION_PATTERN,
+    *,
+    catalog_integration: str,
+    external_volume: str,
+) -> DataFrame:
+    """Manifest for all tables of a namespace: one catalog listing joined to one file listing.
+
+    Neither the catalog nor the file system is asked table by table. All
+    files under ``warehouse`` are listed (not opened), by Spark tasks where
+    a folder has many subfolders; the driver holds the listing's names. For a few tables out of a
+    large warehouse :func:`publish_manifest` lists their folders only. A
+    table outside the warehouse counts as one without a metadata file.
+    """
+    tables = table_locations(spark, namespace).withColumn("sf_db", F.lit(sf_db)).withColumn("sf_schema", F.lit(sf_schema))
+    files = list_tree(spark, warehouse, "*.metadata.json" if pattern == VERSION_PATTERN else None)
+    return build_manifest(
+        files.select("path"), tables, warehouse, pattern, catalog_integration=catalog_integration, external_volume=external_volume
+    )

@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _decoded(name: Column) -> Column:
+def decoded(name: Column) -> Column:
+    """A URI-encoded path or name as it is shown by listings."""
     # URI path encoding leaves ``+`` as is while URL decoding would turn it into a space, so ``+`` is escaped before decoding.
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def file_name() -> Column:
     """The scanned file's name, decoded (``_metadata.file_name`` is URL-encoded)."""
-    return _decoded(F.col("_metadata.file_name"))
+    return decoded(F.col("_metadata.file_name"))
 
 
 def stem_of(path: Column) -> Column:
     """The decoded file name of a ``source_file``, without its extension."""
-    return F.regexp_replace(_decoded(F.regexp_extract(path, r"[^/]*$", 0)), r"\.[^.]*$", "")
+    return F.regexp_replace(decoded(F.regexp_extract(path, r"[^/]*$", 0)), r"\.[^.]*$", "")
 
 
 def read_csv(
@@ -99,6 +100,24 @@ def listed_files(scan: DataFrame) -> DataFrame:
     return scan.sparkSession.createDataFrame(names, "source_file string")
 
 
+def list_tree(spark: SparkSession, root: str, glob_filter: str | None = None) -> DataFrame:
+    """Paths, sizes and modification times of all files with content at any depth under ``root``, listed, not opened.
+
+    Spark lists a folder's subfolders in tasks where they are more than
+    ``spark.sql.sources.parallelPartitionDiscovery.threshold``. No such root gives an empty frame.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob_filter:
+        reader = reader.option("pathGlobFilter", glob_filter)
+    try:
+        files = reader.load(root)
+    except AnalysisException as exc:
+        if not (exc.getCondition() or "").startswith("PATH_NOT_FOUND"):
+            raise
+        return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
+    return files.select("path", "length", "modificationTime")
+
+
 def existing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """The subset of ``paths`` that exist (one file-system metadata call each)."""
     jvm = spark.sparkContext._jvm

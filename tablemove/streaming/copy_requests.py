@@ -75,6 +75,7 @@ def _handler(
     warehouse: str | None = None,
     manifest_table: str | None = None,
     queue: str | None = None,
+    ddl_names: dict[str, str] | None = None,
 ):
     errors_table = f"{events_table}_errors"
 
@@ -101,8 +102,8 @@ def _handler(
             statuses = [r.status for r in out.select("status").collect()]  # one per table
             ok = bool(tables) and all(x == "succeeded" for x in statuses)
             return ("completed" if ok else "failed"), True, out
-        if req.job_type == TYPE_REGISTER and warehouse and manifest_table:
-            manifest = publish_manifest(spark, qualified(req.azure_db), tables, warehouse, req.sf_db, req.sf_schema)
+        if req.job_type == TYPE_REGISTER and warehouse and manifest_table and ddl_names:
+            manifest = publish_manifest(spark, qualified(req.azure_db), tables, warehouse, req.sf_db, req.sf_schema, **ddl_names)
             rows = manifest.collect()  # one row per requested table
             tagged = spark.createDataFrame(rows, manifest.schema).select(*tag, "*")
             _append_new(spark, tagged, manifest_table, ["job_id", "batch_id", "table"])
@@ -184,11 +185,12 @@ def start_copy_request_stream(
     available_now: bool = True,
     warehouse: str | None = None,
     manifest_table: str | None = None,
+    ddl_names: dict[str, str] | None = None,
 ):
     """Start the request stream; returns the ``StreamingQuery``.
 
-    ``warehouse`` and ``manifest_table`` enable ``register_snowflake``
-    requests: their manifest rows are appended to ``manifest_table``.
+    ``warehouse``, ``manifest_table`` and ``ddl_names`` (``catalog_integration`` and ``external_volume``) enable
+    ``register_snowflake`` requests: their manifest rows are appended to ``manifest_table``.
     """
     for t in (outcomes_table, events_table, manifest_table):
         if not t:
@@ -202,7 +204,7 @@ def start_copy_request_stream(
         cleanSource="archive", sourceArchiveDir=archive,
     )
     serve = _handler(outcomes_table, events_table, source_catalog, target_catalog, target_location_root,
-                     warehouse, manifest_table, queue)
+                     warehouse, manifest_table, queue, ddl_names)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch_records(batch, queue, multi_line, glob)

@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from tablemove.plans.publish import build_manifest, latest_metadata, metadata_versions, publish_manifest
+from tablemove.plans.publish import build_manifest, latest_metadata, metadata_versions, publish_manifest, publish_namespace
+
+NAMES = {"catalog_integration": "my_hive_catalog_integration", "external_volume": "iceberg_azure_vol"}
 
 
 def _touch(path):
@@ -33,7 +35,7 @@ def test_manifest_rows_and_failures(spark):
         ("db", "x", "s3://other/db/x", "SFDB", "PUBLIC"),
         ("db", "noloc", None, "SFDB", "PUBLIC"),
     ], "namespace string, table string, location string, sf_db string, sf_schema string")
-    rows = {r.table: r for r in build_manifest(files, tables, "abfss://c@acct/wh").collect()}
+    rows = {r.table: r for r in build_manifest(files, tables, "abfss://c@acct/wh", **NAMES).collect()}
     assert rows["t"].status == "ok" and rows["t"].metadata_path == "db/t/metadata/v2.metadata.json"
     assert rows["t"].ddl == ("CREATE OR REPLACE ICEBERG TABLE SFDB.PUBLIC.t CATALOG = 'my_hive_catalog_integration' "
                              "EXTERNAL_VOLUME = 'iceberg_azure_vol' METADATA_FILE_PATH = 'db/t/metadata/v2.metadata.json';")
@@ -46,7 +48,7 @@ def test_identifier_quoting_in_ddl(spark):
     files = spark.createDataFrame([("/wh/d/my table/metadata/v1.metadata.json",)], "path string")
     tables = spark.createDataFrame([("d", "my table", "/wh/d/my table", "SF DB", "P")],
                                    "namespace string, table string, location string, sf_db string, sf_schema string")
-    ddl = build_manifest(files, tables, "/wh").first().ddl
+    ddl = build_manifest(files, tables, "/wh", **NAMES).first().ddl
     assert ddl.startswith('CREATE OR REPLACE ICEBERG TABLE "SF DB".P."my table" ')
 
 
@@ -56,7 +58,7 @@ def test_publish_over_catalog_tables(spark, ns, tmp):
     loc_a = spark.sql(f"DESCRIBE EXTENDED {ns}.a").filter("col_name = 'Location'").first()[1]
     for v in (1, 2, 10):
         _touch(loc_a.replace("file:", "") + f"/metadata/v{v}.metadata.json")
-    out = {r.table: r for r in publish_manifest(spark, ns, ["a", "b", "missing"], tmp, "SFDB", "PUBLIC").collect()}
+    out = {r.table: r for r in publish_manifest(spark, ns, ["a", "b", "missing"], tmp, "SFDB", "PUBLIC", **NAMES).collect()}
     assert out["a"].status == "ok" and out["a"].metadata_path.endswith("a/metadata/v10.metadata.json")
     assert out["b"].status == "failed" and out["missing"].status == "failed"
 
@@ -68,10 +70,30 @@ def test_publish_with_space_in_location(spark, tmp):
     loc = spark.sql(f"DESCRIBE EXTENDED {ns}.t").filter("col_name = 'Location'").first()[1]
     from urllib.parse import unquote
     _touch(unquote(loc).replace("file:", "") + "/metadata/v3.metadata.json")
-    row = publish_manifest(spark, ns, ["t"], f"{tmp}/my wh", "SFDB", "PUBLIC").first()
+    row = publish_manifest(spark, ns, ["t"], f"{tmp}/my wh", "SFDB", "PUBLIC", **NAMES).first()
     assert (row.status, row.metadata_path) == ("ok", f"{ns}.db/t/metadata/v3.metadata.json")
 
 
+def test_publish_namespace_lists_once(spark, tmp):
+    """Spaces in the path, a table without metadata, a table elsewhere, files of other tables and a missing namespace."""
+    ns = "tm_pub_listed"
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {ns} LOCATION '{tmp}/a wh/{ns}.db'")
+    for t in ("a", "b"):
+        spark.range(1).write.saveAsTable(f"{ns}.{t}")
+    spark.range(1).write.option("path", f"{tmp}/else where/c").saveAsTable(f"{ns}.c")
+    spark.sql(f"CREATE VIEW {ns}.v AS SELECT 1 AS x")
+    for path in (f"a wh/{ns}.db/a", f"a wh/{ns}.db/stray", "else where/c"):
+        for v in (2, 10, 9):
+            _touch(f"{tmp}/{path}/metadata/v{v}.metadata.json")
+    _touch(f"{tmp}/a wh/{ns}.db/a/metadata/v11.metadata.json.tmp")
+    out = {r.table: r for r in publish_namespace(spark, ns, f"{tmp}/a wh", "SFDB", "PUBLIC", **NAMES).collect()}
+    assert {t: (r.status, r.metadata_path) for t, r in out.items()} == {
+        "a": ("ok", f"{ns}.db/a/metadata/v10.metadata.json"), "b": ("failed", None), "c": ("failed", None), "v": ("failed", None)}
+    named = {r.table: r for r in publish_manifest(spark, ns, ["a", "b"], f"{tmp}/a wh", "SFDB", "PUBLIC", **NAMES).collect()}
+    assert all(named[t].ddl == out[t].ddl for t in named) and "Location" in out["v"].error
+    assert publish_namespace(spark, "tm_no_such", f"{tmp}/none", "SFDB", "PUBLIC", **NAMES).count() == 0
+
+
 def test_file_listing_and_text_readers(spark, tmp):
     from tablemove.sources.files import list_files, read_text_files
 

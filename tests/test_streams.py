@@ -62,7 +62,8 @@ def test_copy_request_stream(spark, tmp, ns):
         q = start_copy_request_stream(spark, queue, archive, ckpt, f"{ns}.outcomes", f"{ns}.events",
                                       target_location_root=f"{tmp}/targets", max_files_per_trigger=10,
                                       warehouse=os.path.dirname(os.path.dirname(loc)),
-                                      manifest_table=f"{ns}.manifest")
+                                      manifest_table=f"{ns}.manifest",
+                                      ddl_names={"catalog_integration": "ci", "external_volume": "ev"})
         q.awaitTermination()
         assert q.exception() is None
     refresh_results(spark, f"{ns}.outcomes", f"{ns}.events")
