@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemove.llm.common import in_blocks, local_roots, materialise, whole_groups
 from tablemove.llm.components import connected_components
 
-#: At cosine 0.95 two vectors agree on a hyperplane's side with probability 0.9, on 14 with 0.22, in one of 24 tables at least with 0.998; at 0.97 with 0.9999.
-TABLES, BITS = 24, 14
+#: Hyperplanes per table at least, distinct vectors per bucket aimed at, and share of the pairs at the threshold itself that collide in a table.
+BITS, PER_BUCKET, RECALL = 14, 64, 0.9977
 BLOCK_ROWS = 2048
 
 
+def table_plan(rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """``(tables, bits)`` for so many vectors: bits grow with the logarithm of the rows, so that buckets don't grow, and tables keep the recall.
+
+    Two vectors at the threshold agree on a hyperplane's side with a probability set by their angle (0.9 at cosine 0.95), on all
+    bits of a table with its power. At 0.95 that makes 24 tables of 14 bits up to a million vectors, 54 of 21 at 134 million.
+    """
+    bits = max(BITS, math.ceil(math.log2(max(1, rows) / PER_BUCKET)))
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    if same < 0.004:
+        raise ValueError(f"threshold {threshold} would take over 1,500 tables; give tables and bits")
+    return (1 if same == 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))), bits
+
+
 def hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
 
@@ -29,20 +44,27 @@ def signatures(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.nda
 
 def near_duplicates(
     spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding",
-    threshold: float = 0.95, tables: int = TABLES, bits: int = BITS, seed: int = 7, block_rows: int = BLOCK_ROWS,
+    threshold: float = 0.95, tables: int | None = None, bits: int | None = None, seed: int = 7, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 
-    Vectors that share a signature in some table are compared by cosine in
+    Vectors that share a signature in some table (``tables`` of ``bits`` hyperplanes, by :func:`table_plan` from
+    the number of rows unless given) are compared by cosine in
     double precision and link at ``threshold`` or more. Equal vectors form one
     class first and always link. ``n_links`` counts the other rows that a row
     links with, each once: a pair counts only in the first table in which it
     collides. ``component_id`` is the smallest id reachable. A vector that is
     null, empty, zero or holds a null or a component that is not finite, or
     whose id is null, links with nothing and is its own component; so do
-    vectors of different lengths among each other. Repeated rows are vectors of
+    vectors of different lengths among each other. Repeated rows, and rows that share an id, are vectors of
     their own. An empty table gives no rows; other columns are not read.
     """
+    if tables is None or bits is None:
+        planned = table_plan(vectors.count(), threshold)
+        tables, bits = tables or planned[0], bits or planned[1]
+    kind = vectors.schema[vector].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    form = np.dtype("<f4" if single else "<f8")  # holds each component as it is
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -57,16 +79,16 @@ def near_duplicates(
                 unit = part / np.abs(part).max(1, keepdims=True)
                 got = signatures(unit, tables, bits, seed)
                 for k, v, s in zip(at, part, got):
-                    out_v[k], out_s[k] = v.tobytes(), s.astype(np.int32).tolist()
+                    out_v[k], out_s[k] = v.astype(form).tobytes(), s.astype(np.int32).tolist()
             yield pd.DataFrame({"id": frame["id"], "vec": out_v, "sigs": out_s})
 
-    kind = vectors.schema[id_col].dataType.simpleString()
+    id_kind = vectors.schema[id_col].dataType.simpleString()
     picked = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    signed = materialise(spark, picked.mapInPandas(sign, f"id {kind}, vec binary, sigs array<int>"), "emb-sign")
-    classes = signed.where("vec is not null").groupBy("vec", "sigs").agg(
-        F.min("id").cast("long").alias("node"), F.count(F.lit(1)).alias("m")
+    signed = materialise(spark, picked.mapInPandas(sign, f"id {id_kind}, vec binary, sigs array<int>"), "emb-sign")
+    classes = signed.where("vec is not null").groupBy("vec").agg(
+        F.min("sigs").alias("sigs"), F.min("id").cast("long").alias("low"), F.count(F.lit(1)).alias("m")
     )
-    classes = materialise(spark, classes, "emb-class")
+    classes = materialise(spark, classes.withColumn("node", F.monotonically_increasing_id()), "emb-class")
     width = F.length("vec").cast("int").alias("width")
     rows = classes.select(F.posexplode("sigs").alias("tab", "sig"), width, "node", "m", "vec", "sigs")
     keys = ["tab", "sig", "width", "bi", "bj"]
@@ -79,7 +101,7 @@ def near_duplicates(
             for a, b in zip(starts[:-1], starts[1:]):
                 if b - a < 2:
                     continue
-                unit = np.frombuffer(b"".join(vecs[a:b]), dtype=np.float64).reshape(b - a, -1)
+                unit = np.frombuffer(b"".join(vecs[a:b]), dtype=form).astype(np.float64).reshape(b - a, -1)
                 unit = unit / np.abs(unit).max(1, keepdims=True)
                 unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
                 i, j = _pairs(unit, np.array(sigs[a:b])[:, : tabs[a]], own[a:b], threshold)
@@ -98,8 +120,10 @@ def near_duplicates(
     found = materialise(spark, dealt.mapInPandas(compare, "u long, links long, v long"), "emb-links")
     roots = connected_components(spark, found.select("u", "v"), "emb-cc")
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    lows = roots.join(classes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("least"))
+    roots = materialise(spark, roots.join(lows, "root").select("node", "least"), "emb-least")
     named = classes.join(links, "node", "left").join(roots, "node", "left").select(
-        "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id")
+        "vec", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "low").alias("component_id")
     )
     named = materialise(spark, named, "emb-named")
     return signed.join(named, "vec", "left").select(

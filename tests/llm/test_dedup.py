@@ -1,5 +1,6 @@
 """Exact, SimHash, embedding and line dedup, and components, against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -180,6 +181,24 @@ def test_embeddings_equal_brute_force(spark, block_rows):
     assert embedding_dedup.near_duplicates(spark, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_embeddings_that_share_an_id(spark, element):
+    """Rows of one id are vectors of their own: each links with its likes only, and components go by vectors."""
+    a, b = [1.0, 0.0, 0.25], [0.0, 1.0, 0.5]
+    rows = [(1, a), (1, b), (2, [0.0, 1.0, 0.51]), (3, [1.0, 0.001, 0.25]), (7, [1.0, 0.0, -1.0]), (5, [1.0, 0.0, -1.0]), (5, [0.0, -1.0, 1.0])]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark, table).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False)]
+
+
+def test_table_plan():
+    for rows in (0, 1, 500, 1 << 20, 1 << 24, 1 << 33):
+        tables, bits = embedding_dedup.table_plan(rows, 0.95)
+        same = (1 - math.acos(0.95) / math.pi) ** bits
+        assert (1 - same) ** tables <= 0.0023 < (1 - same) ** (tables - 1) and (bits == 14 or 32 < rows / 2**bits <= 64)
+    assert embedding_dedup.table_plan(1 << 20, 0.95) == (24, 14) and embedding_dedup.table_plan(9, 1.0)[0] == 1
+
+
 # ------------------------------------------------------------------ lines
 def edit_at_most_one(a, b):
     if abs(len(a) - len(b)) > 1:
