@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,3 +148,34 @@ def read_text_files(spark: SparkSession, path: str, glob_filter: str | None = No
     if glob_filter:
         reader = reader.option("pathGlobFilter", glob_filter)
     return reader.text(path, wholetext=True).select(file_name().alias("file_name"), F.col("value"))
+
+
+def write_named_files(files: DataFrame, root: str) -> int:
+    """Write a file per row of ``(folder, name, text)`` at ``root/folder/name``; returns the number of rows.
+
+    Spark's writers choose the names of their files, so the tasks write these through
+    Arrow's file systems, for which ``root`` must lie in a store that executors share. Rows are dealt out by path over ``spark.sql.shuffle.partitions`` tasks;
+    a task that runs again writes the same files again.
+    """
+    spark = files.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = re.sub("^file:/+", "file:///", fs.makeQualified(path).toUri().toString())
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        store, top = FileSystem.from_uri(uri)
+        made: set[str] = set()
+        for rows in batches:
+            for folder, name, text in zip(rows["folder"], rows["name"], rows["text"], strict=True):
+                if folder not in made:
+                    store.create_dir(f"{top}/{folder}", recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{top}/{folder}/{name}") as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("folder", "name", "text").repartition(n, "folder", "name")
+    return sum(r.n for r in dealt.mapInPandas(put, "n long").toLocalIterator())

@@ -107,3 +107,14 @@ def test_file_listing_and_text_readers(spark, tmp):
     assert list_files(spark, f"{tmp}/missing").count() == 0
     rows = read_text_files(spark, f"{tmp}/d", "*.log").collect()
     assert [(r.file_name, r.value) for r in rows] == [("a.log", "x\ny\n")]
+
+
+def test_named_files_are_written_by_tasks(spark, tmp):
+    from tablemove.sources.files import write_named_files
+
+    rows = spark.range(500).selectExpr("concat('t ', id % 3, '/metadata') AS folder", "concat('v', id, '.metadata.json') AS name", "concat('{\"é\": ', id, '}') AS text")
+    for _ in range(2):  # writing again changes nothing
+        assert write_named_files(rows, f"{tmp}/a b") == 500
+    found = {os.path.join(d, x): open(os.path.join(d, x), encoding="utf-8").read() for d, _, names in os.walk(f"{tmp}/a b") for x in names}
+    assert found == {f"{tmp}/a b/t {i % 3}/metadata/v{i}.metadata.json": '{"é": %d}' % i for i in range(500)}
+    assert write_named_files(rows.limit(0), f"{tmp}/none") == 0
