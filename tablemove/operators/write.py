@@ -30,6 +30,7 @@ from ..functions.identifiers import (
     quote_name,
     split_name,
 )
+from ..session import ensure_checkpoint_dir, scratch_path
 
 # Providers the session catalog stores itself (no staged replace support).
 FILE_FORMATS = frozenset({"parquet", "orc", "csv", "json", "avro", "text"})
@@ -173,6 +174,14 @@ def counted(df: DataFrame, name: str = "tm_write") -> tuple[DataFrame, Observati
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back: computed once, looked at several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def error_class(exc: BaseException) -> str:
     """Map a failure to ``not_found`` / ``already_exists`` / ``other``."""
     if isinstance(exc, AnalysisException):

@@ -18,6 +18,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from ..functions.audit import REPORT_COLUMNS, audit_frame, iso_timestamp
 from ..functions.identifiers import quote_name, split_name
 from ..operators.catalog import table_provider
-from ..operators.write import counted, ensure_namespace, replace_table, table_exists
+from ..operators.write import counted, ensure_namespace, replace_table, table_exists, written
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.files import file_states
 from ..sources.jobs import read_job_records
@@ -117,9 +118,7 @@ def merge_rows(spark: SparkSession, rows: DataFrame, ledger: str, fmt: str | Non
         fresh, obs = counted(rows, "tm_audit")
         replace_table(fresh, ledger, fmt=fmt)
         return int(obs.get.get("rows", 0))
-    path = scratch_path(spark, "audit-rows")
-    rows.write.parquet(path)  # parsed once, looked at several times
-    rows = spark.read.schema(rows.schema).parquet(path)
+    rows = written(rows, "audit-rows")
     old = ledger_rows_of(spark, rows, ledger).alias("old")
     same_job = (F.col("new.job_key") == F.col("old.job_key")) & F.col("new.entry").eqNullSafe(F.col("old.entry"))
     both = rows.alias("new").join(old, same_job, "left")
@@ -205,14 +204,15 @@ def generate_report(
     incremental = not full_rescan and table_exists(spark, ledger) and _readable(spark, ledger)
     seen = new_files(spark, states, ledger) if incremental else states
     named = [r for r in seen.limit(MAX_NAMED_FILES + 1).collect()] if incremental else None
+    keep = partial(written, tag="audit-pieces") if named != [] else None
     if named is not None and len(named) <= MAX_NAMED_FILES:
         seen = spark.createDataFrame(named, states.schema)
-        records, rejects = read_job_records(spark, archive, multi_line, glob, files=[r.source_file for r in named])
+        records, rejects = read_job_records(spark, archive, multi_line, glob, files=[r.source_file for r in named], keep=keep)
     else:
         path = scratch_path(spark, "audit-files")
         seen.write.parquet(path)  # as listed before the scan: a file that grows meanwhile is read again next time
         seen = spark.read.schema(states.schema).parquet(path)
-        records, rejects = read_job_records(spark, archive, multi_line, glob)
+        records, rejects = read_job_records(spark, archive, multi_line, glob, keep=keep)
         if incremental:
             records = records.join(seen.select("source_file"), "source_file", "left_semi")
     if incremental:

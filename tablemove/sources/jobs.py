@@ -16,6 +16,8 @@ file that holds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,21 +80,26 @@ def _reduced(skeleton: Column, times: int) -> Column:
     return skeleton
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row; a plain one would be copied into each expression and filter that names it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _with_shape(df: DataFrame, text: str, depth: int) -> DataFrame:
     """Add ``_skeleton`` (brackets outside strings) and ``_whole``: the text is one object or array, nested up to ``depth`` more levels."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "s")
-    df = df.withColumn("_bare", bare).withColumn("_skeleton", F.regexp_replace("_bare", r"[^\[\]{}]+", ""))
+    df = _once(_once(df, "_bare", bare), "_skeleton", F.regexp_replace("_bare", r"[^\[\]{}]+", ""))
     inner = _reduced(F.expr("substring(_skeleton, 2, length(_skeleton) - 2)"), depth)
     # a value with nothing but brackets and blanks around the outer pair, and no string left open
     whole = F.col("_bare").rlike(r"(?s)^\s*(\{[^\"]*\}|\[[^\"]*\])\s*$") & (inner == "") & (F.length("_skeleton") >= 2)
-    return df.withColumn("_whole", whole).drop("_bare")
+    return _once(df, "_whole", whole).drop("_bare")
 
 
 #: Levels below the outermost that a record may have: in the quick check, and at all.
 QUICK_DEPTH, DEPTH = 4, 32
 
 
-def parse_pieces(pieces: DataFrame) -> DataFrame:
+def parse_pieces(pieces: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Records and rejects of pieces of files (``value``, ``_block`` and the file columns; not a stream).
 
     A piece reaches from one line start with an opening brace, which the split has
@@ -103,14 +110,18 @@ def parse_pieces(pieces: DataFrame) -> DataFrame:
     until the brackets are balanced. What then is no whole object or array is a reject.
     A record cut short after a bracket or colon may take lines after it along, but never a whole piece.
     A file that starts with a key or a closing brace reads as if an opening one were before it.
+    ``keep`` may write a frame and give it back as read again: the pieces are then read and parsed
+    once, whatever is asked of the rows.
     """
+    keep = keep or (lambda df: df)
     lead = F.regexp_extract("value", r"^[\s\uFEFF]*(\S)", 1)
     text = F.when(lead.isin('"', "}"), F.concat(F.lit("{"), "value")).otherwise(F.regexp_replace("value", "^\uFEFF", ""))
     parts = pieces.select("source_file", "file_mtime", "stem", "_block", F.monotonically_increasing_id().alias("_at"), text.alias("_text"))
     parts = _with_shape(parts.filter(F.col("_text").rlike(r"\S")), "_text", QUICK_DEPTH)
-    keep = ["source_file", "file_mtime", "stem"]
-    rest = _with_shape(_joined(parts.filter("NOT _whole"), keep), "_text", DEPTH)
-    return _parsed(parts.filter("_whole"), keep).unionByName(_parsed(rest, keep))
+    of_file = ["source_file", "file_mtime", "stem"]
+    parts = keep(_parsed(parts, [*of_file, "_block", "_at"]))
+    rest = _with_shape(_joined(parts.filter("NOT _whole"), of_file), "_text", DEPTH)
+    return _job_rows(parts.filter("_whole"), of_file).unionByName(_job_rows(keep(_parsed(rest, of_file)), of_file))
 
 
 def _joined(parts: DataFrame, keep: list[str]) -> DataFrame:
@@ -148,14 +159,24 @@ def _joined(parts: DataFrame, keep: list[str]) -> DataFrame:
     return values.filter(F.col("_text").rlike(r"\S")).select("_text", *keep)
 
 
-def _parsed(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """Records and rejects of texts; one that is no ``_whole`` is a reject unparsed, as text after the end of a value would be passed over."""
+def _parsed(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts with ``_jobs``, what they hold; one that is no ``_whole`` stays unparsed, as text after the end of a value would be passed over.
+
+    ``_text`` stays only where a reject may need it.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     whole = F.when(F.col("_whole"), F.col("_text"))
-    parsed = texts.withColumn("_job", F.explode_outer(F.from_json(whole, T.ArrayType(JOB_READ_SCHEMA), options)))
+    parsed = _once(texts, "_jobs", F.from_json(whole, T.ArrayType(JOB_READ_SCHEMA), options))
+    all_read = (F.size("_jobs") > 0) & ~F.exists("_jobs", lambda job: job.isNull())
+    return parsed.select(*columns, "_whole", "_jobs", F.when(F.coalesce(all_read, F.lit(False)), None).otherwise(F.col("_text")).alias("_text"))
+
+
+def _job_rows(parsed: DataFrame, columns: list[str]) -> DataFrame:
+    """Records and rejects of ``_parsed`` texts."""
+    rows = parsed.withColumn("_job", F.explode_outer("_jobs"))
     corrupt = F.when(F.col("_job").isNull(), F.col("_text")).otherwise(F.col("_job._corrupt_record"))
     jobs = [F.col(f"_job.{c}").alias(c) for c in JOB_COLUMNS]
-    return parsed.select(*jobs, corrupt.alias("_corrupt_record"), *keep).withColumn("job_key", F.coalesce("job_id", "stem"))
+    return rows.select(*jobs, corrupt.alias("_corrupt_record"), *columns).withColumn("job_key", F.coalesce("job_id", "stem"))
 
 
 def without_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
@@ -171,16 +192,18 @@ def read_job_records(
     multi_line: bool = True,
     glob: str | None = "*.json",
     files: list[str] | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Scan job records under ``path``; return ``(records, rejects)``.
 
     ``records`` has the job fields plus ``source_file``, ``file_mtime``,
     ``stem`` and ``job_key`` (= ``job_id``, else the file stem). ``files`` (values of
     ``source_file``) keeps the scan to these; the others are listed, not opened.
+    ``keep`` is that of ``parse_pieces``; without it each use of the frames scans anew.
     """
     scan = raw = _scan(spark.read, path if isinstance(path, str) else list(path), multi_line, glob, files)
     if multi_line:
-        raw = parse_pieces(raw)
+        raw = parse_pieces(raw, keep)
     # The always-true ``keep_scan`` term keeps a data column in the scan:
     # Spark refuses raw JSON scans whose only column is the corrupt-record
     # column, which is what a bare ``count()`` over either frame would
@@ -200,12 +223,18 @@ def job_record_stream(spark: SparkSession, path: str, multi_line: bool = True, g
     return _scan(spark.readStream.options(**options), path, multi_line, glob)
 
 
-def batch_records(batch: DataFrame, path: str, multi_line: bool = True, glob: str | None = "*.json") -> DataFrame:
+def batch_records(
+    batch: DataFrame,
+    path: str,
+    multi_line: bool = True,
+    glob: str | None = "*.json",
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Records and rejects of a micro-batch of ``job_record_stream``, with a row for each file without content.
 
     A file without any byte is in no batch; those lying in the folder now are added.
     """
-    rows = parse_pieces(batch) if multi_line else batch
+    rows = parse_pieces(batch, keep) if multi_line else batch
     reader = batch.sparkSession.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)

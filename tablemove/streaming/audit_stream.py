@@ -11,11 +11,13 @@ therefore changes nothing. Records that cannot be parsed go to
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import quote_name, split_name
-from ..operators.write import ensure_namespace
+from ..operators.write import ensure_namespace, written
 from ..plans.audit import append_rejects, merge_rows, one_per_job
 from ..sources.jobs import batch_records, job_record_stream
 
@@ -23,7 +25,7 @@ from ..sources.jobs import batch_records, job_record_stream
 def _append_batch(ledger: str, archive: str, multi_line: bool, glob: str | None):
     def handle(pieces: DataFrame, batch_id: int) -> None:
         spark = pieces.sparkSession
-        batch = batch_records(pieces, archive, multi_line, glob)
+        batch = batch_records(pieces, archive, multi_line, glob, keep=partial(written, tag="audit-pieces"))
         merge_rows(spark, one_per_job(batch.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")), ledger)
         append_rejects(spark, batch.filter(F.col("_corrupt_record").isNotNull()), ledger)  # a replayed batch adds nothing
 

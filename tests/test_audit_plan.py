@@ -422,3 +422,22 @@ def test_filter_values_scans_once_without_a_sort(spark, tmp, ns):
     report = P.generate_report(spark, f"{tmp}/archive", f"{ns}.ledger").report
     plan = P.filter_values(report)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "rangepartitioning" not in plan
+
+
+def test_pieces_are_read_once_for_report_and_rejects(spark, tmp, ns):
+    from tablemove.streaming.audit_stream import run_audit_stream
+
+    arch = f"{tmp}/a"
+    _write_jobs(arch, [_job(1), _job(2)])
+    for name, text in (("cut", json.dumps(_job(3))[:-5]), ("list", "[null,\n" + json.dumps(_job(4)) + "]"), ("blank", " \n")):
+        with open(f"{arch}/{name}.json", "w") as f:
+            f.write(text)
+    records, rejects = read_job_records(spark, arch)
+    want, bad = _ids(records), _rows(rejects)
+    assert want == ["id-0001", "id-0002", "id-0004"] and len(bad) == 3
+    streamed = run_audit_stream(spark, arch, f"{ns}.s", f"{tmp}/ckpt")
+    res = P.generate_report(spark, arch, f"{ns}.led", full_rescan=True)
+    for name in os.listdir(arch):
+        os.remove(f"{arch}/{name}")
+    assert sorted(r["Job ID"] for r in res.report.collect()) == sorted(r["Job ID"] for r in streamed.collect()) == want
+    assert _rows(res.rejects) == bad  # from what the report's one pass has found
