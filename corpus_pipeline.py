@@ -50,6 +50,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
     coded = sentencepiece_stream.encode(spark, docs.select("doc_id", "lang", "source", "text"))
+    coded = materialise(spark, coded, "pipeline-ids")  # in one job a core would run two Python workers at a time, each with its own memory of ids
     back = sentencepiece_stream.decode(spark, coded, text="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", "lang", "source", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
