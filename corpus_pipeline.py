@@ -19,6 +19,9 @@ from tablemove.session import ensure_checkpoint_dir
 #: Token shares that the mix aims at. The total is set so that clean text keeps what it has;
 #: rates end at 1, so documents are thinned out, never repeated.
 MIX = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
+#: Stretches that a worker's encoder remembers, twice. Spark hands tasks in turn to all Python workers that earlier stages have left
+#: (four on two cores, measured); each comes to hold such a memory and keeps it into the jobs that follow.
+REMEMBERED = 87_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
-    coded = sentencepiece_stream.encode(spark, docs.select("doc_id", "lang", "source", "text"))
+    coded = sentencepiece_stream.encode(spark, docs.select("doc_id", "lang", "source", "text"), memory=REMEMBERED)
     coded = materialise(spark, coded, "pipeline-ids")  # in one job a core would run two Python workers at a time, each with its own memory of ids
     back = sentencepiece_stream.decode(spark, coded, text="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")

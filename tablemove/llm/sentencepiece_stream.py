@@ -24,8 +24,8 @@ UNKNOWN_PENALTY = 10.0
 GRAIN = 1 << 16
 #: Characters fed to a search at a time.
 STEP = 1024
-#: Stretches whose ids a worker remembers at most.
-MEMORY = 400_000
+#: Stretches whose ids a worker remembers at most, twice (about 180 bytes each; just under what a Python dict holds before it doubles).
+MEMORY = 349_000
 
 
 @dataclass(frozen=True)
@@ -73,13 +73,13 @@ class Vocabulary:
         return Vocabulary(pieces, tuple(surfaces), tuple(bytes_at), max(map(len, pieces), default=1), starts, unknown)
 
     def stretches(self) -> re.Pattern:
-        """Cuts a text where no piece can cross: before blanks that follow another character, if no piece
-        has a blank after one, and around line ends, if no piece holds one. Else the whole text is one stretch."""
+        """Cuts a text, its blanks unreplaced, where no piece can cross: before blanks that follow another character, if no
+        piece has a blank after one, and around line ends, if no piece holds one. Else the whole text is one stretch."""
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             return re.compile("(?s).+")
         if any("\n" in p and p != "\n" for p in self.pieces):
-            return re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-        return re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+            return re.compile(" +[^ ]*|[^ ]+")
+        return re.compile("\n| +[^ \n]*|[^ \n]+")
 
     def pairs(self) -> set[str]:
         """Neighbouring characters within pieces. No piece can cross any other two neighbours in a text."""
@@ -180,26 +180,30 @@ class StreamingViterbi:
 class Codec(dict):
     """Encodes and decodes whole texts; remembers the ids of stretches between certain boundaries, as packed integers.
 
-    Holds at most ``MEMORY`` stretches twice: when full, it starts anew and
-    takes over what is met again from the last filling.
+    Holds at most ``memory`` stretches twice: when full, it starts anew and
+    takes over what is met again from the last filling. Stretches are kept with their blanks, as
+    Python stores most of them with a byte a character then, and ids of two bytes where all fit.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, memory: int | None = None):
         super().__init__()
         self.vocabulary, self.cut, self.pairs, self.before = vocabulary, vocabulary.stretches().findall, vocabulary.pairs(), {}
+        self.memory = MEMORY if memory is None else memory
+        known = {*(i for i, _ in vocabulary.pieces.values()), *vocabulary.bytes_at}
+        self.code = "H" if all(0 <= i < 1 << 16 for i in known) else "i"
 
     def __missing__(self, stretch: str) -> bytes:
         packed = self.before.get(stretch)
         if packed is None:
-            pairs = self.pairs
-            cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in pairs]
+            pairs, marked = self.pairs, stretch.replace(" ", BLANK)
+            cuts = [k for k in range(1, len(marked)) if marked[k - 1 : k + 1] not in pairs]
             if cuts:
                 packed = b"".join([self[stretch[i:j]] for i, j in zip([0, *cuts], [*cuts, len(stretch)])])
             else:
                 search, ends = StreamingViterbi(self.vocabulary), range(STEP, len(stretch) + STEP, STEP)
-                packed = b"".join([array("i", search.push(stretch[e - STEP : e], e >= len(stretch))).tobytes() for e in ends])
+                packed = b"".join([array(self.code, search.push(marked[e - STEP : e], e >= len(marked))).tobytes() for e in ends])
         if len(stretch) <= 64:
-            if len(self) >= MEMORY:
+            if len(self) >= self.memory:
                 self.before = dict(self)
                 self.clear()
             self[stretch] = packed
@@ -207,8 +211,8 @@ class Codec(dict):
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text: a blank is put before it, blanks become U+2581; nothing else is normalised. An empty text has none."""
-        stretches = self.cut(BLANK + text.replace(" ", BLANK)) if text else ()
-        return np.frombuffer(b"".join(map(self.__getitem__, stretches)), dtype=np.intc)
+        stretches = self.cut(" " + text.replace(BLANK, " ")) if text else ()
+        return np.frombuffer(b"".join(map(self.__getitem__, stretches)), dtype=self.code).astype(np.intc)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: the leading blank goes, U+2581 becomes a blank, bytes that are no UTF-8 become U+FFFD."""
@@ -219,28 +223,29 @@ class Codec(dict):
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(key: tuple, vocabulary: Vocabulary) -> Codec:
+def _codec(key: tuple, vocabulary: Vocabulary, memory: int | None = None) -> Codec:
     """The worker's codec for a vocabulary: its memory outlives a task, so that the next one starts with common words known."""
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary)
+        _CODECS[key] = Codec(vocabulary, memory)
     return _CODECS[key]
 
 
-def encode(spark: SparkSession, docs: DataFrame, *, text: str = "text", model_file: str = MODEL, ids: str = "ids") -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, *, text: str = "text", model_file: str = MODEL, ids: str = "ids", memory: int | None = None) -> DataFrame:
     """``docs`` with an array column ``ids``: the ids of each whole text (null or empty: no ids).
 
     A text of any length takes memory in proportion to itself only. Repeated
     rows get equal ids. An input column of that name is replaced, all others
     stay; an empty table gives no rows. The vocabulary (some 10,000 pieces, as
-    the model file has them) goes to the workers with the task.
+    the model file has them) goes to the workers with the task. ``memory`` (else ``MEMORY``) is the number of
+    stretches that each worker remembers, twice: fewer take less memory and more time, and give the same ids.
     """
     small_batches(spark)
     shared, key = spark.sparkContext.broadcast(Vocabulary.load(model_file)), (model_file, uuid.uuid4().hex)
 
     @F.pandas_udf("array<int>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(key, shared.value)
+        codec = _codec(key, shared.value, memory)
         for s in texts:
             yield pd.Series([codec.encode(t or "") for t in s], dtype=object)
 

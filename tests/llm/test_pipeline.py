@@ -1,9 +1,11 @@
 """The pipeline's stages on the smallest tables, against what each operator says."""
 
+import sys
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tablemove.llm import simhash_dedup
+from tablemove.llm import sentencepiece_stream, simhash_dedup
 from tests.llm.helpers import SF
 
 
@@ -35,3 +37,18 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     got = P.run(spark, SF)
     assert {"doc_id", "ids", "n_ids"} <= set(got.columns) and got.count() > 0
+
+
+def test_the_encoder_holds_little_in_each_worker(spark, monkeypatch):
+    """Every Python worker of an executor keeps its memory of ids, so the pipeline's is small; its ids are those of op3."""
+    asked, encode = [], sentencepiece_stream.encode
+    monkeypatch.setattr(sentencepiece_stream, "encode", lambda *a, **k: asked.append(k["memory"]) or encode(*a, **k))
+    docs = spark.createDataFrame([(i, "en", "s", f"word{i} and{i % 7} {i * i}") for i in range(300)], "doc_id long, lang string, source string, text string")
+    got = P.sentencepiece_encoding(spark, docs, SF)
+    assert got.where("not round_trip").count() == 0
+    assert sorted(got.select("doc_id", "ids").collect()) == sorted(encode(spark, docs).select("doc_id", "ids").collect())
+    codec = sentencepiece_stream.Codec(sentencepiece_stream.Vocabulary.load(sentencepiece_stream.MODEL), asked[0])
+    for i in range(5_000):
+        codec.encode(f"a{i}b{i * 7919 % 100_003}c{i}")
+    each = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in codec.items()) / len(codec)
+    assert 2 * asked[0] * each < 25e6

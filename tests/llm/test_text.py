@@ -1,6 +1,7 @@
 """Quality, mixing, SentencePiece and chat formatting."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -195,6 +196,26 @@ def test_memory_is_bounded_and_changes_no_ids(vocabulary, monkeypatch):
         assert len(codec) <= 50 and len(codec.before) <= 50
 
 
+def test_memory_is_dense(vocabulary):
+    """A remembered word takes under 100 bytes besides its place in the dict (about 120 with wide characters and ids)."""
+    rng, codec = random.Random(6), sp.Codec(vocabulary)
+    for _ in range(200):
+        codec.encode(" ".join("".join(rng.choice("aeinstrblm") for _ in range(rng.randrange(4, 9))) for _ in range(20)))
+    assert len(codec) > 3000
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in codec.items()) < 100 * len(codec)
+
+
+def test_ids_over_two_bytes_are_kept():
+    v = sp.Vocabulary.of([("a", 7, -1.0), (sp.BLANK, 70_000, -1.0)], [b"?"], range(256))
+    assert sp.Codec(v).encode("a a").tolist() == sp.Codec(v, 1).encode("a a").tolist() == [70_000, 7, 70_000, 7]
+
+
+def test_a_small_memory_gives_the_same_ids(spark):
+    table = spark.createDataFrame([(i, f"word{i} and other{i * 7} things, {'x' * (i % 90)}") for i in range(600)], "doc_id long, text string")
+    wide, small = (sp.encode(spark, table, **m).collect() for m in ({}, {"memory": 50}))
+    assert sorted(wide) == sorted(small)
+
+
 def test_the_library_decodes_our_ids(vocabulary):
     import sentencepiece
 
