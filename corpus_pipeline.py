@@ -19,8 +19,7 @@ from tablemove.session import ensure_checkpoint_dir
 #: Token shares that the mix aims at. The total is set so that clean text keeps what it has;
 #: rates end at 1, so documents are thinned out, never repeated.
 MIX = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
-#: Stretches that a worker's encoder remembers, twice. Spark hands tasks in turn to all Python workers that earlier stages have left
-#: (four on two cores, measured); each comes to hold such a memory and keeps it into the jobs that follow.
+#: Stretches that an encoding task remembers, twice, until it ends: Python workers live on into the jobs that follow and should not hold them there.
 REMEMBERED = 87_000
 
 

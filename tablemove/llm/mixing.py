@@ -255,6 +255,7 @@ def assign(
     def rate(ps: pd.Series) -> pd.Series:
         return pd.Series(rates(np.array(ps.tolist()).reshape(-1, len(names)), history, most))
 
+    rate = rate.asNondeterministic()  # else a filter on copies computes it a second time, with a second Python worker for each core
     u = F.pmod(F.xxhash64("draw"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     got = table.withColumn("rate", rate("p"))
     copies = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("int")).cast("int")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +160,9 @@ def cut_over_all(spark: SparkSession, docs: DataFrame, labels: DataFrame, rankin
         starts.append((r.part, bad, good))
         bad, good = bad + r.bad, good + r.good
     upto = Window.partitionBy("part").orderBy("s")
-    below = ranged.join(F.broadcast(spark.createDataFrame(starts, "part int, bad_before long, good_before long")), "part").select(
+    kinds = {"part": pa.int32(), "bad_before": pa.int64(), "good_before": pa.int64()}
+    before = pa.table({c: pa.array(v, kinds[c]) for c, v in zip(kinds, zip(*starts))})  # from a list of rows Spark makes an RDD, for which each executor starts more Python processes
+    below = ranged.join(F.broadcast(spark.createDataFrame(before)), "part").select(
         "s", (F.col("bad_before") + F.sum("bad").over(upto)).alias("bad"), (F.col("good_before") + F.sum("good").over(upto)).alias("good")
     )
     # errors as whole numbers, so that equally good places are told exactly

@@ -223,11 +223,11 @@ class Codec(dict):
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(key: tuple, vocabulary: Vocabulary, memory: int | None = None) -> Codec:
+def _codec(key: tuple, vocabulary: Vocabulary) -> Codec:
     """The worker's codec for a vocabulary: its memory outlives a task, so that the next one starts with common words known."""
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary, memory)
+        _CODECS[key] = Codec(vocabulary)
     return _CODECS[key]
 
 
@@ -237,15 +237,16 @@ def encode(spark: SparkSession, docs: DataFrame, *, text: str = "text", model_fi
     A text of any length takes memory in proportion to itself only. Repeated
     rows get equal ids. An input column of that name is replaced, all others
     stay; an empty table gives no rows. The vocabulary (some 10,000 pieces, as
-    the model file has them) goes to the workers with the task. ``memory`` (else ``MEMORY``) is the number of
-    stretches that each worker remembers, twice: fewer take less memory and more time, and give the same ids.
+    the model file has them) goes to the workers with the task. A worker remembers ``MEMORY`` stretches,
+    twice, also for the tasks that follow. With ``memory``, each task remembers so many of its own, twice, and forgets them at its
+    end: the worker, which lives on into other jobs, does not keep them. The ids are the same.
     """
     small_batches(spark)
     shared, key = spark.sparkContext.broadcast(Vocabulary.load(model_file)), (model_file, uuid.uuid4().hex)
 
     @F.pandas_udf("array<int>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(key, shared.value, memory)
+        codec = _codec(key, shared.value) if memory is None else Codec(shared.value, memory)
         for s in texts:
             yield pd.Series([codec.encode(t or "") for t in s], dtype=object)
 

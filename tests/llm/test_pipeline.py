@@ -2,11 +2,12 @@
 
 import sys
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tablemove.llm import sentencepiece_stream, simhash_dedup
-from tests.llm.helpers import SF
+from tablemove.llm import mixing, quality, sentencepiece_stream, simhash_dedup
+from tests.llm.helpers import LABELS, SF, docs, good_and_bad
 
 
 def test_stages(spark):
@@ -52,3 +53,47 @@ def test_the_encoder_holds_little_in_each_worker(spark, monkeypatch):
         codec.encode(f"a{i}b{i * 7919 % 100_003}c{i}")
     each = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in codec.items()) / len(codec)
     assert 2 * asked[0] * each < 25e6
+
+
+def _plans(monkeypatch, module):
+    """Physical plans of what ``module`` writes, by tag."""
+    plans, write = {}, module.materialise
+
+    def told(spark, df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(spark, df, tag)
+
+    monkeypatch.setattr(module, "materialise", told)
+    return plans
+
+
+def test_mixing_computes_rates_once(spark, monkeypatch):
+    """A second evaluation in the same stage takes a second Python worker for each core."""
+    rows, labels = good_and_bad()
+    plans = _plans(monkeypatch, mixing)
+    table, marked = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    got = mixing.mix(spark, table, mixing.label_domains(marked), P.MIX, total="clean", most=1.0)
+    assert 0 < got.count() <= len(rows)
+    assert plans["mix-copies"].count("ArrowEvalPython") == 1
+
+
+def test_quality_starts_no_python_for_its_range_totals(spark, monkeypatch):
+    rows, labels = good_and_bad()
+    plans = _plans(monkeypatch, quality)
+    assert quality.keep_good(spark, docs(spark, rows), spark.createDataFrame(labels, LABELS)).count() > 0
+    assert "LocalTableScan" in plans["quality-cuts"] and "ExistingRDD" not in plans["quality-cuts"]
+
+
+def test_the_pipeline_encoder_leaves_no_memory_in_a_worker(spark, monkeypatch):
+    """Python workers outlive a job; what an encoding task remembers would add to the memory of the stages that follow."""
+    made, real = [], F.pandas_udf
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda f: made.append(f) or real(kind)(f))
+    monkeypatch.setattr(sentencepiece_stream, "_CODECS", {})
+    rows = spark.createDataFrame([(1, "en", "s", "one text")], "doc_id long, lang string, source string, text string")
+    P.sentencepiece_encoding(spark, rows, SF)
+    sentencepiece_stream.encode(spark, rows)
+    piped, plain = (f for f in made if f.__qualname__.startswith("encode."))
+    (ids,) = piped(iter([pd.Series(["one text", "another"])]))
+    assert not sentencepiece_stream._CODECS
+    (same,) = plain(iter([pd.Series(["one text", "another"])]))
+    assert len(sentencepiece_stream._CODECS) == 1 and [list(x) for x in ids] == [list(x) for x in same]
