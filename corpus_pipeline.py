@@ -20,7 +20,7 @@ from tablemove.session import ensure_checkpoint_dir
 #: rates end at 1, so documents are thinned out, never repeated.
 MIX = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
 #: Stretches that an encoding task remembers, twice, until it ends: Python workers live on into the jobs that follow and should not hold them there.
-REMEMBERED = 87_000
+REMEMBERED = 43_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

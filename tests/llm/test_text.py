@@ -216,6 +216,44 @@ def test_a_small_memory_gives_the_same_ids(spark):
     assert sorted(wide) == sorted(small)
 
 
+def test_new_words_are_searched_together(vocabulary, monkeypatch):
+    """A search of its own for each new word set op3's cost: 1,500 words of these texts took as many."""
+    pushed, push = [], sp.StreamingViterbi.push
+    monkeypatch.setattr(sp.StreamingViterbi, "push", lambda self, *a: pushed.append(a[0]) or push(self, *a))
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("aeinstrblm.,'") for _ in range(rng.randrange(4, 12))) for _ in range(30)) for _ in range(50)]
+    odd = ["", " ", "zß中文 \U0001f600\ud7ff a\U0001f600b", "x" * 64 + " " + "y" * 63 + "  " + "ab" * 70, *texts[:2], "\n\n a"]
+    got = [x.tolist() for x in sp.Codec(vocabulary).encode_all(texts + odd)]
+    assert len(pushed) < 50
+    assert got == [brute_viterbi(vocabulary, sp.BLANK + t.replace(" ", sp.BLANK)) if t else [] for t in texts + odd]
+    assert got == [x.tolist() for x in sp.Codec(vocabulary, 40).encode_all(texts + odd)]
+
+
+def test_lockstep_equals_whole_text_search_where_sums_tie():
+    rng = random.Random(12)
+    for _ in range(30):
+        pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(40)})
+        v = sp.Vocabulary.of([(p, i, -float(rng.randrange(1, 3))) for i, p in enumerate(pieces)], [p.encode() for p in pieces] + [b"?"] * 256, range(1000, 1256))
+        words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40))) for _ in range(100)]
+        want = [brute_viterbi(v, w) for w in words]
+        unknown = [any(i >= 1000 for i in ids) for ids in want]
+        assert [None if x is None else np.frombuffer(x, "i").tolist() for x in v.tree.search(words, "i")] == [None if u else ids for u, ids in zip(unknown, want)]
+
+
+def test_decode_whole_batches(vocabulary, spark):
+    """Bytes that are no UTF-8, nulls and strange ids are as in ``Codec.decode``."""
+    codec, rng = sp.Codec(vocabulary), random.Random(3)
+    lists = [codec.encode(t).tolist() for t in TEXTS] + [[rng.choice(vocabulary.bytes_at) for _ in range(9)] for _ in range(20)] + [[], [vocabulary.bytes_at[b] for b in " ▁a".encode()]]
+    want = {k: codec.decode(x) for k, x in enumerate(lists)}
+    for kind in ("int", "bigint", "double"):
+        rows = [(k, [float(i) if kind == "double" else i for i in x]) for k, x in enumerate(lists)]
+        table = spark.createDataFrame(rows, f"k int, ids array<{kind}>").coalesce(1)
+        got = sp.decode(spark, table)
+        assert {r.k: r.text for r in got.collect()} == want
+    odd = spark.createDataFrame([(0, [None, -1, 10**12, lists[0][0], None]), (1, None), (2, [None])], "k int, ids array<bigint>")
+    assert {r.k: r.text for r in sp.decode(spark, odd).collect()} == {0: codec.decode(lists[0][:1]), 1: "", 2: ""}
+
+
 def test_the_library_decodes_our_ids(vocabulary):
     import sentencepiece
 
