@@ -254,6 +254,14 @@ def test_decode_whole_batches(vocabulary, spark):
     assert {r.k: r.text for r in sp.decode(spark, odd).collect()} == {0: codec.decode(lists[0][:1]), 1: "", 2: ""}
 
 
+def test_decode_long_lists_of_one_batch(vocabulary, spark):
+    texts = [f"{k} word, " * n for k, n in enumerate((1, 20_000, 3, 12_000, 0, 30_000, 2))]
+    codec = sp.Codec(vocabulary)
+    table = spark.createDataFrame([(t, codec.encode(t).tolist()) for t in texts] + [(None, None)], "t string, ids array<int>").coalesce(1)
+    assert max(len(codec.encode(t)) for t in texts) > sp.DECODED
+    assert sp.decode(spark, table).where("text <> coalesce(t, '')").count() == 0
+
+
 def test_the_library_decodes_our_ids(vocabulary):
     import sentencepiece
 
